@@ -58,3 +58,328 @@ QUERIES = {
     "cls_policies": q_cls_policies,
     "cls_macro_f1": q_cls_macro_f1,
 }
+
+
+# ------------------------------------------------------------------ S1 / T1-T4a / L1
+
+from lumen.functions import text as TX  # noqa: E402
+from lumen.functions.labels import u_zero  # noqa: E402
+from lumen.functions.paths import (drop_two_dirs, patient_num, resolve_path,  # noqa: E402
+                                   resolve_model_meta, short_from_patient)
+from lumen.operators import filters as FL  # noqa: E402
+from lumen.operators.joins import best_key_join, candidate_counts  # noqa: E402
+from lumen.operators.probes import (DEFAULT_CONDITIONS, centroid_models, evaluate,  # noqa: E402
+                                    long_labels, score, best_c)
+from lumen.operators.sampling import stratified_exact, target_sizes  # noqa: E402
+from lumen.operators.scaler import fit_scaler  # noqa: E402
+from lumen.operators.setf1 import set_f1  # noqa: E402
+from lumen.functions.vectors import l2_norm, l2_normalize, to_wide  # noqa: E402
+
+STUDY_COLS = ["study_id", "subject_id", "dicom_id", "local_image_path", "findings", "impression",
+              "indication", "full_gt", "prompt"]
+IMAGE_BASE = "/data/images"
+PATIENT_LO, PATIENT_HI = 1, 150
+
+
+def q_studies_clean(spark, sf):
+    return FL.prepare_studies(X.v_studies(spark, sf)).select(*STUDY_COLS)
+
+
+def q_studies_first_n(spark, sf):
+    return FL.prepare_studies(X.v_studies(spark, sf), max_samples=100).select(*STUDY_COLS)
+
+
+def q_prompts_by_condition(spark, sf):
+    s = FL.prepare_studies(X.v_studies(spark, sf)).select("study_id")
+    conds = F.array(*[F.lit(c) for c in DEFAULT_CONDITIONS])
+    x = s.select("study_id", F.explode(conds).alias("condition"))
+    return x.select("study_id", "condition", TX.prompt_for_condition("condition").alias("prompt"))
+
+
+def q_chat_messages(spark, sf):
+    s = FL.prepare_studies(X.v_studies(spark, sf))
+    msgs = TX.chat_messages("prompt", with_system=True)
+    return s.select("study_id", F.size(msgs).alias("n_messages"), F.to_json(msgs).alias("chat_json"),
+                    TX.plain_prompt("prompt").alias("plain_prompt"))
+
+
+def q_gen_text_clean(spark, sf):
+    p = X.v_pairs(spark, sf)
+    x = p.select("sample_id",
+                 TX.clean_generated("findings_gen").alias("findings_gen"),
+                 TX.clean_generated("impression_gen").alias("impression_gen"),
+                 TX.clean_reference("findings_gt").alias("findings_gt"),
+                 TX.clean_reference("impression_gt").alias("impression_gt"))
+    return x.select("*", TX.full_report("findings_gen", "impression_gen").alias("full_gen"),
+                    TX.full_report("findings_gt", "impression_gt").alias("full_gt"))
+
+
+# ------------------------------------------------------------------ T5-T8 / F2 / A6 / F3 F5
+
+def q_path_keys(spark, sf):
+    p = X.v_paths(spark, sf)
+    return p.select("doc_id", "path", patient_num("path").alias("patient_num"),
+                    short_from_patient("path").alias("path_short"),
+                    drop_two_dirs("path").alias("path_short_b"),
+                    resolve_path("path", IMAGE_BASE).alias("resolved_path"))
+
+
+def q_patient_range(spark, sf):
+    p = X.v_paths(spark, sf)
+    allp = p.select(patient_num("path").alias("patient_num"))
+    inr = FL.patient_range(p, PATIENT_LO, PATIENT_HI)
+    tot = allp.agg(F.count(F.lit(1)).alias("n_rows_total"),
+                   F.countDistinct("patient_num").alias("n_patients_total"))
+    sel = inr.agg(F.count(F.lit(1)).alias("n_rows_in_range"),
+                  F.countDistinct("patient_num").alias("n_patients_in_range"))
+    return sel.select(F.lit(PATIENT_LO).alias("lower"), F.lit(PATIENT_HI).alias("upper"), "*",
+                      tot.select("n_rows_total").scalar().alias("n_rows_total"),
+                      tot.select("n_patients_total").scalar().alias("n_patients_total"))
+
+
+def _embedding_items(spark, sf):
+    items = FL.patient_range(X.v_paths(spark, sf), PATIENT_LO, PATIENT_HI)
+    return FL.split_existing(items, X.v_listing(spark, sf), "path", "decodable")
+
+
+def q_file_failures(spark, sf):
+    return _embedding_items(spark, sf).select("doc_id", "path", "patient_num", "path_short", "status", "reason")
+
+
+def q_failure_manifest(spark, sf):
+    from lumen.sinks.writers import manifest
+    return manifest(_embedding_items(spark, sf))
+
+
+# ------------------------------------------------------------------ T9 / A3 / A7
+
+def _cxr_long(spark, sf):
+    return long_labels(X.v_cxr(spark, sf), ["vec_id", "path", "path_short"], "embedding", X.CXR_CONDITIONS)
+
+
+def q_u_zero_labels(spark, sf):
+    l = _cxr_long(spark, sf)
+    r = F.col("raw_label")
+    agg = l.groupBy("condition").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"),
+        F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"),
+        F.count(F.when(r.isNull(), 1)).alias("n_raw_null"),
+        F.count(F.when(r == -1.0, 1)).alias("n_raw_uncertain"))
+    can = (F.when(F.col("n_pos") > 0, (F.col("n_pos") >= 2) & ((F.col("n_neg") >= 2) | (F.col("n_neg") == 0)))
+           .otherwise(F.lit(False)))
+    return agg.withColumn("can_stratify", can)
+
+
+# ------------------------------------------------------------------ J1 / J8 / F9
+
+def _joined(spark, sf):
+    left = X.v_cxr(spark, sf)
+    right = X.v_cxr_labels(spark, sf).withColumn("path_short", drop_two_dirs("path"))
+    return best_key_join(left, right)
+
+
+def q_best_key_join(spark, sf):
+    joined, info = _joined(spark, sf)
+    return joined.select("vec_id", "path", "path_short", "path_label", "atelectasis", "atelectasis_label",
+                         "only_in_labels", F.lit(info.embedding_join_key).alias("embedding_join_key"),
+                         F.lit(info.matched_rows).cast("long").alias("matched_rows"))
+
+
+def q_best_key_counts(spark, sf):
+    left = X.v_cxr(spark, sf)
+    right = X.v_cxr_labels(spark, sf).withColumn("path_short", drop_two_dirs("path"))
+    return candidate_counts(left, right)
+
+
+# ------------------------------------------------------------------ A5
+
+def q_auc_exact(spark, sf):
+    a = M.auc_by(X.v_scores(spark, sf), ["model_id"], "y", "score")
+    return a.select("model_id", "n_pos", "n_neg", _r("auc").alias("auc"))
+
+
+def q_auc_bucketed(spark, sf):
+    a = M.auc_by(X.v_scores(spark, sf), ["model_id"], "y", "score", buckets=4)
+    return a.select("model_id", "n_pos", "n_neg", _r("auc").alias("auc"))
+
+
+# ------------------------------------------------------------------ A13 / N1
+
+def _plan(spark, sf):
+    l = _cxr_long(spark, sf)
+    counts = l.groupBy("condition").agg(F.count(F.lit(1)).alias("n"))
+    return l, target_sizes(counts)
+
+
+def q_target_sizes(spark, sf):
+    _, plan = _plan(spark, sf)
+    return plan.select("condition", "n", "size_ordinal", "sample_size", "is_full")
+
+
+def q_stratified_sample_counts(spark, sf):
+    l, plan = _plan(spark, sf)
+    s = stratified_exact(l, plan, ["condition"], "y", ["vec_id"])
+    return s.groupBy("condition", "sample_size").agg(
+        F.count(F.lit(1)).alias("n_sampled"), F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"),
+        F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"), F.countDistinct("vec_id").alias("n_distinct"))
+
+
+# ------------------------------------------------------------------ A8 / T16 / T17
+
+def q_scaler_stats(spark, sf):
+    st = fit_scaler(read_table(spark, sf, "embeddings"), "embedding")
+    x = st.select(F.posexplode(F.arrays_zip("mean", "std")).alias("dim", "z"))
+    return x.select(F.col("dim").cast("int").alias("dim"), _r("z.mean").alias("mean"), _r("z.std").alias("std"))
+
+
+def q_l2_norms(spark, sf):
+    e = read_table(spark, sf, "embeddings").select(
+        "vec_id", F.transform("embedding", lambda v: v.cast("double") * 3.0).alias("v"))
+    n = e.select("vec_id", "v", l2_normalize("v").alias("u"))
+    return n.select("vec_id", _r(l2_norm("v")).alias("norm_before"), _r(l2_norm("u")).alias("norm_after"),
+                    _r(F.element_at("u", 1)).alias("u_first"))
+
+
+def q_wide_long(spark, sf):
+    from lumen.functions.vectors import assert_uniform_dim, to_array
+    e = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    wide = to_wide(e, assert_uniform_dim(e, "embedding"))
+    back = to_array(wide)
+    return back.select("vec_id", F.col("embedding")[0].alias("emb_0000"), F.col("embedding")[63].alias("emb_0063"),
+                       F.size("embedding").alias("n_dims"),
+                       _r(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("emb_sum"))
+
+
+# ------------------------------------------------------------------ M4 / M5 / J7 / F7 / T18 T19 / A9
+
+PROBE_CONDITIONS = X.CXR_CONDITIONS
+
+
+def _centroids(spark, sf):
+    train = _cxr_long(spark, sf)
+    return train, centroid_models(train, "embedding")
+
+
+def q_probe_score(spark, sf):
+    train, models = _centroids(spark, sf)
+    s = score(train.select("vec_id", "embedding", "condition", "y"), models, "embedding")
+    return s.select("vec_id", "condition", "y", _r("prob").alias("prob"))
+
+
+def q_probe_eval(spark, sf):
+    _, models = _centroids(spark, sf)
+    joined, _info = _joined(spark, sf)
+    present = [c for c in PROBE_CONDITIONS if c in joined.columns]
+    test = long_labels(joined, ["vec_id"], "embedding", present)
+    scored = score(test.select("vec_id", "embedding", "condition", "y"), models, "embedding")
+    ev = evaluate(scored, models, present)
+    return ev.select("model_name", "condition", _r("auc").alias("auc"), "num_test_samples",
+                     "num_positive_test_samples", "num_negative_test_samples", "status")
+
+
+def q_model_name_parse(spark, sf):
+    n = X.v_names(spark, sf)
+    cond, size = resolve_model_meta("model_name", "meta_condition", "meta_size")
+    return n.select("model_id", "model_name", cond.alias("condition"), size.alias("training_set_size"))
+
+
+def q_probe_eval_status(spark, sf):
+    """F7 for named models: a model whose condition is no column of the joined
+    evaluation table is skipped with 0 samples; others report the test counts."""
+    n = X.v_names(spark, sf)
+    cond, size = resolve_model_meta("model_name", "meta_condition", "meta_size")
+    models = n.select("model_id", "model_name", cond.alias("condition"), size.alias("training_set_size"))
+    joined, _info = _joined(spark, sf)
+    present = [c for c in joined.columns if c not in ("vec_id", "embedding", "path", "path_short", "path_label")]
+    test = long_labels(joined, ["vec_id"], "embedding", present)
+    counts = test.groupBy("condition").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"),
+        F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"))
+    j = models.join(counts, "condition", "left")
+    ok = F.col("n").isNotNull()
+    return j.select("model_id", "model_name", "condition", "training_set_size",
+                    F.when(ok, "ok").otherwise("skipped_missing_condition_column").alias("status"),
+                    F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("num_test_samples"),
+                    F.col("n_pos").cast("long").alias("num_positive_test_samples"),
+                    F.col("n_neg").cast("long").alias("num_negative_test_samples"))
+
+
+def q_best_c(spark, sf):
+    g = X.v_grid_scores(spark, sf)
+    aucs = M.auc_by(g, ["model_id", "c_ordinal", "c"], "y", "score")
+    best = best_c(aucs.withColumnRenamed("auc", "val_auc"), ("model_id",), "val_auc", "c_ordinal")
+    return best.select("model_id", "c_ordinal", "c", _r("val_auc").alias("val_auc"))
+
+
+# ------------------------------------------------------------------ X1 / A10
+
+def q_set_f1(spark, sf):
+    r = set_f1(X.v_entities(spark, sf))
+    return r.select("level", "metric", "n_samples", _r("mean_f1").alias("mean_f1"))
+
+
+# ------------------------------------------------------------------ M1 / M2
+
+def q_embed_retry(spark, sf):
+    from lumen.operators.inference import embed_batches
+    from lumen.plans.stubs import stub_embed
+    d = read_table(spark, sf, "documents").select("doc_id")
+    e = embed_batches(d, stub_embed, batch_size=16)
+    return e.select("doc_id", "status", "reason",
+                    F.transform(l2_normalize("embedding"), lambda x: x.cast("float")).alias("embedding"))
+
+
+def q_generate_stub(spark, sf):
+    from lumen.operators.inference import generate_batches
+    from lumen.plans.stubs import stub_generate
+    s = FL.prepare_studies(X.v_studies(spark, sf)).select("study_id", "prompt")
+    g = generate_batches(s, stub_generate, "prompt", "study_id", batch_size=8)
+    g = with_verdict(g, "generated")
+    return g.select("study_id", "prompt", "generated", F.col("v.verdict").alias("verdict"))
+
+
+# ------------------------------------------------------------------ K7
+
+def q_upsert_evaluation(spark, sf):
+    from lumen.sinks.writers import upsert
+    docs = read_table(spark, sf, "documents").select(
+        F.col("doc_id").alias("run_id"), F.col("source").alias("task"),
+        F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    new = read_table(spark, sf, "labels").select(F.col("doc_id").alias("run_id"), "quality", "toxic")
+    new = new.join(docs.select("run_id", "task"), "run_id")  # carry the run's own fields
+    return upsert(docs, new, "run_id").select("run_id", "task", "quality", "toxic")
+
+
+from lumen.sources.tables import read_table  # noqa: E402
+
+QUERIES.update({
+    "studies_clean": q_studies_clean,
+    "studies_first_n": q_studies_first_n,
+    "prompts_by_condition": q_prompts_by_condition,
+    "chat_messages": q_chat_messages,
+    "gen_text_clean": q_gen_text_clean,
+    "path_keys": q_path_keys,
+    "patient_range": q_patient_range,
+    "file_failures": q_file_failures,
+    "failure_manifest": q_failure_manifest,
+    "u_zero_labels": q_u_zero_labels,
+    "best_key_join": q_best_key_join,
+    "best_key_counts": q_best_key_counts,
+    "auc_exact": q_auc_exact,
+    "auc_bucketed": q_auc_bucketed,
+    "target_sizes": q_target_sizes,
+    "stratified_sample_counts": q_stratified_sample_counts,
+    "scaler_stats": q_scaler_stats,
+    "l2_norms": q_l2_norms,
+    "wide_long": q_wide_long,
+    "probe_score": q_probe_score,
+    "probe_eval": q_probe_eval,
+    "model_name_parse": q_model_name_parse,
+    "probe_eval_status": q_probe_eval_status,
+    "best_c": q_best_c,
+    "set_f1": q_set_f1,
+    "embed_retry": q_embed_retry,
+    "generate_stub": q_generate_stub,
+    "upsert_evaluation": q_upsert_evaluation,
+})
