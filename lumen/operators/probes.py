@@ -134,7 +134,8 @@ def balanced_weights(df: DataFrame, by, label: str = "y") -> DataFrame:
 
 def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: DataFrame,
                  vec: str = "embedding", key_cols=("vec_id",), c_values=DEFAULT_C_VALUES,
-                 seed: int = 42, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
+                 seed: int = 42, max_iter: int = 100, tol: float = 1e-6, parallelism: int = 8,
+                 rows_per_partition: int = 200_000) -> DataFrame:
     """M3 grid: per (condition, sample_size) of ``plan`` an L2 logistic regression
     with balanced class weights for every C; the best C by validation AUC wins.
 
@@ -160,21 +161,33 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
         F.countDistinct("y").alias("_k"), F.count(F.lit(1)).alias("_n"))
     cells = [r.asDict() for r in scalers.join(classes, ["condition", "sample_size"])
              .where("_k >= 2").orderBy("condition", "sample_size").collect()]
-    fitted = []
-    for cell in cells:
+    def fit_cell(cell):
         sub = (sample.where((F.col("condition") == cell["condition"]) & (F.col("sample_size") == cell["sample_size"]))
                .withColumn("_mu", F.lit(cell["mean"])).withColumn("_sc", F.lit(cell["scale"])))
         sub = balanced_weights(sub, ["condition", "sample_size"])
-        data = sub.select(array_to_vector(standardize(vec, "_mu", "_sc")).alias("features"),
-                          F.col("y").cast("double").alias("label"), "weight").persist()
+        # Partitions sized to the cell (L-BFGS runs one job per iteration; tiny
+        # cells on many partitions would be all scheduling overhead).
+        parts = max(1, min(spark.sparkContext.defaultParallelism, int(cell["_n"]) // rows_per_partition))
+        data = (sub.select(array_to_vector(standardize(vec, "_mu", "_sc")).alias("features"),
+                           F.col("y").cast("double").alias("label"), "weight")
+                .repartition(parts).persist())
         lr = LogisticRegression(weightCol="weight", elasticNetParam=0.0, standardization=False,
                                 fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
         maps = [{lr.regParam: 1.0 / (c * cell["_n"])} for c in c_values]
-        for idx, model in lr.fitMultiple(data, maps):
-            fitted.append((cell["condition"], int(cell["sample_size"]), idx, float(c_values[idx]),
-                           [float(x) for x in model.coefficients.toArray()], float(model.intercept),
-                           [float(x) for x in cell["mean"]], [float(x) for x in cell["scale"]]))
-        data.unpersist()
+        out = []
+        try:
+            for idx, model in lr.fitMultiple(data, maps):
+                out.append((cell["condition"], int(cell["sample_size"]), idx, float(c_values[idx]),
+                            [float(x) for x in model.coefficients.toArray()], float(model.intercept),
+                            [float(x) for x in cell["mean"]], [float(x) for x in cell["scale"]]))
+        finally:
+            data.unpersist()
+        return out
+
+    # Cells are independent: fit them concurrently, as MLlib's tuning tools do.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = [row for rows in pool.map(fit_cell, cells) for row in rows]
     sample.unpersist()
     grid_schema = T.StructType([
         T.StructField("condition", T.StringType()), T.StructField("sample_size", T.LongType()),

@@ -383,3 +383,20 @@ QUERIES.update({
     "generate_stub": q_generate_stub,
     "upsert_evaluation": q_upsert_evaluation,
 })
+
+
+# ------------------------------------------------------------------ M3 / A9 / A11 / J4 / N1 (solver: rows-only check)
+
+def q_probe_train(spark, sf):
+    """Train the probe grid on v_cxr (train) and score C on the best-key-joined
+    evaluation rows (val): one fit set per (condition, planned size)."""
+    from lumen.operators.probes import train_probes
+    train, plan = _plan(spark, sf)
+    joined, _info = _joined(spark, sf)
+    val = long_labels(joined, ["vec_id"], "embedding", [c for c in X.CXR_CONDITIONS if c in joined.columns])
+    models = train_probes(spark, train, val, plan.select("condition", "sample_size"))
+    return models.select("model_name", "condition", "sample_size", "best_c", _r("val_auc").alias("val_auc"),
+                         "n_pos", "n_neg", "num_dims")
+
+
+QUERIES["probe_train"] = q_probe_train
