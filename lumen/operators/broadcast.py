@@ -1,23 +1,36 @@
-"""Size-checked broadcast: broadcast a side only when its row count is proven small."""
+"""Joins against a small side, broadcast only behind a size check.
+
+Two kinds of check:
+* a **static bound** the caller can prove (e.g. one row per condition of a
+  literal list): the side is broadcast with a hint;
+* otherwise a plain join: AQE materialises the small side's shuffle stage,
+  measures its actual bytes and switches to a broadcast-hash join only when it
+  is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``. The check costs
+  no extra job, and a side that turns out large stays a shuffle join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows a broadcast side may hold. Model tables, cut-point tables and plan
-# tables are tiny; anything past this goes through a shuffle join instead.
+# Largest row bound that may be broadcast by hint.
 MAX_BROADCAST_ROWS = 200_000
 
 
 def bounded_count(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> int:
-    """Count rows but stop scanning once the limit is exceeded (returns limit + 1)."""
+    """Count rows but stop once the limit is exceeded (returns limit + 1)."""
     return df.limit(limit + 1).count()
 
 
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join ``big`` with ``small``, broadcasting ``small`` only after checking its size."""
-    if bounded_count(small, limit) <= limit:
+               bound: int | None = None) -> DataFrame:
+    """Join ``big`` with a side expected to be small.
+
+    ``bound`` is a statically proven maximum row count of ``small``; with it
+    (and under ``MAX_BROADCAST_ROWS``) the side is broadcast by hint. Without
+    it the decision is left to AQE's runtime size measurement.
+    """
+    if bound is not None and bound <= MAX_BROADCAST_ROWS:
         return big.join(F.broadcast(small), on, how)
     return big.join(small, on, how)

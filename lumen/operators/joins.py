@@ -23,10 +23,11 @@ class JoinInfo:
 def candidate_counts(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDIDATES) -> DataFrame:
     """Pass 1: matched-row count of every applicable candidate, without running the joins.
 
-    Per candidate each side is pre-aggregated to ``(key, count)``; the join of
-    two count tables multiplies counts, so many-to-many matches are counted
-    exactly (duplicates included, nulls match nulls as in pandas) while
-    nothing wide is materialised. All candidates run in one job (a union).
+    Per candidate each side is pre-aggregated to ``(key, count)``; the (full
+    outer) join of two count tables multiplies counts, so many-to-many matches
+    are counted exactly (duplicates included, nulls match nulls as in pandas)
+    while nothing wide is materialised, and the same pass yields both table
+    sizes. All candidates run in one job (a union).
     """
     parts = []
     for i, (lk, rk) in enumerate(candidates):
@@ -34,10 +35,12 @@ def candidate_counts(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDI
             continue
         cl = left.groupBy(F.col(lk).alias("_k")).agg(F.count(F.lit(1)).alias("_cl"))
         cr = right.groupBy(F.col(rk).alias("_k")).agg(F.count(F.lit(1)).alias("_cr"))
-        m = cl.join(cr, cl["_k"].eqNullSafe(cr["_k"]), "inner").agg(
-            F.coalesce(F.sum(F.col("_cl") * F.col("_cr")), F.lit(0)).alias("matched_rows"))
+        m = cl.join(cr, cl["_k"].eqNullSafe(cr["_k"]), "full").agg(
+            F.coalesce(F.sum(F.col("_cl") * F.col("_cr")), F.lit(0)).alias("matched_rows"),
+            F.coalesce(F.sum("_cl"), F.lit(0)).alias("left_rows"),
+            F.coalesce(F.sum("_cr"), F.lit(0)).alias("right_rows"))
         parts.append(m.select(F.lit(i).alias("ordinal"), F.lit(lk).alias("embedding_join_key"),
-                              F.lit(rk).alias("label_join_key"), "matched_rows"))
+                              F.lit(rk).alias("label_join_key"), "matched_rows", "left_rows", "right_rows"))
     if not parts:
         raise ValueError("no candidate join key is present on both sides")
     out = parts[0]
@@ -83,7 +86,7 @@ def best_key_join(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDIDAT
         for c in right.columns:
             if c in lcols and c != rk:
                 joined = joined.withColumn(c, F.col(c + suffix))
-    info = JoinInfo(int(best["matched_rows"]), lk, rk, int(left.count()), int(right.count()))
+    info = JoinInfo(int(best["matched_rows"]), lk, rk, int(best["left_rows"]), int(best["right_rows"]))
     return joined, info
 
 

@@ -189,7 +189,7 @@ def q_best_key_join(spark, sf):
 def q_best_key_counts(spark, sf):
     left = X.v_cxr(spark, sf)
     right = X.v_cxr_labels(spark, sf).withColumn("path_short", drop_two_dirs("path"))
-    return candidate_counts(left, right)
+    return candidate_counts(left, right).select("ordinal", "embedding_join_key", "label_join_key", "matched_rows")
 
 
 # ------------------------------------------------------------------ A5
