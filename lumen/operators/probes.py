@@ -132,6 +132,24 @@ def balanced_weights(df: DataFrame, by, label: str = "y") -> DataFrame:
     return join_small(df, wt, by + [label])
 
 
+def reg_param(c: float, weight_sum: float) -> float:
+    """Map the reference's ``C`` to MLlib's ``regParam``.
+
+    Reference objective: ``1/2 |w|^2 + C * sum_i s_i * loss_i``. MLlib minimises
+    ``(1 / sum_i s_i) * sum_i s_i * loss_i + regParam / 2 * |w|^2``; dividing the
+    former by ``C * sum_i s_i`` gives ``regParam = 1 / (C * sum_i s_i)``. Balanced
+    class weights sum to ``n``.
+    """
+    return 1.0 / (c * weight_sum)
+
+
+def logistic_estimator(max_iter: int = 100, tol: float = 1e-6):
+    """L2 logistic regression on pre-standardised features with a free intercept."""
+    from pyspark.ml.classification import LogisticRegression
+    return LogisticRegression(weightCol="weight", elasticNetParam=0.0, standardization=False,
+                              fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
+
+
 def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: DataFrame,
                  vec: str = "embedding", key_cols=("vec_id",), c_values=DEFAULT_C_VALUES,
                  seed: int = 42, max_iter: int = 100, tol: float = 1e-6, parallelism: int = 8,
@@ -149,7 +167,6 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
     Cells whose sample has one class are skipped (the reference's solver would
     raise; MLlib would return an infinite intercept).
     """
-    from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
 
     from lumen.operators.sampling import stratified_exact
@@ -171,9 +188,8 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
         data = (sub.select(array_to_vector(standardize(vec, "_mu", "_sc")).alias("features"),
                            F.col("y").cast("double").alias("label"), "weight")
                 .repartition(parts).persist())
-        lr = LogisticRegression(weightCol="weight", elasticNetParam=0.0, standardization=False,
-                                fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
-        maps = [{lr.regParam: 1.0 / (c * cell["_n"])} for c in c_values]
+        lr = logistic_estimator(max_iter, tol)
+        maps = [{lr.regParam: reg_param(c, cell["_n"])} for c in c_values]
         out = []
         try:
             for idx, model in lr.fitMultiple(data, maps):
