@@ -106,7 +106,7 @@ def _score_counts(df: DataFrame, group_cols, label: str, score: str) -> DataFram
     y = F.col(label)
     return (df.where(F.col(score).isNotNull())
             .groupBy(*group_cols, F.col(score).cast("double").alias("_s"))
-            .agg(_sum_if(y == 1).alias("_p"), _sum_if(y == 0).alias("_q")))
+            .agg(_sum_if(y == 1).alias("_p"), _sum_if(y == 0).alias("_q"), F.count(F.lit(1)).alias("_r")))
 
 
 def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
@@ -126,7 +126,8 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
     4. running sum of negatives inside each (group, bucket) plus its offset.
 
     The numerator is an exact integer, so the value does not depend on
-    partitioning. One-class groups give null.
+    partitioning. One-class groups give null. ``n_rows`` counts every scored
+    row of the group (labels other than 0/1 included).
     """
     group_cols = list(group_cols)
     counts = _score_counts(df, group_cols, label, score)
@@ -145,12 +146,13 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
     counts = join_small(counts, offsets, group_cols + ["_b"])
     inside = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     cq = F.col("_qoff") + F.coalesce(F.sum("_q").over(inside), F.lit(0))
-    contrib = counts.select(*group_cols, "_p", "_q", (F.col("_p") * (2 * cq + F.col("_q"))).alias("_num"))
+    contrib = counts.select(*group_cols, "_p", "_q", "_r", (F.col("_p") * (2 * cq + F.col("_q"))).alias("_num"))
     out = contrib.groupBy(*group_cols).agg(
-        F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"), F.sum("_num").alias("_num"))
+        F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"), F.sum("_r").alias("n_rows"),
+        F.sum("_num").alias("_num"))
     auc = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
                  F.col("_num").cast("double") / (2.0 * F.col("n_pos").cast("double") * F.col("n_neg").cast("double")))
-    return out.select(*group_cols, "n_pos", "n_neg", auc.alias("auc"))
+    return out.select(*group_cols, "n_pos", "n_neg", "n_rows", auc.alias("auc"))
 
 
 # ---------------------------------------------------------------- counts

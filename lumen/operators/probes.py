@@ -100,10 +100,9 @@ def evaluate(scored: DataFrame, models: DataFrame, available_conditions, on: str
     one-class test set gives ``auc_undefined_single_class`` with a null AUC.
     ``num_test_samples`` counts every joined row (U-Zero nulls included).
     """
-    a = auc_by(scored, ["model_name"], "y", "prob")
-    counts = scored.groupBy("model_name").agg(F.count(F.lit(1)).alias("num_test_samples"))
+    a = auc_by(scored, ["model_name"], "y", "prob").withColumnRenamed("n_rows", "num_test_samples")
     present = F.col(on).isin(list(available_conditions))
-    res = (models.select("model_name", on).join(a, "model_name", "left").join(counts, "model_name", "left"))
+    res = models.select("model_name", on).join(a, "model_name", "left")
     status = (F.when(~present, F.lit(STATUS_SKIPPED))
               .when(F.col("auc").isNull(), F.lit(STATUS_ONE_CLASS)).otherwise(F.lit(STATUS_OK)))
     return res.select(

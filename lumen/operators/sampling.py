@@ -46,28 +46,34 @@ def _u01(key_cols, seed: int):
 ALL_CLASSES = -(1 << 62)
 
 
-def _stratifiable(df: DataFrame, group_cols, label: str) -> DataFrame:
-    """A7 per group: more than one class slot and every non-empty class has >= 2 rows."""
+def _class_table(df: DataFrame, group_cols, label: str) -> DataFrame:
+    """The one aggregation over the big table: rows per (group, label), plus the
+    sampling class of each label (A7: a group is stratified when it has more
+    than one class slot and every non-empty class has >= 2 rows; otherwise all
+    its labels share the pseudo-class ``ALL_CLASSES``)."""
     h = df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("_c"))
-    return h.groupBy(*group_cols).agg(((F.max(label) >= 1) & (F.min("_c") >= 2)).alias("_strat"))
+    g = Window.partitionBy(*group_cols)
+    strat = (F.max(label).over(g) >= 1) & (F.min("_c").over(g) >= 2)
+    return h.withColumn("_cls", F.when(strat, F.col(label).cast("long")).otherwise(F.lit(ALL_CLASSES)))
 
 
-def class_quotas(df: DataFrame, plan: DataFrame, group_cols, label: str) -> DataFrame:
+def class_quotas(df: DataFrame, plan: DataFrame, group_cols, label: str,
+                 classes: DataFrame | None = None) -> DataFrame:
     """Per (group, sample_size, class) quota by largest remainder (exact integers).
 
-    Non-stratifiable groups (one class slot, or a non-empty class with fewer than
-    two rows) are sampled as one pseudo-class (``ALL_CLASSES``), like the
-    reference's fallback to a plain random split. Ties between equal remainders
-    go to the larger class, then the smaller label.
+    Non-stratifiable groups are sampled as one pseudo-class (``ALL_CLASSES``),
+    like the reference's fallback to a plain random split. Ties between equal
+    remainders go to the larger class, then the smaller label. Everything here
+    runs on the small per-(group, label) count table.
     """
     group_cols = list(group_cols)
-    rows = _with_class(df, group_cols, label)
-    h = rows.groupBy(*group_cols, "_cls").agg(F.count(F.lit(1)).alias("_c"))
-    n = h.groupBy(*group_cols).agg(F.sum("_c").alias("_n"))
-    q = plan.select(*group_cols, "sample_size").join(h.join(n, group_cols), group_cols)
+    t = classes if classes is not None else _class_table(df, group_cols, label)
+    h = t.groupBy(*group_cols, "_cls").agg(F.sum("_c").alias("_c"))
+    q = plan.select(*group_cols, "sample_size").join(h, group_cols)
+    per = Window.partitionBy(*group_cols, "sample_size")
+    q = q.withColumn("_n", F.sum("_c").over(per))
     num = F.col("sample_size") * F.col("_c")
     q = q.withColumn("_fl", F.floor(num / F.col("_n")).cast("long")).withColumn("_rem", num % F.col("_n"))
-    per = Window.partitionBy(*group_cols, "sample_size")
     rank_w = per.orderBy(F.col("_rem").desc(), F.col("_c").desc(), F.col("_cls").asc())
     q = (q.withColumn("_deficit", F.col("sample_size") - F.sum("_fl").over(per))
           .withColumn("_rank", F.row_number().over(rank_w))
@@ -75,13 +81,6 @@ def class_quotas(df: DataFrame, plan: DataFrame, group_cols, label: str) -> Data
     return q.select(*group_cols, "sample_size", "_cls", "_c", "_n", "quota")
 
 
-def _with_class(df: DataFrame, group_cols, label: str) -> DataFrame:
-    flag = _stratifiable(df, group_cols, label)
-    return (join_small(df, flag, list(group_cols))
-            .withColumn("_cls", F.when(F.col("_strat"), F.col(label).cast("long"))
-                        .otherwise(F.lit(ALL_CLASSES))).drop("_strat"))
-
-
 def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key_cols,
                      seed: int = DEFAULT_SEED, sigmas: float = 6.0) -> DataFrame:
     """For every (group, sample_size) of ``plan`` draw exactly ``sample_size`` rows.
@@ -91,31 +90,29 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
     under a per-cell hash threshold (quota plus a ``sigmas`` margin) reach the
     ranking window, so a window holds about ``quota`` rows, never the table.
     A cell whose survivors fall short of its quota (probability ~1e-9) is
-    re-drawn with no threshold, so the result is always exact. A full-size
-    plan row keeps every row. The small per-cell table is broadcast after a
-    size check; the big side is never shuffled for the join.
+    re-drawn with no threshold inside the same plan, so the result is always
+    exact without a separate driver-side check. A cell that takes its whole
+    class skips the window. The big table is aggregated once (class counts)
+    and joined to a small per-(group, label, size) cell table -- broadcast
+    when AQE measures it small -- so it is never shuffled for the join.
     """
     group_cols, key_cols = list(group_cols), list(key_cols)
-    quotas = class_quotas(df, plan, group_cols, label)
+    classes = _class_table(df, group_cols, label).select(*group_cols, label, "_cls")
+    quotas = class_quotas(df, plan, group_cols, label, _class_table(df, group_cols, label))
     cells = quotas.select(*group_cols, "sample_size", "_cls", "quota", "_c").withColumn(
         "_t", F.least(F.lit(1.0), (F.col("quota") + F.lit(sigmas) * F.sqrt("quota") + 16) / F.col("_c")))
-    rows = _with_class(df, group_cols, label).withColumn("_u", _u01(key_cols, seed))
     cell = group_cols + ["sample_size", "_cls"]
+    rows = df.withColumn("_u", _u01(key_cols, seed))
 
-    def pick(thresholds: DataFrame) -> DataFrame:
-        j = join_small(rows, thresholds.select(*cell, "quota", "_c", "_t"), group_cols + ["_cls"])
-        return j.where(F.col("_u") <= F.col("_t"))
+    def pick(c: DataFrame) -> DataFrame:
+        by_label = classes.join(c.select(*cell, "quota", "_c", "_t"), group_cols + ["_cls"])
+        return join_small(rows, by_label, group_cols + [label]).where(F.col("_u") <= F.col("_t"))
 
+    got = pick(cells).groupBy(*cell).agg(F.count(F.lit(1)).alias("_got"))
+    cells = (cells.join(got, cell, "left")
+             .withColumn("_t", F.when(F.coalesce(F.col("_got"), F.lit(0)) < F.col("quota"), F.lit(1.0))
+                         .otherwise(F.col("_t"))).drop("_got"))
     survivors = pick(cells)
-    got = survivors.groupBy(*cell).agg(F.count(F.lit(1)).alias("_got"))
-    short = (cells.join(got, cell, "left")
-             .where(F.coalesce(F.col("_got"), F.lit(0)) < F.col("quota")).select(*cell))
-    if not short.isEmpty():
-        cells = (cells.join(short.withColumn("_short", F.lit(True)), cell, "left")
-                 .withColumn("_t", F.when(F.col("_short"), F.lit(1.0)).otherwise(F.col("_t")))
-                 .drop("_short"))
-        survivors = pick(cells)
-    # Cells that take their whole class need no ranking (and no window).
     whole = survivors.where(F.col("quota") >= F.col("_c")).drop("_u", "_t", "quota", "_c", "_cls")
     w = Window.partitionBy(*cell).orderBy("_u", *key_cols)
     part = (survivors.where(F.col("quota") < F.col("_c"))
