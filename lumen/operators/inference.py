@@ -87,7 +87,15 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
                      out_col: str = "generated") -> DataFrame:
     """M2: ``generate(prompts, contents[, model]) -> list[str]``; output stripped,
     per-batch seconds split evenly over its items in ``time_s``; failed items
-    get a null text and the error message."""
+    get a null text and the error message.
+
+    When ``prompt_col`` is an array (one prompt per condition of an item, as
+    in classification), every prompt of the batch goes to the model in one
+    call and the answers come back as an array in the same order -- the item
+    stays one row, so item-level rules need no shuffle afterwards.
+    """
+    if isinstance(df.schema[prompt_col].dataType, T.ArrayType):
+        return _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader, loader_name, out_col)
     out_schema = _with_cols(df.schema, [
         T.StructField(out_col, T.StringType()), T.StructField("time_s", T.DoubleType()),
         T.StructField("error", T.StringType())])
@@ -120,3 +128,34 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
                 yield out[cols]
 
     return df.mapInPandas(run, out_schema)
+
+
+def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader, loader_name, out_col):
+    out_schema = _with_cols(df.schema, [
+        T.StructField(out_col, T.ArrayType(T.StringType())), T.StructField("time_s", T.DoubleType())])
+    cols = [f.name for f in out_schema.fields]
+
+    def call(model, prompts, contents):
+        return generate(prompts, contents, model) if model is not None else generate(prompts, contents)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _load(loader, loader_name)
+        for pdf in batches:
+            for chunk in _chunks(pdf, batch_size):
+                chunk = chunk.reset_index(drop=True)
+                out = chunk.copy()
+                lists = [list(p) for p in chunk[prompt_col].tolist()]
+                keys = chunk[content_col].tolist() if content_col else [None] * len(chunk)
+                flat_p = [p for ps in lists for p in ps]
+                flat_k = [k for ps, k in zip(lists, keys) for _ in ps]
+                t0 = time.perf_counter()
+                answers = [str(a).strip() for a in call(model, flat_p, flat_k)] if flat_p else []
+                dt = (time.perf_counter() - t0) / max(1, len(flat_p))
+                res, pos = [], 0
+                for ps in lists:
+                    res.append(answers[pos:pos + len(ps)])
+                    pos += len(ps)
+                out[out_col], out["time_s"] = res, dt
+                yield out[cols]
+
+    return df.mapInPandas(run, out_schema)

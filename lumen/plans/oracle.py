@@ -378,3 +378,44 @@ SELECT d.doc_id AS run_id, d.source AS task, l.quality, l.toxic
 FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
 })
 ORACLE_SQL["auc_bucketed"] = ORACLE_SQL["auc_exact"]
+
+
+_CLS4 = ["atelectasis", "cardiomegaly", "consolidation", "edema"]
+
+ORACLE_SQL.update({
+    "report_scores": with_fixtures(["v_pairs"], f"""
+WITH g AS (SELECT sample_id,
+  {_S(r"regexp_replace(coalesce(findings_gen, ''), '\*\*(Findings|Impression|Report):\*\*\s*', '', 'g')")} AS fg,
+  {_S(r"regexp_replace(coalesce(impression_gen, ''), '\*\*(Findings|Impression|Report):\*\*\s*', '', 'g')")} AS ig,
+  {_S("coalesce(findings_gt, '')")} AS fr, {_S("coalesce(impression_gt, '')")} AS ir FROM v_pairs),
+t AS (SELECT sample_id, 'findings' AS section, 'hyp' AS side, fg AS text FROM g
+      UNION ALL SELECT sample_id, 'findings', 'ref', fr FROM g
+      UNION ALL SELECT sample_id, 'impression', 'hyp', ig FROM g
+      UNION ALL SELECT sample_id, 'impression', 'ref', ir FROM g
+      UNION ALL SELECT sample_id, 'full_report', 'hyp', {_S("fg || ' ' || ig")} FROM g
+      UNION ALL SELECT sample_id, 'full_report', 'ref', {_S("fr || ' ' || ir")} FROM g),
+tok AS (SELECT sample_id, section, side, unnest(string_split_regex(text, '\\s+')) AS token FROM t),
+e AS (SELECT DISTINCT sample_id, section, side = 'hyp' AS h,
+             token || '|' || CASE WHEN length(token) % 2 = 0 THEN 'EVEN' ELSE 'ODD' END AS key
+      FROM tok WHERE token <> ''),
+fl AS (SELECT section, sample_id, key, max(CAST(h AS INTEGER)) AS inh, max(CAST(NOT h AS INTEGER)) AS inr
+       FROM e GROUP BY ALL),
+sz AS (SELECT section, sample_id, sum(inh) AS nh, sum(inr) AS nr, sum(inh * inr) AS nb FROM fl GROUP BY ALL),
+s AS (SELECT DISTINCT section, sample_id FROM t),
+f AS (SELECT s.section, CASE WHEN coalesce(nh, 0) = 0 OR coalesce(nr, 0) = 0 THEN 0.0
+                             ELSE 2.0 * nb / (nh + nr) END AS f1
+      FROM s LEFT JOIN sz USING (section, sample_id)),
+lv AS (SELECT * FROM (VALUES ('simple', 'rg_e'), ('partial', 'rg_er'), ('complete', 'rg_er_bar')) AS l(level, metric))
+SELECT f.section, lv.level, lv.metric, count(*) AS n_samples, round(avg(f1), 6) AS mean_f1
+FROM f CROSS JOIN lv GROUP BY f.section, lv.level, lv.metric"""),
+    "cls_pipeline": with_fixtures(["v_cxr"], f"""
+WITH c AS (SELECT v.vec_id, k.condition_id, k.condition,
+                  {_uz("CASE k.condition_id " + " ".join(f"WHEN {i} THEN v.{c}" for i, c in enumerate(_CLS4)) + " END")} AS gt,
+                  replace('{_Q}', '{{condition}}', k.condition) AS prompt
+           FROM v_cxr v CROSS JOIN (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLS4))}) AS k(condition_id, condition)),
+vp AS (SELECT vec_id AS item_id, condition_id, gt,
+              CASE (length(prompt) + vec_id) % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS verdict FROM c),
+{_POLICY_ROWS}
+SELECT policy, condition_id, n_rows, tp, fp, fn, gt_pos, pred_pos, round({_f1()}, 6) AS f1
+FROM pc WHERE n_rows > 0"""),
+})

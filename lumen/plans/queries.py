@@ -400,3 +400,54 @@ def q_probe_train(spark, sf):
 
 
 QUERIES["probe_train"] = q_probe_train
+
+
+# ------------------------------------------------------------------ report scoring: T11-T13 -> X1 (injected extractor) -> A10
+
+REPORT_SECTIONS = ["findings", "impression", "full_report"]
+
+
+def q_report_scores(spark, sf):
+    """Generated vs reference reports: clean, split into sections (findings,
+    impression, rebuilt full report), extract entities with the injected
+    model in Arrow batches, then set-overlap F1 per section and level."""
+    from lumen.operators.setf1 import extract_entities
+    from lumen.plans.stubs import stub_extract
+    p = q_gen_text_clean(spark, sf)
+    texts = p.select("sample_id", F.inline(F.array(*[
+        F.struct(F.lit(sec).alias("section"), F.lit(side).alias("side"), F.col(col).alias("text"))
+        for sec, pair in [("findings", ("findings_gen", "findings_gt")),
+                          ("impression", ("impression_gen", "impression_gt")),
+                          ("full_report", ("full_gen", "full_gt"))]
+        for side, col in zip(("hyp", "ref"), pair)])))
+    ents = extract_entities(texts, stub_extract, ["sample_id", "section", "side"], "text")
+    samples = texts.select("section", "sample_id")
+    r = set_f1(ents, samples, "sample_id", by=["section"])
+    return r.select("section", "level", "metric", "n_samples", _r("mean_f1").alias("mean_f1"))
+
+
+# ------------------------------------------------------------------ classification end to end: S2 -> T4 -> M2 -> T14 -> F4/T15 -> A1-A4
+
+CLS_CONDITIONS = ["atelectasis", "cardiomegaly", "consolidation", "edema"]
+
+
+def q_cls_pipeline(spark, sf):
+    """One row per image with one prompt per condition; the generator answers all
+    prompts of a batch in one call; answers are parsed in place; truth is the
+    U-Zero label; both ambiguity policies are scored in one aggregation."""
+    from lumen.functions.verdict import with_verdict_array
+    from lumen.operators.inference import generate_batches
+    from lumen.plans.stubs import stub_classify
+    cx = X.v_cxr(spark, sf).select("vec_id", *CLS_CONDITIONS)
+    prompts = F.array(*[TX.prompt_for_condition(F.lit(c)) for c in CLS_CONDITIONS])
+    g = generate_batches(cx.withColumn("prompts", prompts), stub_classify, "prompts", "vec_id", batch_size=16)
+    answers = F.array(*[F.struct(F.lit(i).alias("condition_id"), u_zero(c).alias("gt"),
+                                 F.col("generated")[i].alias("raw")) for i, c in enumerate(CLS_CONDITIONS)])
+    items = with_verdict_array(g.select("vec_id", answers.alias("answers")), "answers")
+    per, _ = M.policy_f1(items)
+    return per.select("policy", "condition_id", "n_rows", "tp", "fp", "fn", "gt_pos", "pred_pos",
+                      _r("f1").alias("f1"))
+
+
+QUERIES["report_scores"] = q_report_scores
+QUERIES["cls_pipeline"] = q_cls_pipeline

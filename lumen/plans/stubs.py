@@ -26,3 +26,17 @@ def stub_generate(prompts, contents) -> list[str]:
     for p, key in zip(prompts, contents):
         out.append("Final Answer: Yes" if (len(p) + int(key)) % 2 == 0 else "Final Answer: No")
     return out
+
+
+def stub_extract(texts) -> list[list[dict]]:
+    """Whitespace tokens as entities, labelled by token-length parity, no relations."""
+    return [[{"token": w, "label": "EVEN" if len(w) % 2 == 0 else "ODD", "relation": None}
+             for w in (t or "").split()] for t in texts]
+
+
+# Fixed answers of the three-way classification stub, chosen by (len(prompt) + key) % 3.
+STUB_ANSWERS = ["Final Answer: Yes", "Final Answer: No", "Unclear."]
+
+
+def stub_classify(prompts, contents) -> list[str]:
+    return [STUB_ANSWERS[(len(p) + int(k)) % 3] for p, k in zip(prompts, contents)]
