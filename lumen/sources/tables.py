@@ -37,22 +37,28 @@ def read_label_csv(spark: SparkSession, path: str, schema: T.StructType | str |
                    null_tokens=tuple(CSV_NULL_TOKENS)) -> DataFrame:
     """CSV with quoted newlines and doubled quotes, pandas-like null tokens.
 
-    Pass an explicit ``schema`` on large inputs; without one all columns are
-    read as strings (no inference pass over the data).
+    Every field is read as text (no inference pass over the data), the null
+    tokens pandas recognises become null, and only then are columns cast to
+    the requested ``schema`` types -- so ``NA`` in a numeric column is a null,
+    not a parse failure, while a genuinely bad value still fails the cast.
     """
     reader = (spark.read.option("header", True).option("multiLine", True)
               .option("quote", '"').option("escape", '"').option("mode", "FAILFAST"))
+    target = None
     if schema is not None:
-        reader = reader.schema(schema)
+        target = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in target.fields]))
     df = reader.csv(path)
     tokens = [t for t in null_tokens if t != ""]
-    if tokens:
-        df = df.select(*[
-            (F.when(F.col(f"`{f.name}`").cast("string").isin(tokens), F.lit(None).cast(f.dataType))
-             .otherwise(F.col(f"`{f.name}`")).alias(f.name)) if isinstance(f.dataType, T.StringType)
-            else F.col(f"`{f.name}`")
-            for f in df.schema.fields])
-    return df
+    cols = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if tokens:
+            c = F.when(c.isin(tokens), F.lit(None).cast("string")).otherwise(c)
+        if target is not None and not isinstance(target[f.name].dataType, T.StringType):
+            c = c.cast(target[f.name].dataType)
+        cols.append(c.alias(f.name))
+    return df.select(*cols)
 
 
 def normalise_label_columns(df: DataFrame, rename: dict[str, str] | None = None) -> DataFrame:
