@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.operators.broadcast import join_small
+from lumen.session import cut_lineage
 
 
 def _i(c: Column) -> Column:
@@ -65,7 +66,10 @@ def policy_counts(items: DataFrame, answers: str = "answers", condition: str = "
     ``ambiguous_to_negative`` maps -1 to 0 (T15). Both policies come out of one
     aggregation pass; the result has one row per (policy, condition).
     """
-    x = items.select(F.exists(answers, lambda a: a[pred] == -1).alias("_amb"), F.inline(answers))
+    # inline_outer: a plain inline makes the optimizer infer size(answers) > 0
+    # and push it below the projection, evaluating the whole answer array twice.
+    x = (items.select(F.exists(answers, lambda a: a[pred] == -1).alias("_amb"), F.inline_outer(answers))
+         .where(F.col(condition).isNotNull()))
     g, p = F.col(gt), F.col(pred)
     p_neg = F.when(p == -1, F.lit(0)).otherwise(p)
     agg = x.groupBy(condition).agg(*confusion_aggs(g, p, ~F.col("_amb"), "d_"),
@@ -110,7 +114,7 @@ def _score_counts(df: DataFrame, group_cols, label: str, score: str) -> DataFram
 
 
 def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
-           buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+           buckets: int = 64, accuracy: int = 10000, materialize: bool = True) -> DataFrame:
     """Exact tie-corrected ROC-AUC per group (Mann-Whitney form).
 
     ``AUC = sum_s p_s * (cq_s + q_s / 2) / (P * N)`` where, per distinct score
@@ -131,6 +135,12 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
     """
     group_cols = list(group_cols)
     counts = _score_counts(df, group_cols, label, score)
+    if materialize:
+        # Three consumers read the pre-aggregated table (cut points, bucket
+        # totals, running sums). Writing it once to the shared checkpoint folder
+        # beats re-scanning and re-aggregating the raw scores three times, and
+        # survives executor loss.
+        counts = cut_lineage(counts)
     if buckets > 1:
         probs = [i / buckets for i in range(1, buckets)]
         cuts = counts.groupBy(*group_cols).agg(

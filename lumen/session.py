@@ -19,6 +19,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Skip per-Column call-site capture on the driver (halves plan-building time).
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+    # Remove checkpoint files once the checkpointed data is no longer referenced.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
