@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumen.operators.broadcast import join_small
+from lumen.session import cut_lineage
 
 # Fixed defaults of the reference's probe training.
 DEFAULT_SAMPLE_SIZES = [64, 512, 4096]
@@ -97,10 +98,14 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
     when AQE measures it small -- so it is never shuffled for the join.
     """
     group_cols, key_cols = list(group_cols), list(key_cols)
-    classes = _class_table(df, group_cols, label).select(*group_cols, label, "_cls")
-    quotas = class_quotas(df, plan, group_cols, label, _class_table(df, group_cols, label))
-    cells = quotas.select(*group_cols, "sample_size", "_cls", "quota", "_c").withColumn(
-        "_t", F.least(F.lit(1.0), (F.col("quota") + F.lit(sigmas) * F.sqrt("quota") + 16) / F.col("_c")))
+    # The class-count table (groups x labels rows) feeds the quotas and both
+    # draws; written once to the checkpoint folder, it is not re-aggregated
+    # from the big table by every consumer.
+    table = cut_lineage(_class_table(df, group_cols, label))
+    classes = table.select(*group_cols, label, "_cls")
+    quotas = class_quotas(df, plan, group_cols, label, table)
+    cells = cut_lineage(quotas.select(*group_cols, "sample_size", "_cls", "quota", "_c").withColumn(
+        "_t", F.least(F.lit(1.0), (F.col("quota") + F.lit(sigmas) * F.sqrt("quota") + 16) / F.col("_c"))))
     cell = group_cols + ["sample_size", "_cls"]
     rows = df.withColumn("_u", _u01(key_cols, seed))
 
