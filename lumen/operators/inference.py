@@ -159,3 +159,67 @@ def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader
                 yield out[cols]
 
     return df.mapInPandas(run, out_schema)
+
+
+def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed: Callable,
+                 path_col: str = "resolved_path", batch_size: int = 64, normalize: bool = True) -> DataFrame:
+    """Embedding pipeline (S7 -> J2 -> M1 -> T16): image bytes joined to items by path,
+    decoded and embedded in Arrow batches, every item accounted for.
+
+    ``listing`` is a ``binaryFile`` listing with ``content`` (see
+    ``sources.tables.list_images``). Items whose file is absent become
+    ``file_not_found``; ``decode(bytes) -> image`` failures become
+    ``image_open_error``; ``embed(list[image]) -> list[vector]`` failures are
+    retried item by item and become ``embedding_error``. Vectors are
+    L2-normalised in the JVM afterwards. Output keeps the item columns plus
+    ``embedding``, ``status``, ``reason``, ``error``.
+    """
+    from pyspark.sql import functions as F
+
+    from lumen.functions.vectors import l2_normalize
+
+    lst = listing.select(F.col("path").alias("_lp"), F.col("content").alias("_content"))
+    j = items.join(lst, items[path_col] == lst["_lp"], "left").drop("_lp")
+    base = [f for f in items.schema.fields]
+    out_schema = T.StructType(base + [
+        T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()),
+        T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
+    cols = [f.name for f in out_schema.fields]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for chunk in _chunks(pdf, batch_size):
+                chunk = chunk.reset_index(drop=True)
+                n = len(chunk)
+                emb, st, rs, er = [None] * n, ["failed"] * n, [None] * n, [None] * n
+                images, idx = [], []
+                for i, content in enumerate(chunk["_content"].tolist()):
+                    if content is None:
+                        rs[i] = "file_not_found"
+                        continue
+                    try:
+                        images.append(decode(bytes(content)))
+                        idx.append(i)
+                    except Exception as exc:
+                        rs[i], er[i] = "image_open_error", repr(exc)
+                if images:
+                    try:
+                        vecs = list(embed(images))
+                        for i, v in zip(idx, vecs):
+                            emb[i], st[i] = list(map(float, v)), "ok"
+                    except Exception as batch_exc:
+                        for i, img in zip(idx, images):
+                            try:
+                                emb[i], st[i] = list(map(float, list(embed([img]))[0])), "ok"
+                            except Exception as item_exc:
+                                rs[i] = "embedding_error"
+                                er[i] = f"batch_error={batch_exc!r}; item_error={item_exc!r}"
+                out = chunk.drop(columns=["_content"])
+                out["embedding"], out["status"], out["reason"], out["error"] = emb, st, rs, er
+                yield out[cols]
+
+    res = j.mapInPandas(run, out_schema)
+    if normalize:
+        res = res.withColumn("embedding", F.when(F.col("embedding").isNotNull(),
+                                                 F.transform(l2_normalize("embedding"), lambda x: x.cast("float"))))
+    return res

@@ -92,3 +92,40 @@ def test_incremental_stream_scores_each_file_once(spark, scratch):
     score_files(spark, src, v.schema, transform, sink, "t1", checkpoint=ck).awaitTermination(120)
     out = spark.read.parquet(sink)
     assert out.count() == v.count() == out.select("item_id", "condition_id").distinct().count()
+
+
+def test_embedding_pipeline_records_every_item(spark, scratch):
+    from lumen.functions.paths import resolve_path
+    from lumen.operators.filters import patient_range
+    from lumen.operators.inference import embed_images
+    from lumen.sources.tables import list_images
+    root = os.path.join(scratch, "imgs")
+    os.makedirs(os.path.join(root, "patient1"))
+    os.makedirs(os.path.join(root, "patient2"))
+    with open(os.path.join(root, "patient1", "a.jpg"), "wb") as f:
+        f.write(b"GOOD:3,4")
+    with open(os.path.join(root, "patient2", "b.jpg"), "wb") as f:
+        f.write(b"corrupt")
+    with open(os.path.join(root, "patient2", "c.jpg"), "wb") as f:
+        f.write(b"GOOD:0,0")
+    labels = spark.createDataFrame([("patient1/a.jpg",), ("patient2/b.jpg",), ("patient2/c.jpg",),
+                                    ("patient2/missing.jpg",), ("patient9/out_of_range.jpg",), (None,)], "path string")
+    items = patient_range(labels, 1, 5).withColumn("resolved_path", resolve_path("path", root))
+
+    def decode(b):
+        if not b.startswith(b"GOOD:"):
+            raise ValueError("not an image")
+        return [float(x) for x in b[5:].decode().split(",")]
+
+    def embed(images):
+        if any(sum(i) == 0 for i in images):
+            raise RuntimeError("zero image")
+        return images
+
+    out = {r["path"]: r for r in embed_images(items, list_images(spark, root, with_content=True), decode, embed,
+                                              batch_size=8).collect()}
+    assert set(out) == {"patient1/a.jpg", "patient2/b.jpg", "patient2/c.jpg", "patient2/missing.jpg"}
+    assert out["patient1/a.jpg"]["status"] == "ok" and out["patient1/a.jpg"]["embedding"] == pytest.approx([0.6, 0.8])
+    assert out["patient2/b.jpg"]["reason"] == "image_open_error"
+    assert out["patient2/c.jpg"]["reason"] == "embedding_error"
+    assert out["patient2/missing.jpg"]["reason"] == "file_not_found"
