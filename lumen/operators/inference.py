@@ -38,53 +38,88 @@ def _with_cols(schema: T.StructType, extra: list[T.StructField]) -> T.StructType
     return T.StructType([f for f in schema.fields] + [f for f in extra if f.name not in have])
 
 
+def _isolate(call, chunk: pd.DataFrame, batch_exc: Exception):
+    """Find the failing items of a failed batch by bisection; every item ends up
+    either embedded or failed on its own call (same outcome as item-by-item
+    retries, with O(bad * log batch) calls instead of O(batch))."""
+    n = len(chunk)
+    if n == 1:
+        try:
+            return [list(map(float, list(call(chunk))[0]))], [None]
+        except Exception as item_exc:
+            return [None], [f"batch_error={batch_exc!r}; item_error={item_exc!r}"]
+    mid = n // 2
+    vecs, errs = [], []
+    for part in (chunk.iloc[:mid], chunk.iloc[mid:]):
+        try:
+            got = list(call(part))
+            if len(got) != len(part):
+                raise ValueError(f"embedder returned {len(got)} vectors for {len(part)} items")
+            vecs += [list(map(float, v)) for v in got]
+            errs += [None] * len(part)
+        except Exception:
+            v, e = _isolate(call, part, batch_exc)
+            vecs += v
+            errs += e
+    return vecs, errs
+
+
+def spread(df: DataFrame, partitions: int | None) -> DataFrame:
+    """Round-robin the (narrow) item rows over ``partitions`` tasks before a model
+    stage: per-item model cost dwarfs the shuffle of ids and paths, and file
+    splits rarely match the number of model workers."""
+    return df.repartition(partitions) if partitions else df
+
+
 def embed_batches(df: DataFrame, embed: Callable, batch_size: int = 64,
                   loader: Callable[[], object] | None = None, loader_name: str = "embedder",
-                  reason: str = "embedding_error") -> DataFrame:
+                  reason: str = "embedding_error", partitions: int | None = None) -> DataFrame:
     """M1: ``embed(batch_pdf[, model]) -> list[vector]`` per batch of rows.
 
     Output = input columns + ``embedding array<float>``, ``status`` ('ok' /
-    'failed'), ``reason`` and ``error`` (batch message and item message).
+    'failed'), ``reason`` and ``error`` (batch message and item message). A
+    failing batch is split until the failing items are isolated.
     """
     out_schema = _with_cols(df.schema, [
         T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()),
         T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
     cols = [f.name for f in out_schema.fields]
 
-    def call(model, chunk):
-        return embed(chunk, model) if model is not None else embed(chunk)
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _load(loader, loader_name)
+
+        def call(chunk):
+            return embed(chunk, model) if model is not None else embed(chunk)
+
         for pdf in batches:
+            pdf = pdf.reset_index(drop=True)
+            emb, err = [], []
             for chunk in _chunks(pdf, batch_size):
-                chunk = chunk.reset_index(drop=True)
-                out = chunk.copy()
                 try:
-                    vecs = list(call(model, chunk))
+                    vecs = list(call(chunk))
                     if len(vecs) != len(chunk):
                         raise ValueError(f"embedder returned {len(vecs)} vectors for {len(chunk)} items")
-                    out["embedding"] = [list(map(float, v)) for v in vecs]
-                    out["status"], out["reason"], out["error"] = "ok", None, None
-                except Exception as batch_exc:  # retry each item alone
-                    emb, st, rs, er = [], [], [], []
-                    for i in range(len(chunk)):
-                        try:
-                            v = list(call(model, chunk.iloc[i:i + 1].reset_index(drop=True)))[0]
-                            emb.append(list(map(float, v))), st.append("ok"), rs.append(None), er.append(None)
-                        except Exception as item_exc:
-                            emb.append(None), st.append("failed"), rs.append(reason)
-                            er.append(f"batch_error={batch_exc!r}; item_error={item_exc!r}")
-                    out["embedding"], out["status"], out["reason"], out["error"] = emb, st, rs, er
-                yield out[cols]
-
-    return df.mapInPandas(run, out_schema)
+                    emb += [list(map(float, v)) for v in vecs]
+                    err += [None] * len(chunk)
+                except Exception as batch_exc:
+                    v, e = _isolate(call, chunk, batch_exc)
+                    emb += v
+                    err += e
+            out = pdf
+            out["embedding"] = emb
+            out["error"] = err
+            ok = out["error"].isna()
+            out["status"] = ok.map({True: "ok", False: "failed"})
+            out["reason"] = ok.map({True: None, False: reason})
+            yield out[cols]
+
+    return spread(df, partitions).mapInPandas(run, out_schema)
 
 
 def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "prompt",
                      content_col: str | None = None, batch_size: int = 8,
                      loader: Callable[[], object] | None = None, loader_name: str = "generator",
-                     out_col: str = "generated") -> DataFrame:
+                     out_col: str = "generated", partitions: int | None = None) -> DataFrame:
     """M2: ``generate(prompts, contents[, model]) -> list[str]``; output stripped,
     per-batch seconds split evenly over its items in ``time_s``; failed items
     get a null text and the error message.
@@ -94,6 +129,7 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
     call and the answers come back as an array in the same order -- the item
     stays one row, so item-level rules need no shuffle afterwards.
     """
+    df = spread(df, partitions)
     if isinstance(df.schema[prompt_col].dataType, T.ArrayType):
         return _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader, loader_name, out_col)
     out_schema = _with_cols(df.schema, [
@@ -107,25 +143,26 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _load(loader, loader_name)
         for pdf in batches:
-            for chunk in _chunks(pdf, batch_size):
-                chunk = chunk.reset_index(drop=True)
-                out = chunk.copy()
-                prompts = chunk[prompt_col].tolist()
-                contents = chunk[content_col].tolist() if content_col else [None] * len(chunk)
+            pdf = pdf.reset_index(drop=True)
+            all_p = pdf[prompt_col].tolist()
+            all_c = pdf[content_col].tolist() if content_col else [None] * len(pdf)
+            texts, errs, secs = [], [], []
+            for i in range(0, len(pdf), max(1, batch_size)):
+                prompts, contents = all_p[i:i + batch_size], all_c[i:i + batch_size]
                 t0 = time.perf_counter()
                 try:
-                    texts = [str(t).strip() for t in call(model, prompts, contents)]
-                    errs = [None] * len(chunk)
+                    got = [str(t).strip() for t in call(model, prompts, contents)]
+                    texts += got
+                    errs += [None] * len(prompts)
                 except Exception:
-                    texts, errs = [], []
                     for p, c in zip(prompts, contents):
                         try:
                             texts.append(str(call(model, [p], [c])[0]).strip()), errs.append(None)
                         except Exception as exc:
                             texts.append(None), errs.append(repr(exc))
-                dt = (time.perf_counter() - t0) / max(1, len(chunk))
-                out[out_col], out["time_s"], out["error"] = texts, dt, errs
-                yield out[cols]
+                secs += [(time.perf_counter() - t0) / max(1, len(prompts))] * len(prompts)
+            pdf[out_col], pdf["time_s"], pdf["error"] = texts, secs, errs
+            yield pdf[cols]
 
     return df.mapInPandas(run, out_schema)
 

@@ -325,7 +325,7 @@ def q_embed_retry(spark, sf):
     from lumen.operators.inference import embed_batches
     from lumen.plans.stubs import stub_embed
     d = read_table(spark, sf, "documents").select("doc_id")
-    e = embed_batches(d, stub_embed, batch_size=16)
+    e = embed_batches(d, stub_embed, batch_size=16, partitions=spark.sparkContext.defaultParallelism)
     return e.select("doc_id", "status", "reason",
                     F.transform(l2_normalize("embedding"), lambda x: x.cast("float")).alias("embedding"))
 
@@ -334,7 +334,8 @@ def q_generate_stub(spark, sf):
     from lumen.operators.inference import generate_batches
     from lumen.plans.stubs import stub_generate
     s = FL.prepare_studies(X.v_studies(spark, sf)).select("study_id", "prompt")
-    g = generate_batches(s, stub_generate, "prompt", "study_id", batch_size=8)
+    g = generate_batches(s, stub_generate, "prompt", "study_id", batch_size=8,
+                         partitions=spark.sparkContext.defaultParallelism)
     g = with_verdict(g, "generated")
     return g.select("study_id", "prompt", "generated", F.col("v.verdict").alias("verdict"))
 
