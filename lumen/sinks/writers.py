@@ -22,15 +22,25 @@ RUN_SCHEMA = T.StructType([
 
 
 def write_results(results: DataFrame, base: str, task: str, run_date: str,
-                  fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """K1/K9: results under ``{base}/{task}/run_date=MM-dd`` (one path rule for every run)."""
+                  fmt: str = "parquet", mode: str = "overwrite", status_col: str | None = None):
+    """Results under ``{base}/{task}/run_date=MM-dd`` (one path rule
+    for every run). Row counts (and ok/failed counts when ``status_col`` is
+    given) are observed during the write itself -- no second pass over the
+    results. Returns ``(path, counts)``."""
+    from pyspark.sql import Observation
+
     path = run_path(base, run_date, task)
-    writer = results.write.mode(mode)
+    obs = Observation(f"write_{task}")
+    metrics = [F.count(F.lit(1)).alias("rows")]
+    if status_col:
+        metrics += [F.count(F.when(F.col(status_col) == "ok", 1)).alias("ok"),
+                    F.count(F.when(F.col(status_col) != "ok", 1)).alias("failed")]
+    writer = results.observe(obs, *metrics).write.mode(mode)
     if fmt == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     else:
         writer.format(fmt).save(path)
-    return path
+    return path, dict(obs.get)
 
 
 def run_row(spark: SparkSession, task: str, params: dict, started: float,

@@ -68,8 +68,9 @@ def test_models_runs_and_metadata(spark, scratch):
     assert r["task"] == "probe_eval" and "start_time" not in r["params"]
     with pytest.raises(FileNotFoundError):
         read_run(spark, runs_path, "nope")
-    out = write_results(models.select("model_name"), os.path.join(scratch, "res"), "probe_eval", "12-02")
+    out, counts = write_results(models.select("model_name"), os.path.join(scratch, "res"), "probe_eval", "12-02")
     assert out.endswith("probe_eval/run_date=12-02") and spark.read.parquet(out).count() == 2
+    assert counts == {"rows": 2}
     new = spark.createDataFrame([("r1", "probe_eval", '{"auc": 0.9}')], "run_id string, task string, evaluation string")
     merged = upsert(spark.read.parquet(runs_path).drop("params", "started_at", "runtime_s"), new, "run_id")
     assert merged.first()["evaluation"] == '{"auc": 0.9}'
@@ -84,3 +85,27 @@ def test_wide_embeddings(spark, scratch):
     bad = spark.createDataFrame([(1, [1.0], "ok"), (2, [1.0, 2.0], "ok")], "id int, embedding array<float>, status string")
     with pytest.raises(ValueError):
         write_embeddings(bad, os.path.join(scratch, "bad"), wide=True)
+
+
+def test_strict_labels_metadata_and_date_prefix(spark):
+    from lumen.functions.labels import strict_label
+    from lumen.functions.paths import date_prefix
+    from lumen.operators.joins import attach_metadata
+    ok = spark.createDataFrame([(1.0,), (-1.0,), (0.0,)], "v double").select(strict_label("v").alias("y"))
+    assert [r["y"] for r in ok.collect()] == [1, -1, 0]  # -1 kept, unlike U-Zero
+    with pytest.raises(Exception):
+        spark.createDataFrame([(1.0,), (None,)], "v double").select(strict_label("v")).collect()
+    models = spark.createDataFrame([("edema_64",), ("atelectasis_512",)], "model_name string")
+    meta = spark.createDataFrame([("edema_64", "edema", 64, 0.1)],
+                                 "model_name string, condition string, sample_size int, best_hyperparameter_C double")
+    got = {r["model_name"]: r["best_hyperparameter_C"] for r in attach_metadata(models, meta).collect()}
+    assert got == {"edema_64": 0.1, "atelectasis_512": None}
+    d = spark.createDataFrame([("2026-12-02 10:00:00",)], "t string").select(
+        date_prefix(F.to_timestamp("t")).alias("p")).first()["p"]
+    assert d == "12-02"
+
+
+def test_written_counts_with_status(spark, scratch):
+    df = spark.createDataFrame([(1, "ok"), (2, "failed"), (3, "ok")], "id int, status string")
+    _, counts = write_results(df, scratch, "embed", "12-02", status_col="status")
+    assert counts == {"rows": 3, "ok": 2, "failed": 1}
