@@ -199,64 +199,71 @@ def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader
 
 
 def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed: Callable,
-                 path_col: str = "resolved_path", batch_size: int = 64, normalize: bool = True) -> DataFrame:
-    """Embedding pipeline (S7 -> J2 -> M1 -> T16): image bytes joined to items by path,
-    decoded and embedded in Arrow batches, every item accounted for.
-
-    ``listing`` is a ``binaryFile`` listing with ``content`` (see
-    ``sources.tables.list_images``). Items whose file is absent become
-    ``file_not_found``; ``decode(bytes) -> image`` failures become
-    ``image_open_error``; ``embed(list[image]) -> list[vector]`` failures are
-    retried item by item and become ``embedding_error``. Vectors are
-    L2-normalised in the JVM afterwards. Output keeps the item columns plus
+                 path_col: str = "resolved_path", batch_size: int = 64, normalize: bool = True,
+                 listing_filter=None, partitions: int | None = None) -> DataFrame:
+    """Embedding pipeline (S7 -> M1 -> T16 -> J2): every item accounted for.
+
+    The model runs on the *listing* side, straight out of the ``binaryFile``
+    scan (``sources.tables.list_images(..., with_content=True)``), so image
+    bytes never cross a shuffle; only the compact vectors are joined back to
+    the items by path. ``listing_filter`` (a row-local Column predicate on
+    the listing, e.g. the same patient-range rule as the items) keeps files
+    that no item needs out of the model stage.
+
+    Items without a file become ``file_not_found``; ``decode(bytes) -> image``
+    failures ``image_open_error``; ``embed(list[image]) -> list[vector]``
+    failures are isolated by bisection and become ``embedding_error``.
+    Vectors are L2-normalised in the JVM. Output: the item columns plus
     ``embedding``, ``status``, ``reason``, ``error``.
     """
     from pyspark.sql import functions as F
 
     from lumen.functions.vectors import l2_normalize
 
-    lst = listing.select(F.col("path").alias("_lp"), F.col("content").alias("_content"))
-    j = items.join(lst, items[path_col] == lst["_lp"], "left").drop("_lp")
-    base = [f for f in items.schema.fields]
-    out_schema = T.StructType(base + [
-        T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()),
-        T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
-    cols = [f.name for f in out_schema.fields]
+    files = listing.select("path", "content")
+    if listing_filter is not None:
+        files = files.where(listing_filter)
+    vec_schema = T.StructType([
+        T.StructField("_lp", T.StringType()), T.StructField("embedding", T.ArrayType(T.FloatType())),
+        T.StructField("status", T.StringType()), T.StructField("reason", T.StringType()),
+        T.StructField("error", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for chunk in _chunks(pdf, batch_size):
-                chunk = chunk.reset_index(drop=True)
-                n = len(chunk)
-                emb, st, rs, er = [None] * n, ["failed"] * n, [None] * n, [None] * n
+            paths, contents = pdf["path"].tolist(), pdf["content"].tolist()
+            n = len(paths)
+            emb, st, rs, er = [None] * n, ["failed"] * n, [None] * n, [None] * n
+            for lo in range(0, n, max(1, batch_size)):
                 images, idx = [], []
-                for i, content in enumerate(chunk["_content"].tolist()):
-                    if content is None:
-                        rs[i] = "file_not_found"
-                        continue
+                for i in range(lo, min(n, lo + batch_size)):
                     try:
-                        images.append(decode(bytes(content)))
+                        images.append(decode(bytes(contents[i])))
                         idx.append(i)
                     except Exception as exc:
                         rs[i], er[i] = "image_open_error", repr(exc)
-                if images:
-                    try:
-                        vecs = list(embed(images))
-                        for i, v in zip(idx, vecs):
-                            emb[i], st[i] = list(map(float, v)), "ok"
-                    except Exception as batch_exc:
-                        for i, img in zip(idx, images):
-                            try:
-                                emb[i], st[i] = list(map(float, list(embed([img]))[0])), "ok"
-                            except Exception as item_exc:
-                                rs[i] = "embedding_error"
-                                er[i] = f"batch_error={batch_exc!r}; item_error={item_exc!r}"
-                out = chunk.drop(columns=["_content"])
-                out["embedding"], out["status"], out["reason"], out["error"] = emb, st, rs, er
-                yield out[cols]
+                if not images:
+                    continue
+                try:
+                    vecs = list(embed(images))
+                    if len(vecs) != len(images):
+                        raise ValueError(f"embedder returned {len(vecs)} vectors for {len(images)} images")
+                    for i, v in zip(idx, vecs):
+                        emb[i], st[i] = list(map(float, v)), "ok"
+                except Exception as batch_exc:
+                    for i, img in zip(idx, images):
+                        try:
+                            emb[i], st[i] = list(map(float, list(embed([img]))[0])), "ok"
+                        except Exception as item_exc:
+                            rs[i] = "embedding_error"
+                            er[i] = f"batch_error={batch_exc!r}; item_error={item_exc!r}"
+            yield pd.DataFrame({"_lp": paths, "embedding": emb, "status": st, "reason": rs, "error": er})
 
-    res = j.mapInPandas(run, out_schema)
+    vectors = spread(files, partitions).mapInPandas(run, vec_schema)
     if normalize:
-        res = res.withColumn("embedding", F.when(F.col("embedding").isNotNull(),
-                                                 F.transform(l2_normalize("embedding"), lambda x: x.cast("float"))))
-    return res
+        vectors = vectors.withColumn("embedding", F.when(F.col("embedding").isNotNull(),
+                                                         F.transform(l2_normalize("embedding"), lambda x: x.cast("float"))))
+    j = items.join(vectors, items[path_col] == vectors["_lp"], "left")
+    missing = F.col("_lp").isNull()
+    return (j.withColumn("status", F.when(missing, F.lit("failed")).otherwise(F.col("status")))
+             .withColumn("reason", F.when(missing, F.lit("file_not_found")).otherwise(F.col("reason")))
+             .drop("_lp"))

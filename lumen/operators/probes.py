@@ -174,7 +174,8 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
     sample = stratified_exact(train, plan, ["condition"], "y", keys, seed=seed).persist()
     scalers = fit_scaler(sample, vec, ["condition", "sample_size"])
     classes = sample.groupBy("condition", "sample_size").agg(
-        F.countDistinct("y").alias("_k"), F.count(F.lit(1)).alias("_n"))
+        F.countDistinct("y").alias("_k"), F.count(F.lit(1)).alias("_n"),
+        F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"), F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"))
     cells = [r.asDict() for r in scalers.join(classes, ["condition", "sample_size"])
              .where("_k >= 2").orderBy("condition", "sample_size").collect()]
     def fit_cell(cell):
@@ -214,15 +215,9 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
     scored = score(val.select(*keys, vec, "condition", "y"), grid, vec)
     aucs = auc_by(scored, ["model_name"], "y", "prob").select("model_name", F.col("auc").alias("val_auc"))
     ranked = best_c(grid.join(aucs, "model_name"), ("condition", "sample_size"))
-    counts = sample_counts(train, plan, keys, seed)
+    counts = spark.createDataFrame([(c["condition"], int(c["sample_size"]), int(c["n_pos"]), int(c["n_neg"]))
+                                    for c in cells], "condition string, sample_size long, n_pos long, n_neg long")
     return (ranked.join(counts, ["condition", "sample_size"], "left")
             .select(model_name("condition", "sample_size").alias("model_name"), "condition", "sample_size",
                     F.col("c").alias("best_c"), "val_auc", "coef", "intercept", "mean", "scale",
                     "n_pos", "n_neg", F.size("coef").alias("num_dims")))
-
-
-def sample_counts(train: DataFrame, plan: DataFrame, keys, seed: int = 42) -> DataFrame:
-    from lumen.operators.sampling import stratified_exact
-    s = stratified_exact(train, plan, ["condition"], "y", list(keys), seed=seed)
-    return s.groupBy("condition", "sample_size").agg(
-        F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"), F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"))

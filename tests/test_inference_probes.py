@@ -122,8 +122,11 @@ def test_embedding_pipeline_records_every_item(spark, scratch):
             raise RuntimeError("zero image")
         return images
 
-    out = {r["path"]: r for r in embed_images(items, list_images(spark, root, with_content=True), decode, embed,
-                                              batch_size=8).collect()}
+    res = embed_images(items, list_images(spark, root, with_content=True), decode, embed, batch_size=8,
+                       listing_filter=F.col("path").contains("/patient"))
+    final = res._jdf.queryExecution().optimizedPlan().toString()
+    assert "content" not in final.split("MapInPandas")[0]  # bytes stop at the model stage
+    out = {r["path"]: r for r in res.collect()}
     assert set(out) == {"patient1/a.jpg", "patient2/b.jpg", "patient2/c.jpg", "patient2/missing.jpg"}
     assert out["patient1/a.jpg"]["status"] == "ok" and out["patient1/a.jpg"]["embedding"] == pytest.approx([0.6, 0.8])
     assert out["patient2/b.jpg"]["reason"] == "image_open_error"

@@ -64,7 +64,10 @@ def test_models_runs_and_metadata(spark, scratch):
     runs_path = os.path.join(scratch, "runs")
     run_row(spark, "probe_eval", {"c_values": [0.1], "start_time": 1}, time.time(), run_id="r1") \
         .write.mode("overwrite").parquet(runs_path)
-    r = read_run(spark, runs_path, "r1").first()
+    runs = read_run(spark, runs_path, "r1")
+    scan = [ln for ln in runs._jdf.queryExecution().executedPlan().toString().splitlines() if "FileScan" in ln]
+    assert scan and "EqualTo(run_id,r1)" in scan[0]  # the id lookup is pushed into the parquet scan
+    r = runs.first()
     assert r["task"] == "probe_eval" and "start_time" not in r["params"]
     with pytest.raises(FileNotFoundError):
         read_run(spark, runs_path, "nope")
