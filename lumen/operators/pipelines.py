@@ -1,0 +1,53 @@
+"""Result tables in the reference's shapes, composed from the operators.
+
+* ``report_results``: S1 -> T3 prompt -> M2 -> one row per study with the
+  reference's report-result fields.
+* ``classification_wide``: per-item answer arrays -> the wide per-image
+  table (``gt_<c>``, ``pred_<c>``, ``raw_<c>``, ``time_<c>_s``), by plain
+  array indexing (no pivot shuffle: the item is already one row).
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumen.operators.filters import prepare_studies
+from lumen.operators.inference import generate_batches
+
+
+def report_results(studies: DataFrame, generate: Callable, max_samples: int = -1, batch_size: int = 8,
+                   partitions: int | None = None, key_col: str = "study_id") -> DataFrame:
+    """Report generation over a studies table (one generated report per study).
+
+    Only studies with report text reach the model (the filter sits before the
+    Python stage). The generator receives the prompts and the study keys
+    (the image bytes, when used, ride in a column the callable reads).
+    """
+    s = prepare_studies(studies, max_samples=max_samples)
+    for c in ("dicom_id", "subject_id"):
+        if c not in s.columns:
+            s = s.withColumn(c, F.lit(""))
+    g = generate_batches(s, generate, "prompt", key_col, batch_size=batch_size, partitions=partitions,
+                         out_col="full_gen")
+    return g.select(key_col, "dicom_id", "subject_id", F.col("prompt").alias("prompt_used"),
+                    F.col("findings").alias("findings_gt"), F.col("impression").alias("impression_gt"),
+                    "full_gt", "full_gen", F.round("time_s", 3).alias("time_full_s"), "error")
+
+
+def classification_wide(items: DataFrame, conditions, key_cols=("item_id",), answers: str = "answers",
+                        time_col: str | None = None) -> DataFrame:
+    """Per-item answers (``array<struct<gt, pred, raw?>>`` in condition order) as
+    the reference's wide result row."""
+    elem = {f.name for f in items.schema[answers].dataType.elementType.fields}
+    cols = [F.col(c) for c in key_cols]
+    for i, c in enumerate(conditions):
+        a = F.col(answers)[i]
+        cols += [a["gt"].alias(f"gt_{c}"), a["pred"].alias(f"pred_{c}")]
+        if "raw" in elem:
+            cols.append(a["raw"].alias(f"raw_{c}"))
+        if time_col:
+            cols.append(F.round(F.col(time_col), 2).alias(f"time_{c}_s"))
+    return items.select(*cols)

@@ -331,13 +331,14 @@ def q_embed_retry(spark, sf):
 
 
 def q_generate_stub(spark, sf):
-    from lumen.operators.inference import generate_batches
+    """Report generation result table (S1 -> M2), answers parsed downstream."""
+    from lumen.operators.pipelines import report_results
     from lumen.plans.stubs import stub_generate
-    s = FL.prepare_studies(X.v_studies(spark, sf)).select("study_id", "prompt")
-    g = generate_batches(s, stub_generate, "prompt", "study_id", batch_size=8,
-                         partitions=spark.sparkContext.defaultParallelism)
-    g = with_verdict(g, "generated")
-    return g.select("study_id", "prompt", "generated", F.col("v.verdict").alias("verdict"))
+    r = report_results(X.v_studies(spark, sf), stub_generate, batch_size=8,
+                       partitions=spark.sparkContext.defaultParallelism)
+    g = with_verdict(r, "full_gen")
+    return g.select("study_id", F.col("prompt_used").alias("prompt"), F.col("full_gen").alias("generated"),
+                    F.col("v.verdict").alias("verdict"))
 
 
 # ------------------------------------------------------------------ K7

@@ -132,3 +132,17 @@ def test_embedding_pipeline_records_every_item(spark, scratch):
     assert out["patient2/b.jpg"]["reason"] == "image_open_error"
     assert out["patient2/c.jpg"]["reason"] == "embedding_error"
     assert out["patient2/missing.jpg"]["reason"] == "file_not_found"
+
+
+def test_result_tables_in_reference_shape(spark):
+    from lumen.operators.pipelines import classification_wide, report_results
+    from lumen.plans.fixtures import v_studies
+    r = report_results(v_studies(spark, "/root/testdata/sf0.001"), stub_generate, max_samples=5)
+    assert r.columns == ["study_id", "dicom_id", "subject_id", "prompt_used", "findings_gt", "impression_gt",
+                         "full_gt", "full_gen", "time_full_s", "error"]
+    assert r.count() == 5 and r.where("full_gen LIKE 'Final Answer:%'").count() == 5
+    items = spark.createDataFrame([(7, [(1, 1, "yes"), (0, -1, "hmm")])],
+                                  "item_id int, answers array<struct<gt:int, pred:int, raw:string>>")
+    w = classification_wide(items, ["edema", "atelectasis"]).first().asDict()
+    assert w == {"item_id": 7, "gt_edema": 1, "pred_edema": 1, "raw_edema": "yes",
+                 "gt_atelectasis": 0, "pred_atelectasis": -1, "raw_atelectasis": "hmm"}
