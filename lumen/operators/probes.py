@@ -19,6 +19,7 @@ from lumen.functions.vectors import dot, sigmoid, standardize
 from lumen.operators.broadcast import join_small
 from lumen.operators.metrics import auc_by
 from lumen.operators.scaler import fit_scaler
+from lumen.session import cut_lineage
 
 # Fixed defaults of the reference's probe training.
 DEFAULT_CONDITIONS = ["Atelectasis", "Cardiomegaly", "Consolidation", "Edema", "Pleural Effusion"]
@@ -149,18 +150,89 @@ def logistic_estimator(max_iter: int = 100, tol: float = 1e-6):
                               fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
 
 
+def newton_logistic(X, y, s, C: float, max_iter: int = 100, tol: float = 1e-9):
+    """Minimise ``1/2 |w|^2 + C * sum_i s_i * logloss_i`` (free intercept) for one
+    small problem by damped Newton steps; returns ``(w, b)``."""
+    import numpy as np
+
+    n, d = X.shape
+    A = np.hstack([X, np.ones((n, 1))])
+    R = np.eye(d + 1)
+    R[d, d] = 0.0
+    th = np.zeros(d + 1)
+
+    def f(t):
+        z = A @ t
+        return 0.5 * t[:d] @ t[:d] + C * np.sum(s * (np.logaddexp(0.0, z) - y * z))
+
+    for _ in range(max_iter):
+        p = 0.5 * (1.0 + np.tanh(0.5 * (A @ th)))  # overflow-free sigmoid
+        g = R @ th + C * (A.T @ (s * (p - y)))
+        if np.linalg.norm(g) <= tol * max(1.0, C * s.sum()):
+            break
+        H = R + C * (A * (s * p * (1.0 - p))[:, None]).T @ A
+        step = np.linalg.solve(H, g)
+        t, f0, slope = 1.0, f(th), g @ step
+        while f(th - t * step) > f0 - 1e-4 * t * slope and t > 1e-12:
+            t *= 0.5
+        th = th - t * step
+    return th[:d], float(th[d])
+
+
+GRID_SCHEMA = T.StructType([
+    T.StructField("condition", T.StringType()), T.StructField("sample_size", T.LongType()),
+    T.StructField("c_ordinal", T.IntegerType()), T.StructField("c", T.DoubleType()),
+    T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()),
+    T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("scale", T.ArrayType(T.DoubleType()))])
+
+
+def _fit_cells_in_tasks(sample: DataFrame, vec: str, c_values) -> DataFrame:
+    """Every (condition, sample_size) cell fitted inside one task per cell, all
+    cells in one job: scaler (population std, 0 -> 1), balanced weights and the
+    whole C grid on the cell's rows. Callers route only cells whose row count
+    is bounded (``max_local_rows``) here."""
+    import numpy as np
+    import pandas as pd
+
+    cs = [float(c) for c in c_values]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = np.array(pdf[vec].tolist(), dtype=float)
+        y = pdf["y"].to_numpy(dtype=float)
+        mu = X.mean(axis=0)
+        sd = X.std(axis=0)
+        sc = np.where(sd == 0.0, 1.0, sd)
+        Z = (X - mu) / sc
+        n, n1 = len(y), float((y == 1).sum())
+        s = np.where(y == 1, n / (2.0 * n1), n / (2.0 * (n - n1)))
+        rows = []
+        for j, c in enumerate(cs):
+            w, b = newton_logistic(Z, y, s, c)
+            rows.append((pdf["condition"].iloc[0], int(pdf["sample_size"].iloc[0]), j, c,
+                         w.tolist(), b, mu.tolist(), sc.tolist()))
+        return pd.DataFrame(rows, columns=[f.name for f in GRID_SCHEMA.fields])
+
+    return sample.select("condition", "sample_size", vec, "y").groupBy("condition", "sample_size") \
+                 .applyInPandas(fit, GRID_SCHEMA)
+
+
 def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: DataFrame,
                  vec: str = "embedding", key_cols=("vec_id",), c_values=DEFAULT_C_VALUES,
                  seed: int = 42, max_iter: int = 100, tol: float = 1e-6, parallelism: int = 8,
-                 rows_per_partition: int = 200_000) -> DataFrame:
+                 rows_per_partition: int = 200_000, max_local_rows: int = 100_000) -> DataFrame:
     """M3 grid: per (condition, sample_size) of ``plan`` an L2 logistic regression
     with balanced class weights for every C; the best C by validation AUC wins.
 
     * samples for all cells: one ``stratified_exact`` pass (N1);
     * scalers for all cells: one grouped aggregation (A8);
-    * fits: MLlib ``LogisticRegression`` (distributed L-BFGS), objective mapped
-      from ``C`` as ``regParam = 1 / (C * n)``, no internal standardisation;
-      ``fitMultiple`` over the C grid reuses the cached cell data;
+    * fits of cells with at most ``max_local_rows`` rows (the requested sample
+      sizes are such bounds): one ``applyInPandas`` job, one task per cell,
+      damped Newton on the objective for every C -- the grid costs one job,
+      not one job per solver iteration;
+    * larger cells: MLlib ``LogisticRegression`` (distributed L-BFGS), objective
+      mapped from ``C`` as ``regParam = 1 / (C * n)``, no internal
+      standardisation; ``fitMultiple`` over the C grid reuses the cached cell
+      data and cells are fitted concurrently;
     * validation AUC for every (cell, C): **one** job (equi-join on condition
       + exact AUC), then A9 picks the winner.
     Cells whose sample has one class are skipped (the reference's solver would
@@ -200,17 +272,26 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
             data.unpersist()
         return out
 
-    # Cells are independent: fit them concurrently, as MLlib's tuning tools do.
-    from concurrent.futures import ThreadPoolExecutor
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        fitted = [row for rows in pool.map(fit_cell, cells) for row in rows]
+    small = [c for c in cells if c["_n"] <= max_local_rows]
+    large = [c for c in cells if c["_n"] > max_local_rows]
+    parts = []
+    if small:
+        keep = spark.createDataFrame([(c["condition"], int(c["sample_size"])) for c in small],
+                                     "condition string, sample_size long")
+        local = _fit_cells_in_tasks(sample.join(F.broadcast(keep), ["condition", "sample_size"], "left_semi"),
+                                    vec, c_values)
+        parts.append(cut_lineage(local))  # one job for all small cells; read three times below
+    if large:
+        # Independent large cells are fitted concurrently, as MLlib's tuning tools do.
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            fitted = [row for rows in pool.map(fit_cell, large) for row in rows]
+        parts.append(spark.createDataFrame(fitted, GRID_SCHEMA))
     sample.unpersist()
-    grid_schema = T.StructType([
-        T.StructField("condition", T.StringType()), T.StructField("sample_size", T.LongType()),
-        T.StructField("c_ordinal", T.IntegerType()), T.StructField("c", T.DoubleType()),
-        T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()),
-        T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("scale", T.ArrayType(T.DoubleType()))])
-    grid = spark.createDataFrame(fitted, grid_schema).withColumn(
+    grid = parts[0]
+    for p in parts[1:]:
+        grid = grid.unionByName(p)
+    grid = grid.withColumn(
         "model_name", F.concat_ws("|", "condition", F.col("sample_size").cast("string"), F.col("c_ordinal").cast("string")))
     scored = score(val.select(*keys, vec, "condition", "y"), grid, vec)
     aucs = auc_by(scored, ["model_name"], "y", "prob").select("model_name", F.col("auc").alias("val_auc"))

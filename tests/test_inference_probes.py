@@ -146,3 +146,16 @@ def test_result_tables_in_reference_shape(spark):
     w = classification_wide(items, ["edema", "atelectasis"]).first().asDict()
     assert w == {"item_id": 7, "gt_edema": 1, "pred_edema": 1, "raw_edema": "yes",
                  "gt_atelectasis": 0, "pred_atelectasis": -1, "raw_atelectasis": "hmm"}
+
+
+def test_in_task_and_distributed_fits_agree(spark):
+    from lumen.operators.probes import train_probes
+    from lumen.plans import queries as Q
+    train, _ = Q._plan(spark, "/root/testdata/sf0.001")
+    train = train.where("condition = 'edema'")
+    plan = spark.createDataFrame([("edema", 64)], "condition string, sample_size long")
+    cs = [0.01, 1.0]
+    a = train_probes(spark, train, train, plan, c_values=cs).first()
+    b = train_probes(spark, train, train, plan, c_values=cs, max_local_rows=0, max_iter=500, tol=1e-10).first()
+    assert a["best_c"] == b["best_c"] and a["val_auc"] == pytest.approx(b["val_auc"], abs=1e-6)
+    assert np.allclose(a["coef"], b["coef"], atol=1e-4) and a["intercept"] == pytest.approx(b["intercept"], abs=1e-4)
