@@ -201,7 +201,7 @@ def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader
 def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed: Callable,
                  path_col: str = "resolved_path", batch_size: int = 64, normalize: bool = True,
                  listing_filter=None, partitions: int | None = None) -> DataFrame:
-    """Embedding pipeline (S7 -> M1 -> T16 -> J2): every item accounted for.
+    """Image embedding (S7 -> M1 -> T16 -> J2): every item accounted for.
 
     The model runs on the *listing* side, straight out of the ``binaryFile``
     scan (``sources.tables.list_images(..., with_content=True)``), so image

@@ -408,7 +408,7 @@ f AS (SELECT s.section, CASE WHEN coalesce(nh, 0) = 0 OR coalesce(nr, 0) = 0 THE
 lv AS (SELECT * FROM (VALUES ('simple', 'rg_e'), ('partial', 'rg_er'), ('complete', 'rg_er_bar')) AS l(level, metric))
 SELECT f.section, lv.level, lv.metric, count(*) AS n_samples, round(avg(f1), 6) AS mean_f1
 FROM f CROSS JOIN lv GROUP BY f.section, lv.level, lv.metric"""),
-    "cls_pipeline": with_fixtures(["v_cxr"], f"""
+    "cls_end_to_end": with_fixtures(["v_cxr"], f"""
 WITH c AS (SELECT v.vec_id, k.condition_id, k.condition,
                   {_uz("CASE k.condition_id " + " ".join(f"WHEN {i} THEN v.{c}" for i, c in enumerate(_CLS4)) + " END")} AS gt,
                   replace('{_Q}', '{{condition}}', k.condition) AS prompt

@@ -332,7 +332,7 @@ def q_embed_retry(spark, sf):
 
 def q_generate_stub(spark, sf):
     """Report generation result table (S1 -> M2), answers parsed downstream."""
-    from lumen.operators.pipelines import report_results
+    from lumen.operators.results import report_results
     from lumen.plans.stubs import stub_generate
     r = report_results(X.v_studies(spark, sf), stub_generate, batch_size=8,
                        partitions=spark.sparkContext.defaultParallelism)
@@ -433,7 +433,7 @@ def q_report_scores(spark, sf):
 CLS_CONDITIONS = ["atelectasis", "cardiomegaly", "consolidation", "edema"]
 
 
-def q_cls_pipeline(spark, sf):
+def q_cls_end_to_end(spark, sf):
     """One row per image with one prompt per condition; the generator answers all
     prompts of a batch in one call; answers are parsed in place; truth is the
     U-Zero label; both ambiguity policies are scored in one aggregation."""
@@ -452,4 +452,4 @@ def q_cls_pipeline(spark, sf):
 
 
 QUERIES["report_scores"] = q_report_scores
-QUERIES["cls_pipeline"] = q_cls_pipeline
+QUERIES["cls_end_to_end"] = q_cls_end_to_end

@@ -94,7 +94,7 @@ def test_incremental_stream_scores_each_file_once(spark, scratch):
     assert out.count() == v.count() == out.select("item_id", "condition_id").distinct().count()
 
 
-def test_embedding_pipeline_records_every_item(spark, scratch):
+def test_image_embedding_records_every_item(spark, scratch):
     from lumen.functions.paths import resolve_path
     from lumen.operators.filters import patient_range
     from lumen.operators.inference import embed_images
@@ -135,7 +135,7 @@ def test_embedding_pipeline_records_every_item(spark, scratch):
 
 
 def test_result_tables_in_reference_shape(spark):
-    from lumen.operators.pipelines import classification_wide, report_results
+    from lumen.operators.results import classification_wide, report_results
     from lumen.plans.fixtures import v_studies
     r = report_results(v_studies(spark, "/root/testdata/sf0.001"), stub_generate, max_samples=5)
     assert r.columns == ["study_id", "dicom_id", "subject_id", "prompt_used", "findings_gt", "impression_gt",
