@@ -57,6 +57,15 @@ def test_best_key_join_counts_and_ties(spark):
         best_key_join(l2, r2.withColumn("path", F.lit("nope")).withColumn("path_short", F.lit("nope")))
 
 
+def test_label_side_option(spark):
+    left = spark.createDataFrame([(1, "k", 0.0)], "id int, path_short string, edema double")
+    right = spark.createDataFrame([("k", 1.0)], "path_short string, edema double")
+    j_left, _ = best_key_join(left, right)
+    j_right, _ = best_key_join(left, right, label_side="right")
+    assert j_left.first()["edema"] == 0.0 and j_left.first()["edema_label"] == 1.0
+    assert j_right.first()["edema"] == 1.0
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", None)], "run_id int, task string, ev string")
     new = spark.createDataFrame([(2, "b", "x")], "run_id int, task string, ev string")
