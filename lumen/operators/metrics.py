@@ -113,8 +113,17 @@ def _score_counts(df: DataFrame, group_cols, label: str, score: str) -> DataFram
             .agg(_sum_if(y == 1).alias("_p"), _sum_if(y == 0).alias("_q"), F.count(F.lit(1)).alias("_r")))
 
 
+def _bucket_by_cuts(counts: DataFrame, keys, n: int, accuracy: int, out: str) -> DataFrame:
+    """Bucket index of ``_s`` among ``n`` approximate quantiles per ``keys`` (ties stay together)."""
+    probs = [i / n for i in range(1, n)]
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx("_s", probs, accuracy).alias("_cuts"))
+    return (join_small(counts, cuts, list(keys))
+            .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts"))
+
+
 def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
-           buckets: int = 64, accuracy: int = 10000, materialize: bool = True) -> DataFrame:
+           buckets: int | None = None, accuracy: int = 10000, materialize: bool = True,
+           rows_per_bucket: int = 2_000_000, max_fanout: int = 64) -> DataFrame:
     """Exact tie-corrected ROC-AUC per group (Mann-Whitney form).
 
     ``AUC = sum_s p_s * (cq_s + q_s / 2) / (P * N)`` where, per distinct score
@@ -123,30 +132,42 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
 
     1. pre-aggregate to one row per (group, distinct score) -- a hot score or a
        hot group collapses in the map-side combine;
-    2. approximate quantile cut points per group over the *distinct* scores;
-       a score maps to one bucket, so ties never straddle buckets;
-    3. per (group, bucket) negative totals -> running offsets over at most
-       ``buckets`` rows per group;
+    2. split each group's distinct scores into buckets at approximate quantile
+       cut points; a score maps to one bucket, so ties never straddle buckets.
+       ``buckets=None`` sizes the split from the largest group so a bucket holds
+       about ``rows_per_bucket`` distinct scores; above ``max_fanout`` buckets a
+       second level of cut points splits every coarse bucket, keeping the
+       lookup at ``2 * max_fanout`` comparisons per row;
+    3. per (group, bucket) negative totals -> running offsets over the (few)
+       buckets of a group;
     4. running sum of negatives inside each (group, bucket) plus its offset.
 
     The numerator is an exact integer, so the value does not depend on
     partitioning. One-class groups give null. ``n_rows`` counts every scored
     row of the group (labels other than 0/1 included).
     """
+    import math
+
     group_cols = list(group_cols)
     counts = _score_counts(df, group_cols, label, score)
     if materialize:
-        # Three consumers read the pre-aggregated table (cut points, bucket
-        # totals, running sums). Writing it once to the shared checkpoint folder
-        # beats re-scanning and re-aggregating the raw scores three times, and
-        # survives executor loss.
+        # Several consumers read the pre-aggregated table (sizing, cut points,
+        # bucket totals, running sums). Writing it once to the shared checkpoint
+        # folder beats re-scanning and re-aggregating the raw scores each time,
+        # and survives executor loss.
         counts = cut_lineage(counts)
+    if buckets is None:
+        largest = counts.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
+        buckets = max(1, math.ceil(largest / rows_per_bucket))
     if buckets > 1:
-        probs = [i / buckets for i in range(1, buckets)]
-        cuts = counts.groupBy(*group_cols).agg(
-            F.percentile_approx("_s", probs, accuracy).alias("_cuts"))
-        counts = join_small(counts, cuts, group_cols)
-        counts = counts.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts")
+        b1 = min(buckets, max_fanout)
+        counts = _bucket_by_cuts(counts, group_cols, b1, accuracy, "_b1")
+        if buckets > max_fanout:
+            b2 = math.ceil(buckets / max_fanout)
+            counts = _bucket_by_cuts(counts, group_cols + ["_b1"], b2, accuracy, "_b2")
+            counts = counts.withColumn("_b", F.col("_b1") * b2 + F.col("_b2")).drop("_b1", "_b2")
+        else:
+            counts = counts.withColumnRenamed("_b1", "_b")
     else:
         counts = counts.withColumn("_b", F.lit(0))
     per_bucket = counts.groupBy(*group_cols, "_b").agg(F.sum("_q").alias("_qb"))

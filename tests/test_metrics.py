@@ -28,11 +28,12 @@ def _scores(seed, groups=4, n=300, levels=25):
     return rows
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 64])
-def test_auc_equals_brute_force(spark, buckets):
+@pytest.mark.parametrize("kw", [dict(buckets=1), dict(buckets=3), dict(buckets=64), dict(),
+                                dict(rows_per_bucket=2, max_fanout=3)])
+def test_auc_equals_brute_force(spark, kw):
     rows = _scores(7)
     df = spark.createDataFrame(rows, "g int, i int, y int, s int")
-    got = {r["g"]: r["auc"] for r in M.auc_by(df, ["g"], "y", "s", buckets=buckets).collect()}
+    got = {r["g"]: r["auc"] for r in M.auc_by(df, ["g"], "y", "s", **kw).collect()}
     for g in set(r[0] for r in rows):
         ys = [r[2] for r in rows if r[0] == g]
         ss = [r[3] for r in rows if r[0] == g]
