@@ -83,7 +83,7 @@ def class_quotas(df: DataFrame, plan: DataFrame, group_cols, label: str,
 
 
 def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key_cols,
-                     seed: int = DEFAULT_SEED, sigmas: float = 6.0) -> DataFrame:
+                     seed: int = DEFAULT_SEED, sigmas: float = 6.0, rows_per_bin: int = 2_000_000) -> DataFrame:
     """For every (group, sample_size) of ``plan`` draw exactly ``sample_size`` rows.
 
     Deterministic in (key, seed) and independent of partitioning. Rows are
@@ -93,7 +93,9 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
     A cell whose survivors fall short of its quota (probability ~1e-9) is
     re-drawn with no threshold inside the same plan, so the result is always
     exact without a separate driver-side check. A cell that takes its whole
-    class skips the window. The big table is aggregated once (class counts)
+    class skips the window. A cell whose quota exceeds ``rows_per_bin`` is
+    ranked in equal-width bins of its (uniform) hash with per-bin offsets, so
+    no window holds more than about ``rows_per_bin`` rows. The big table is aggregated once (class counts)
     and joined to a small per-(group, label, size) cell table -- broadcast
     when AQE measures it small -- so it is never shuffled for the join.
     """
@@ -119,8 +121,22 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
                          .otherwise(F.col("_t"))).drop("_got"))
     survivors = pick(cells)
     whole = survivors.where(F.col("quota") >= F.col("_c")).drop("_u", "_t", "quota", "_c", "_cls")
-    w = Window.partitionBy(*cell).orderBy("_u", *key_cols)
-    part = (survivors.where(F.col("quota") < F.col("_c"))
-            .withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("quota"))
-            .drop("_rn", "_u", "_t", "quota", "_c", "_cls"))
+    nbins = F.greatest(F.lit(1), F.ceil((F.col("quota") + F.lit(sigmas) * F.sqrt("quota") + 16) / rows_per_bin))
+    ranked = survivors.where(F.col("quota") < F.col("_c"))
+    if cells.agg(F.max(nbins)).first()[0] in (None, 1):
+        w = Window.partitionBy(*cell).orderBy("_u", *key_cols)
+        part = ranked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("quota"))
+    else:
+        # u is uniform below the cell's threshold _t, so equal-width bins of u/_t
+        # are balanced; ranks are per-bin row numbers plus the rows of lower bins.
+        ranked = ranked.withColumn("_bin", F.least(F.floor(F.col("_u") / F.col("_t") * nbins),
+                                                   nbins - 1).cast("long"))
+        per_bin = ranked.groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_nbin"))
+        lower = Window.partitionBy(*cell).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = per_bin.select(*cell, "_bin", F.coalesce(F.sum("_nbin").over(lower), F.lit(0)).alias("_off"))
+        w = Window.partitionBy(*cell, "_bin").orderBy("_u", *key_cols)
+        part = (join_small(ranked, offsets, cell + ["_bin"])
+                .withColumn("_rn", F.col("_off") + F.row_number().over(w))
+                .where(F.col("_rn") <= F.col("quota")).drop("_bin", "_off"))
+    part = part.drop("_rn", "_u", "_t", "quota", "_c", "_cls")
     return part.unionByName(whole)
