@@ -19,22 +19,36 @@ from lumen.operators.inference import generate_batches
 
 
 def report_results(studies: DataFrame, generate: Callable, max_samples: int = -1, batch_size: int = 8,
-                   partitions: int | None = None, key_col: str = "study_id") -> DataFrame:
+                   partitions: int | None = None, key_col: str = "study_id", listing: DataFrame | None = None,
+                   image_col: str = "local_image_path") -> DataFrame:
     """Report generation over a studies table (one generated report per study).
 
     Only studies with report text reach the model (the filter sits before the
     Python stage). The generator receives the prompts and the study keys
-    (the image bytes, when used, ride in a column the callable reads).
+    (the image bytes, when used, ride in a column the callable reads). With a
+    file ``listing``, studies whose image is absent skip the model and come
+    back as ``file_not_found`` rows instead of vanishing (``status``/``reason``).
     """
+    from lumen.operators.filters import split_existing
+
     s = prepare_studies(studies, max_samples=max_samples)
     for c in ("dicom_id", "subject_id"):
         if c not in s.columns:
             s = s.withColumn(c, F.lit(""))
-    g = generate_batches(s, generate, "prompt", key_col, batch_size=batch_size, partitions=partitions,
+    if listing is not None:
+        s = split_existing(s, listing.select(F.col("path").alias(image_col)), image_col, None)
+    else:
+        s = s.withColumn("status", F.lit("ok")).withColumn("reason", F.lit(None).cast("string"))
+    todo = s.where(F.col("status") == "ok")
+    g = generate_batches(todo, generate, "prompt", key_col, batch_size=batch_size, partitions=partitions,
                          out_col="full_gen")
-    return g.select(key_col, "dicom_id", "subject_id", F.col("prompt").alias("prompt_used"),
-                    F.col("findings").alias("findings_gt"), F.col("impression").alias("impression_gt"),
-                    "full_gt", "full_gen", F.round("time_s", 3).alias("time_full_s"), "error")
+    g = g.withColumn("status", F.when(F.col("full_gen").isNull(), F.lit("failed")).otherwise(F.col("status")))
+    missing = (s.where(F.col("status") != "ok").withColumn("full_gen", F.lit(None).cast("string"))
+               .withColumn("time_s", F.lit(None).cast("double")).withColumn("error", F.lit(None).cast("string")))
+    out = g.unionByName(missing)
+    return out.select(key_col, "dicom_id", "subject_id", F.col("prompt").alias("prompt_used"),
+                      F.col("findings").alias("findings_gt"), F.col("impression").alias("impression_gt"),
+                      "full_gt", "full_gen", F.round("time_s", 3).alias("time_full_s"), "status", "reason", "error")
 
 
 def classification_wide(items: DataFrame, conditions, key_cols=("item_id",), answers: str = "answers",

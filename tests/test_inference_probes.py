@@ -139,8 +139,13 @@ def test_result_tables_in_reference_shape(spark):
     from lumen.plans.fixtures import v_studies
     r = report_results(v_studies(spark, "/root/testdata/sf0.001"), stub_generate, max_samples=5)
     assert r.columns == ["study_id", "dicom_id", "subject_id", "prompt_used", "findings_gt", "impression_gt",
-                         "full_gt", "full_gen", "time_full_s", "error"]
+                         "full_gt", "full_gen", "time_full_s", "status", "reason", "error"]
     assert r.count() == 5 and r.where("full_gen LIKE 'Final Answer:%'").count() == 5
+    listing = spark.createDataFrame([("/img/1.jpg",), ("/img/2.jpg",)], "path string")
+    r2 = {x["study_id"]: (x["status"], x["reason"], x["full_gen"] is None)
+          for x in report_results(v_studies(spark, "/root/testdata/sf0.001"), stub_generate, listing=listing).collect()}
+    assert r2[1] == ("ok", None, False) and r2[2] == ("ok", None, False)
+    assert all(v == ("failed", "file_not_found", True) for k, v in r2.items() if k not in (1, 2))
     items = spark.createDataFrame([(7, [(1, 1, "yes"), (0, -1, "hmm")])],
                                   "item_id int, answers array<struct<gt:int, pred:int, raw:string>>")
     w = classification_wide(items, ["edema", "atelectasis"]).first().asDict()
