@@ -113,11 +113,12 @@ def _score_counts(df: DataFrame, group_cols, label: str, score: str) -> DataFram
             .agg(_sum_if(y == 1).alias("_p"), _sum_if(y == 0).alias("_q"), F.count(F.lit(1)).alias("_r")))
 
 
-def _bucket_by_cuts(counts: DataFrame, keys, n: int, accuracy: int, out: str) -> DataFrame:
-    """Bucket index of ``_s`` among ``n`` approximate quantiles per ``keys`` (ties stay together)."""
+def _bucket_by_cuts(counts: DataFrame, keys, n: int, accuracy: int, out: str, bound: int) -> DataFrame:
+    """Bucket index of ``_s`` among ``n`` approximate quantiles per ``keys`` (ties stay together).
+    ``bound`` is the number of distinct ``keys`` (rows of the cut-point table)."""
     probs = [i / n for i in range(1, n)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("_s", probs, accuracy).alias("_cuts"))
-    return (join_small(counts, cuts, list(keys))
+    return (join_small(counts, cuts, list(keys), bound=bound)
             .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts"))
 
 
@@ -156,15 +157,18 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
         # folder beats re-scanning and re-aggregating the raw scores each time,
         # and survives executor loss.
         counts = cut_lineage(counts)
+    # Sizing pass (on the materialised table): the largest group sizes the
+    # buckets, the group count bounds every small table joined below.
+    sizes = counts.groupBy(*group_cols).count().agg(F.max("count").alias("m"), F.count(F.lit(1)).alias("g")).first()
+    largest, n_groups = int(sizes["m"] or 0), int(sizes["g"] or 0)
     if buckets is None:
-        largest = counts.groupBy(*group_cols).count().agg(F.max("count")).first()[0] or 0
         buckets = max(1, math.ceil(largest / rows_per_bucket))
     if buckets > 1:
         b1 = min(buckets, max_fanout)
-        counts = _bucket_by_cuts(counts, group_cols, b1, accuracy, "_b1")
+        counts = _bucket_by_cuts(counts, group_cols, b1, accuracy, "_b1", n_groups)
         if buckets > max_fanout:
             b2 = math.ceil(buckets / max_fanout)
-            counts = _bucket_by_cuts(counts, group_cols + ["_b1"], b2, accuracy, "_b2")
+            counts = _bucket_by_cuts(counts, group_cols + ["_b1"], b2, accuracy, "_b2", n_groups * b1)
             counts = counts.withColumn("_b", F.col("_b1") * b2 + F.col("_b2")).drop("_b1", "_b2")
         else:
             counts = counts.withColumnRenamed("_b1", "_b")
@@ -174,7 +178,7 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
     below = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(*group_cols, "_b",
                                 F.coalesce(F.sum("_qb").over(below), F.lit(0)).alias("_qoff"))
-    counts = join_small(counts, offsets, group_cols + ["_b"])
+    counts = join_small(counts, offsets, group_cols + ["_b"], bound=n_groups * max(1, buckets))
     inside = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     cq = F.col("_qoff") + F.coalesce(F.sum("_q").over(inside), F.lit(0))
     contrib = counts.select(*group_cols, "_p", "_q", "_r", (F.col("_p") * (2 * cq + F.col("_q"))).alias("_num"))

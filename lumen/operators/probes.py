@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from lumen.functions.labels import u_zero
 from lumen.functions.paths import model_name
 from lumen.functions.vectors import dot, sigmoid, standardize
-from lumen.operators.broadcast import join_small
+from lumen.operators.broadcast import join_small, materialize_small
 from lumen.operators.metrics import auc_by
 from lumen.operators.scaler import fit_scaler
 from lumen.session import cut_lineage
@@ -61,8 +61,8 @@ def fold_scaler(models: DataFrame) -> DataFrame:
 def score(rows: DataFrame, models: DataFrame, vec: str = "embedding", on: str = "condition",
           check_dims: bool = True) -> DataFrame:
     """Positive-class probability of every row under every model of its condition."""
-    m = fold_scaler(models).select(on, "model_name", "_w", "_b")
-    j = join_small(rows, m, on)
+    m, n_models = materialize_small(fold_scaler(models).select(on, "model_name", "_w", "_b"))
+    j = join_small(rows, m, on, bound=n_models)
     if check_dims:
         j = j.withColumn("_ok", F.assert_true(F.size(vec) == F.size("_w"),
                                               F.lit("vector length differs from the model's"))).drop("_ok")
@@ -129,7 +129,8 @@ def balanced_weights(df: DataFrame, by, label: str = "y") -> DataFrame:
     cnt = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
     tot = cnt.groupBy(*by).agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
     wt = cnt.join(tot, by).select(*by, label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    return join_small(df, wt, by + [label])
+    wt, n = materialize_small(wt)
+    return join_small(df, wt, by + [label], bound=n)
 
 
 def reg_param(c: float, weight_sum: float) -> float:

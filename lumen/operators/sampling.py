@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.operators.broadcast import join_small
+from lumen.operators.broadcast import join_small, materialize_small
 from lumen.session import cut_lineage
 
 # Fixed defaults of the reference's probe training.
@@ -112,8 +112,8 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
     rows = df.withColumn("_u", _u01(key_cols, seed))
 
     def pick(c: DataFrame) -> DataFrame:
-        by_label = classes.join(c.select(*cell, "quota", "_c", "_t"), group_cols + ["_cls"])
-        return join_small(rows, by_label, group_cols + [label]).where(F.col("_u") <= F.col("_t"))
+        by_label, n = materialize_small(classes.join(c.select(*cell, "quota", "_c", "_t"), group_cols + ["_cls"]))
+        return join_small(rows, by_label, group_cols + [label], bound=n).where(F.col("_u") <= F.col("_t"))
 
     got = pick(cells).groupBy(*cell).agg(F.count(F.lit(1)).alias("_got"))
     cells = (cells.join(got, cell, "left")
@@ -132,10 +132,11 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
         ranked = ranked.withColumn("_bin", F.least(F.floor(F.col("_u") / F.col("_t") * nbins),
                                                    nbins - 1).cast("long"))
         per_bin = ranked.groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_nbin"))
+        n_bins_total = int(cells.agg(F.sum(nbins)).first()[0])
         lower = Window.partitionBy(*cell).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
         offsets = per_bin.select(*cell, "_bin", F.coalesce(F.sum("_nbin").over(lower), F.lit(0)).alias("_off"))
         w = Window.partitionBy(*cell, "_bin").orderBy("_u", *key_cols)
-        part = (join_small(ranked, offsets, cell + ["_bin"])
+        part = (join_small(ranked, offsets, cell + ["_bin"], bound=n_bins_total)
                 .withColumn("_rn", F.col("_off") + F.row_number().over(w))
                 .where(F.col("_rn") <= F.col("quota")).drop("_bin", "_off"))
     part = part.drop("_rn", "_u", "_t", "quota", "_c", "_cls")

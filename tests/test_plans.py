@@ -34,3 +34,10 @@ def test_model_scoring_broadcasts_models(spark):
     final = _final_plan(QUERIES["probe_score"](spark, SF01))
     assert "BroadcastHashJoin" in final and "CartesianProduct" not in final
     assert "BroadcastNestedLoopJoin" not in final
+
+
+def test_policy_evaluation_has_one_shuffle(spark):
+    final = _final_plan(QUERIES["cls_policies"](spark, SF01))
+    exchanges = [ln for ln in final.splitlines() if "Exchange" in ln and "hashpartitioning" in ln]
+    assert len({ln.split("hashpartitioning(")[1].split(",")[0].split("#")[0] for ln in exchanges}) == 1
+    assert all("condition_id" in ln for ln in exchanges)  # only the per-condition aggregation shuffles
