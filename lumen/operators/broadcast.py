@@ -19,11 +19,6 @@ from pyspark.sql import functions as F
 MAX_BROADCAST_ROWS = 200_000
 
 
-def bounded_count(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> int:
-    """Count rows but stop once the limit is exceeded (returns limit + 1)."""
-    return df.limit(limit + 1).count()
-
-
 def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
                bound: int | None = None) -> DataFrame:
     """Join ``big`` with a side expected to be small.

@@ -24,24 +24,11 @@ from lumen.session import cut_lineage
 # Fixed defaults of the reference's probe training.
 DEFAULT_CONDITIONS = ["Atelectasis", "Cardiomegaly", "Consolidation", "Edema", "Pleural Effusion"]
 DEFAULT_C_VALUES = [0.001, 0.01, 0.1, 1.0, 10.0]
-DEFAULT_MAX_ITER = 5000
 
 STATUS_OK = "ok"
 STATUS_SKIPPED = "skipped_missing_condition_column"
 STATUS_ONE_CLASS = "auc_undefined_single_class"
 
-MODEL_SCHEMA = T.StructType([
-    T.StructField("model_name", T.StringType()),
-    T.StructField("condition", T.StringType()),
-    T.StructField("sample_size", T.LongType()),
-    T.StructField("c", T.DoubleType()),
-    T.StructField("coef", T.ArrayType(T.DoubleType())),
-    T.StructField("intercept", T.DoubleType()),
-    T.StructField("mean", T.ArrayType(T.DoubleType())),
-    T.StructField("scale", T.ArrayType(T.DoubleType())),
-])
-
-
 def long_labels(df: DataFrame, key_cols, vec: str, conditions) -> DataFrame:
     """Wide label columns -> ``(key..., vec, condition, raw_label, y)`` with U-Zero ``y``."""
     conds = [c for c in conditions if c in df.columns]

@@ -64,9 +64,6 @@ def set_f1(entities: DataFrame, samples: DataFrame | None = None, sample_col: st
               .withColumn("metric", names[F.col("level")])
 
 
-ENTITY_SCHEMA = "token string, label string, relation string"
-
-
 def extract_entities(texts: DataFrame, extract, key_cols, text_col: str = "text",
                      batch_size: int = 64) -> DataFrame:
     """Run an injected entity extractor over text rows in Arrow batches.

@@ -133,12 +133,6 @@ def _uz(x: str) -> str:
     return f"CASE WHEN {x} IS NULL OR isnan({x}) OR {x} = -1 THEN 0 ELSE CAST(trunc({x}) AS INTEGER) END"
 
 
-def _unpivot(src: str, keys: str, conds) -> str:
-    return (f"(SELECT {keys}, condition, raw_label, {_uz('raw_label')} AS y FROM "
-            f"(UNPIVOT (SELECT {keys}, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in conds)} FROM {src}) "
-            f"ON {', '.join(conds)} INTO NAME condition VALUE raw_label) )")
-
-
 def _unpivot_nulls(src: str, keys: str, conds) -> str:
     # DuckDB's UNPIVOT drops NULL values unless told otherwise.
     cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in conds)
@@ -221,8 +215,6 @@ plan AS (SELECT condition, n, s FROM valid
 pl AS (SELECT condition, n, CAST(row_number() OVER (PARTITION BY condition ORDER BY s) - 1 AS INTEGER) AS size_ordinal,
               s AS sample_size, s = n AS is_full FROM plan)"""
 
-_GRID_SIZES = ""
-
 ORACLE_SQL.update({
     "studies_clean": with_fixtures(["v_studies"], f"WITH {_studies_cte()}\nSELECT {_STUDY_COLS} FROM sf"),
     "studies_first_n": with_fixtures(["v_studies"],

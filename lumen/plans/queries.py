@@ -406,9 +406,6 @@ QUERIES["probe_train"] = q_probe_train
 
 # ------------------------------------------------------------------ report scoring: T11-T13 -> X1 (injected extractor) -> A10
 
-REPORT_SECTIONS = ["findings", "impression", "full_report"]
-
-
 def q_report_scores(spark, sf):
     """Generated vs reference reports: clean, split into sections (findings,
     impression, rebuilt full report), extract entities with the injected
