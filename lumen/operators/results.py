@@ -65,3 +65,45 @@ def classification_wide(items: DataFrame, conditions, key_cols=("item_id",), ans
         if time_col:
             cols.append(F.round(F.col(time_col), 2).alias(f"time_{c}_s"))
     return items.select(*cols)
+
+
+def probe_evaluation(test: DataFrame, labels: DataFrame, models: DataFrame, meta: DataFrame | None = None,
+                     vec: str = "embedding", key_cols=("vec_id",)):
+    """Evaluate a models table on test embeddings (the probe-test flow).
+
+    Best-key join of embeddings and labels (J1/J8/F9), stored metadata
+    preferred over the name (J5/T19), every model scored on every joined row
+    of its condition (M4/J7, equi-join on condition), exact AUC and status
+    per model (A5/F7). Returns ``(results, join_info)``.
+    """
+    from lumen.functions.paths import resolve_model_meta
+    from lumen.operators.joins import best_key_join
+    from lumen.operators.probes import evaluate, long_labels, score
+
+    joined, info = best_key_join(test, labels)
+    m = models
+    if meta is not None:
+        m = m.join(meta.select("model_name", F.col("condition").alias("_mc"), F.col("sample_size").alias("_ms"),
+                               "best_hyperparameter_C"), "model_name", "left")
+    else:
+        m = m.withColumn("_mc", F.lit(None).cast("string")).withColumn("_ms", F.lit(None).cast("int")) \
+             .withColumn("best_hyperparameter_C", F.lit(None).cast("double"))
+    cond, size = resolve_model_meta("model_name", "_mc", "_ms")
+    m = m.withColumn("condition", cond).withColumn("training_set_size", size)
+    conds = [r["condition"] for r in m.select("condition").distinct().collect()]  # one row per model condition
+    present = [c for c in conds if c in joined.columns]
+    if present:
+        test_long = long_labels(joined, list(key_cols), vec, present)
+        scored = score(test_long.select(*key_cols, vec, "condition", "y"), m.where(F.col("condition").isin(present)), vec)
+    else:
+        scored = None
+    if scored is None:
+        res = m.select("model_name", "condition", F.lit(None).cast("double").alias("auc"),
+                       F.lit(0).cast("long").alias("num_test_samples"),
+                       F.lit(None).cast("long").alias("num_positive_test_samples"),
+                       F.lit(None).cast("long").alias("num_negative_test_samples"),
+                       F.lit("skipped_missing_condition_column").alias("status"))
+    else:
+        res = evaluate(scored, m, present)
+    extra = m.select("model_name", "training_set_size", "best_hyperparameter_C")
+    return res.join(extra, "model_name", "left").orderBy("model_name"), info

@@ -164,3 +164,31 @@ def test_in_task_and_distributed_fits_agree(spark):
     b = train_probes(spark, train, train, plan, c_values=cs, max_local_rows=0, max_iter=500, tol=1e-10).first()
     assert a["best_c"] == b["best_c"] and a["val_auc"] == pytest.approx(b["val_auc"], abs=1e-6)
     assert np.allclose(a["coef"], b["coef"], atol=1e-4) and a["intercept"] == pytest.approx(b["intercept"], abs=1e-4)
+
+
+def test_trained_probes_evaluate_end_to_end(spark, scratch):
+    from lumen.operators.probes import train_probes
+    from lumen.operators.results import probe_evaluation
+    from lumen.plans import fixtures as X
+    from lumen.plans import queries as Q
+    from lumen.sinks.writers import write_models
+    from lumen.sources.tables import read_models
+    sf = "/root/testdata/sf0.001"
+    train, _ = Q._plan(spark, sf)
+    plan = spark.createDataFrame([("edema", 64), ("single_class", 64)], "condition string, sample_size long")
+    trained = train_probes(spark, train, train, plan, c_values=[0.1, 1.0])
+    models = trained.select("model_name", "condition", "coef", "intercept", "mean", "scale")
+    extra = spark.createDataFrame([("ghost_64", "ghost", trained.first()["coef"], 0.0, trained.first()["mean"],
+                                    trained.first()["scale"])], models.schema)
+    path = os.path.join(scratch, "models")
+    write_models(models.unionByName(extra), path)
+    labels = X.v_cxr_labels(spark, sf).withColumn("path_short", F.regexp_replace("path", "^(?:[^/]+/){2}", ""))
+    res, info = probe_evaluation(X.v_cxr(spark, sf), labels, read_models(spark, path).drop("condition"))
+    rows = {r["model_name"]: r for r in res.collect()}
+    assert info.embedding_join_key == "path_short" and info.matched_rows > 0
+    assert rows["ghost_64"]["status"] == "skipped_missing_condition_column"
+    assert rows["ghost_64"]["num_test_samples"] == 0
+    ok = rows["edema_64"]
+    assert ok["status"] == "ok" and 0.0 <= ok["auc"] <= 1.0 and ok["training_set_size"] == 64
+    assert ok["num_test_samples"] == info.matched_rows
+    assert "single_class_64" not in rows  # one-class training cell: no model, as the reference's solver cannot fit
