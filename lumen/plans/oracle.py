@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from lumen.functions.text import CLASSIFY_PROMPT, SYSTEM_PROMPT
+from lumen.operators.probes import DEFAULT_CONDITIONS
 from lumen.plans.oracle_fixtures import with_fixtures
 
 STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
@@ -104,8 +106,6 @@ FROM policies p LEFT JOIN pc ON pc.policy = p.policy GROUP BY p.policy"""),
 
 # ----------------------------------------------------------------- shared pieces
 
-from lumen.functions.text import CLASSIFY_PROMPT, SYSTEM_PROMPT  # noqa: E402
-from lumen.operators.probes import DEFAULT_CONDITIONS  # noqa: E402
 
 _S = _strip
 

@@ -10,9 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumen.functions import text as TX
+from lumen.functions.labels import u_zero
+from lumen.functions.paths import (drop_two_dirs, patient_num, resolve_model_meta, resolve_path,
+                                   short_from_patient)
+from lumen.functions.vectors import l2_norm, l2_normalize, to_wide
 from lumen.functions.verdict import with_verdict, with_verdict_array
+from lumen.operators import filters as FL
 from lumen.operators import metrics as M
+from lumen.operators.joins import best_key_join, candidate_counts
+from lumen.operators.probes import DEFAULT_CONDITIONS, best_c, centroid_models, evaluate, long_labels, score
+from lumen.operators.sampling import stratified_exact, target_sizes
+from lumen.operators.scaler import fit_scaler
+from lumen.operators.setf1 import set_f1
 from lumen.plans import fixtures as X
+from lumen.sources.tables import read_table
 
 
 def _r(c, n: int = 6):
@@ -62,18 +74,6 @@ QUERIES = {
 
 # ------------------------------------------------------------------ S1 / T1-T4a / L1
 
-from lumen.functions import text as TX  # noqa: E402
-from lumen.functions.labels import u_zero  # noqa: E402
-from lumen.functions.paths import (drop_two_dirs, patient_num, resolve_path,  # noqa: E402
-                                   resolve_model_meta, short_from_patient)
-from lumen.operators import filters as FL  # noqa: E402
-from lumen.operators.joins import best_key_join, candidate_counts  # noqa: E402
-from lumen.operators.probes import (DEFAULT_CONDITIONS, centroid_models, evaluate,  # noqa: E402
-                                    long_labels, score, best_c)
-from lumen.operators.sampling import stratified_exact, target_sizes  # noqa: E402
-from lumen.operators.scaler import fit_scaler  # noqa: E402
-from lumen.operators.setf1 import set_f1  # noqa: E402
-from lumen.functions.vectors import l2_norm, l2_normalize, to_wide  # noqa: E402
 
 STUDY_COLS = ["study_id", "subject_id", "dicom_id", "local_image_path", "findings", "impression",
               "indication", "full_gt", "prompt"]
@@ -353,7 +353,6 @@ def q_upsert_evaluation(spark, sf):
     return upsert(docs, new, "run_id").select("run_id", "task", "quality", "toxic")
 
 
-from lumen.sources.tables import read_table  # noqa: E402
 
 QUERIES.update({
     "studies_clean": q_studies_clean,
