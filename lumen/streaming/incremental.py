@@ -38,3 +38,24 @@ def score_files(spark: SparkSession, source_dir: str, schema: T.StructType,
               .option("checkpointLocation", ckpt).option("path", sink_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def running_policy_counts(items: DataFrame, answers: str = "answers", condition: str = "condition_id",
+                          gt: str = "gt", pred: str = "pred") -> DataFrame:
+    """Streaming A4: per-condition confusion counts under both ambiguity policies,
+    updated as parsed items arrive (one row per item with its answer array).
+
+    The item-level rule stays row-local (``exists``), so the only state is one
+    row of counters per condition. Write it with ``outputMode("complete")``;
+    F1 follows from the counts (``metrics.f1_from_counts``).
+    """
+    from pyspark.sql import functions as F
+
+    from lumen.operators.metrics import confusion_aggs
+
+    x = (items.select(F.exists(answers, lambda a: a[pred] == -1).alias("_amb"), F.inline_outer(answers))
+         .where(F.col(condition).isNotNull()))
+    g, p = F.col(gt), F.col(pred)
+    p_neg = F.when(p == -1, F.lit(0)).otherwise(p)
+    return x.groupBy(condition).agg(*confusion_aggs(g, p, ~F.col("_amb"), "drop_"),
+                                    *confusion_aggs(g, p_neg, None, "neg_"))

@@ -192,3 +192,29 @@ def test_trained_probes_evaluate_end_to_end(spark, scratch):
     assert ok["status"] == "ok" and 0.0 <= ok["auc"] <= 1.0 and ok["training_set_size"] == 64
     assert ok["num_test_samples"] == info.matched_rows
     assert "single_class_64" not in rows  # one-class training cell: no model, as the reference's solver cannot fit
+
+
+def test_running_policy_counts_match_batch(spark, scratch):
+    from lumen.functions.verdict import with_verdict_array
+    from lumen.operators.metrics import policy_counts
+    from lumen.plans.fixtures import v_verdict_items
+    from lumen.streaming.incremental import running_policy_counts
+    src = os.path.join(scratch, "answers")
+    items = v_verdict_items(spark, "/root/testdata/sf0.001")
+    for i in range(3):
+        items.where(F.col("item_id") % 3 == i).write.mode("append").parquet(src)
+    stream = with_verdict_array(spark.readStream.schema(items.schema).parquet(src), "answers")
+    q = (running_policy_counts(stream).writeStream.format("memory").queryName("policy_counts_t")
+         .outputMode("complete").option("checkpointLocation", os.path.join(scratch, "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = {r["condition_id"]: (r["drop_n_rows"], r["drop_tp"], r["neg_n_rows"], r["neg_fp"])
+           for r in spark.sql("SELECT * FROM policy_counts_t").collect()}
+    batch = policy_counts(with_verdict_array(items, "answers")).collect()
+    want = {}
+    for r in batch:
+        d = want.setdefault(r["condition_id"], {})
+        d[r["policy"]] = r
+    for c, d in want.items():
+        assert got[c] == (d["drop_ambiguous"]["n_rows"], d["drop_ambiguous"]["tp"],
+                          d["ambiguous_to_negative"]["n_rows"], d["ambiguous_to_negative"]["fp"])
