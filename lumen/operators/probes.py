@@ -20,6 +20,7 @@ from lumen.operators.broadcast import join_small, materialize_small
 from lumen.operators.metrics import auc_by
 from lumen.operators.scaler import fit_scaler
 from lumen.session import cut_lineage
+from lumen.session import parallelism as task_slots
 
 # Fixed defaults of the reference's probe training.
 DEFAULT_CONDITIONS = ["Atelectasis", "Cardiomegaly", "Consolidation", "Edema", "Pleural Effusion"]
@@ -244,7 +245,7 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: Da
         sub = balanced_weights(sub, ["condition", "sample_size"])
         # Partitions sized to the cell (L-BFGS runs one job per iteration; tiny
         # cells on many partitions would be all scheduling overhead).
-        parts = max(1, min(spark.sparkContext.defaultParallelism, int(cell["_n"]) // rows_per_partition))
+        parts = max(1, min(task_slots(spark), int(cell["_n"]) // rows_per_partition))
         data = (sub.select(array_to_vector(standardize(vec, "_mu", "_sc")).alias("features"),
                            F.col("y").cast("double").alias("label"), "weight")
                 .repartition(parts).persist())

@@ -24,6 +24,7 @@ from lumen.operators.sampling import stratified_exact, target_sizes
 from lumen.operators.scaler import fit_scaler
 from lumen.operators.setf1 import set_f1
 from lumen.plans import fixtures as X
+from lumen.session import parallelism
 from lumen.sources.tables import read_table
 
 
@@ -325,7 +326,7 @@ def q_embed_retry(spark, sf):
     from lumen.operators.inference import embed_batches
     from lumen.plans.stubs import stub_embed
     d = read_table(spark, sf, "documents").select("doc_id")
-    e = embed_batches(d, stub_embed, batch_size=16, partitions=spark.sparkContext.defaultParallelism)
+    e = embed_batches(d, stub_embed, batch_size=16, partitions=parallelism(spark))
     return e.select("doc_id", "status", "reason",
                     F.transform(l2_normalize("embedding"), lambda x: x.cast("float")).alias("embedding"))
 
@@ -335,7 +336,7 @@ def q_generate_stub(spark, sf):
     from lumen.operators.results import report_results
     from lumen.plans.stubs import stub_generate
     r = report_results(X.v_studies(spark, sf), stub_generate, batch_size=8,
-                       partitions=spark.sparkContext.defaultParallelism)
+                       partitions=parallelism(spark))
     g = with_verdict(r, "full_gen")
     return g.select("study_id", F.col("prompt_used").alias("prompt"), F.col("full_gen").alias("generated"),
                     F.col("v.verdict").alias("verdict"))

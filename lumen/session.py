@@ -51,6 +51,15 @@ def build_session(master: str | None = None, app: str = "lumen",
     return spark
 
 
+def parallelism(spark: SparkSession, default: int = 8) -> int:
+    """Cluster task slots (``defaultParallelism``), with a fallback for sessions
+    that expose no SparkContext (Spark Connect)."""
+    try:
+        return int(spark.sparkContext.defaultParallelism)
+    except Exception:
+        return int(spark.conf.get("spark.default.parallelism", str(default)))
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -73,7 +82,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
+    try:
+        checkpoint_dir(df.sparkSession)
+    except AttributeError:  # no SparkContext (Spark Connect): the server's folder applies
+        pass
     return df.checkpoint(eager=True)
 
 
