@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lumen.llm import dedup, quality, sharding
+from lumen.llm import dedup, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op5_near_duplicates": dedup.op5_near_duplicates,
+    "op7_token_parquet": tokens.op7_token_parquet,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **sharding.ORACLE_SQL}

@@ -36,3 +36,8 @@ def edge(spark):
     from pyspark.sql import functions as F
     return (spark.createDataFrame(rows, DOCS).withColumn("n", F.lit(1)).withColumn("key", F.lit("x"))
             .withColumn("rep", F.lit(2)).withColumn("_w", F.lit(3)))
+
+
+@pytest.fixture(scope="module")
+def scratch_dir(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("llm"))
