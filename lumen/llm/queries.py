@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lumen.llm import dedup, quality, sharding, tokens
+from lumen.llm import bpe, dedup, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op5_near_duplicates": dedup.op5_near_duplicates,
     "op7_token_parquet": tokens.op7_token_parquet,
+    "op8_byte_bpe": bpe.op8_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **sharding.ORACLE_SQL}
