@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import textvec
-from lumen.llm.common import materialise, read
+from lumen.llm.common import materialise, most_frequent, read
 
 #: Most pieces whose ids are shipped to tasks.
 FREQUENT = 1 << 18
@@ -156,19 +156,11 @@ class Vocabulary:
 def frequent_pieces(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
     """(piece, ids) of the most frequent pieces of the corpus, at most ``most``.
 
-    Pieces are counted over all documents. The count from which on a piece is
-    taken comes from a histogram of counts with sixteen steps an octave.
+    Pieces are counted over all documents.
     """
     counts = materialise(docs.select(F.explode(vocabulary.pieces(F.col("text"))).alias("piece"))
                          .groupBy("piece").agg(F.count(F.lit(1)).alias("c")), "pieces")
-    grade = F.floor(F.log2("c") * 16)
-    taken, least = 0, None
-    for g, n in sorted(map(tuple, counts.groupBy(grade.alias("g")).count().collect()), reverse=True):
-        taken += n
-        if taken > most:
-            break
-        least = g
-    top = counts.where(F.lit(False) if least is None else grade >= least)
+    top = most_frequent(counts, "c", most)
     return top.select("piece", vocabulary.encode(F.array("piece"))[0].alias("ids"))
 
 

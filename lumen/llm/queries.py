@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from lumen.llm import bpe, dedup, quality, sharding, tokens
+from lumen.llm import bpe, decontam, dedup, lm, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
     "op2_feistel_shards": sharding.op2_feistel_shards,
     "op5_near_duplicates": dedup.op5_near_duplicates,
+    "op6_context_mixing": lm.op6_context_mixing,
     "op7_token_parquet": tokens.op7_token_parquet,
     "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op9_benchmark_passages": decontam.op9_benchmark_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **sharding.ORACLE_SQL}

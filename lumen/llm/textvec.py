@@ -62,10 +62,10 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
-def steps(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
-    """Consecutive slices of a batch of about STEP_BYTES of text each."""
+def steps(batch: pa.RecordBatch, text: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch of about ``step`` bytes of text each."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(size) // STEP_BYTES
+    group = np.cumsum(size) // step
     edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(edge, edge[1:]):
         if b > a:
