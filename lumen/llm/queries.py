@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumen.llm import bpe, decontam, dedup, lm, quality, sharding, tokens
+from lumen.llm import bpe, decontam, dedup, lm, pii, quality, sharding, tokens
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op4_semi_markov_pii": pii.op4_semi_markov_pii,
     "op5_near_duplicates": dedup.op5_near_duplicates,
     "op6_context_mixing": lm.op6_context_mixing,
     "op7_token_parquet": tokens.op7_token_parquet,
