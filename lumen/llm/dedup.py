@@ -7,18 +7,22 @@ of parities. The XOR of two odd sketches has a population count that estimates
 the number of samples in which two sets differ, closely so for similar sets.
 
 1. Documents with the same set form a class; only classes are compared.
-2. Classes that share a band key meet in a bucket. A bucket never emits all its
-   pairs: in each round it names a few leaders, and only pairs (leader,
-   member) of different components are formed.
-3. The odd sketches drop pairs that can't be similar; the rest are confirmed
-   on their full sets (``intersection / union``, in integers).
-4. Links merge components; a bucket is done when all members that never led
-   lie in one component, since then each other pair was tested or is joined.
-
-No link is lost but by the band keys and the sketch bound: at similarity 0.8
-a pair shares no band with probability (1 - 0.8^4)^28 = 4e-7, and the sketch
-bound lies more than five standard deviations away. There is no cap on
-buckets, members or partners.
+2. Classes that share a band key meet in a bucket, and every member is paired
+   with the bucket's leader, not with all others. The odd sketches of the
+   samples drop pairs that can't be similar; the rest are confirmed on their
+   full sets (``intersection / union``, in integers) and merge components.
+3. What is left open are buckets whose members lie in several components.
+   Members outside the bucket's largest component are compared with all others
+   in tiles of bounded size, on odd sketches of the full sets: the population
+   count of their XOR never exceeds the size of the symmetric difference, so a
+   pair beyond the bound is certainly not linked. Pairs within it are
+   confirmed on their full sets. A tile with very many such pairs hands out a
+   forest of them and is compared again after the merge.
+
+No link is lost but by the band keys and the sketch of the samples: at
+similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^28 = 4e-7,
+and the sketch's bound lies more than five standard deviations away. There is
+no cap on buckets, members or partners, and no bucket emits all its pairs.
 
 Defined results: null, empty or wordless texts have the empty set and are
 linked with nothing; rows with one doc_id are one document; a null doc_id
@@ -31,23 +35,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lumen.llm import textvec
 from lumen.llm.common import materialise, read
 from lumen.llm.components import connected_components
 
 BANDS, ROWS, SKETCH_LONGS = 28, 4, 8
+#: Bits of the odd sketch of a full set.
+SET_BITS = 2048
 #: Similarity below which the sketch drops a pair, far under the wanted one.
 SKETCH_SIMILARITY = 0.55
-#: Leaders that a bucket names in the first and in later rounds.
-FIRST_LEADERS, LEADERS = 1, 16
+#: Members of a bucket that one side of a tile holds, about.
+TILE = 1024
+#: Pairs for each row of a tile from which on it hands out a forest.
+MANY = 4
 
-_SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, n long, f1 long, f2 long, bands array<long>, sketch array<long>, parity binary"
 _U = np.uint64
 
 
@@ -71,6 +79,13 @@ def _sketch(samples: np.ndarray) -> np.ndarray:
     return (odd << np.arange(64, dtype=_U)).sum(axis=2, dtype=_U)
 
 
+def _parity(sets: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Odd sketch of each full set, as rows of bytes."""
+    rows = len(off) - 1
+    at = (textvec.mix(sets + _U(7)) % _U(SET_BITS)).astype(np.int64) + np.repeat(np.arange(rows), np.diff(off)) * SET_BITS
+    return np.packbits((np.bincount(at, minlength=rows * SET_BITS) & 1).astype(np.uint8).reshape(rows, SET_BITS), axis=1)
+
+
 def _lists(x: np.ndarray) -> pa.Array:
     """A list column from the rows of a matrix of unsigned 64-bit numbers."""
     flat = pa.array(np.ascontiguousarray(x).ravel().view(np.int64))
@@ -99,7 +114,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     for d in some.tolist():
                         f[d] = np.frombuffer(xxhash.xxh3_128_digest(sets[off[d]:off[d + 1]].tobytes()), np.int64)
                 yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.array(f[:, 0].copy()), pa.array(f[:, 1].copy()),
-                                       _lists(bands), _lists(sketch)], ["doc_id", "n", "f1", "f2", "bands", "sketch"])
+                                       _lists(bands), _lists(sketch), pa.array([x.tobytes() for x in _parity(sets, off)], pa.binary())],
+                                      ["doc_id", "n", "f1", "f2", "bands", "sketch", "parity"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURE)
 
 
@@ -120,18 +136,84 @@ def _sketch_bound() -> int:
     return int(bits / 2 * (1 - (1 - 2 / bits) ** (2 * k * (1 - SKETCH_SIMILARITY))))
 
 
-def _candidates(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """Pairs a < b of a bucket's leaders and members that sizes and sketches allow."""
-    lead = leaders.select("key", F.col("rep").alias("l"), F.col("comp").alias("l_comp"),
-                          F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"))
+def _with_leader(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of a bucket's leader and its members that sizes and sketches allow."""
+    lead = members.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("l"))
+    lead = members.join(lead.select("key", F.col("l.rep").alias("rep")), ["key", "rep"], "left_semi")
+    lead = lead.select("key", F.col("rep").alias("l"), F.col("n").alias("l_n"), F.col("sketch").alias("l_sketch"))
     diff = sum(F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("l_sketch")[i])) for i in range(SKETCH_LONGS))
-    return (members.where("not led").join(lead, "key")
-            .where((F.col("comp") != F.col("l_comp"))
-                   & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n"))
-                   & (diff <= _sketch_bound()))
+    return (members.join(lead, "key")
+            .where((F.col("rep") != F.col("l"))
+                   & (100 * F.least("n", "l_n") >= percent * F.greatest("n", "l_n")) & (diff <= _sketch_bound()))
             .select(F.least("rep", "l").alias("a"), F.greatest("rep", "l").alias("b")).distinct())
 
 
+def _tiles(open_: DataFrame) -> DataFrame:
+    """Rows of open buckets dealt to tiles.
+
+    A bucket's members outside its largest component (side r) and inside it
+    (side g) are cut into blocks; tiles are r x r and r x g. Members of one
+    component are never compared, so g x g is left out.
+    """
+    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    most = sizes.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("comps"))
+    most = most.where("comps > 1").select(
+        "key", F.col("most.comp").alias("largest"), F.ceil(F.col("most.c") / TILE).cast("int").alias("g"),
+        F.ceil((F.col("all") - F.col("most.c")) / TILE).cast("int").alias("r"))
+    d = open_.join(most, "key").withColumn("inside", F.col("comp") == F.col("largest"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("inside"), F.col("g")).otherwise(F.col("r"))).cast("int")
+    d = d.withColumn("block", block)
+    r, g = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.lit(0), F.col("g") - 1)
+    with_r = lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j"), F.lit("r").alias("kind"))
+    tiles = F.when(F.col("inside"), F.transform(r, lambda x: F.struct(x.alias("i"), F.col("block").alias("j"), F.lit("g").alias("kind")))) \
+        .otherwise(F.concat(F.transform(r, with_r),
+                            F.transform(g, lambda x: F.struct(F.col("block").alias("i"), x.alias("j"), F.lit("g").alias("kind")))))
+    return d.select("key", "rep", "comp", "n", "sketch", "parity", "inside", "block", F.inline(tiles))
+
+
+def _compare(tiles: DataFrame, percent: int, whole: bool) -> DataFrame:
+    """Pairs of different components in each tile that both sketches allow; ``cut``: more were found."""
+    bound = _sketch_bound()
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        _, i, j, kind = key
+        one = ~pdf["inside"].to_numpy() if kind == "g" else (pdf["block"] == i).to_numpy()
+        a, b = np.flatnonzero(one), np.flatnonzero(~one) if kind == "g" or i != j else np.flatnonzero(one)
+        rep, comp, n = (pdf[c].to_numpy() for c in ("rep", "comp", "n"))
+        parity = np.frombuffer(b"".join(pdf["parity"]), _U).reshape(len(pdf), -1)
+        sketch = np.array(pdf["sketch"].tolist(), np.int64).view(_U)
+        found = []
+        for at in range(0, len(a), 64):
+            x = a[at:at + 64]
+            limit = (100 - percent) * (n[x][:, None] + n[b]) // (100 + percent)
+            far = np.bitwise_count(parity[x][:, None] ^ parity[b]).sum(axis=2, dtype=np.int64)
+            ok = (far <= limit) & (comp[x][:, None] != comp[b]) & (rep[x][:, None] != rep[b])
+            ok &= 100 * np.minimum(n[x][:, None], n[b]) >= percent * np.maximum(n[x][:, None], n[b])
+            p, q = np.nonzero(ok)
+            near = np.bitwise_count(sketch[x[p]] ^ sketch[b[q]]).sum(axis=1) <= bound
+            p, q = p[near], q[near]
+            found.append(np.stack([x[p], b[q], far[p, q] * 1000 // np.maximum(limit[p, q], 1)]))
+        x, y, grade = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+        cut = not whole and len(x) > MANY * len(pdf)
+        if cut:  # the likeliest pairs that join the tile's components
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while root.get(c, c) != c:
+                    c = root[c]
+                return c
+            keep = []
+            for k in np.argsort(grade, kind="stable").tolist():
+                u, v = find(comp[x[k]]), find(comp[y[k]])
+                if u != v:
+                    root[max(u, v)] = min(u, v)
+                    keep.append(k)
+            x, y = x[keep], y[keep]
+        return pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "cut": cut})
+    found = tiles.groupBy("key", "i", "j", "kind").applyInPandas(run, "a long, b long, cut boolean")
+    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs with 100 * intersection >= percent * union on their full sets."""
     side = lambda x: sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"s_{x}"))
@@ -146,71 +228,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     ``size`` words a shingle, ``percent`` the least similarity of a link.
     """
     sig = materialise(signatures(docs, size), "signatures")
-    classes = materialise(
-        sig.where("n > 0 and doc_id is not null").groupBy("f1", "f2")
-        .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-             F.first("sketch").alias("sketch")), "classes")
+    first = [F.first(c).alias(c) for c in ("n", "bands", "sketch", "parity")]
+    classes = materialise(sig.where("n > 0 and doc_id is not null").groupBy("f1", "f2")
+                          .agg(F.min("doc_id").alias("rep"), *first), "classes")
     keys = classes.select(F.explode("bands").alias("key"), "rep")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = materialise(keys.join(shared, "key"), "buckets")
-    reps = materialise(met.select("rep").distinct(), "reps")
-    buckets = materialise(met.join(classes.select("rep", "n", "sketch"), "rep"), "members")
-    sets = materialise(shingle_sets(docs.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), size), "sets")
-
-    edges = led = failed = comps = None
-    limit = FIRST_LEADERS
+    live = materialise(classes.join(met.select("rep").distinct(), "rep", "left_semi")
+                       .select("rep", "n", "sketch", "parity"), "live")
+    sets = materialise(shingle_sets(docs.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
+
+    pairs = _with_leader(met.join(live.select("rep", "n", "sketch"), "rep"), percent)
+    links = materialise(_confirm(pairs, sets, percent), "links")
+    comps = connected_components(links)
+    whole = False
     while True:
-        m = buckets if comps is None else buckets.join(comps, buckets.rep == comps.node, "left").drop("node")
-        m = m.withColumn("comp", F.col("rep") if comps is None else F.coalesce("comp", "rep"))
-        m = (m.withColumn("led", F.lit(False)) if led is None
-             else m.join(led.withColumn("led", F.lit(True)), ["key", "rep"], "left")
-             .withColumn("led", F.coalesce("led", F.lit(False))))
-        open_ = (m.where("not led").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-                 .where("lo <> hi").select("key"))
-        m = materialise(m.join(open_, "key"), "open")
-        # one head for each component of a bucket; those of small components lead first
-        heads = (m.where("not led").groupBy("key", "comp")
-                 .agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("rep"))).alias("r"))
-                 .select("key", "comp", "c", F.col("r.h").alias("h"), F.col("r.rep").alias("rep")))
-        lead = _least(heads, limit)
-        lead = materialise(m.where("not led").join(lead, ["key", "rep"], "left_semi"), "leaders")
-        if lead.isEmpty():
+        member = met.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        spread = (member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
+        open_ = materialise(member.join(spread, "key"), "open")
+        pairs = materialise(_compare(_tiles(open_.join(live, "rep")), percent, whole), "pairs")
+        links = materialise(_confirm(pairs.select("a", "b"), sets, percent), "links")
+        merged = not links.isEmpty()
+        if merged:
+            comps = _merge(comps, links)
+        if pairs.where("cut").isEmpty():
             break
-        pairs = _candidates(m, lead, percent)
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        new = materialise(_confirm(pairs, sets, percent), "links")
-        bad = pairs.join(new, ["a", "b"], "left_anti")
-        failed = materialise(bad if failed is None else failed.union(bad), "failed")
-        edges = new if edges is None else materialise(edges.union(new), "links")
-        mine = lead.select("key", "rep")
-        led = mine if led is None else materialise(led.union(mine), "led")
-        comps = connected_components(edges)
-        limit = LEADERS
+        whole = not merged
     member = sig.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
-    if comps is not None:
-        member = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-        comp = F.coalesce("comp", "rep", "doc_id")
-    else:
-        comp = F.coalesce("rep", "doc_id")
+    member = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    comp = F.coalesce("comp", "rep", "doc_id")
     return (member.select("doc_id", F.col("n").alias("n_shingles"),
                           F.when(F.col("n") == 0, F.col("doc_id")).otherwise(comp).alias("component_id"))
             .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
             .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
 
 
-def _least(heads: DataFrame, limit: int) -> DataFrame:
-    """For each bucket the ``limit`` heads of the smallest components (ties by hash).
-
-    Found by repeated minima, which combine before the shuffle, so a bucket
-    with very many components is never gathered or ranked in one task.
-    """
-    order = F.struct("c", "h", "rep")
-    if limit == 1:
-        return heads.groupBy("key").agg(F.min(order).alias("o")).select("key", F.col("o.rep").alias("rep"))
-    slot = F.pmod(F.col("h"), F.lit(limit))
-    return heads.groupBy("key", slot.alias("slot")).agg(F.min(order).alias("o")).select("key", F.col("o.rep").alias("rep"))
+def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: the links join old components, not documents."""
+    of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"c_{x}"))
+    ends = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    top = connected_components(ends)
+    new = top.join(comps, "node", "left_anti")
+    old = comps.join(top.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left")
+    return materialise(old.select("node", F.coalesce("next", "comp").alias("comp")).union(new.select("node", "comp")), "comps")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from conftest import DOCS
 
 from lumen.llm import dedup, textvec
@@ -71,6 +72,23 @@ def test_chains_and_hubs(spark):
     check(df, texts, 4)
 
 
+@pytest.mark.parametrize("many", [4, 0])
+def test_open_buckets_in_tiles(spark, monkeypatch, many):
+    """Copies of a missing original, many of them below the bound to each other; small tiles, forests."""
+    monkeypatch.setattr(dedup, "TILE", 16)
+    monkeypatch.setattr(dedup, "MANY", many)
+    rng = np.random.default_rng(8)
+    texts = {}
+    for i in range(150):
+        w = [f"w{j}" for j in range(200)]
+        for j in rng.choice(200, int(rng.integers(2, 9)), replace=False):
+            w[j] = f"e{i}_{j}"
+        texts[i] = " ".join(w)
+    want = brute(texts, 4)
+    assert 3 < len({c for _, c in want.values()}) < 100
+    check(dedup.near_duplicates(spark.createDataFrame(list(texts.items()), DOCS), size=4), texts, 4)
+
+
 def test_edges(spark, edge):
     rows = dedup.near_duplicates(edge, size=4).collect()
     got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows}
