@@ -9,7 +9,7 @@ touches the ids. Partitions are ranges of ``doc_id``, files carry their order
 in their rows, and offsets come from the lengths in the files.
 
 Texts are encoded by the ``tokenizers`` library. Pieces of a text between
-spaces are encoded once per task and looked up afterwards: the pre-tokenizer
+spaces are encoded once per worker and looked up afterwards: the pre-tokenizer
 always ends a token before a space that follows a non-space, so ids of pieces
 in sequence are the ids of the text. Texts in which a space stands inside a
 run of white space are encoded whole.
@@ -22,7 +22,6 @@ not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,13 +32,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lumen.llm import textvec
 from lumen.llm.common import materialise, read, shared_path
 
 END_ID = 2
-#: Distinct pieces that a task keeps; past it the store starts anew.
-STORE = 400_000
-#: Documents that a task holds encoded at once.
-STEP_ROWS = 500
+#: Distinct pieces that a worker process keeps; past it the store starts anew.
+STORE = 3_000_000
 
 #: Parquet settings by encoding; dictionary pages suit a bounded vocabulary, deltas suit ids without a small one.
 LAYOUTS = {
@@ -48,55 +46,142 @@ LAYOUTS = {
 }
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 
-#: A space inside white space or at the end of it, where pieces between spaces are not independent.
-_INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: A space inside white space or at its end, where pieces between spaces are not independent (RE2 syntax).
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHITE_SPACE_WHITE = f"{_WHITE} ({_WHITE}|\\z)"
+
+#: Marks that end a word; the pattern always cuts between a letter and one of them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+
+
+def byte_spelling() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the rest from code point 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
-    """Little-endian 32-bit ids of texts; keeps those of pieces that follow a space."""
+    """Ids of texts from the ids of their pieces.
+
+    Pieces are known by a 64-bit hash; the store is a pair of sorted runs (a
+    large and a recent one) that point into one array of ids. Only distinct
+    new pieces of a step go to the library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # text that looks like a special token is text
-        self.after_space: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        done = self.library.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _INNER_SPACE.search(t)]
-        skip = set(whole)
-        pieces = [[] if i in skip else t.split(" ") for i, t in enumerate(texts)]
-        store = self.after_space
-        new = list({p for ps in pieces for p in ps[1:] if p not in store})
-        if len(store) + len(new) > STORE:
-            self.after_space = store = {}
-            new = list({p for ps in pieces for p in ps[1:]})
-        store.update(zip(new, self._whole([" " + p for p in new])))
-        heads = self._whole([ps[0] if ps else "" for ps in pieces])
-        out = [h + b"".join([store[p] for p in ps[1:]]) for h, ps in zip(heads, pieces)]
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole])):
-            out[i] = ids
-        return out
+        self.spelling = byte_spelling()
+        self._reset()
+
+    def _reset(self) -> None:
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))] * 2
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _whole(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
+
+    def _after_space(self, piece: str) -> list[int]:
+        stem = piece.rstrip(_MARKS)
+        if not stem.isalpha():
+            return self._whole(" " + piece)
+        # " stem" is one match of the pattern: the library's merges alone
+        spelled = (" " + stem).encode().decode("latin-1").translate(self.spelling)
+        ids = [t.id for t in self.library.model.tokenize(spelled)]
+        return ids + self._whole(piece[len(stem):]) if len(stem) < len(piece) else ids
+
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        n = np.array([len(x) for x in ids], np.int64)
+        total = int(n.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        start = self.used + np.cumsum(n) - n
+        self.used += total
+        self.runs[1] = _merged(self.runs[1], (keys, start, n))
+        if len(self.runs[1][0]) * 4 > len(self.runs[0][0]):
+            self.runs = [_merged(*self.runs), self.runs[1]]
+            self.runs[1] = tuple(x[:0] for x in self.runs[1])
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each key is known, and where its ids are."""
+        known, start, n = np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        for key, at, size in self.runs:
+            if len(key):
+                i = np.minimum(np.searchsorted(key, keys), len(key) - 1)
+                hit = key[i] == keys
+                known |= hit
+                start[hit], n[hit] = at[i[hit]], size[i[hit]]
+        return known, start, n
+
+    def encode(self, raw: np.ndarray, off: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a step in sequence, and row offsets; ``whole``: rows that are one piece."""
+        if len(self.runs[0][0]) + len(self.runs[1][0]) > STORE:
+            self._reset()
+        space = np.flatnonzero(raw == 0x20)
+        if whole.any():
+            space = space[~whole[np.searchsorted(off, space, "right") - 1]]
+        begin = np.sort(np.concatenate([off[:-1], space + 1]))
+        end = np.sort(np.concatenate([space, off[1:]]))
+        count = np.searchsorted(space, off[1:]) - np.searchsorted(space, off[:-1]) + 1
+        head = np.zeros(len(begin), bool)
+        first = np.cumsum(count) - count
+        head[first] = True
+        key = _piece_keys(raw, begin, end, head)
+        key, one, which = np.unique(key, return_index=True, return_inverse=True)
+        known, _, _ = self._find(key)
+        new = np.flatnonzero(~known)
+        if len(new):
+            data = raw.tobytes()
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist())]
+            self._add(key[new], [self._whole(t) if h else self._after_space(t) for t, h in zip(texts, head[one[new]].tolist())])
+        _, start, n = self._find(key)
+        size = n[which]
+        done = np.cumsum(size)
+        at = np.arange(done[-1] if len(done) else 0) + np.repeat(start[which] - (done - size), size)
+        return self.ids[at], np.concatenate([[0], done[first + count - 1]]) if len(first) else np.zeros(1, np.int64)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    key = np.concatenate([a[0], b[0]])
+    order = np.argsort(key, kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
+
+
+_LETTER = textvec.stream(6, 256)
+
+
+def _piece_keys(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, head: np.ndarray) -> np.ndarray:
+    power, inverse = textvec._tables(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_LETTER[raw] * power[:len(raw)], out=total[1:])
+    return textvec.mix((total[end] - total[begin]) * inverse[begin] + ((end - begin) * 2 + head).astype(np.uint64))
+
+
+#: Encoders of this worker process, by vocabulary file; tasks that follow use what earlier ones encoded.
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, n_tokens and ids of every text, the end id appended."""
-    end = np.array([end_id], "<u4").tobytes()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(path)
+        if path not in _ENCODERS:
+            _ENCODERS[path] = PieceEncoder(path)
+        encoder = _ENCODERS[path]
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_ROWS):
-                part = batch.slice(at, STEP_ROWS)
-                ids = [x + end for x in encoder.encode(pc.fill_null(part.column("text"), "").to_pylist())]
-                n = np.array([len(x) // 4 for x in ids], np.int64)
-                off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
-                yield pa.record_batch([part.column("doc_id"), pa.array(n), pa.ListArray.from_arrays(pa.array(off), flat)],
-                                      ["doc_id", "n_tokens", "ids"])
+            for part in textvec.steps(batch, "text"):
+                raw, off = textvec.buffers(part.column("text"))
+                whole = pc.match_substring_regex(pc.fill_null(part.column("text"), ""), _WHITE_SPACE_WHITE).to_numpy(zero_copy_only=False)
+                ids, at = encoder.encode(raw, off, whole)
+                at = at + np.arange(len(at))  # each row ends with the end id
+                flat = np.full(at[-1], end_id, np.int32)
+                own = np.ones(len(flat), bool)
+                own[at[1:] - 1] = False
+                flat[own] = ids
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
+                yield pa.record_batch([part.column("doc_id"), pa.array(np.diff(at)), lists], ["doc_id", "n_tokens", "ids"])
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
 

@@ -40,14 +40,23 @@ def test_query_equals_library(spark, sf01, texts, library):
 SPACES = ["a  b", "a \n b", "a\n b", "a\n\n  b", " a", "a ", "a  ", "  b", "a  b", "don't  stop 's", "x  y", "1 2  3 ", "<|endoftext|> x"]
 
 
-def test_pieces_equal_whole_texts(library):
+def test_pieces_equal_whole_texts(spark, library):
     rng = np.random.default_rng(3)
     chars = list("ab1'.s \n\t") + [" ", "é", "🙂", "\x1c", "\x85", "​"]
     made = ["".join(rng.choice(chars, 30)) for _ in range(3000)]
     every = [t or "" for t in EDGE_TEXTS] + SPACES + made
+    docs = spark.createDataFrame(list(enumerate(every)), DOCS)
+    for r in tokens.encode(docs, VOCABULARY).collect():
+        assert r.ids == library(every[r.doc_id]), repr(every[r.doc_id])
+
+
+def test_store_starts_anew(library, monkeypatch):
+    monkeypatch.setattr(tokens, "STORE", 5)
     encoder = tokens.PieceEncoder(VOCABULARY)
-    for t, ids in zip(every, encoder.encode(every)):
-        assert np.frombuffer(ids, "<u4").tolist() == library(t)[:-1], repr(t)
+    for t in SPACES[4:6] + ["the cat, sat! on.the mat", "", "the cat", "naïve Ünï 42x"]:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ids, off = encoder.encode(raw, np.array([0, len(raw)]), np.array([False]))
+        assert ids.tolist() == library(t)[:-1] and off.tolist() == [0, len(ids)]
 
 
 @pytest.mark.parametrize("layout", sorted(tokens.LAYOUTS))
