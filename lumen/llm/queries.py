@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumen.llm import bpe, decontam, dedup, lm, pii, quality, sharding, tokens
+from lumen.llm import bpe, decontam, dedup, lm, pii, quality, secrets, sharding, tokens
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_token_parquet": tokens.op7_token_parquet,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_passages": decontam.op9_benchmark_passages,
+    "op10_secret_forest": secrets.op10_secret_forest,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **sharding.ORACLE_SQL}

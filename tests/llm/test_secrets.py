@@ -1,0 +1,92 @@
+"""Candidates against a plain scan; the forest on held-out labelled findings."""
+
+import re
+
+import pytest
+from conftest import DOCS
+from pyspark.sql import functions as F
+
+from lumen.llm import secrets as s
+
+PATTERN = re.compile(
+    r"""(?P<a>(?i:token|secret|password|passwd|pwd|api_key|apikey|access_key|auth)["']? ?[=:] ?["']?)"""
+    r"""(?P<v>[^\s"'<>]{8,})|(?<![A-Za-z0-9+/_=.~-])(?P<t>[A-Za-z0-9+/_=.~-]{16,})""", re.A)
+
+
+def test_query_finds_the_tokens_of_the_texts(spark, sf01, texts):
+    rows = s.op10_secret_forest(spark, sf01).collect()
+    got = {(r.doc_id, r.start, r.end) for r in rows}
+    want = {(k, m.start(2), m.end(2)) for k, t in texts.items()
+            for m in re.finditer(r'(?i)token = "()([0-9a-f]{40})"', t)}
+    assert want and want <= got
+    assert all(r.secret == (r.probability >= s.THRESHOLD) for r in rows)
+    assert {(r.doc_id, r.start, r.end) for r in rows if r.secret} == want
+
+
+def spans(spark, *texts):
+    d = s.candidates(spark.createDataFrame(list(enumerate(texts)), DOCS))
+    return [(r.doc_id, texts[r.doc_id][r.start:r.start + len(r.value)] == r.value, r.value, r.before[-8:], r.after[:3])
+            for r in d.orderBy("doc_id", "start").collect()]
+
+
+def test_candidates(spark):
+    t = ['é🙂 password="hunter2!x" then abcdefgh12345678 and abcdefghijklmnopqrst', "x=1", "", "Auth: short7 Auth: longer78",
+         "a1b2c3d4e5f6a7b8 a1b2c3d4e5f6a7b9"]
+    assert spans(spark, *t) == [
+        (0, True, "hunter2!x", 'sword="', '" t')[:3] + ('ssword="', '" t'), (0, True, "abcdefgh12345678", '" then ', " an"),
+        (3, True, "longer78", "7 Auth: ", ""), (4, True, "a1b2c3d4e5f6a7b8", "", " "), (4, True, "a1b2c3d4e5f6a7b9", " ", "")]
+
+
+@pytest.fixture(scope="module")
+def forest(spark, sf01):
+    docs = spark.read.parquet(f"{sf01}/documents.parquet")
+    words = s.dictionary(docs)
+    described = s.describe(s.candidates(docs), words)
+    return words, s.sample(described, words).cache()
+
+
+def test_held_out_accuracy(forest):
+    _, labelled = forest
+    out = F.pmod(F.xxhash64("value", "before", "after"), F.lit(5)) == 0
+    judged = s.judge(labelled.where(out), s.train(labelled.where(~out))).select("label", "secret").collect()
+    assert len(judged) > 50 and sum((r.label == 1) == r.secret for r in judged) / len(judged) > 0.95
+
+
+@pytest.mark.parametrize("text, secret", [
+    ('my api_key = "9f8e7d6c5b4a39281706f5e4d3c2b1a0" ok', True),
+    ("in commit 9f8e7d6c5b4a39281706f5e4d3c2b1a0 of", False),
+    ('token = "your_token_here_123456"', False),
+])
+def test_verdicts(spark, forest, text, secret):
+    words, labelled = forest
+    d = s.describe(s.candidates(spark.createDataFrame([(1, text)], DOCS)), words)
+    assert [r.secret for r in s.judge(d, s.train(labelled)).collect()] == [secret]
+
+
+def test_no_python_on_the_main_path(spark, forest, sf01):
+    words, labelled = forest
+    d = s.judge(s.describe(s.candidates(spark.read.parquet(f"{sf01}/documents.parquet")), words), s.train(labelled))
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_redact(spark, texts):
+    t = "x " + 'token = "9f8e7d6c5b4a39281706f5e4d3c2b1a0" and password: "8e7d6c5b4a39281706f5e4d3c2b1a0ff" é end'
+    rows = [(k, v, len(v), "z") for k, v in texts.items()] + [(-1, t, len(t), "z"), (-2, None, None, None), (-2, None, None, None), (-3, "", 0, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, value string")
+    out = s.redact(docs)
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got}
+    assert by[-1].text == 'x token = "[SECRET]" and password: "[SECRET]" é end' and by[-1].n_chars == len(by[-1].text)
+    assert by[-2].text is None and by[-3].text == ""
+    for k, v in texts.items():
+        assert by[k].text == re.sub(r'(?i)(token = ")[0-9a-f]{40}"', r'\1[SECRET]"', v) and by[k].value == "z"
+
+
+def test_edges(spark, edge):
+    got = s.scan(edge).collect()
+    assert all(r.secret and r.probability == 1.0 for r in got)
+    assert s.scan(spark.createDataFrame([], DOCS)).count() == 0
+    assert sorted(s.redact(edge).columns) == sorted(edge.columns) and s.redact(edge).count() == edge.count()
