@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lumen.llm import bpe, decontam, dedup, lm, pii, quality, secrets, sharding, tokens
+from lumen.llm import bpe, decontam, dedup, lm, pii, quality, secrets, sharding, tokens, warc
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
     "op2_feistel_shards": sharding.op2_feistel_shards,
+    "op3_revisits": warc.op3_revisits,
     "op4_semi_markov_pii": pii.op4_semi_markov_pii,
     "op5_near_duplicates": dedup.op5_near_duplicates,
     "op6_context_mixing": lm.op6_context_mixing,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_secret_forest": secrets.op10_secret_forest,
 }
 
-ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **warc.ORACLE_SQL}
