@@ -35,7 +35,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -171,47 +170,97 @@ def _tiles(open_: DataFrame) -> DataFrame:
     return d.select("key", "rep", "comp", "n", "sketch", "parity", "inside", "block", F.inline(tiles))
 
 
+def _tile_pairs(one: np.ndarray, two: np.ndarray, t: dict[str, np.ndarray], percent: int) -> np.ndarray:
+    """Rows (x, y, difference per mille of what a link may have) that sizes and both sketches allow."""
+    n, comp, sketch, parity, bound = t["n"], t["comp"], t["sketch"], t["parity"], _sketch_bound()
+    found = []
+    for at in range(0, len(one), 128):
+        x = one[at:at + 128]
+        far = np.zeros((len(x), len(two)), np.uint16)
+        for c in range(sketch.shape[1]):
+            far += np.bitwise_count(sketch[x, c][:, None] ^ sketch[two, c])
+        p, q = np.nonzero((far <= bound) & (comp[x][:, None] != comp[two]))
+        p, q = x[p], two[q]
+        size = 100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q])
+        p, q = p[size], q[size]
+        limit = (100 - percent) * (n[p] + n[q]) // (100 + percent)
+        differ = np.bitwise_count(parity[p] ^ parity[q]).sum(axis=1, dtype=np.int64)
+        ok = differ <= limit
+        found.append(np.stack([p[ok], q[ok], differ[ok] * 1000 // np.maximum(limit[ok], 1)]))
+    return np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
+
+
+def _forest(pairs: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """The likeliest pairs that join components."""
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+    keep = []
+    for k in np.argsort(pairs[2], kind="stable").tolist():
+        u, v = find(int(comp[pairs[0, k]])), find(int(comp[pairs[1, k]]))
+        if u != v:
+            root[max(u, v)] = min(u, v)
+            keep.append(k)
+    return pairs[:, keep]
+
+
 def _compare(tiles: DataFrame, percent: int, whole: bool) -> DataFrame:
-    """Pairs of different components in each tile that both sketches allow; ``cut``: more were found."""
-    bound = _sketch_bound()
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        _, i, j, kind = key
-        one = ~pdf["inside"].to_numpy() if kind == "g" else (pdf["block"] == i).to_numpy()
-        a, b = np.flatnonzero(one), np.flatnonzero(~one) if kind == "g" or i != j else np.flatnonzero(one)
-        rep, comp, n = (pdf[c].to_numpy() for c in ("rep", "comp", "n"))
-        parity = np.frombuffer(b"".join(pdf["parity"]), _U).reshape(len(pdf), -1)
-        sketch = np.array(pdf["sketch"].tolist(), np.int64).view(_U)
-        found = []
-        for at in range(0, len(a), 64):
-            x = a[at:at + 64]
-            limit = (100 - percent) * (n[x][:, None] + n[b]) // (100 + percent)
-            far = np.bitwise_count(parity[x][:, None] ^ parity[b]).sum(axis=2, dtype=np.int64)
-            ok = (far <= limit) & (comp[x][:, None] != comp[b]) & (rep[x][:, None] != rep[b])
-            ok &= 100 * np.minimum(n[x][:, None], n[b]) >= percent * np.maximum(n[x][:, None], n[b])
-            p, q = np.nonzero(ok)
-            near = np.bitwise_count(sketch[x[p]] ^ sketch[b[q]]).sum(axis=1) <= bound
-            p, q = p[near], q[near]
-            found.append(np.stack([x[p], b[q], far[p, q] * 1000 // np.maximum(limit[p, q], 1)]))
-        x, y, grade = np.concatenate([np.zeros((3, 0), np.int64), *found], axis=1)
-        cut = not whole and len(x) > MANY * len(pdf)
-        if cut:  # the likeliest pairs that join the tile's components
-            root: dict[int, int] = {}
-
-            def find(c: int) -> int:
-                while root.get(c, c) != c:
-                    c = root[c]
-                return c
-            keep = []
-            for k in np.argsort(grade, kind="stable").tolist():
-                u, v = find(comp[x[k]]), find(comp[y[k]])
-                if u != v:
-                    root[max(u, v)] = min(u, v)
-                    keep.append(k)
-            x, y = x[keep], y[keep]
-        return pd.DataFrame({"a": np.minimum(rep[x], rep[y]), "b": np.maximum(rep[x], rep[y]), "cut": cut})
-    found = tiles.groupBy("key", "i", "j", "kind").applyInPandas(run, "a long, b long, cut boolean")
-    return found.groupBy("a", "b").agg(F.max("cut").alias("cut"))
+    """(key, a, b, cut): pairs of different components in each tile that sketches allow; ``cut``: more were found.
+
+    Tiles follow each other in sorted partitions; a task holds one batch and
+    the tile that it breaks off in.
+    """
+    names = ["key", "i", "j", "kind"]
+
+    def arrays(t: pa.Table) -> dict[str, np.ndarray]:
+        t = t.combine_chunks()
+        out = {c: t.column(c).to_numpy() for c in ("key", "i", "j", "kind", "rep", "comp", "n", "inside", "block")}
+        fixed = lambda c, k: np.frombuffer(b"".join(t.column(c).to_pylist()), _U).reshape(t.num_rows, k)
+        out["parity"] = fixed("parity", SET_BITS // 64)
+        out["sketch"] = t.column("sketch").combine_chunks().flatten().to_numpy().view(_U).reshape(t.num_rows, SKETCH_LONGS)
+        return out
+
+    def compare(t: dict[str, np.ndarray], a: int, b: int) -> tuple[np.ndarray, bool]:
+        if t["kind"][a] == 1:
+            one = ~t["inside"][a:b]
+            two = ~one
+        else:
+            one, two = t["block"][a:b] == t["i"][a], t["block"][a:b] == t["j"][a]
+        pairs = _tile_pairs(a + np.flatnonzero(one), a + np.flatnonzero(two), t, percent)
+        cut = not whole and pairs.shape[1] > MANY * (b - a)
+        return _forest(pairs, t["comp"]) if cut else pairs, cut
+
+    def done(t: pa.Table, rest: bool) -> tuple[pa.RecordBatch, pa.Table]:
+        """Pairs of the tiles that are complete, and the rows of the last one unless no rows follow."""
+        x = arrays(t)
+        new = np.ones(t.num_rows, bool)
+        new[1:] = np.any([x[c][1:] != x[c][:-1] for c in names], axis=0)
+        edge = np.append(np.flatnonzero(new), t.num_rows)
+        if rest:
+            edge = edge[:-1]
+        cols = [[np.zeros(0, np.int64)] for _ in range(3)] + [[np.zeros(0, bool)]]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            pairs, cut = compare(x, a, b)
+            u, v = x["rep"][pairs[0]], x["rep"][pairs[1]]
+            for c, y in zip(cols, (np.full(len(u), x["key"][a]), np.minimum(u, v), np.maximum(u, v), np.full(len(u), cut))):
+                c.append(y)
+        return pa.record_batch([pa.array(np.concatenate(c)) for c in cols], ["key", "a", "b", "cut"]), t.slice(int(edge[-1]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t])
+            if t.num_rows:
+                out, held = done(t, True)
+                yield out
+        if held is not None and held.num_rows:
+            yield done(held, False)[0]
+    sorted_ = tiles.withColumn("kind", F.when(F.col("kind") == "g", 1).otherwise(0)).repartition(*names).sortWithinPartitions(*names)
+    return sorted_.mapInArrow(run, "key long, a long, b long, cut boolean")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -241,18 +290,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     pairs = _with_leader(met.join(live.select("rep", "n", "sketch"), "rep"), percent)
     links = materialise(_confirm(pairs, sets, percent), "links")
     comps = connected_components(links)
-    whole = False
+    whole, again = False, met
     while True:
-        member = met.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        member = again.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         spread = (member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key"))
         open_ = materialise(member.join(spread, "key"), "open")
         pairs = materialise(_compare(_tiles(open_.join(live, "rep")), percent, whole), "pairs")
-        links = materialise(_confirm(pairs.select("a", "b"), sets, percent), "links")
+        links = materialise(_confirm(pairs.select("a", "b").distinct(), sets, percent), "links")
         merged = not links.isEmpty()
         if merged:
             comps = _merge(comps, links)
-        if pairs.where("cut").isEmpty():
+        cut = pairs.where("cut").select("key").distinct()
+        if cut.isEmpty():
             break
+        again = open_.join(cut, "key", "left_semi").select("key", "rep")
         whole = not merged
     member = sig.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
     member = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")

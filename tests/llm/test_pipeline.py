@@ -20,12 +20,12 @@ def test_run_equals_brute_force(spark, sf01, texts):
     groups = brute(kept, 5)
     kept = {k: t for k, t in kept.items() if groups[k][1] == k}
     items = [plain(r.text).strip() for r in spark.read.parquet(f"{sf01}/benchmark.parquet").collect()]
-    # an occurrence within the budget holds some eighth of the item unchanged, near enough for a cut list
-    def near(x, y):
-        n = len(y) // 20
-        return any(y[i:i + n] in x for i in range(0, len(y) - n, n))
+
+    def near(x, y):  # of budget + 1 pieces of an item, one stays whole
+        n = len(y) // (budget(len(y)) + 1)
+        return any(y[i * n:(i + 1) * n] in x for i in range(budget(len(y)) + 1))
     kept = {k: t for k, t in kept.items()
-            if not any(near(plain(t), y) and least_edits(y, plain(t)) <= budget(len(y)) for y in items)}
+            if not any(near(x, y) and least_edits(y, x) <= budget(len(y)) for x in [plain(t)] for y in items)}
     kept = {k: re.sub(r'(?i)(token = ")[0-9a-f]{40}"', r'\1[SECRET]"', t) for k, t in kept.items()}
     ranks = {p: i for i, p in enumerate(bpe.load_ranks(PATH))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
