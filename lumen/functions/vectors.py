@@ -20,9 +20,13 @@ def l2_norm(v) -> Column:
 
 
 def l2_normalize(v) -> Column:
-    """``v / max(||v||, eps)`` elementwise."""
+    """``v / max(||v||, eps)`` elementwise.
+
+    The norm is bound by an outer lambda, so it is computed once per vector and
+    not once per element.
+    """
     n = F.greatest(l2_norm(v), F.lit(NORM_EPS))
-    return F.transform(_col(v), lambda x: x.cast("double") / n)
+    return F.transform(F.array(n), lambda m: F.transform(_col(v), lambda x: x.cast("double") / m))[0]
 
 
 def dot(a, b) -> Column:

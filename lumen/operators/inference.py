@@ -11,6 +11,7 @@ worker or executor still fails the task and Spark's own retry takes over.
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,12 +21,42 @@ from pyspark.sql import types as T
 _MODELS: dict[str, object] = {}  # per Python worker: loaded once, reused by every task
 
 
-def _load(loader: Callable[[], object] | None, name: str):
+def _model_key(name: str | None) -> str:
+    """A worker keeps a model under its own name, or under an id of this call: two loaders never share one."""
+    return name or uuid.uuid4().hex
+
+
+def _load(loader: Callable[[], object] | None, key: str):
     if loader is None:
         return None
-    if name not in _MODELS:
-        _MODELS[name] = loader()
-    return _MODELS[name]
+    if key not in _MODELS:
+        _MODELS[key] = loader()
+    return _MODELS[key]
+
+
+def _answers(call, prompts: list, contents: list) -> list[str]:
+    """Stripped answers of one model call; a wrong number or a missing answer is an error."""
+    got = list(call(prompts, contents))
+    if len(got) != len(prompts):
+        raise ValueError(f"generator returned {len(got)} answers for {len(prompts)} prompts")
+    if any(a is None for a in got):
+        raise ValueError("generator returned no answer")
+    return [str(a).strip() for a in got]
+
+
+def _isolate_answers(call, prompts: list, contents: list) -> tuple[list, list]:
+    """Answers and errors of a batch; a failing batch is split until the failing items are alone."""
+    if not prompts:
+        return [], []
+    try:
+        return _answers(call, prompts, contents), [None] * len(prompts)
+    except Exception as exc:
+        if len(prompts) == 1:
+            return [None], [repr(exc)]
+    mid = len(prompts) // 2
+    a, e = _isolate_answers(call, prompts[:mid], contents[:mid])
+    b, f = _isolate_answers(call, prompts[mid:], contents[mid:])
+    return a + b, e + f
 
 
 def _chunks(pdf: pd.DataFrame, size: int):
@@ -72,7 +103,7 @@ def spread(df: DataFrame, partitions: int | None) -> DataFrame:
 
 
 def embed_batches(df: DataFrame, embed: Callable, batch_size: int = 64,
-                  loader: Callable[[], object] | None = None, loader_name: str = "embedder",
+                  loader: Callable[[], object] | None = None, loader_name: str | None = None,
                   reason: str = "embedding_error", partitions: int | None = None) -> DataFrame:
     """M1: ``embed(batch_pdf[, model]) -> list[vector]`` per batch of rows.
 
@@ -84,9 +115,10 @@ def embed_batches(df: DataFrame, embed: Callable, batch_size: int = 64,
         T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType()),
         T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
     cols = [f.name for f in out_schema.fields]
+    key = _model_key(loader_name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _load(loader, loader_name)
+        model = _load(loader, key)
 
         def call(chunk):
             return embed(chunk, model) if model is not None else embed(chunk)
@@ -118,7 +150,7 @@ def embed_batches(df: DataFrame, embed: Callable, batch_size: int = 64,
 
 def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "prompt",
                      content_col: str | None = None, batch_size: int = 8,
-                     loader: Callable[[], object] | None = None, loader_name: str = "generator",
+                     loader: Callable[[], object] | None = None, loader_name: str | None = None,
                      out_col: str = "generated", partitions: int | None = None) -> DataFrame:
     """M2: ``generate(prompts, contents[, model]) -> list[str]``; output stripped,
     per-batch seconds split evenly over its items in ``time_s``; failed items
@@ -137,11 +169,13 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
         T.StructField("error", T.StringType())])
     cols = [f.name for f in out_schema.fields]
 
-    def call(model, prompts, contents):
-        return generate(prompts, contents, model) if model is not None else generate(prompts, contents)
+    key = _model_key(loader_name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _load(loader, loader_name)
+        model = _load(loader, key)
+
+        def call(prompts, contents):
+            return generate(prompts, contents, model) if model is not None else generate(prompts, contents)
         for pdf in batches:
             pdf = pdf.reset_index(drop=True)
             all_p = pdf[prompt_col].tolist()
@@ -150,16 +184,9 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
             for i in range(0, len(pdf), max(1, batch_size)):
                 prompts, contents = all_p[i:i + batch_size], all_c[i:i + batch_size]
                 t0 = time.perf_counter()
-                try:
-                    got = [str(t).strip() for t in call(model, prompts, contents)]
-                    texts += got
-                    errs += [None] * len(prompts)
-                except Exception:
-                    for p, c in zip(prompts, contents):
-                        try:
-                            texts.append(str(call(model, [p], [c])[0]).strip()), errs.append(None)
-                        except Exception as exc:
-                            texts.append(None), errs.append(repr(exc))
+                got, bad = _isolate_answers(call, prompts, contents)
+                texts += got
+                errs += bad
                 secs += [(time.perf_counter() - t0) / max(1, len(prompts))] * len(prompts)
             pdf[out_col], pdf["time_s"], pdf["error"] = texts, secs, errs
             yield pdf[cols]
@@ -169,14 +196,16 @@ def generate_batches(df: DataFrame, generate: Callable, prompt_col: str = "promp
 
 def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader, loader_name, out_col):
     out_schema = _with_cols(df.schema, [
-        T.StructField(out_col, T.ArrayType(T.StringType())), T.StructField("time_s", T.DoubleType())])
+        T.StructField(out_col, T.ArrayType(T.StringType())), T.StructField("time_s", T.DoubleType()),
+        T.StructField("error", T.StringType())])
     cols = [f.name for f in out_schema.fields]
-
-    def call(model, prompts, contents):
-        return generate(prompts, contents, model) if model is not None else generate(prompts, contents)
+    model_key = _model_key(loader_name)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = _load(loader, loader_name)
+        model = _load(loader, model_key)
+
+        def call(prompts, contents):
+            return generate(prompts, contents, model) if model is not None else generate(prompts, contents)
         for pdf in batches:
             for chunk in _chunks(pdf, batch_size):
                 chunk = chunk.reset_index(drop=True)
@@ -186,13 +215,14 @@ def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader
                 flat_p = [p for ps in lists for p in ps]
                 flat_k = [k for ps, k in zip(lists, keys) for _ in ps]
                 t0 = time.perf_counter()
-                answers = [str(a).strip() for a in call(model, flat_p, flat_k)] if flat_p else []
+                answers, bad = _isolate_answers(call, flat_p, flat_k)
                 dt = (time.perf_counter() - t0) / max(1, len(flat_p))
-                res, pos = [], 0
+                res, err, pos = [], [], 0
                 for ps in lists:
                     res.append(answers[pos:pos + len(ps)])
+                    err.append(next((e for e in bad[pos:pos + len(ps)] if e is not None), None))
                     pos += len(ps)
-                out[out_col], out["time_s"] = res, dt
+                out[out_col], out["time_s"], out["error"] = res, dt, err
                 yield out[cols]
 
     return df.mapInPandas(run, out_schema)
@@ -200,7 +230,7 @@ def _generate_per_item(df, generate, prompt_col, content_col, batch_size, loader
 
 def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed: Callable,
                  path_col: str = "resolved_path", batch_size: int = 64, normalize: bool = True,
-                 listing_filter=None, partitions: int | None = None) -> DataFrame:
+                 listing_filter=None) -> DataFrame:
     """Image embedding (S7 -> M1 -> T16 -> J2): every item accounted for.
 
     The model runs on the *listing* side, straight out of the ``binaryFile``
@@ -258,7 +288,7 @@ def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed:
                             er[i] = f"batch_error={batch_exc!r}; item_error={item_exc!r}"
             yield pd.DataFrame({"_lp": paths, "embedding": emb, "status": st, "reason": rs, "error": er})
 
-    vectors = spread(files, partitions).mapInPandas(run, vec_schema)
+    vectors = files.mapInPandas(run, vec_schema)
     if normalize:
         vectors = vectors.withColumn("embedding", F.when(F.col("embedding").isNotNull(),
                                                          F.transform(l2_normalize("embedding"), lambda x: x.cast("float"))))

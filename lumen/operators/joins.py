@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 DEFAULT_CANDIDATES = [("path", "path"), ("source_image_path", "path"), ("path_short", "path_short")]
 
 
+#: Keys cut out of a path: a null path has none, so nulls do not match there.
+DERIVED_KEYS = ("path_short",)
+
+
+def _equal(a, b, key: str):
+    return a == b if key in DERIVED_KEYS else a.eqNullSafe(b)
+
+
 @dataclass
 class JoinInfo:
     matched_rows: int
@@ -25,8 +33,8 @@ def candidate_counts(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDI
 
     Per candidate each side is pre-aggregated to ``(key, count)``; the (full
     outer) join of two count tables multiplies counts, so many-to-many matches
-    are counted exactly (duplicates included, nulls match nulls as in pandas)
-    while nothing wide is materialised, and the same pass yields both table
+    are counted exactly (duplicates included; nulls match nulls as in pandas,
+    except on keys derived from a path) while nothing wide is materialised, and the same pass yields both table
     sizes. All candidates run in one job (a union).
     """
     parts = []
@@ -35,7 +43,7 @@ def candidate_counts(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDI
             continue
         cl = left.groupBy(F.col(lk).alias("_k")).agg(F.count(F.lit(1)).alias("_cl"))
         cr = right.groupBy(F.col(rk).alias("_k")).agg(F.count(F.lit(1)).alias("_cr"))
-        m = cl.join(cr, cl["_k"].eqNullSafe(cr["_k"]), "full").agg(
+        m = cl.join(cr, _equal(cl["_k"], cr["_k"], lk), "full").agg(
             F.coalesce(F.sum(F.col("_cl") * F.col("_cr")), F.lit(0)).alias("matched_rows"),
             F.coalesce(F.sum("_cl"), F.lit(0)).alias("left_rows"),
             F.coalesce(F.sum("_cr"), F.lit(0)).alias("right_rows"))
@@ -53,7 +61,7 @@ def best_key_join(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDIDAT
                   suffix: str = "_label", label_side: str = "left") -> tuple[DataFrame, JoinInfo]:
     """Join on the candidate key pair with the most matched rows (earliest wins ties).
 
-    Pass 2 is a single inner join on the winner with null-safe equality.
+    Pass 2 is a single inner join on the winner.
     Right-hand columns that collide with left-hand ones get ``suffix`` (J8):
     with ``label_side="left"`` a condition present on both sides resolves to the
     embedding side, as in the reference; ``"right"`` prefers the label table.
@@ -79,7 +87,7 @@ def best_key_join(left: DataFrame, right: DataFrame, candidates=DEFAULT_CANDIDAT
             names[c] = c
     rr = right.select(*[F.col(c).alias(n) for c, n in names.items()])
     rkey = names[rk]
-    joined = left.join(rr, left[lk].eqNullSafe(rr[rkey]), "inner")
+    joined = left.join(rr, _equal(left[lk], rr[rkey], lk), "inner")
     if lk == rk:
         joined = joined.drop("_rkey")
     if label_side == "right":

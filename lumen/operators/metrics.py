@@ -181,7 +181,7 @@ def auc_by(df: DataFrame, group_cols, label: str = "y", score: str = "score",
     counts = join_small(counts, offsets, group_cols + ["_b"], bound=n_groups * max(1, buckets))
     inside = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     cq = F.col("_qoff") + F.coalesce(F.sum("_q").over(inside), F.lit(0))
-    contrib = counts.select(*group_cols, "_p", "_q", "_r", (F.col("_p") * (2 * cq + F.col("_q"))).alias("_num"))
+    contrib = counts.select(*group_cols, "_p", "_q", "_r", (F.col("_p").cast("decimal(38,0)") * (2 * cq + F.col("_q"))).cast("decimal(38,0)").alias("_num"))
     out = contrib.groupBy(*group_cols).agg(
         F.sum("_p").alias("n_pos"), F.sum("_q").alias("n_neg"), F.sum("_r").alias("n_rows"),
         F.sum("_num").alias("_num"))

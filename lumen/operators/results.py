@@ -48,7 +48,7 @@ def report_results(studies: DataFrame, generate: Callable, max_samples: int = -1
     out = g.unionByName(missing)
     return out.select(key_col, "dicom_id", "subject_id", F.col("prompt").alias("prompt_used"),
                       F.col("findings").alias("findings_gt"), F.col("impression").alias("impression_gt"),
-                      "full_gt", "full_gen", F.round("time_s", 3).alias("time_full_s"), "status", "reason", "error")
+                      "full_gt", "full_gen", F.round("time_s", 2).alias("time_full_s"), "status", "reason", "error")
 
 
 def classification_wide(items: DataFrame, conditions, key_cols=("item_id",), answers: str = "answers",
@@ -63,7 +63,7 @@ def classification_wide(items: DataFrame, conditions, key_cols=("item_id",), ans
         if "raw" in elem:
             cols.append(a["raw"].alias(f"raw_{c}"))
         if time_col:
-            cols.append(F.round(F.col(time_col), 2).alias(f"time_{c}_s"))
+            cols.append(F.round(F.col(time_col), 3).alias(f"time_{c}_s"))
     return items.select(*cols)
 
 

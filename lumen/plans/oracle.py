@@ -156,7 +156,7 @@ auc AS (SELECT {group}, CAST(sum(p) AS BIGINT) AS n_pos, CAST(sum(q) AS BIGINT)
 
 
 _LABELS_B = f"lb AS (SELECT *, {_SHORT_B} AS path_short FROM v_cxr_labels)"
-_JOIN_B = "v_cxr c JOIN lb l ON c.path_short IS NOT DISTINCT FROM l.path_short"
+_JOIN_B = "v_cxr c JOIN lb l ON c.path_short = l.path_short"
 
 
 def _probe_ctes() -> str:
@@ -196,7 +196,7 @@ _CHAT_TAIL = "}]}]"
 
 _ITEMS = f"""
 pi AS (SELECT doc_id, path, {_PN} AS patient_num, {_SHORT_A} AS path_short FROM v_paths),
-it AS (SELECT * FROM pi WHERE patient_num BETWEEN 1 AND 150),
+it AS (SELECT * FROM pi WHERE patient_num BETWEEN 1 AND 8528),
 fl AS (SELECT it.*, CASE WHEN l.path IS NULL THEN 'file_not_found' WHEN l.decodable = 0 THEN 'image_open_error' END AS reason
        FROM it LEFT JOIN v_listing l ON it.path = l.path),
 ff AS (SELECT *, CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status FROM fl)"""

@@ -79,7 +79,8 @@ QUERIES = {
 STUDY_COLS = ["study_id", "subject_id", "dicom_id", "local_image_path", "findings", "impression",
               "indication", "full_gt", "prompt"]
 IMAGE_BASE = "/data/images"
-PATIENT_LO, PATIENT_HI = 1, 150
+PATIENT_LO, PATIENT_HI = 1, 150  # the range query
+PATIENT_FIRST, PATIENT_LAST = 1, 8528  # fixed values: the whole range of patient numbers
 
 
 def q_studies_clean(spark, sf):
@@ -139,7 +140,7 @@ def q_patient_range(spark, sf):
 
 
 def _embedding_items(spark, sf):
-    items = FL.patient_range(X.v_paths(spark, sf), PATIENT_LO, PATIENT_HI)
+    items = FL.patient_range(X.v_paths(spark, sf), PATIENT_FIRST, PATIENT_LAST)
     return FL.split_existing(items, X.v_listing(spark, sf), "path", "decodable")
 
 
@@ -350,7 +351,6 @@ def q_upsert_evaluation(spark, sf):
         F.col("doc_id").alias("run_id"), F.col("source").alias("task"),
         F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
     new = read_table(spark, sf, "labels").select(F.col("doc_id").alias("run_id"), "quality", "toxic")
-    new = new.join(docs.select("run_id", "task"), "run_id")  # carry the run's own fields
     return upsert(docs, new, "run_id").select("run_id", "task", "quality", "toxic")
 
 

@@ -67,18 +67,24 @@ def manifest(results: DataFrame, patient_col: str = "patient_num") -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key, allow_create: bool = False) -> DataFrame:
-    """K7: replace rows of ``old`` by key with ``new``'s; never create unless allowed.
+    """K7: update the columns that ``new`` names, by key; all other columns keep their values.
 
-    ``left_anti`` keeps untouched rows, ``unionByName`` adds the replacements.
-    Raises when a new key has no existing row (the reference refuses to create).
+    A null in ``new`` leaves the old value. Raises when a new key has no
+    existing row (unless ``allow_create``: the row is added with nulls
+    elsewhere) and when ``new`` holds a key twice.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    twice = new.groupBy(*keys).count().where("count > 1")
+    if not twice.isEmpty():
+        raise ValueError("upsert rows repeat a key")
     if not allow_create:
         orphans = new.select(*keys).join(old.select(*keys), keys, "left_anti")
         if not orphans.isEmpty():
             raise FileNotFoundError("upsert target rows do not exist for some keys")
-    kept = old.join(new.select(*keys), keys, "left_anti")
-    return kept.unionByName(new, allowMissingColumns=True)
+    named = [c for c in new.columns if c not in keys]
+    update = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in named])
+    joined = old.join(update, keys, "full" if allow_create else "left")
+    return joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in named else F.col(c) for c in old.columns])
 
 
 def write_models(models: DataFrame, path: str) -> None:

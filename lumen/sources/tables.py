@@ -47,8 +47,10 @@ def read_label_csv(spark: SparkSession, path: str, schema: T.StructType | str |
     target = None
     if schema is not None:
         target = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
-        reader = reader.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in target.fields]))
-    df = reader.csv(path)
+    df = reader.csv(path)  # the header names the columns, whatever their order
+    if target is not None:
+        require_columns(df, target.names)
+        df = df.select(*[F.col(f"`{c}`") for c in target.names])
     tokens = [t for t in null_tokens if t != ""]
     cols = []
     for f in df.schema.fields:
@@ -82,7 +84,10 @@ def list_images(spark: SparkSession, root: str, with_content: bool = False) -> D
 
 
 def read_model_meta(spark: SparkSession, path: str) -> DataFrame:
-    """Per-model metadata JSON objects; a missing folder yields an empty table."""
+    """Per-model metadata JSON objects; a missing folder yields an empty table.
+
+    Files that do not name their model are known by their own name (``<model>.json``).
+    """
     schema = T.StructType([
         T.StructField("model_name", T.StringType()),
         T.StructField("condition", T.StringType()),
@@ -90,7 +95,9 @@ def read_model_meta(spark: SparkSession, path: str) -> DataFrame:
         T.StructField("best_hyperparameter_C", T.DoubleType()),
     ])
     try:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
+        meta = spark.read.schema(schema).option("multiLine", True).json(path)
+        stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+        return meta.withColumn("model_name", F.coalesce("model_name", stem))
     except Exception as exc:  # AnalysisException: path does not exist
         if "PATH_NOT_FOUND" in str(exc) or "does not exist" in str(exc):
             return spark.createDataFrame([], schema)

@@ -17,8 +17,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from lumen.session import checkpoint_dir
-
 
 def score_files(spark: SparkSession, source_dir: str, schema: T.StructType,
                 transform: Callable[[DataFrame], DataFrame], sink_dir: str, name: str,
@@ -26,14 +24,19 @@ def score_files(spark: SparkSession, source_dir: str, schema: T.StructType,
                 max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
     """Start a file-to-file scoring stream; returns the running query.
 
-    ``checkpoint`` defaults to ``<spark.checkpoint.dir>/streams/<name>`` (a
-    shared folder on a cluster). ``transform`` must be stateless (append mode).
+    ``checkpoint`` defaults to ``<spark.checkpoint.dir>/streams/<name>``, the
+    folder as configured, so that a restarted application goes on where the
+    last one ended; without that setting it must be given. ``transform`` must
+    be stateless (append mode).
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     out = transform(reader.load(source_dir))
-    ckpt = checkpoint or os.path.join(checkpoint_dir(spark), "streams", name)
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not checkpoint and not root:
+        raise ValueError("a stream needs a checkpoint folder: pass one or set spark.checkpoint.dir")
+    ckpt = checkpoint or os.path.join(root, "streams", name)
     writer = (out.writeStream.format(fmt).outputMode("append").queryName(name)
               .option("checkpointLocation", ckpt).option("path", sink_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")

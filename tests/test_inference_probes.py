@@ -218,3 +218,34 @@ def test_running_policy_counts_match_batch(spark, scratch):
     for c, d in want.items():
         assert got[c] == (d["drop_ambiguous"]["n_rows"], d["drop_ambiguous"]["tp"],
                           d["ambiguous_to_negative"]["n_rows"], d["ambiguous_to_negative"]["fp"])
+
+
+def test_two_loaders_do_not_share_a_model(spark):
+    from lumen.operators.inference import embed_batches
+    df = spark.range(4).withColumnRenamed("id", "key")
+
+    def embed(chunk, model):
+        return [[model]] * len(chunk)
+    one = embed_batches(df, embed, loader=lambda: 1.0).collect()
+    two = embed_batches(df, embed, loader=lambda: 2.0).collect()
+    assert {r.embedding[0] for r in one} == {1.0} and {r.embedding[0] for r in two} == {2.0}
+
+
+def test_bad_answers_fail_their_own_item(spark):
+    from lumen.operators.inference import generate_batches
+
+    def generate(prompts, contents):
+        if any(p == "boom" for p in prompts):
+            raise RuntimeError("boom")
+        if any(p == "short" for p in prompts):
+            return ["x"] * (len(prompts) - 1)
+        return [None if p == "none" else p.upper() for p in prompts]
+    words = ["a", "boom", "b", "none", "short", "c"]
+    single = generate_batches(spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, prompt string"), generate).collect()
+    assert {r.prompt: r.generated for r in single} == {"a": "A", "boom": None, "b": "B", "none": None, "short": None, "c": "C"}
+    assert all((r.error is None) == (r.generated is not None) for r in single)
+    rows = [(0, ["a", "b"]), (1, ["boom", "c"]), (2, [])]
+    many = {r.i: r for r in generate_batches(spark.createDataFrame(rows, "i int, prompt array<string>"), generate).collect()}
+    assert many[0].generated == ["A", "B"] and many[0].error is None
+    assert many[1].generated == [None, "C"] and "boom" in many[1].error
+    assert many[2].generated == [] and many[2].error is None

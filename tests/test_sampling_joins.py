@@ -68,6 +68,13 @@ def test_label_side_option(spark):
     assert j_right.first()["edema"] == 1.0
 
 
+def test_null_paths_have_no_short_key(spark):
+    left = spark.createDataFrame([(1, "x", "s"), (2, None, None), (3, None, None)], "id int, source_image_path string, path_short string")
+    right = spark.createDataFrame([("q", "s", 1.0), (None, None, 0.0), (None, None, 0.0)], "path string, path_short string, edema double")
+    joined, info = best_key_join(left, right, candidates=[("path_short", "path_short")])
+    assert info.matched_rows == 1 and [r.id for r in joined.collect()] == [1]
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([(1, "a", None), (2, "b", None)], "run_id int, task string, ev string")
     new = spark.createDataFrame([(2, "b", "x")], "run_id int, task string, ev string")

@@ -75,8 +75,28 @@ def test_models_runs_and_metadata(spark, scratch):
     assert out.endswith("probe_eval/run_date=12-02") and spark.read.parquet(out).count() == 2
     assert counts == {"rows": 2}
     new = spark.createDataFrame([("r1", "probe_eval", '{"auc": 0.9}')], "run_id string, task string, evaluation string")
-    merged = upsert(spark.read.parquet(runs_path).drop("params", "started_at", "runtime_s"), new, "run_id")
-    assert merged.first()["evaluation"] == '{"auc": 0.9}'
+    merged = upsert(spark.read.parquet(runs_path), new, "run_id").first()
+    assert merged["evaluation"] == '{"auc": 0.9}'
+    assert merged["params"] == r["params"] and merged["started_at"] == r["started_at"] and merged["runtime_s"] == r["runtime_s"]
+    with pytest.raises(ValueError):
+        upsert(spark.read.parquet(runs_path), new.union(new), "run_id")
+
+
+def test_csv_columns_are_bound_by_name(spark, scratch):
+    with open(os.path.join(scratch, "l.csv"), "w") as f:
+        f.write("b,extra,a\n1,x,2\nNA,y,3\n")
+    got = read_label_csv(spark, os.path.join(scratch, "l.csv"), "a int, b int").collect()
+    assert [(r.a, r.b) for r in got] == [(2, 1), (3, None)]
+    with pytest.raises(ValueError):
+        read_label_csv(spark, os.path.join(scratch, "l.csv"), "a int, missing int")
+
+
+def test_metadata_is_keyed_by_its_file(spark, scratch):
+    os.makedirs(os.path.join(scratch, "meta"))
+    with open(os.path.join(scratch, "meta", "edema_64.json"), "w") as f:
+        f.write('{"condition": "edema",\n "sample_size": 64}')
+    r = read_model_meta(spark, os.path.join(scratch, "meta")).first()
+    assert (r.model_name, r.condition, r.sample_size) == ("edema_64", "edema", 64)
 
 
 def test_wide_embeddings(spark, scratch):
