@@ -2,14 +2,16 @@
 
 A word's bytes (as hex text) start as one piece each; a fold joins, step by
 step, the adjacent pair whose joined bytes have the least rank, leftmost
-first, until no pair has a rank. Ranks are a literal two-choice hash table in
-the plan: each key sits in one of two slots, so a lookup reads at most two.
+first, until no pair has a rank. Ranks and joined pairs are literal two-choice
+hash tables in the plan: each key sits in one of two slots, so a lookup reads
+at most two. Every value that a lambda reads more than once is bound by a
+lambda of its own. A match of n bytes takes up to n steps of n cells.
 Decoding looks pieces up by id and concatenates them.
 
-Frequent pieces of text (between spaces) are folded once for the corpus: their
-number is bounded by FREQUENT, so their ids are shipped to the tasks. A task
-replaces them as it reads a text; pieces outside the table go on to the same
-fold in the same task. No text is shuffled, only pieces with their counts are.
+Frequent words (between spaces) and runs of marks are folded once for the
+corpus: their number is bounded by FREQUENT, so their ids are shipped to the
+tasks. A task replaces them as it reads a text; pieces outside the table go on
+to the same fold in the same task. No text is shuffled, only pieces with their counts are.
 
 Defined results: null and empty texts have no ids and decode to no bytes;
 repeated rows are encoded each; an empty table gives an empty result; other
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import base64
 import re
-import struct
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -35,11 +37,20 @@ from lumen.llm import textvec
 from lumen.llm.common import materialise, most_frequent, read
 
 #: Most pieces whose ids are shipped to tasks.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 19
+#: Words with marks that a worker keeps put together.
+TOGETHER = 1 << 18
 
 #: Unicode white space, as \s means it in the tokenizer's pattern.
 _WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _SEED = 42
+#: Before a key of the table: the piece stands alone, no space goes before it.
+_BARE = "\x01"
+#: ASCII marks; the pattern always cuts between a letter and one of them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_WORD_MARKS = r"""^(.*\p{L})([!"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]+)$"""
+#: Bits of an id in a packed pair.
+_BITS = 20
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -57,80 +68,95 @@ def java_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
 
 
-@lru_cache(maxsize=4)
-def _slots(path: str) -> tuple[list[bytes], list[int]]:
-    """Pieces, and a two-choice hash table of their ranks (-1: free)."""
-    pieces = load_ranks(path)
-    size = 1 << (2 * len(pieces)).bit_length()
-    hashes = [xxhash.xxh64_intdigest(p.hex().upper(), _SEED) for p in pieces]
+def _two_choice(hashes: list[int], items: list[int]) -> list[int]:
+    """A hash table in which each item sits in one of its hash's two slots (-1: free)."""
+    size = 1 << (2 * len(items)).bit_length()
     table = [-1] * size
-    for r in range(len(pieces)):
-        at, item = hashes[r] & (size - 1), r
+    for k in range(len(items)):
+        at, held = hashes[k] & (size - 1), k
         for _ in range(500):
-            table[at], item = item, table[at]
-            if item < 0:
+            table[at], held = held, table[at]
+            if held < 0:
                 break
-            a, b = hashes[item] & (size - 1), (hashes[item] >> 32) & (size - 1)
+            a, b = hashes[held] & (size - 1), (hashes[held] >> 32) & (size - 1)
             at = b if at == a else a
         else:
-            raise ValueError("the hash table of ranks did not settle")
-    return pieces, table
+            raise ValueError("the hash table did not settle")
+    return [items[k] if k >= 0 else -1 for k in table]
+
+
+@lru_cache(maxsize=4)
+def _slots(path: str) -> tuple[list[bytes], list[int], list[int]]:
+    """Pieces; the table of their ranks by bytes; the table of joined pairs, packed (left, right, joined)."""
+    pieces = load_ranks(path)
+    if len(pieces) >= 1 << _BITS:
+        raise ValueError("too many pieces to pack a pair")
+    rank = {p: r for r, p in enumerate(pieces)}
+    by_bytes = _two_choice([xxhash.xxh64_intdigest(p.hex().upper(), _SEED) for p in pieces], list(range(len(pieces))))
+    pairs = [(rank[p[:i]], rank[p[i:]], r) for r, p in enumerate(pieces) for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank]
+    keys = [a << _BITS | b for a, b, _ in pairs]
+    hashes = [xxhash.xxh64_intdigest(k.to_bytes(8, "little"), _SEED) for k in keys]
+    return pieces, by_bytes, _two_choice(hashes, [k << _BITS | m for k, (_, _, m) in zip(keys, pairs)])
 
 
 class Vocabulary:
     """Column expressions over a vocabulary of ranked pieces."""
 
     def __init__(self, path: str, pattern: str):
-        pieces, table = _slots(path)
+        pieces, ranks, pairs = _slots(path)
         self.pattern = pattern
-        self._mask = len(table) - 1
+        self._size = {"t": len(ranks) - 1, "m": len(pairs) - 1}
         self._pieces = F.split(F.lit(",".join(p.hex().upper() for p in pieces)), ",")
         self._ids = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(pieces)))), ",")
-        self._table = F.split(F.lit(",".join(map(str, table))), ",").cast("array<int>")
-
-    def _with_tables(self, body) -> Column:
-        """``body(pieces, table)`` with each literal once in the plan."""
-        both = F.array(F.struct(self._pieces.alias("p"), self._table.alias("t")))
-        return F.transform(both, lambda x: body(x["p"], x["t"]))[0]
-
-    def _rank(self, s: Column, pieces: Column, table: Column) -> Column:
-        h, m = F.xxhash64(s), F.lit(self._mask)
-        a = F.get(table, h.bitwiseAND(m))
-        b = F.get(table, F.shiftrightunsigned(h, 32).bitwiseAND(m))
-        return F.when(F.get(pieces, a) == s, a).when(F.get(pieces, b) == s, b)
-
-    def _fold(self, word: Column, pieces: Column, table: Column) -> Column:
+        self._ranks = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+        self._pairs = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<bigint>")
+
+    def _slot_pair(self, x: Column, which: str, table: Column) -> tuple[Column, Column]:
+        h, m = F.xxhash64(x), F.lit(self._size[which])
+        return F.get(table, h.bitwiseAND(m)), F.get(table, F.shiftrightunsigned(h, 32).bitwiseAND(m))
+
+    def _rank(self, s: Column, x: Column) -> Column:
+        """Rank of bytes in hex, or null."""
+        a, b = self._slot_pair(s, "t", x["t"])
+        return F.when(F.get(x["p"], a) == s, a).when(F.get(x["p"], b) == s, b)
+
+    def _joined(self, left: Column, right: Column, x: Column) -> Column:
+        """Id of two adjacent pieces joined, or null."""
+        def look(key: Column) -> Column:
+            a, b = self._slot_pair(key, "m", x["m"])
+            low = F.lit((1 << _BITS) - 1)
+            return F.when(F.shiftright(a, _BITS) == key, a.bitwiseAND(low)).when(F.shiftright(b, _BITS) == key, b.bitwiseAND(low)).cast("int")
+        return F.transform(F.array(F.shiftleft(left.cast("long"), _BITS).bitwiseOR(right.cast("long"))), look)[0]
+
+    def _fold(self, word: Column, x: Column) -> Column:
         """Ids of one match of the pattern."""
-        def pair(a: Column, b: Column) -> Column:
-            return self._rank(F.concat(F.get(pieces, a), F.get(pieces, b)), pieces, table)
-
         def join(p: Column, r: Column, m: Column, i: Column) -> Column:
             """State after pieces i and i + 1 (from 1) become ``m``."""
-            left = F.when(i > 1, F.array(pair(F.get(p, i - 2), m))).otherwise(F.slice(r, 1, 0))
-            right = F.when(i + 1 < F.size(p), F.array(pair(m, F.get(p, i + 1)))).otherwise(F.slice(r, 1, 0))
+            left = F.when(i > 1, F.array(self._joined(F.get(p, i - 2), m, x))).otherwise(F.slice(r, 1, 0))
+            right = F.when(i + 1 < F.size(p), F.array(self._joined(m, F.get(p, i + 1), x))).otherwise(F.slice(r, 1, 0))
             return F.struct(
                 F.concat(F.slice(p, 1, i - 1), F.array(m), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right,
-                         F.slice(r, i + 2, F.size(p))).alias("r"))
+                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"))
 
         def step(s: Column, _: Column) -> Column:
-            least = F.transform(F.array(F.array_min(s["r"])), lambda m: F.when(m.isNull(), s).otherwise(
-                join(s["p"], s["r"], m, F.array_position(s["r"], m).cast("int"))))
-            return least[0]
-
-        text = F.hex(F.encode(word, "utf-8"))
-        whole = self._rank(text, pieces, table)
-        start = F.transform(F.regexp_extract_all(text, F.lit(".."), 0), lambda b: self._rank(b, pieces, table))
-        ranked = F.transform(F.array(start), lambda p: F.struct(
-            p.alias("p"), F.slice(F.transform(p, lambda x, i: pair(x, F.get(p, i + 1))), 1, F.size(p) - 1).alias("r")))[0]
-        folded = F.transform(F.array(ranked), lambda s: F.aggregate(s["r"], s, step)["p"])[0]
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
+            def with_least(m: Column) -> Column:
+                at = F.transform(F.array(F.array_position(s["r"], m).cast("int")), lambda i: join(s["p"], s["r"], m, i))
+                return F.when(m.isNull(), s).otherwise(at[0])
+            return F.transform(F.array(F.array_min(s["r"])), with_least)[0]
+
+        def by_bytes(text: Column) -> Column:
+            start = F.transform(F.regexp_extract_all(text, F.lit(".."), 0), lambda b: self._rank(b, x))
+            ranked = F.transform(F.array(start), lambda p: F.struct(
+                p.alias("p"), F.slice(F.transform(p, lambda y, i: self._joined(y, F.get(p, i + 1), x)), 1, F.size(p) - 1).alias("r")))[0]
+            return F.transform(F.array(ranked), lambda s: F.aggregate(s["r"], s, step)["p"])[0]
+        return F.transform(F.array(F.hex(F.encode(word, "utf-8"))), lambda text: F.transform(
+            F.array(self._rank(text, x)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(by_bytes(text)))[0])[0]
 
     def encode(self, pieces_of_text: Column) -> Column:
         """Ids (array of arrays) of pieces of text; a piece may hold several matches of the pattern."""
-        return self._with_tables(lambda p, t: F.transform(pieces_of_text, lambda x: F.flatten(
-            F.transform(F.regexp_extract_all(x, F.lit(java_pattern(self.pattern)), 0),
-                        lambda word: self._fold(word, p, t)))))
+        tables = F.array(F.struct(self._pieces.alias("p"), self._ranks.alias("t"), self._pairs.alias("m")))
+        return F.transform(tables, lambda x: F.transform(pieces_of_text, lambda y: F.flatten(F.transform(
+            F.regexp_extract_all(y, F.lit(java_pattern(self.pattern)), 0), lambda word: self._fold(word, x)))))[0]
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a list of ids."""
@@ -142,30 +168,31 @@ class Vocabulary:
         """Ids as little-endian unsigned 32-bit integers."""
         return F.unhex(F.transform(F.array(self._ids), lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))[0])
 
-    def pieces(self, text: Column) -> Column:
-        """A text cut before its spaces; where a space stands inside white space, its matches.
-
-        A match never reaches over a space that follows a non-space, so the
-        ids of the pieces in sequence are the ids of the text.
-        """
-        inner = text.rlike(f"[{_WHITE}] ([{_WHITE}]|\\z)")
-        cut = F.transform(F.split(text, " "), lambda x, i: F.when(i > 0, F.concat(F.lit(" "), x)).otherwise(x))
-        return F.when(inner, F.regexp_extract_all(text, F.lit(java_pattern(self.pattern)), 0)).otherwise(cut)
-
 
 def frequent_pieces(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
-    """(piece, ids) of the most frequent pieces of the corpus, at most ``most``.
+    """(piece, ids) of the most frequent words after a space and mark runs of the corpus, at most ``most``.
 
-    Pieces are counted over all documents.
+    What stands between spaces is counted over all documents; only the
+    distinct pieces are then parted into word and marks.
     """
-    counts = materialise(docs.select(F.explode(vocabulary.pieces(F.col("text"))).alias("piece"))
-                         .groupBy("piece").agg(F.count(F.lit(1)).alias("c")), "pieces")
-    top = most_frequent(counts, "c", most)
-    return top.select("piece", vocabulary.encode(F.array("piece"))[0].alias("ids"))
+    counts = docs.select(F.explode(F.split("text", " ")).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("c"))
+    counts = counts.where(~F.col("piece").contains(_BARE))  # those texts are encoded whole
+    lines = counts.select(F.posexplode(F.split("piece", "\n")).alias("line", "piece"), "c")
+    marks = F.regexp_extract("piece", _WORD_MARKS, 2)
+    word = F.concat(F.when(F.col("line") > 0, _BARE).otherwise(" "),
+                    F.when(marks != "", F.regexp_extract("piece", _WORD_MARKS, 1)).otherwise(F.col("piece")))
+    end = F.when(F.col("line") > 0, _BARE + "\n").otherwise("")
+    key = F.array(word, F.when(marks != "", F.concat(F.lit(_BARE), marks)).otherwise(""), end)
+    parts = materialise(lines.select(F.explode(key).alias("piece"), "c").where("length(piece) > 1 or piece = ' '")
+                        .groupBy("piece").agg(F.sum("c").alias("c")), "pieces")
+    top = most_frequent(parts, "c", most)
+    return top.select("piece", vocabulary.encode(F.array(F.ltrim(F.col("piece"), F.lit(_BARE))))[0].alias("ids"))
 
 
 #: A space inside white space or at its end; such a text is not cut into pieces.
 _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: White space next to white space or to the text's ends: lines of such a text are not cut apart.
+_WIDE_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
 def _runs(ids: list[bytes | None]) -> list[bytes]:
@@ -179,25 +206,71 @@ def _runs(ids: list[bytes | None]) -> list[bytes]:
     return out
 
 
-def _known(text: str, heads: dict[str, bytes], after: dict[str, bytes]) -> tuple[list[bytes], list[str]]:
-    """Runs of known ids of a text and the pieces between them."""
-    if _INNER_SPACE.search(text):
+class _Words(dict):
+    """Ids of what follows a space (or stands alone, after _BARE); words with marks are put together from both."""
+
+    def __init__(self, known: dict[str, bytes]):
+        super().__init__(known)
+        self.room = len(known) + TOGETHER
+
+    def __missing__(self, piece: str) -> bytes | None:
+        stem = piece.rstrip(_MARKS)
+        if len(stem) == len(piece) or not stem[-1:].isalpha():
+            return None
+        word, marks = self.get(stem), self.get(_BARE + piece[len(stem):])
+        if word is None or marks is None:
+            return None
+        if len(self) < self.room:
+            self[piece] = word + marks
+        return word + marks
+
+
+def _known(text: str, words: _Words) -> tuple[list[bytes], list[str]]:
+    """Runs of known ids of a text and the pieces between them.
+
+    A match of the pattern never reaches over a space that follows a
+    non-space, so the ids of the pieces in sequence are the ids of the text. A
+    line end between other characters is a match of its own.
+    """
+    if _INNER_SPACE.search(text) or _BARE in text:
         return [b"", b""], [text]
+    text = _BARE + text if _WIDE_SPACE.search(text) else _BARE + text.replace("\n", f" {_BARE}\n {_BARE}")
     cut = text.split(" ")
-    ids = list(map(after.get, cut))
-    ids[0] = heads.get(cut[0])
+    ids = list(map(words.__getitem__, cut))
     if None not in ids:
         return [b"".join(ids)], []
-    return _runs(ids), [" " + p if i else p for i, (p, x) in enumerate(zip(cut, ids)) if x is None]
+    return _runs(ids), [p[1:] if p[:1] == _BARE else " " + p for p, x in zip(cut, ids) if x is None]
 
 
-def _look_up(docs: DataFrame, shipped) -> DataFrame:
+#: Table that this worker process built last, by its name.
+_TABLES: dict[str, _Words] = {}
+
+
+def _table(name: str, packed: bytes) -> _Words:
+    if name not in _TABLES:
+        known = {}
+        for b in pa.ipc.open_stream(packed):
+            ids = b.column("ids")
+            flat, off = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_pylist()
+            for piece, x, y in zip(b.column("piece").to_pylist(), off, off[1:]):
+                known[piece[1:] if piece.startswith(" ") else piece] = flat[4 * x:4 * y]
+        _TABLES.clear()
+        _TABLES[name] = _Words(known)
+    return _TABLES[name]
+
+
+def _look_up(docs: DataFrame, top: pa.Table) -> DataFrame:
     """doc_id, runs of known ids, and the pieces that stand between the runs."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, top.schema) as out:
+        out.write_table(top)
+    shipped, name = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, after = shipped.value
+        words = _table(name, shipped.value)
         for batch in batches:
             for part in textvec.steps(batch, "text"):
-                found = [_known(t, heads, after) for t in pc.fill_null(part.column("text"), "").to_pylist()]
+                found = [_known(t, words) for t in pc.fill_null(part.column("text"), "").to_pylist()]
                 runs = [x for r, _ in found for x in r]
                 flat = pa.array(np.frombuffer(b"".join(runs), "<i4"))
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in runs])]).astype(np.int32)
@@ -210,19 +283,11 @@ def _look_up(docs: DataFrame, shipped) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
-    heads, after = {}, {}
-    for b in frequent_pieces(docs, vocabulary, most).toArrow().to_batches():
-        for piece, ids in zip(b.column("piece").to_pylist(), b.column("ids").to_pylist()):
-            packed = struct.pack(f"<{len(ids)}I", *ids)
-            if piece.startswith(" "):
-                after[piece[1:]] = packed
-            else:
-                heads[piece] = packed
-    shipped = docs.sparkSession.sparkContext.broadcast((heads, after))
+    top = frequent_pieces(docs, vocabulary, most).toArrow()
     none = F.array().cast("array<int>")
     ids = F.transform(F.array(vocabulary.encode(F.col("rare"))), lambda rare: F.flatten(
         F.transform("runs", lambda x, i: F.concat(x, F.coalesce(F.get(rare, i), none)))))[0]
-    return _look_up(docs, shipped).select("doc_id", ids.alias("ids"))
+    return _look_up(docs, top).select("doc_id", ids.alias("ids"))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -33,10 +33,11 @@ def test_query_equals_library(spark, sf01, texts, library):
 @pytest.mark.parametrize("most", [1 << 18, 40, 0])
 def test_edges(spark, library, most):
     rng = np.random.default_rng(3)
-    chars = list("ab1'.s \n\t") + [" ", "é", "🙂", "\x1c", "\x85", "中", "​"]
+    chars = list("ab1'.s \n\t") + [" ", "é", "🙂", "\x01", "\x1c", "\x85", "中", "​"]
     made = ["".join(rng.choice(chars, 30)) for _ in range(400)]
     edge = [t if t is None else t[:3000] for t in EDGE_TEXTS]
-    rows = list(enumerate(edge + SPACES + made)) + [(None, "no id"), (3, "one"), (3, "one")]
+    lines = ["One. Two\nThree, four!!\nFive", "One.\n\nTwo", "\x01One. Two", "a \x01One\n"]
+    rows = list(enumerate(edge + SPACES + made + lines * 3)) + [(None, "no id"), (3, "one"), (3, "one")]
     v = bpe.Vocabulary(PATH, P.PATTERN)
     got = bpe.decode(bpe.encode(spark.createDataFrame(rows, DOCS), v, most), v).collect()
     want = sorted((str(k), library(t or ""), (t or "").encode()) for k, t in rows)
