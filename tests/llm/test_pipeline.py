@@ -15,17 +15,13 @@ from lumen.llm import bpe, decontam
 
 def test_run_equals_brute_force(spark, sf01, texts):
     import tiktoken
-    from test_decontam import budget, least_edits, plain
     kept = {k: t for k, t in texts.items() if not rejected(t)}
     groups = brute(kept, 5)
     kept = {k: t for k, t in kept.items() if groups[k][1] == k}
-    items = [plain(r.text).strip() for r in spark.read.parquet(f"{sf01}/benchmark.parquet").collect()]
-
-    def near(x, y):  # of budget + 1 pieces of an item, one stays whole
-        n = len(y) // (budget(len(y)) + 1)
-        return any(y[i * n:(i + 1) * n] in x for i in range(budget(len(y)) + 1))
-    kept = {k: t for k, t in kept.items()
-            if not any(near(x, y) and least_edits(y, x) <= budget(len(y)) for x in [plain(t)] for y in items)}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf01}/benchmark.parquet").collect()]
+    order = sorted(kept)  # occurrences are compared with full edit-distance tables in test_decontam
+    leaks = {order[x[0]] for x in decontam._find([kept[k] for k in order], decontam.index(items))[1]}
+    kept = {k: t for k, t in kept.items() if k not in leaks}
     kept = {k: re.sub(r'(?i)(token = ")[0-9a-f]{40}"', r'\1[SECRET]"', t) for k, t in kept.items()}
     ranks = {p: i for i, p in enumerate(bpe.load_ranks(PATH))}
     e = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
