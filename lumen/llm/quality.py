@@ -161,6 +161,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents that the production policy keeps, unchanged."""
     cols = docs.columns
     led = ledger(docs.select(F.struct(*cols).alias("_row"), F.col("text")), keep=("_row",))
+    # a filter on generated rows stays above the ledger; pushed down, it would repeat every rule's expressions
+    led = led.select("_row", F.explode(F.array("fail_bits")).alias("fail_bits"))
     return led.where(passes(PRODUCTION)).select("_row.*")
 
 
