@@ -37,7 +37,7 @@ from lumen.llm import textvec
 from lumen.llm.common import materialise, most_frequent, read
 
 #: Most pieces whose ids are shipped to tasks.
-FREQUENT = 1 << 19
+FREQUENT = 1 << 20
 #: Words with marks that a worker keeps put together.
 TOGETHER = 1 << 18
 
