@@ -3,9 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+from .texts import DOCS, EDGE_TEXTS
 
-DOCS = "doc_id long, text string"
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 
 @pytest.fixture(scope="session")
@@ -25,11 +25,6 @@ def texts(spark, sf01):
     return {r.doc_id: r.text for r in spark.read.parquet(f"{sf01}/documents.parquet").select("doc_id", "text").collect()}
 
 
-EDGE_TEXTS = [None, "", " \t\n ", "one", "one two three", "a " * 30000, "x" * 50000, "ÄÖ é b \x1f c",
-              "same words here again and again", "same words here again and again", "tail space ", "  lead",
-              "a  b   c \n\n d \t e", "🙂 ok 🙂", "Null\x00byte"]
-
-
 @pytest.fixture()
 def edge(spark):
     rows = [(i, t) for i, t in enumerate(EDGE_TEXTS)] + [(None, "no id"), (4, "one two three"), (4, "one two three")]

@@ -4,8 +4,8 @@ import hashlib
 
 import numpy as np
 import pytest
-from conftest import DOCS, EDGE_TEXTS
-from test_tokens import SPACES
+from .texts import DOCS, EDGE_TEXTS
+from .test_tokens import SPACES
 
 from lumen.llm import bpe
 

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from conftest import DOCS
+from .texts import DOCS
 
 from lumen.llm import decontam as d
 

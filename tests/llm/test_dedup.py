@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from conftest import DOCS
+from .texts import DOCS
 
 from lumen.llm import dedup, textvec
 from lumen.llm.components import connected_components

@@ -5,7 +5,7 @@ import random
 import re
 
 import pytest
-from conftest import DOCS, EDGE_TEXTS
+from .texts import DOCS, EDGE_TEXTS
 
 from lumen.llm import pii
 

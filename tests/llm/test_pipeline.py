@@ -5,9 +5,9 @@ import re
 
 import numpy as np
 import pytest
-from test_bpe import PATH, P
-from test_dedup import brute
-from test_quality import rejected
+from .test_bpe import PATH, P
+from .test_dedup import brute
+from .test_quality import rejected
 
 import corpus_pipeline
 from lumen.llm import bpe, decontam

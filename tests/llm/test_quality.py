@@ -4,7 +4,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import DOCS
+from .texts import DOCS
 
 from lumen.llm import quality as q
 from tools.oracle_check import duck, rows_of

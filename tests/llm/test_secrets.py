@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import DOCS
+from .texts import DOCS
 from pyspark.sql import functions as F
 
 from lumen.llm import secrets as s

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from conftest import DOCS, EDGE_TEXTS
+from .texts import DOCS, EDGE_TEXTS
 from pyspark.sql import functions as F
 
 from lumen.llm import tokens

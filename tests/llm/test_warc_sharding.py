@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest import DOCS
+from .texts import DOCS
 from pyspark.sql import functions as F
 
 from lumen.llm import sharding, warc
