@@ -330,9 +330,10 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates (five-word shingles)."""
-    kept = near_duplicates(docs, size=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """Pipeline stage: one document of each group of near duplicates (five-word shingles); all without doc_id."""
+    kept = near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id").distinct()
+    # null equals nothing in a join: rows without an id go beside it, and never meet in one task
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 ORACLE_SQL: dict[str, str] = {}

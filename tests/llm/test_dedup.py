@@ -126,3 +126,11 @@ def test_odd_sketch_estimate():
     n, k = dedup.SKETCH_LONGS * 64, dedup.BANDS * dedup.ROWS
     estimate = 1 + n / (4 * k) * np.log(1 - 2 * z / n)
     assert abs(estimate - 900 / 1100) < 0.12 and z <= dedup._sketch_bound()
+
+
+def test_stage_keeps_rows_without_id(spark):
+    from collections import Counter
+    same, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, same), (2, same), (3, other), (None, same), (None, same), (None, None), (None, "")]
+    out = dedup.stage(spark, spark.createDataFrame(rows, DOCS), "")
+    assert Counter(map(tuple, out.collect())) == Counter([(1, same), *rows[2:]])
