@@ -9,9 +9,10 @@ Column expressions and MLlib on DataFrames.
 
 Labelled findings of the query: no table has them, so findings that are certain
 by their surroundings are labelled (a varied value assigned to a credential's
-name; a part of an address or path, a placeholder, dictionary words, a named
-checksum), and the certain secrets are also shown in other surroundings, as
-checksums and under other names. At most SAMPLE of each kind train, least hash
+name or after "Bearer", a key with its issuer's prefix; a part of an address or
+path, a placeholder, dictionary words, a named checksum), and the certain
+secrets are also shown under other and longer names, as checksums, and behind
+an issuer's prefix in prose and addresses, where they stay secrets. At most SAMPLE of each kind train, least hash
 first; ``train`` takes any other labelled findings as well.
 
 Defined results: null and empty texts have no candidates; repeated rows are
@@ -38,6 +39,10 @@ THRESHOLD = 0.5
 BEFORE, AFTER = 60, 30
 
 _CREDENTIAL = "token|secret|password|passwd|pwd|api_key|apikey|access_key|auth"
+_BEARER = r"(?i)\bbearer +$"
+#: Prefixes that issuers give their keys, and the marks of a key in an address.
+_KNOWN_KEY = (r"(^|[/=.~])((AKIA|ASIA)[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}|glpat-[A-Za-z0-9_-]{16,}"
+              r"|xox[abprs]-[A-Za-z0-9-]{10,}|[sr]k_(live|test)_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})($|[/=.~,;&])")
 _CHECKSUM = ("commit", "sha", "sha1", "sha256", "md5", "hash", "digest", "checksum", "etag", "uuid", "guid", "rev", "build")
 _PLACEHOLDER = r"(?i)example|changeme|placeholder|your|x{4}|\*{4}|0{6}|123456"
 _T = "A-Za-z0-9+/_=.~-"
@@ -46,7 +51,7 @@ CANDIDATE = (
     rf"|(?<![{_T}])(?=[{_T}]*[0-9])(?=[{_T}]*[A-Za-z])[{_T}]{{16,}}+")
 
 FEATURES = ("n_chars", "changes", "digits", "upper", "lower", "hex", "entropy", "variety", "coverage", "slashes", "dots",
-            "in_path", "in_address", "assigned", "quoted", "credential", "checksum", "placeholder")
+            "in_path", "in_address", "assigned", "quoted", "credential", "known_key", "checksum", "placeholder")
 
 
 def found(text: Column) -> Column:
@@ -107,7 +112,8 @@ def describe(found_: DataFrame, words: list[str]) -> DataFrame:
         "in_address": flag(F.col("before").rlike(r"@$") | F.col("after").rlike("^@")),
         "assigned": flag(F.col("before").rlike(r"""[=:] ?["']?$""")),
         "quoted": flag(F.col("before").rlike("""["']$""") & F.col("after").rlike("""^["']""")),
-        "credential": flag(last.rlike(f"^({_CREDENTIAL})$")),
+        "credential": flag(last.rlike(f"({_CREDENTIAL})$") | F.col("before").rlike(_BEARER)),
+        "known_key": flag(v.rlike(_KNOWN_KEY)),
         "checksum": flag(last.isin(*_CHECKSUM)),
         "placeholder": flag(v.rlike(_PLACEHOLDER)),
     })
@@ -115,7 +121,8 @@ def describe(found_: DataFrame, words: list[str]) -> DataFrame:
 
 def certain(described: DataFrame) -> DataFrame:
     """Findings that their surroundings decide, with ``label`` 1 or 0."""
-    yes = (F.col("credential") + F.col("assigned") == 2) & (F.col("entropy") >= 2.5) & (F.col("placeholder") == 0) & (F.col("coverage") < 0.5)
+    named = (F.col("credential") + F.col("assigned") == 2) | F.col("before").rlike(_BEARER) | (F.col("known_key") == 1)
+    yes = named & (F.col("entropy") >= 2.5) & (F.col("placeholder") == 0) & (F.col("coverage") < 0.5)
     no = (F.col("in_path") + F.col("in_address") + F.col("placeholder") + F.col("checksum") > 0) | (F.col("coverage") >= 0.6)
     return described.withColumn("label", F.when(yes, 1.0).when(no, 0.0)).where("label is not null")
 
@@ -125,9 +132,21 @@ def _shown_elsewhere(yes: DataFrame) -> DataFrame:
     def near(before: str, after: str, label: float, value: Column | None = None) -> Column:
         return F.struct((F.col("value") if value is None else value).alias("value"), F.lit(before).alias("before"),
                         F.lit(after).alias("after"), F.lit(label).alias("label"))
-    shown = [near('password: "', '"', 1.0), near("secret=", " ", 1.0), near("api_key = '", "'", 1.0), near("auth: ", "", 1.0)]
-    shown += [near(f"{w} ", " of", 0.0) for w in _CHECKSUM] + [near("see https://a.example/", "/", 0.0), near(" the ", " and", 0.0)]
+    shown = [near('password: "', '"', 1.0), near("secret=", " ", 1.0), near("api_key = '", "'", 1.0), near("auth: ", "", 1.0),
+             near("GITHUB_TOKEN=", "", 1.0), near("export DB_PASSWORD='", "'", 1.0), near("Authorization: Bearer ", "", 1.0)]
+    # shorter values of a larger alphabet
+    mixed = F.substring(F.regexp_replace(F.base64(F.unhex(F.sha2("value", 256))), "[+/=]", ""), 1, 16)
+    shown += [near(b, a, 1.0, mixed) for b, a in (("password: '", "'"), ("DB_PASSWORD: '", "'"), ("GITHUB_TOKEN=", " "), ("secret = \"", "\""))]
+    # the same values behind an issuer's prefix are secrets in any surroundings
+    issued = {"AKIA": F.upper(F.substring(F.sha2("value", 256), 1, 16)), "ghp_": F.substring(F.sha2("value", 256), 1, 36),
+              "sk_live_": F.substring(F.sha2("value", 256), 1, 24)}
+    shown += [near(b, a, 1.0, F.concat(F.lit(front + p), v)) for p, v in issued.items()
+              for b, front, a in ((" the ", "", " and"), ("see https:", "//a.example/", " "), ("https://a.example/x?", "key=", " "), ("", "", ""))]
+    shown += [near(f"{w} ", " of", 0.0) for w in _CHECKSUM] + [near("see https://a.example/", "/", 0.0, F.sha1("value"))]
     shown += [near('token = "', '"', 0.0, F.concat(F.lit(p), F.substring("value", 1, 6))) for p in ("your_", "example", "xxxxxxxx")]
+    # every kind of name also has placeholders
+    shown += [near(b, a, 0.0, F.concat(F.lit(p), F.substring("value", 1, 6))) for p in ("your_token_here_", "changeme_", "example_")
+              for b, a in (('token = "', '"'), ("password: '", "'"), ("DB_PASSWORD: '", "'"), ("GITHUB_TOKEN=", " "), ('secret = "', '"'))]
     return yes.select(F.inline(F.array(*shown)))
 
 
