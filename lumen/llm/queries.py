@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumen.llm import bpe, decontam, dedup, lm, pii, quality, secrets, sharding, tokens, warc
+from lumen.llm import bpe, decontam, dedup, lm, pii, quality, secrets, sharding, spelling, tokens, warc
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op9_benchmark_passages": decontam.op9_benchmark_passages,
     "op10_secret_forest": secrets.op10_secret_forest,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
 }
 
 ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **warc.ORACLE_SQL}

@@ -84,9 +84,19 @@ class Words:
     hash: np.ndarray
 
 
-def split(raw: np.ndarray, off: np.ndarray) -> Words:
+def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans ``start:end``, A-Z lower-cased."""
+    n = len(raw)
+    power, inverse = _tables(n + 1)
+    total = np.zeros(n + 1, U)
+    np.cumsum(_BYTE[raw] * power[:n], out=total[1:])
+    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
+
+
+def split(raw: np.ndarray, off: np.ndarray, gaps: np.ndarray = _GAP) -> Words:
+    """Words of rows ``off`` of a byte buffer; ``gaps`` marks the bytes that part them."""
     n, rows = len(raw), len(off) - 1
-    gap = _GAP[raw]
+    gap = gaps[raw]
     before = np.ones(n, bool)
     before[1:] = gap[:-1]
     before[off[:-1][off[:-1] < n]] = True
@@ -97,11 +107,7 @@ def split(raw: np.ndarray, off: np.ndarray) -> Words:
     row = np.searchsorted(off, start, "right") - 1
     first = np.zeros(rows + 1, np.int64)
     np.cumsum(np.bincount(row, minlength=rows), out=first[1:])
-    power, inverse = _tables(n + 1)
-    total = np.zeros(n + 1, U)
-    np.cumsum(_BYTE[raw] * power[:n], out=total[1:])
-    h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U))
-    return Words(raw, start, end, row, first, h)
+    return Words(raw, start, end, row, first, span_hash(raw, start, end))
 
 
 def word_bytes(w: Words, which: np.ndarray) -> list[bytes]:
