@@ -144,51 +144,60 @@ def vocabulary(docs: DataFrame, text: str = "text", key: str = "doc_id", least_l
             .where(F.col("n") >= least_count))
 
 
-_BASE = np.uint64(0x9E6C63D0876A9A47)
+#: Characters of words that one step of a task takes (a longer word is a step of its own).
+STEP_CHARS = 1 << 18
+
+
+def _word_steps(batches: Iterator[pa.RecordBatch]):
+    """Words of a step with their code points, lengths and starts."""
+    for batch in batches:
+        words = batch.column("word").to_pylist()
+        size = np.array([len(w) for w in words], np.int64)
+        group = np.cumsum(size) // STEP_CHARS
+        edge = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(words)]
+        for i, j in zip(edge, edge[1:]):
+            if j > i:
+                cp = np.frombuffer("".join(words[i:j]).encode("utf-32-le"), np.uint32)
+                yield words[i:j], cp, size[i:j], np.cumsum(size[i:j]) - size[i:j]
+
+
+def _nodes(cp: np.ndarray, size: np.ndarray, start: np.ndarray, which: np.ndarray, pos: np.ndarray, way: int) -> np.ndarray:
+    """Hashes of the first ``pos`` characters of the words ``which``."""
+    at = np.arange(len(cp)) - np.repeat(start, size)
+    total = np.zeros(len(cp) + 1, np.uint64)
+    power = textvec.powers(int(size.max(initial=0)) + 1)
+    np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * power[at], out=total[1:])
+    h = total[start[which] + pos] - total[start[which]]
+    return textvec.mix(h + pos.astype(np.uint64) + np.uint64((way + 1) << 40))
 
 
 def _prefixes(least: int):
-    """Rows (wid, way, pos, node, next, more) for the prefixes of ``least`` and more characters, both ways."""
+    """Rows (wid, way, pos, node, next, more) for the prefixes of ``least`` and more characters, both ways; next is -1 at the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for word in batch.column("word").to_pylist():
-                cp = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-                n = len(cp)
-                power = np.full(n, _BASE, np.uint64)
-                power[0] = 1
-                power = np.multiply.accumulate(power)
-                wid = None
-                for way in (0, 1):
-                    c = cp[::-1] if way else cp
-                    node = np.zeros(n + 1, np.uint64)
-                    np.cumsum((c + np.uint64(1)) * power, out=node[1:])
-                    node = textvec.mix(node + np.arange(n + 1, dtype=np.uint64) + np.uint64((way + 1) << 40))
-                    if wid is None:
-                        wid = node[n]
-                    chars = word[::-1] if way else word
-                    pos = np.arange(least, n + 1, dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(pos), wid).view(np.int64)), pa.array(np.full(len(pos), way, np.int8)),
-                        pa.array(pos), pa.array(node[least:].view(np.int64)),
-                        pa.array([*chars[least:], ""], pa.string()), pa.array((n - pos).astype(np.int32))],
-                        ["wid", "way", "pos", "node", "next", "more"])
+        for words, cp, size, start in _word_steps(batches):
+            wid = _nodes(cp, size, start, np.arange(len(size)), size, 0)
+            rows = np.maximum(size - least + 1, 0)
+            which = np.repeat(np.arange(len(size)), rows)
+            pos = np.arange(len(which)) - np.repeat(np.cumsum(rows) - rows, rows) + least
+            back = np.repeat(start + size - 1, size) - (np.arange(len(cp)) - np.repeat(start, size))
+            for way, c in ((0, cp), (1, cp[back])):
+                inside = pos < size[which]
+                after = np.where(inside, c[np.minimum(start[which] + pos, len(c) - 1)].astype(np.int32), -1)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(wid[which].view(np.int64)), pa.array(np.full(len(which), way, np.int8)),
+                    pa.array(pos.astype(np.int32)), pa.array(_nodes(c, size, start, which, pos, way).view(np.int64)),
+                    pa.array(after.astype(np.int32)), pa.array((size[which] - pos).astype(np.int32))],
+                    ["wid", "way", "pos", "node", "next", "more"])
+
     return run
 
 
-def _gathered(make):
-    """The generator's rows in batches of some 50,000."""
-    def run(batches):
-        held, rows = [], 0
-        for b in make(batches):
-            held.append(b)
-            rows += b.num_rows
-            if rows >= 50_000:
-                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-                held, rows = [], 0
-        if held:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-    return run
+def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(wid, word): the node at which a word ends in the forward trie is its id."""
+    for words, cp, size, start in _word_steps(batches):
+        wid = _nodes(cp, size, start, np.arange(len(size)), size, 0)
+        yield pa.RecordBatch.from_arrays([pa.array(wid.view(np.int64)), pa.array(words, pa.string())], ["wid", "word"])
 
 
 def tries(words: DataFrame, least_length: int = LEAST_LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -200,13 +209,12 @@ def tries(words: DataFrame, least_length: int = LEAST_LENGTH) -> tuple[DataFrame
     Nodes of fewer characters than half the shortest word are never reached and left out.
     """
     least = least_length // 2
-    make = _gathered(_prefixes(least))
-    p = words.select("word").mapInArrow(make, "wid long, way byte, pos int, node long, next string, more int")
+    p = words.select("word").mapInArrow(_prefixes(least), "wid long, way byte, pos int, node long, next int, more int")
     nodes = (p.groupBy("node").agg(
         F.min("next").alias("lo"), F.max("next").alias("hi"),
         F.bit_or(F.expr(f"shiftleft(1L, least(more, {LENGTH_BITS}))")).alias("lens"),
-        F.max(F.when(F.col("next") == "", F.col("wid"))).alias("end"))
-        .where("lo <> hi OR lo = ''").select("node", "lens", "end"))
+        F.max(F.when(F.col("next") == -1, F.col("wid"))).alias("end"))
+        .where("lo <> hi OR lo = -1").select("node", "lens", "end"))
     way = (p.select("wid", "way", "pos", "node").join(nodes, "node")
            .groupBy("wid", "way").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "lens", "end"))).alias("path")))
     ids = words.select("word").mapInArrow(_ids, "wid long, word string")
@@ -221,18 +229,6 @@ def tries(words: DataFrame, least_length: int = LEAST_LENGTH) -> tuple[DataFrame
     return materialise(edges, "edges"), paths
 
 
-def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        wid = []
-        for word in batch.column("word").to_pylist():
-            cp = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
-            power = np.full(len(cp), _BASE, np.uint64)
-            power[0] = 1
-            total = np.sum((cp + np.uint64(1)) * np.multiply.accumulate(power), dtype=np.uint64)
-            wid.append(textvec.mix(np.array([total + np.uint64(len(cp)) + np.uint64(1 << 40)], np.uint64)).view(np.int64)[0])
-        yield pa.RecordBatch.from_arrays([pa.array(wid, pa.int64()), batch.column("word")], ["wid", "word"])
-
-
 _FITS = f"(lens & shiftleft(1L, least(length(rest), {LENGTH_BITS}))) <> 0"
 
 

@@ -53,6 +53,11 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def powers(n: int) -> np.ndarray:
+    """At least ``n`` powers of the hash's base."""
+    return _tables(n)[0]
+
+
 def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets of a string or binary column (null: empty)."""
     col = pc.fill_null(col.cast(pa.large_binary()), b"")

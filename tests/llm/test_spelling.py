@@ -77,7 +77,7 @@ def test_whole_table(spark, sf01, texts):
 WORDS = st.dictionaries(st.text("abé", min_size=6, max_size=9), st.integers(5, 700), min_size=1, max_size=60)
 
 
-@settings(max_examples=3, deadline=None)
+@settings(max_examples=2, deadline=None)
 @given(WORDS)
 def test_dense_vocabularies(spark, words):
     """Few letters: runs of equal characters, edits at both ends, chains of forms."""
