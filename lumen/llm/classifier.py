@@ -35,7 +35,7 @@ from lumen.llm.common import materialise, read
 
 SLOT_BITS = 18
 #: Labelled rows that train, at most; learners and passes.
-SAMPLE, CHUNKS, EPOCHS = 32_768, 8, 4
+SAMPLE, CHUNKS, EPOCHS = 8_192, 8, 4
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
 #: Fixed by the contract.
@@ -165,8 +165,7 @@ def train(rows: DataFrame, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray
     Only the state, 2^SLOT_BITS pairs of numbers, reaches the driver.
     """
     z, n = np.zeros(SLOTS), np.zeros(SLOTS)
-    dealt = materialise(rows.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "ord"), "chunks")
-    dealt = dealt.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "ord")
+    dealt = rows.repartition(CHUNKS, "chunk").sortWithinPartitions("chunk", "ord")
     for _ in range(epochs):
         d = (dealt.mapInArrow(_learner(z, n), "slot int, z double, n double")
              .groupBy("slot").agg(F.avg("z").alias("z"), F.avg("n").alias("n")).toArrow())
@@ -192,7 +191,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
         known = known.where(F.col("ord") < int(-2**63 + min(1.0, share) * (2**64 - 1)))
         known = known.orderBy("ord", "doc_id", "label").limit(most)
     known = materialise(known, "labelled")
-    rows = docs.select("doc_id", "text").join(known, "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # SAMPLE rows at most
     return vectors(rows.withColumn("chunk", F.pmod("ord", F.lit(CHUNKS)).cast("int")), ("chunk", "ord", "label"))
 
 

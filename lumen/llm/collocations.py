@@ -284,7 +284,7 @@ WITH d AS (
   SELECT coalesce(lang, 'und') AS lang,
          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS p FROM d),
-w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), x -> x <> '') AS w FROM p),
+w AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
 g AS (SELECT lang, unnest(range(1, len(w) + 1)) AS i, w FROM w),
 s AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM g, range(1, 6) r(k) WHERE i + k - 1 <= len(w)),
 n AS (SELECT lang, count(*) AS n FROM s WHERE k = 1 GROUP BY lang),

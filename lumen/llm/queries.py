@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lumen.llm import bpe, decontam, dedup, lm, pii, quality, secrets, sharding, spelling, tokens, warc
+from lumen.llm import bpe, classifier, collocations, decontam, dedup, lm, pii, quality, secrets, sharding, spelling, tokens, warc
 
 QUERIES = {
     "op1_quality_ledger": quality.op1_quality_ledger,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_benchmark_passages": decontam.op9_benchmark_passages,
     "op10_secret_forest": secrets.op10_secret_forest,
     "op11_spelling_variants": spelling.op11_spelling_variants,
+    "op12_phrase_collocations": collocations.op12_phrase_collocations,
+    "op13_quality_classifier": classifier.op13_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **warc.ORACLE_SQL, **collocations.ORACLE_SQL}
