@@ -37,7 +37,7 @@ SLOT_BITS = 18
 #: Labelled rows that train, at most; learners and passes.
 SAMPLE, CHUNKS, EPOCHS = 8_192, 8, 4
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
 #: Fixed by the contract.
 FOLDS, KEEP = 5, 0.3
 
