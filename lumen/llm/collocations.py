@@ -4,7 +4,8 @@ The corpus is dealt into at most SHARDS shards. Every shard is mined completely
 at the support that is its share: with ``w`` of the ``W`` words of a language a
 phrase is locally frequent when ``f * W >= support * w``, so a phrase of global
 support is locally frequent in one shard at least. The union of the locally
-frequent phrases is then counted over all shards, exactly.
+frequent phrases is then counted over all shards, exactly, but for those whose
+shard counts already prove that they cannot reach the support.
 
 A shard is mined level by level (words, pairs, longer phrases), each level only
 where the level below is locally frequent. A shard spans any number of tasks:
@@ -227,18 +228,27 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text
     totals = share.groupBy("lang").agg(F.sum("_w").alias("total"))
     share = materialise(share.join(totals, "lang"), "share")
 
+    least = F.ceil(F.lit(support) * F.col("_w") / F.col("total"))  # a whole number of occurrences reaches the share
+    share = materialise(share.withColumn("_least", least), "share")
+
     def local(table: DataFrame) -> DataFrame:
         """Rows at the support that is the shard's share; (language, shard) has few values, and AQE measures them."""
         big = F.col("n").cast("decimal(38,0)") * F.col("total") >= F.col("_w").cast("decimal(38,0)") * support
-        return table.join(share, ["lang", "shard"]).where(big).select("lang", "shard", "gram")
+        return table.join(share, ["lang", "shard"]).where(big).select("lang", "shard", "gram", "n", "_least")
 
     frequent_words = materialise(local(words), "frequent-words")
     known = bitmap(frequent_words)
     frequent_pairs = materialise(local(counts(_pairs(known))), "frequent-pairs")
     known = bitmap(frequent_pairs)
     frequent_longer = materialise(local(counts(_longer(known))), "frequent-longer")
-    union = frequent_words.unionByName(frequent_pairs).unionByName(frequent_longer)
-    known = bitmap(union.select(F.lit(0).alias("shard"), "gram"))
+    # All counts of words are known. Of a longer phrase a shard without it holds at most one less than its local
+    # support, so a candidate that cannot reach the support even then is settled; all others are counted.
+    slack = share.groupBy("lang").agg(F.sum(F.col("_least") - 1).alias("_slack"))
+    longer = (frequent_pairs.unionByName(frequent_longer).groupBy("lang", "gram")
+              .agg(F.sum(F.col("n") - F.col("_least") + 1).alias("_over")).join(slack, "lang")
+              .where(F.col("_over") + F.col("_slack") >= support))
+    single = words.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+    known = bitmap(longer.select("gram").unionByName(single.select("gram")).select(F.lit(0).alias("shard"), "gram"))
     f = d.mapInArrow(_exact(known), "lang string, phrase string, size int, n long")
     f = f.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
     return materialise(f, "frequent"), totals
