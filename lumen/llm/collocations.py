@@ -35,7 +35,7 @@ from lumen.llm.common import materialise, read
 #: Fixed by the contract.
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Shards: few, so that the local support stays well above one; each spans many tasks.
-SHARDS = 8
+SHARDS = 4
 #: Bits of a bitmap, 16 MB.
 BITS = 27
 #: Slices in which a language's phrases are ranked first.
