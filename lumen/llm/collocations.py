@@ -228,7 +228,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text
     totals = share.groupBy("lang").agg(F.sum("_w").alias("total"))
     share = materialise(share.join(totals, "lang"), "share")
 
-    least = F.ceil(F.lit(support) * F.col("_w") / F.col("total"))  # a whole number of occurrences reaches the share
+    least = F.expr(f"({support}L * _w + total - 1) div total")  # a whole number of occurrences reaches the share
     share = materialise(share.withColumn("_least", least), "share")
 
     def local(table: DataFrame) -> DataFrame:
