@@ -78,7 +78,7 @@ def _isolate(call, chunk: pd.DataFrame, batch_exc: Exception):
         try:
             return [list(map(float, list(call(chunk))[0]))], [None]
         except Exception as item_exc:
-            return [None], [f"batch_error={batch_exc!r}; item_error={item_exc!r}"]
+            return [None], [f"embedder, batch: {batch_exc!r}, alone: {item_exc!r}"]
     mid = n // 2
     vecs, errs = [], []
     for part in (chunk.iloc[:mid], chunk.iloc[mid:]):
@@ -95,6 +95,22 @@ def _isolate(call, chunk: pd.DataFrame, batch_exc: Exception):
     return vecs, errs
 
 
+def _isolate_vectors(embed, images: list) -> tuple[list, list]:
+    """Vectors and errors of a batch of images; a failing batch is split until the failing images are alone."""
+    try:
+        got = [list(map(float, v)) for v in embed(images)]
+        if len(got) != len(images):
+            raise ValueError(f"{len(got)} vectors for {len(images)} images")
+        return got, [None] * len(images)
+    except Exception as exc:
+        if len(images) == 1:
+            return [None], [f"embedder: {exc!r}"]
+    mid = len(images) // 2
+    a, e = _isolate_vectors(embed, images[:mid])
+    b, f = _isolate_vectors(embed, images[mid:])
+    return a + b, e + f
+
+
 def spread(df: DataFrame, partitions: int | None) -> DataFrame:
     """Round-robin the (narrow) item rows over ``partitions`` tasks before a model
     stage: per-item model cost dwarfs the shuffle of ids and paths, and file
@@ -273,19 +289,13 @@ def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed:
                         rs[i], er[i] = "image_open_error", repr(exc)
                 if not images:
                     continue
-                try:
-                    vecs = list(embed(images))
-                    if len(vecs) != len(images):
-                        raise ValueError(f"embedder returned {len(vecs)} vectors for {len(images)} images")
-                    for i, v in zip(idx, vecs):
-                        emb[i], st[i] = list(map(float, v)), "ok"
-                except Exception as batch_exc:
-                    for i, img in zip(idx, images):
-                        try:
-                            emb[i], st[i] = list(map(float, list(embed([img]))[0])), "ok"
-                        except Exception as item_exc:
-                            rs[i] = "embedding_error"
-                            er[i] = f"batch_error={batch_exc!r}; item_error={item_exc!r}"
+                vecs, errors = _isolate_vectors(embed, images)
+                for i, v, e in zip(idx, vecs, errors):
+                    emb[i] = v
+                    if e is None:
+                        st[i] = "ok"
+                    else:
+                        rs[i], er[i] = "embedding_error", e
             yield pd.DataFrame({"_lp": paths, "embedding": emb, "status": st, "reason": rs, "error": er})
 
     vectors = files.mapInPandas(run, vec_schema)
@@ -297,3 +307,104 @@ def embed_images(items: DataFrame, listing: DataFrame, decode: Callable, embed:
     return (j.withColumn("status", F.when(missing, F.lit("failed")).otherwise(F.col("status")))
              .withColumn("reason", F.when(missing, F.lit("file_not_found")).otherwise(F.col("reason")))
              .drop("_lp"))
+
+
+#: Bytes of paths and prompts that one pass over the files broadcasts.
+ASK_BYTES = 32 << 20
+
+FAIL_GENERATE = "generation_error"
+
+
+def generate_images(items: DataFrame, listing: DataFrame, decode: Callable, generate: Callable,
+                    prompt_col: str = "prompt", path_col: str = "local_image_path", batch_size: int = 8,
+                    loader: Callable[[], object] | None = None, loader_name: str | None = None,
+                    out_col: str = "generated", size_of: Callable | None = None) -> DataFrame:
+    """M2 with S7 and F5: prompts meet image bytes; every item is accounted for.
+
+    ``listing`` is ``(path, content)`` (``sources.tables.list_images(...,
+    with_content=True)``). The prompts go to the files: the distinct (path,
+    prompt) pairs of the items, counted in bytes, are broadcast to the scan in
+    passes of ASK_BYTES, so bytes are never shuffled. An image is decoded once
+    for the prompts that follow each other in its task (for an array of
+    prompts, one per condition, once for all), and ``generate(prompts,
+    images[, model])`` answers a batch. Only answers leave the model stage.
+
+    Output: the item columns, ``out_col`` (text, or an array when prompts are
+    arrays), ``image_size`` (what ``size_of(image)`` returns), ``time_s``,
+    ``status``, ``reason`` and ``error``. ``file_not_found``: no such file (or one
+    without a byte, which the file source does not list) or a null path; ``image_open_error``: ``decode`` failed; ``generation_error``:
+    the model failed on the item alone. A null prompt is empty.
+    """
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from lumen.session import cut_lineage
+
+    kind = items.schema[prompt_col].dataType
+    many = isinstance(kind, T.ArrayType)
+    empty = F.array().cast(kind) if many else F.lit("")
+    ask = F.coalesce(F.col(prompt_col), empty)
+    asks = cut_lineage(items.where(F.col(path_col).isNotNull()).select(F.col(path_col).alias("path"), ask.alias("_ask")).distinct())
+    width = F.length("path") + (F.aggregate("_ask", F.lit(0), lambda n, p: n + F.coalesce(F.length(p), F.lit(0)) + 16) if many
+                                else F.length("_ask")) + 64
+    size = asks.agg(F.sum(width.cast("long"))).first()[0] or 0
+    passes = max(1, -(-4 * size // ASK_BYTES))  # up to four bytes a character
+    key = _model_key(loader_name)
+    answer = T.ArrayType(T.StringType()) if many else T.StringType()
+    schema = T.StructType([
+        T.StructField("_path", T.StringType()), T.StructField("_ask", kind), T.StructField(out_col, answer),
+        T.StructField("image_size", T.StringType()), T.StructField("time_s", T.DoubleType()),
+        T.StructField("reason", T.StringType()), T.StructField("error", T.StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = _load(loader, key)
+
+        def call(prompts, images):
+            return generate(prompts, images, model) if model is not None else generate(prompts, images)
+
+        last = None  # path, image, size, error
+        for pdf in batches:
+            for chunk in _chunks(pdf, batch_size):
+                n = len(chunk)
+                lists = [list(a) if many else [a] for a in chunk["_ask"].tolist()]
+                images, sizes, reasons, errors = [None] * n, [None] * n, [None] * n, [None] * n
+                for i, (path, content) in enumerate(zip(chunk["path"].tolist(), chunk["content"].tolist())):
+                    if last is None or last[0] != path:
+                        try:
+                            image = decode(bytes(content))
+                            last = (path, image, size_of(image) if size_of else None, None)
+                        except Exception as exc:
+                            last = (path, None, None, repr(exc))
+                    images[i], sizes[i], errors[i] = last[1:]
+                    reasons[i] = "image_open_error" if errors[i] is not None else None
+                asked = [(p, images[i]) for i in range(n) if reasons[i] is None for p in lists[i]]
+                t0 = time.perf_counter()
+                got, bad = _isolate_answers(call, [p for p, _ in asked], [im for _, im in asked])
+                each = (time.perf_counter() - t0) / max(1, len(asked))
+                texts, secs, at = [None] * n, [None] * n, 0
+                for i in range(n):
+                    if reasons[i] is not None:
+                        continue
+                    k = len(lists[i])
+                    texts[i] = got[at:at + k] if many else got[at]
+                    secs[i] = each * k if many else each
+                    failed = next((e for e in bad[at:at + k] if e is not None), None)
+                    if failed is not None:
+                        reasons[i], errors[i] = FAIL_GENERATE, failed
+                    at += k
+                yield pd.DataFrame({"_path": chunk["path"].tolist(), "_ask": chunk["_ask"].tolist(), out_col: texts,
+                                    "image_size": sizes, "time_s": secs, "reason": reasons, "error": errors})
+
+    parts = []
+    for k in range(passes):
+        mine = F.pmod(F.xxhash64("path"), F.lit(passes)) == k
+        parts.append(listing.select("path", "content").where(mine)
+                     .join(F.broadcast(asks.where(mine)), "path").mapInPandas(run, schema))
+    answers = reduce(DataFrame.unionByName, parts)
+    names = [c for c in items.columns if c not in (out_col, "image_size", "time_s", "status", "reason", "error")]
+    j = items.select(*names).join(answers, (items[path_col] == answers["_path"]) & (ask == answers["_ask"]), "left")
+    reason = F.when(F.col("_path").isNull(), F.lit("file_not_found")).otherwise(F.col("reason"))
+    return j.select(*[items[c] for c in names], out_col, "image_size", "time_s",
+                    F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
+                    reason.alias("reason"), "error")

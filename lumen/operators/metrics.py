@@ -118,7 +118,7 @@ def _bucket_by_cuts(counts: DataFrame, keys, n: int, accuracy: int, out: str, bo
     ``bound`` is the number of distinct ``keys`` (rows of the cut-point table)."""
     probs = [i / n for i in range(1, n)]
     cuts = counts.groupBy(*keys).agg(F.percentile_approx("_s", probs, accuracy).alias("_cuts"))
-    return (join_small(counts, cuts, list(keys), bound=bound)
+    return (join_small(counts, cuts, list(keys), bound=bound, row_bytes=8 * n + 64)
             .withColumn(out, F.size(F.filter("_cuts", lambda c: c < F.col("_s")))).drop("_cuts"))
 
 
@@ -205,3 +205,20 @@ def class_histogram(df: DataFrame, group_cols, label: str = "y") -> DataFrame:
 def distinct_count(df: DataFrame, col: str, exact: bool = True) -> Column:
     """Distinct count (exact, or HyperLogLog++ when ``exact=False``)."""
     return F.countDistinct(col) if exact else F.approx_count_distinct(col)
+
+
+#: Registers of a distinct sketch as a power of two: 4 KB a sketch, standard error 1.6 %.
+SKETCH_BITS = 12
+
+
+def distinct_counts(df: DataFrame, col: str, by=()) -> DataFrame:
+    """Rows and exact distinct values of ``col`` per group, with a mergeable sketch of the values."""
+    aggs = [F.count(F.lit(1)).alias("n_rows"), F.countDistinct(col).alias("n_distinct"),
+            F.hll_sketch_agg(col, SKETCH_BITS).alias("sketch")]
+    return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+
+
+def merge_distinct_counts(parts: DataFrame, by=()) -> DataFrame:
+    """Totals over stored parts of ``distinct_counts``: rows exactly, distinct values from the merged sketches."""
+    aggs = [F.sum("n_rows").alias("n_rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_distinct_estimate")]
+    return parts.groupBy(*by).agg(*aggs) if by else parts.agg(*aggs)

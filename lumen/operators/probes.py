@@ -2,25 +2,25 @@
 
 Models live in a **models table** -- one row per probe with its coefficients
 and the scaler it was trained with -- instead of pickled files. Scoring
-joins test rows to models on ``condition`` (an equi-join against a small,
-size-checked broadcast side), folds the scaler into the coefficients and
+joins test rows to blocks of models on ``condition`` (an equi-join against
+broadcasts of bounded size), folds the scaler into the coefficients and
 computes one dot product per (row, model) inside the JVM.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.labels import u_zero
 from lumen.functions.paths import model_name
-from lumen.functions.vectors import dot, sigmoid, standardize
-from lumen.operators.broadcast import join_small, materialize_small
+from lumen.functions.vectors import dot, sigmoid, standardize, wide_columns
 from lumen.operators.metrics import auc_by
 from lumen.operators.scaler import fit_scaler
-from lumen.session import cut_lineage
+from lumen.session import checkpoint_dir, cut_lineage
 from lumen.session import parallelism as task_slots
+from lumen.sources.tables import require_columns
 
 # Fixed defaults of the reference's probe training.
 DEFAULT_CONDITIONS = ["Atelectasis", "Cardiomegaly", "Consolidation", "Edema", "Pleural Effusion"]
@@ -29,6 +29,18 @@ DEFAULT_C_VALUES = [0.001, 0.01, 0.1, 1.0, 10.0]
 STATUS_OK = "ok"
 STATUS_SKIPPED = "skipped_missing_condition_column"
 STATUS_ONE_CLASS = "auc_undefined_single_class"
+# Cells of the training grid that are not fitted.
+STATUS_NO_ROWS = "skipped_no_training_rows"
+STATUS_NOT_BINARY = "skipped_not_binary"
+STATUS_SAMPLE_ONE_CLASS = "skipped_one_class"
+STATUS_NO_AUC = "skipped_auc_undefined"
+
+GRID_SCHEMA = T.StructType([
+    T.StructField("condition", T.StringType()), T.StructField("sample_size", T.LongType()),
+    T.StructField("c_ordinal", T.IntegerType()), T.StructField("c", T.DoubleType()),
+    T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()),
+    T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("scale", T.ArrayType(T.DoubleType()))])
+
 
 def long_labels(df: DataFrame, key_cols, vec: str, conditions) -> DataFrame:
     """Wide label columns -> ``(key..., vec, condition, raw_label, y)`` with U-Zero ``y``."""
@@ -46,15 +58,55 @@ def fold_scaler(models: DataFrame) -> DataFrame:
     return models.withColumn("_w", w2).withColumn("_b", F.col("intercept") - shift)
 
 
+#: Models of one matrix row, and bytes of coefficients that one pass over the rows broadcasts.
+BLOCK_MODELS = 64
+PASS_BYTES = 32 << 20
+
+
+def model_blocks(models: DataFrame, on: str = "condition") -> tuple[DataFrame, int]:
+    """Folded models gathered to matrix rows ``(on, _pass, models array<struct<name, w, b>>)``, and the number of passes.
+
+    Models are dealt to blocks by the hash of their name, about BLOCK_MODELS to
+    a block; a pass holds about half of PASS_BYTES, by the counted models and
+    their width.
+    """
+    m = cut_lineage(fold_scaler(models).select(on, "model_name", "_w", "_b"))
+    size = m.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_w")).alias("d")).first()
+    blocks = max(1, -(-size["n"] // BLOCK_MODELS))
+    passes = max(1, -(-2 * size["n"] * 8 * (size["d"] or 1) // PASS_BYTES))
+    block = F.pmod(F.xxhash64("model_name"), F.lit(max(blocks, passes)))
+    one = F.struct(F.col("model_name").alias("name"), F.col("_w").alias("w"), F.col("_b").alias("b"))
+    return cut_lineage(m.groupBy(on, block.alias("_block")).agg(F.collect_list(one).alias("models"))
+                       .withColumn("_pass", F.col("_block") % passes).drop("_block")), passes
+
+
 def score(rows: DataFrame, models: DataFrame, vec: str = "embedding", on: str = "condition",
           check_dims: bool = True) -> DataFrame:
-    """Positive-class probability of every row under every model of its condition."""
-    m, n_models = materialize_small(fold_scaler(models).select(on, "model_name", "_w", "_b"))
-    j = join_small(rows, m, on, bound=n_models)
-    if check_dims:
-        j = j.withColumn("_ok", F.assert_true(F.size(vec) == F.size("_w"),
-                                              F.lit("vector length differs from the model's"))).drop("_ok")
-    return j.withColumn("prob", sigmoid(dot(vec, "_w") + F.col("_b"))).drop("_w", "_b")
+    """Positive-class probability of every row under every model of its condition.
+
+    A row meets its models a block at a time: one joined row holds the vector
+    once and a matrix of models, one expression gives all probabilities, and
+    only names and probabilities are unfolded (the vector stays behind). Each
+    pass reads the rows once, without a shuffle, and broadcasts models within
+    PASS_BYTES, however many there are.
+    """
+    blocks, passes = model_blocks(models, on)
+    keep = [c for c in rows.columns if c != vec]
+    parts = []
+    for k in range(passes):
+        j = rows.join(F.broadcast(blocks.where(F.col("_pass") == k).drop("_pass")), on)
+        if check_dims:
+            j = j.withColumn("models", F.when(
+                F.assert_true(F.forall("models", lambda m: F.size(m["w"]) == F.size(vec)),
+                              F.lit("vector length differs from the model's")).isNull(), F.col("models")))
+        probs = F.transform("models", lambda m: F.struct(
+            m["name"].alias("model_name"), sigmoid(dot(vec, m["w"]) + m["b"]).alias("prob")))
+        # inline_outer: with a plain inline the optimizer infers a filter on the array and computes it twice
+        parts.append(j.select(*keep, F.inline_outer(probs)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def centroid_models(train: DataFrame, vec: str = "embedding", by=("condition",), label: str = "y",
@@ -111,14 +163,10 @@ def best_c(grid: DataFrame, by=("condition", "sample_size"), auc: str = "val_auc
             .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
 
 
-def balanced_weights(df: DataFrame, by, label: str = "y") -> DataFrame:
-    """``n / (k * n_class)`` per row, from a small per-(group, class) count table."""
-    by = list(by)
-    cnt = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("_nc"))
-    tot = cnt.groupBy(*by).agg(F.sum("_nc").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    wt = cnt.join(tot, by).select(*by, label, (F.col("_n") / (F.col("_k") * F.col("_nc"))).alias("weight"))
-    wt, n = materialize_small(wt)
-    return join_small(df, wt, by + [label], bound=n)
+def balanced_weight(label: Column, n_pos: Column, n_neg: Column) -> Column:
+    """``n / (2 * n_class)`` of a row's class."""
+    n = (n_pos + n_neg).cast("double")
+    return n / (2.0 * F.when(label == 1, n_pos).otherwise(n_neg))
 
 
 def reg_param(c: float, weight_sum: float) -> float:
@@ -132,162 +180,165 @@ def reg_param(c: float, weight_sum: float) -> float:
     return 1.0 / (c * weight_sum)
 
 
-def logistic_estimator(max_iter: int = 100, tol: float = 1e-6):
+def logistic_estimator(max_iter: int = 1000, tol: float = 1e-8):
     """L2 logistic regression on pre-standardised features with a free intercept."""
     from pyspark.ml.classification import LogisticRegression
     return LogisticRegression(weightCol="weight", elasticNetParam=0.0, standardization=False,
                               fitIntercept=True, maxIter=max_iter, tol=tol, family="binomial")
 
 
-def newton_logistic(X, y, s, C: float, max_iter: int = 100, tol: float = 1e-9):
-    """Minimise ``1/2 |w|^2 + C * sum_i s_i * logloss_i`` (free intercept) for one
-    small problem by damped Newton steps; returns ``(w, b)``."""
-    import numpy as np
-
-    n, d = X.shape
-    A = np.hstack([X, np.ones((n, 1))])
-    R = np.eye(d + 1)
-    R[d, d] = 0.0
-    th = np.zeros(d + 1)
+def matching_vectors(train: DataFrame, val: DataFrame, vec: str = "embedding",
+                     prefix: str = "emb_") -> tuple[DataFrame, DataFrame]:
+    """Train and validation tables with their vectors in one column ``vec``.
 
-    def f(t):
-        z = A @ t
-        return 0.5 * t[:d] @ t[:d] + C * np.sum(s * (np.logaddexp(0.0, z) - y * z))
-
-    for _ in range(max_iter):
-        p = 0.5 * (1.0 + np.tanh(0.5 * (A @ th)))  # overflow-free sigmoid
-        g = R @ th + C * (A.T @ (s * (p - y)))
-        if np.linalg.norm(g) <= tol * max(1.0, C * s.sum()):
-            break
-        H = R + C * (A * (s * p * (1.0 - p))[:, None]).T @ A
-        step = np.linalg.solve(H, g)
-        t, f0, slope = 1.0, f(th), g @ step
-        while f(th - t * step) > f0 - 1e-4 * t * slope and t > 1e-12:
-            t *= 0.5
-        th = th - t * step
-    return th[:d], float(th[d])
-
-
-GRID_SCHEMA = T.StructType([
-    T.StructField("condition", T.StringType()), T.StructField("sample_size", T.LongType()),
-    T.StructField("c_ordinal", T.IntegerType()), T.StructField("c", T.DoubleType()),
-    T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("intercept", T.DoubleType()),
-    T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("scale", T.ArrayType(T.DoubleType()))])
-
-
-def _fit_cells_in_tasks(sample: DataFrame, vec: str, c_values) -> DataFrame:
-    """Every (condition, sample_size) cell fitted inside one task per cell, all
-    cells in one job: scaler (population std, 0 -> 1), balanced weights and the
-    whole C grid on the cell's rows. Callers route only cells whose row count
-    is bounded (``max_local_rows``) here."""
-    import numpy as np
-    import pandas as pd
-
-    cs = [float(c) for c in c_values]
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        X = np.array(pdf[vec].tolist(), dtype=float)
-        y = pdf["y"].to_numpy(dtype=float)
-        mu = X.mean(axis=0)
-        sd = X.std(axis=0)
-        sc = np.where(sd == 0.0, 1.0, sd)
-        Z = (X - mu) / sc
-        n, n1 = len(y), float((y == 1).sum())
-        s = np.where(y == 1, n / (2.0 * n1), n / (2.0 * (n - n1)))
-        rows = []
-        for j, c in enumerate(cs):
-            w, b = newton_logistic(Z, y, s, c)
-            rows.append((pdf["condition"].iloc[0], int(pdf["sample_size"].iloc[0]), j, c,
-                         w.tolist(), b, mu.tolist(), sc.tolist()))
-        return pd.DataFrame(rows, columns=[f.name for f in GRID_SCHEMA.fields])
-
-    return sample.select("condition", "sample_size", vec, "y").groupBy("condition", "sample_size") \
-                 .applyInPandas(fit, GRID_SCHEMA)
-
-
-def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, plan: DataFrame,
-                 vec: str = "embedding", key_cols=("vec_id",), c_values=DEFAULT_C_VALUES,
-                 seed: int = 42, max_iter: int = 100, tol: float = 1e-6, parallelism: int = 8,
-                 rows_per_partition: int = 200_000, max_local_rows: int = 100_000) -> DataFrame:
-    """M3 grid: per (condition, sample_size) of ``plan`` an L2 logistic regression
-    with balanced class weights for every C; the best C by validation AUC wins.
-
-    * samples for all cells: one ``stratified_exact`` pass (N1);
-    * scalers for all cells: one grouped aggregation (A8);
-    * fits of cells with at most ``max_local_rows`` rows (the requested sample
-      sizes are such bounds): one ``applyInPandas`` job, one task per cell,
-      damped Newton on the objective for every C -- the grid costs one job,
-      not one job per solver iteration;
-    * larger cells: MLlib ``LogisticRegression`` (distributed L-BFGS), objective
-      mapped from ``C`` as ``regParam = 1 / (C * n)``, no internal
-      standardisation; ``fitMultiple`` over the C grid reuses the cached cell
-      data and cells are fitted concurrently;
-    * validation AUC for every (cell, C): **one** job (equi-join on condition
-      + exact AUC), then A9 picks the winner.
-    Cells whose sample has one class are skipped (the reference's solver would
-    raise; MLlib would return an infinite intercept).
+    Wide ``emb_*`` columns are gathered in the order of the training table.
+    Raises when the training table has no vectors, or the validation table
+    lacks some of its vector columns.
     """
-    from pyspark.ml.functions import array_to_vector
+    if vec in train.columns:
+        require_columns(val, [vec], "validation table")
+        return train, val
+    cols = wide_columns(train, prefix)
+    if not cols:
+        raise ValueError(f"no vectors: neither a column {vec!r} nor columns that start with {prefix!r}")
+    require_columns(val, cols, "validation table")
+    gathered = F.array(*[F.col(c).cast("float") for c in cols]).alias(vec)
+    return (train.select(*[c for c in train.columns if c not in cols], gathered),
+            val.select(*[c for c in val.columns if c not in wide_columns(val, prefix)], gathered))
+
+
+def _class_counts(df: DataFrame, conditions) -> DataFrame:
+    """Rows and U-Zero classes of each condition column, in one aggregation of the wide table."""
+    aggs = []
+    for i, c in enumerate(conditions):
+        y = u_zero(F.col(f"`{c}`").cast("double"))
+        aggs += [F.count(F.when(y == 1, 1)).alias(f"p{i}"), F.count(F.when(y == 0, 1)).alias(f"q{i}")]
+    one = df.agg(F.count(F.lit(1)).alias("n"), *aggs)
+    each = F.array(*[F.struct(F.lit(c).alias("condition"), F.col("n"), F.col(f"p{i}").alias("n_pos"), F.col(f"q{i}").alias("n_neg"))
+                     for i, c in enumerate(conditions)])
+    return one.select(F.inline(each))
+
+
+def plan_grid(spark: SparkSession, train: DataFrame, val: DataFrame, conditions=DEFAULT_CONDITIONS,
+              sizes=None, ratio: float | None = None, key_cols=("vec_id",), seed: int | None = None):
+    """F6 + A13 + J4: every cell of the grid with its status, and the sampled rows.
+
+    Returns ``(cells, sample)``. ``cells`` has one row per (condition, sample
+    size) with the classes of its sample and of the validation table, and one
+    row with a null size for a condition that cannot be planned. ``sample``
+    holds ``key_cols, condition, y, sizes`` of the drawn rows, without vectors.
+    Nothing is fitted: whether a cell can be is known from class counts.
+
+    Status: ``ok``; ``skipped_missing_condition_column`` (absent from either
+    table); ``skipped_no_training_rows``; ``skipped_not_binary`` (a label other
+    than 0 and 1); ``skipped_one_class`` (of the sample); ``skipped_auc_undefined``
+    (one class in the validation table, so no C can be chosen).
+    """
+    from lumen.operators.sampling import (DEFAULT_MIN_OVERAGE_RATIO, DEFAULT_SAMPLE_SIZES, DEFAULT_SEED, nested_ranks,
+                                          target_sizes)
+
+    conditions, keys = list(dict.fromkeys(conditions)), list(key_cols)
+    present = [c for c in conditions if c in train.columns and c in val.columns]
+    ordered = spark.createDataFrame(list(enumerate(conditions)), "condition_ordinal int, condition string")
+    empty = spark.createDataFrame([], "condition string, n long, n_pos long, n_neg long")
+    have = cut_lineage(_class_counts(train, present)) if present else empty
+    val_n = _class_counts(val, present) if present else empty
+    sized = target_sizes(have.where("n > 0").select("condition", "n"), sizes or DEFAULT_SAMPLE_SIZES,
+                         DEFAULT_MIN_OVERAGE_RATIO if ratio is None else ratio)
+    sized = cut_lineage(sized.select("condition", "size_ordinal", "sample_size"))
+    narrow = train.select(*keys, *[F.col(f"`{c}`").cast("double").alias(c) for c in present])
+    if present:
+        long = narrow.unpivot(keys, present, "condition", "raw_label").select(*keys, "condition", u_zero("raw_label").alias("y"))
+    else:
+        long = train.select(*keys, F.lit(None).cast("string").alias("condition"), F.lit(None).cast("int").alias("y")).limit(0)
+    sample = cut_lineage(nested_ranks(long, sized.select("condition", "sample_size"), ["condition"], "y", keys,
+                                      DEFAULT_SEED if seed is None else seed))
+    drawn = sample.select("condition", "y", F.explode("sizes").alias("sample_size")).groupBy("condition", "sample_size").agg(
+        F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"), F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"))
+    cells = (ordered.join(have.select("condition", F.col("n").alias("n_available")), "condition", "left")
+             .join(sized, "condition", "left").join(drawn, ["condition", "sample_size"], "left")
+             .join(val_n.select("condition", F.col("n_pos").alias("n_val_pos"), F.col("n_neg").alias("n_val_neg")), "condition", "left"))
+    status = (F.when(~F.col("condition").isin(present) if present else F.lit(True), STATUS_SKIPPED)
+              .when(F.col("n_available") == 0, STATUS_NO_ROWS)
+              .when(F.col("n_pos") + F.col("n_neg") < F.col("sample_size"), STATUS_NOT_BINARY)
+              .when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), STATUS_SAMPLE_ONE_CLASS)
+              .when((F.col("n_val_pos") == 0) | (F.col("n_val_neg") == 0), STATUS_NO_AUC).otherwise(STATUS_OK))
+    return cut_lineage(cells.select(
+        "condition_ordinal", "condition", "size_ordinal", "sample_size", "n_available", "n_pos", "n_neg", "n_val_pos", "n_val_neg",
+        status.alias("status"))), sample
+
+
+def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, conditions=DEFAULT_CONDITIONS, sizes=None,
+                 ratio: float | None = None, vec: str = "embedding", key_cols=("vec_id",), c_values=DEFAULT_C_VALUES,
+                 seed: int | None = None, max_iter: int = 1000, tol: float = 1e-8, parallelism: int = 8,
+                 rows_per_partition: int = 200_000) -> DataFrame:
+    """M3 grid: per (condition, sample size) an L2 logistic regression with balanced class weights for every C; the best C
+    by validation AUC wins. One row per planned cell, fitted or not, with ``status`` (see ``plan_grid``).
+
+    * ``plan_grid`` samples by nested ranks on narrow rows; the sampled keys are
+      joined to the vectors once, whatever the number of cells;
+    * scalers of all cells: one grouped aggregation (A8);
+    * every cell is fitted by MLlib ``LogisticRegression`` (L-BFGS over the
+      cell's partitions), the objective mapped from ``C`` as ``regParam =
+      1 / (C * n)``, ``fitMultiple`` over the values of C; independent cells run
+      at once, and each writes its coefficients to a table in the shared folder;
+    * validation AUC for every (cell, C): one job over blocks of models (J7),
+      then A9 picks the winner.
+    """
+    import os
+    import uuid
+    from concurrent.futures import ThreadPoolExecutor
 
-    from lumen.operators.sampling import stratified_exact
+    from pyspark.ml.functions import array_to_vector
 
     keys = list(key_cols)
-    sample = stratified_exact(train, plan, ["condition"], "y", keys, seed=seed).persist()
-    scalers = fit_scaler(sample, vec, ["condition", "sample_size"])
-    classes = sample.groupBy("condition", "sample_size").agg(
-        F.countDistinct("y").alias("_k"), F.count(F.lit(1)).alias("_n"),
-        F.count(F.when(F.col("y") == 1, 1)).alias("n_pos"), F.count(F.when(F.col("y") == 0, 1)).alias("n_neg"))
-    cells = [r.asDict() for r in scalers.join(classes, ["condition", "sample_size"])
-             .where("_k >= 2").orderBy("condition", "sample_size").collect()]
-    def fit_cell(cell):
-        sub = (sample.where((F.col("condition") == cell["condition"]) & (F.col("sample_size") == cell["sample_size"]))
-               .withColumn("_mu", F.lit(cell["mean"])).withColumn("_sc", F.lit(cell["scale"])))
-        sub = balanced_weights(sub, ["condition", "sample_size"])
-        # Partitions sized to the cell (L-BFGS runs one job per iteration; tiny
-        # cells on many partitions would be all scheduling overhead).
-        parts = max(1, min(task_slots(spark), int(cell["_n"]) // rows_per_partition))
-        data = (sub.select(array_to_vector(standardize(vec, "_mu", "_sc")).alias("features"),
-                           F.col("y").cast("double").alias("label"), "weight")
+    train, val = matching_vectors(train, val, vec)
+    cells, sample = plan_grid(spark, train, val, conditions, sizes, ratio, keys, seed)
+    todo = cells.where(F.col("status") == STATUS_OK).select("condition_ordinal", "condition", "sample_size", "n_pos", "n_neg")
+    member = (sample.select(*keys, "condition", "y", F.explode("sizes").alias("sample_size"))
+              .join(F.broadcast(todo.select("condition", "sample_size")), ["condition", "sample_size"])
+              .groupBy(*keys).agg(F.collect_list(F.struct("condition", "sample_size", "y")).alias("cells")))
+    rows = cut_lineage(train.select(*keys, vec).join(member, keys).select(vec, "cells"))
+    scalers = fit_scaler(rows.select(vec, F.inline("cells")), vec, ["condition", "sample_size"])
+    path = os.path.join(checkpoint_dir(spark), f"probe-grid-{uuid.uuid4().hex}")
+
+    def fit_cell(c) -> str:
+        mine = F.filter("cells", lambda x: (x["condition"] == c["condition"]) & (x["sample_size"] == c["sample_size"]))
+        data = rows.select(vec, mine.alias("cell")).where(F.size("cell") > 0).select(vec, F.col("cell")[0]["y"].alias("y"))
+        mean, scale = (F.lit(c[k]).cast("array<double>") for k in ("mean", "scale"))
+        # Partitions sized to the cell: L-BFGS runs one job per iteration.
+        parts = max(1, min(task_slots(spark), (c["n_pos"] + c["n_neg"]) // rows_per_partition))
+        data = (data.select(array_to_vector(standardize(vec, mean, scale)).alias("features"),
+                            F.col("y").cast("double").alias("label"),
+                            balanced_weight(F.col("y"), F.lit(c["n_pos"]), F.lit(c["n_neg"])).alias("weight"))
                 .repartition(parts).persist())
         lr = logistic_estimator(max_iter, tol)
-        maps = [{lr.regParam: reg_param(c, cell["_n"])} for c in c_values]
-        out = []
+        maps = [{lr.regParam: reg_param(x, c["n_pos"] + c["n_neg"])} for x in c_values]
         try:
-            for idx, model in lr.fitMultiple(data, maps):
-                out.append((cell["condition"], int(cell["sample_size"]), idx, float(c_values[idx]),
-                            [float(x) for x in model.coefficients.toArray()], float(model.intercept),
-                            [float(x) for x in cell["mean"]], [float(x) for x in cell["scale"]]))
+            fitted = [(c["condition"], int(c["sample_size"]), i, float(c_values[i]),
+                       m.coefficients.toArray().tolist(), float(m.intercept), list(c["mean"]), list(c["scale"]))
+                      for i, m in lr.fitMultiple(data, maps)]
         finally:
             data.unpersist()
+        out = os.path.join(path, f"{c['condition_ordinal']}-{c['sample_size']}")  # a folder of its own: cells commit at once
+        spark.createDataFrame(fitted, GRID_SCHEMA).coalesce(1).write.mode("overwrite").parquet(out)
         return out
 
-    small = [c for c in cells if c["_n"] <= max_local_rows]
-    large = [c for c in cells if c["_n"] > max_local_rows]
-    parts = []
-    if small:
-        keep = spark.createDataFrame([(c["condition"], int(c["sample_size"])) for c in small],
-                                     "condition string, sample_size long")
-        local = _fit_cells_in_tasks(sample.join(F.broadcast(keep), ["condition", "sample_size"], "left_semi"),
-                                    vec, c_values)
-        parts.append(cut_lineage(local))  # one job for all small cells; read three times below
-    if large:
-        # Independent large cells are fitted concurrently, as MLlib's tuning tools do.
-        from concurrent.futures import ThreadPoolExecutor
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            fitted = [row for rows in pool.map(fit_cell, large) for row in rows]
-        parts.append(spark.createDataFrame(fitted, GRID_SCHEMA))
-    sample.unpersist()
-    grid = parts[0]
-    for p in parts[1:]:
-        grid = grid.unionByName(p)
+    # one row per cell: the sizes of the plan times its conditions
+    work = scalers.join(todo, ["condition", "sample_size"]).collect()
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        done = list(pool.map(fit_cell, work))
+    grid = spark.read.schema(GRID_SCHEMA).parquet(*done) if done else spark.createDataFrame([], GRID_SCHEMA)
     grid = grid.withColumn(
         "model_name", F.concat_ws("|", "condition", F.col("sample_size").cast("string"), F.col("c_ordinal").cast("string")))
-    scored = score(val.select(*keys, vec, "condition", "y"), grid, vec)
-    aucs = auc_by(scored, ["model_name"], "y", "prob").select("model_name", F.col("auc").alias("val_auc"))
-    ranked = best_c(grid.join(aucs, "model_name"), ("condition", "sample_size"))
-    counts = spark.createDataFrame([(c["condition"], int(c["sample_size"]), int(c["n_pos"]), int(c["n_neg"]))
-                                    for c in cells], "condition string, sample_size long, n_pos long, n_neg long")
-    return (ranked.join(counts, ["condition", "sample_size"], "left")
-            .select(model_name("condition", "sample_size").alias("model_name"), "condition", "sample_size",
-                    F.col("c").alias("best_c"), "val_auc", "coef", "intercept", "mean", "scale",
-                    "n_pos", "n_neg", F.size("coef").alias("num_dims")))
+    present = sorted({r["condition"] for r in work})
+    best = grid.withColumn("val_auc", F.lit(None).cast("double")).limit(0)
+    if present:
+        scored = score(long_labels(val, keys, vec, present).select(vec, "condition", "y"), grid, vec)
+        aucs = auc_by(scored, ["model_name"], "y", "prob").select("model_name", F.col("auc").alias("val_auc"))
+        best = best_c(grid.join(aucs, "model_name"), ("condition", "sample_size"))
+    best = best.select("condition", "sample_size", F.col("c").alias("best_c"), "val_auc", "coef", "intercept", "mean", "scale")
+    return cells.join(best, ["condition", "sample_size"], "left").select(
+        F.when(F.col("sample_size").isNotNull(), model_name("condition", "sample_size")).alias("model_name"),
+        "condition", "sample_size", "status", "best_c", "val_auc", "coef", "intercept", "mean", "scale",
+        "n_pos", "n_neg", "n_val_pos", "n_val_neg", F.when(F.col("coef").isNotNull(), F.size("coef")).alias("num_dims"))

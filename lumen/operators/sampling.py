@@ -52,7 +52,11 @@ def _class_table(df: DataFrame, group_cols, label: str) -> DataFrame:
     sampling class of each label (A7: a group is stratified when it has more
     than one class slot and every non-empty class has >= 2 rows; otherwise all
     its labels share the pseudo-class ``ALL_CLASSES``)."""
-    h = df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("_c"))
+    return _classes(df.groupBy(*group_cols, label).agg(F.count(F.lit(1)).alias("_c")), group_cols, label)
+
+
+def _classes(h: DataFrame, group_cols, label: str) -> DataFrame:
+    """Sampling class of each (group, label) of a count table ``_c``."""
     g = Window.partitionBy(*group_cols)
     strat = (F.max(label).over(g) >= 1) & (F.min("_c").over(g) >= 2)
     return h.withColumn("_cls", F.when(strat, F.col(label).cast("long")).otherwise(F.lit(ALL_CLASSES)))
@@ -141,3 +145,42 @@ def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key
                 .where(F.col("_rn") <= F.col("quota")).drop("_bin", "_off"))
     part = part.drop("_rn", "_u", "_t", "quota", "_c", "_cls")
     return part.unionByName(whole)
+
+
+#: Equal-width bins of the hash in which a class is counted and ranked: a window holds a 65,536th of a class.
+RANK_BINS = 1 << 16
+
+
+def nested_ranks(df: DataFrame, plan: DataFrame, group_cols, label: str, key_cols,
+                 seed: int = DEFAULT_SEED) -> DataFrame:
+    """One draw for all sizes of ``plan``: the sampled rows of ``df`` with ``sizes``, the sample sizes that hold them.
+
+    Every class of a group is ranked once by the keyed hash; a sample of a size
+    takes the rows whose rank is within the class's quota for it, so samples are
+    nested up to the rounding of quotas. Exactly ``sample_size`` rows, quotas by
+    largest remainder, the same rows for any partitioning. Rows are counted in
+    RANK_BINS bins of the hash (one aggregation, which also gives the class
+    counts), only bins that reach below the largest quota are joined, and a rank
+    is the rows of lower bins plus the row number in the bin, so no window grows
+    beyond a bin and the join keys are spread evenly. Groups that cannot be
+    stratified are ranked as one class. ``df`` should be narrow.
+    """
+    group_cols, key_cols = list(group_cols), list(key_cols)
+    rows = df.withColumn("_u", _u01(key_cols, seed)).withColumn("_bin", F.floor(F.col("_u") * RANK_BINS).cast("int"))
+    fine = cut_lineage(rows.groupBy(*group_cols, label, "_bin").agg(F.count(F.lit(1)).alias("_n")))
+    table = cut_lineage(_classes(fine.groupBy(*group_cols, label).agg(F.sum("_n").alias("_c")), group_cols, label))
+    quotas = class_quotas(df, plan, group_cols, label, table)
+    cells = quotas.groupBy(*group_cols, "_cls").agg(
+        F.collect_list(F.struct("sample_size", "quota", (F.col("quota") >= F.col("_c")).alias("whole"))).alias("_cells"),
+        F.max("quota").alias("_most"))
+    below = Window.partitionBy(*group_cols, "_cls").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    labelled = fine.join(table.select(*group_cols, label, "_cls"), group_cols + [label])
+    bins = (labelled.groupBy(*group_cols, "_cls", "_bin").agg(F.sum("_n").alias("_n"))
+            .withColumn("_off", F.coalesce(F.sum("_n").over(below), F.lit(0))))
+    bins = bins.join(cells, group_cols + ["_cls"]).where(F.col("_off") < F.col("_most"))
+    drawn = (labelled.select(*group_cols, label, "_cls", "_bin")
+             .join(bins.select(*group_cols, "_cls", "_bin", "_off", "_cells"), group_cols + ["_cls", "_bin"]))
+    w = Window.partitionBy(*group_cols, "_cls", "_bin").orderBy("_u", *key_cols)
+    ranked = rows.join(drawn, group_cols + [label, "_bin"]).withColumn("_rank", F.col("_off") + F.row_number().over(w))
+    sizes = F.expr("transform(filter(_cells, c -> c.whole OR _rank <= c.quota), c -> c.sample_size)")
+    return ranked.withColumn("sizes", sizes).where(F.size("sizes") > 0).select(*df.columns, "sizes")

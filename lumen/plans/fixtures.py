@@ -78,6 +78,20 @@ def v_cxr_labels(spark: SparkSession, sf: str) -> DataFrame:
     return main.unionByName(dup)
 
 
+def v_hot_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Events by path: a third of them on one path, a seventh of the others without a path."""
+    return read_table(spark, sf, "events").selectExpr(
+        "event_id", "CASE WHEN event_id % 3 = 0 THEN 'p/hot' WHEN event_id % 7 = 1 THEN NULL "
+                    "ELSE concat('p/', CAST(user_id AS STRING)) END AS path")
+
+
+def v_hot_customers(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers by path: one in fifty on the hot path, one in two hundred without a path."""
+    return read_table(spark, sf, "customer").selectExpr(
+        "c_custkey", "CASE WHEN c_custkey % 50 = 0 THEN 'p/hot' WHEN c_custkey % 200 = 1 THEN NULL "
+                     "ELSE concat('p/', CAST(c_custkey AS STRING)) END AS path")
+
+
 SCORE_MODELS = [0, 1, 2, 3, 4, 10]
 _MODELS_ARRAY = "array(" + ", ".join(str(k) for k in SCORE_MODELS) + ")"
 

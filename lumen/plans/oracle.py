@@ -13,6 +13,7 @@ def _strip(x: str) -> str:
     return STRIP.format(x=x)
 
 
+# Fixed values of the answer parser: its pattern and its two word lists.
 FINAL_RE = r"final\s*answer\s*:\s*([^\n\r.;,]+)"
 _POS = ["yes", "present", "positive", "consistent with", "suggests", "shows", "seen"]
 _NEG = ["no", "absent", "negative", "not present", "no evidence", "unremarkable", "without"]
@@ -270,6 +271,15 @@ SELECT 0 AS ordinal, 'path' AS embedding_join_key, 'path' AS label_join_key, cou
 FROM v_cxr c JOIN lb l ON c.path IS NOT DISTINCT FROM l.path
 UNION ALL
 SELECT 2, 'path_short', 'path_short', count(*) FROM {_JOIN_B}"""),
+    "hot_key_join": """
+WITH l AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'p/hot' WHEN event_id % 7 = 1 THEN NULL
+                                 ELSE 'p/' || CAST(user_id AS VARCHAR) END AS path FROM events),
+r AS (SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'p/hot' WHEN c_custkey % 200 = 1 THEN NULL
+                             ELSE 'p/' || CAST(c_custkey AS VARCHAR) END AS path FROM customer),
+j AS (SELECT l.path, event_id, c_custkey FROM l JOIN r ON l.path IS NOT DISTINCT FROM r.path)
+SELECT path, count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS sum_event, CAST(sum(c_custkey) AS BIGINT) AS sum_customer,
+       (SELECT count(*) FROM j) AS matched_rows, (SELECT count(*) FROM j WHERE path IS NULL) AS null_key_rows
+FROM j GROUP BY path""",
     "auc_exact": with_fixtures(["v_scores"], f"""
 WITH {_auc_sql('v_scores', 'model_id')}
 SELECT model_id, n_pos, n_neg, round(auc, 6) AS auc FROM auc"""),
@@ -294,6 +304,25 @@ SELECT condition, sample_size, sample_size AS n_sampled,
                  WHEN c1 = 0 THEN sample_size WHEN c0 = 0 THEN 0 END AS BIGINT) AS n_neg,
        sample_size AS n_distinct
 FROM qq"""),
+    "probe_grid": with_fixtures(["v_cxr", "v_cxr_labels"], f"""
+WITH {_PLAN}, {_LABELS_B},
+jn AS (SELECT c.vec_id, c.atelectasis, c.cardiomegaly, c.consolidation, c.edema, c.single_class FROM {_JOIN_B}),
+vl AS (SELECT condition, count(*) FILTER (WHERE y = 1) AS n_val_pos, count(*) FILTER (WHERE y = 0) AS n_val_neg
+       FROM {_unpivot_nulls('jn', 'vec_id', _CXR_CONDS)} GROUP BY condition),
+q AS (SELECT pl.*, c1, c0, c1 >= 2 AND (c0 >= 2 OR c0 = 0) AS strat,
+             (sample_size * c1) // cnt.n AS f1, (sample_size * c0) // cnt.n AS f0,
+             (sample_size * c1) % cnt.n AS r1, (sample_size * c0) % cnt.n AS r0
+      FROM pl JOIN cnt USING (condition)),
+s AS (SELECT *, CASE WHEN strat AND sample_size - f1 - f0 >= 1 AND (r1 > r0 OR (r1 = r0 AND c1 > c0)) THEN f1 + 1
+                     WHEN strat THEN f1 WHEN c1 = 0 THEN 0 END AS n_pos FROM q),
+cells AS (SELECT condition, size_ordinal, sample_size, s.n AS n_available, CAST(n_pos AS BIGINT) AS n_pos,
+                 CAST(sample_size - n_pos AS BIGINT) AS n_neg, n_val_pos, n_val_neg,
+                 CASE WHEN n_pos = 0 OR n_pos = sample_size THEN 'skipped_one_class'
+                      WHEN n_val_pos = 0 OR n_val_neg = 0 THEN 'skipped_auc_undefined' ELSE 'ok' END AS status
+          FROM s LEFT JOIN vl USING (condition))
+SELECT * FROM cells
+UNION ALL
+SELECT 'pneumonia', NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'skipped_missing_condition_column'"""),
     "scaler_stats": """
 WITH g AS (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM embeddings))) AS i)
 SELECT CAST(g.i - 1 AS INTEGER) AS dim, round(avg(CAST(e.embedding[g.i] AS DOUBLE)), 6) AS mean,
@@ -411,3 +440,68 @@ vp AS (SELECT vec_id AS item_id, condition_id, gt,
 SELECT policy, condition_id, n_rows, tp, fp, fn, gt_pos, pred_pos, round({_f1()}, 6) AS f1
 FROM pc WHERE n_rows > 0"""),
 })
+
+
+_EXACT = """SELECT event_id, CAST(s * CASE WHEN v = 0 THEN 0 ELSE (q + CASE WHEN 2 * r > u OR (2 * r = u AND q % 2 = 1) THEN 1 ELSE 0 END) / 100.0 END AS DOUBLE) AS v
+FROM (SELECT *, (m * 100) // u AS q, (m * 100) % u AS r FROM (SELECT event_id, v, s, CAST(v * pow(2, k) AS HUGEINT) AS m, CAST(pow(2, k) AS HUGEINT) AS u
+FROM (SELECT event_id, v, s, 54 - CAST(floor(log2(CASE WHEN v = 0 THEN 1 ELSE v END)) AS INTEGER) AS k FROM ({src}))))"""
+_X16 = "SELECT event_id, CAST(event_id % 2000 AS DOUBLE) / 16.0 AS v, 1 AS s FROM events"
+_Y5 = "SELECT event_id, CAST((event_id % 5000) * 5 AS DOUBLE) / 1000.0 AS v, {s} AS s FROM events"
+_ANSWER = "CASE ({n}) % 3 WHEN 0 THEN 'Final Answer: Yes' WHEN 1 THEN 'Final Answer: No' ELSE 'Unclear.' END"
+_CLS_ROWS = f"""c AS (SELECT v.vec_id, v.path, k.condition_id, k.condition,
+    {_uz("CASE k.condition_id " + " ".join(f"WHEN {i} THEN v.{c}" for i, c in enumerate(_CLS4)) + " END")} AS gt,
+    length(replace('{_Q}', '{{condition}}', k.condition)) + v.vec_id AS n
+  FROM v_cxr v CROSS JOIN (VALUES {", ".join(f"({i}, '{c}')" for i, c in enumerate(_CLS4))}) AS k(condition_id, condition))"""
+
+ORACLE_SQL.update({
+    "report_images": with_fixtures(["v_studies"], f"""
+WITH {_studies_cte()},
+im AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 0 ELSE octet_length(encode(text)) END AS n FROM documents WHERE doc_id % 4 <> 3),
+s AS (SELECT sf.study_id, '/img/' || CAST(sf.study_id AS VARCHAR) || '.jpg' AS local_image_path, sf.indication, sf.prompt, im.n,
+             CASE WHEN im.n IS NULL THEN 'file_not_found' WHEN im.n = 0 THEN 'image_open_error'
+                  WHEN im.n % 17 = 0 THEN 'generation_error' END AS reason
+      FROM sf LEFT JOIN im ON im.doc_id = sf.study_id)
+SELECT study_id, local_image_path, indication, prompt AS prompt_used,
+       CASE WHEN reason IS NULL THEN CASE WHEN (length(prompt) + n) % 2 = 0 THEN 'Final Answer: Yes' ELSE 'Final Answer: No' END END AS full_gen,
+       CASE WHEN reason IS NULL THEN 'ok' ELSE 'failed' END AS status, reason FROM s"""),
+    "cls_images": with_fixtures(["v_cxr"], f"""
+WITH {_CLS_ROWS},
+g AS (SELECT *, CASE WHEN vec_id % 9 = 4 THEN 'file_not_found' WHEN vec_id % 8 = 0 THEN 'image_open_error' END AS reason FROM c)
+SELECT path, length(CAST(vec_id AS VARCHAR)) || 'x1' AS image_size, 'ok' AS status, reason, condition, gt,
+       CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS pred, {_ANSWER.format(n='n')} AS raw FROM g WHERE reason IS NULL
+UNION ALL
+SELECT path, NULL, 'failed', reason, NULL, NULL, NULL, NULL FROM g WHERE reason IS NOT NULL AND condition_id = 0"""),
+    "cls_first_rows": with_fixtures(["v_cxr"], f"""
+SELECT vec_id, path, {", ".join(f"CAST({c} AS INTEGER) AS {c}" for c in _CLS4)} FROM v_cxr ORDER BY vec_id LIMIT 120"""),
+    "report_run": with_fixtures(["v_studies"], f"""
+WITH {_studies_cte()},
+t AS (SELECT study_id, 'ref' AS side, full_gt AS text FROM sf
+      UNION ALL SELECT study_id, 'hyp', CASE WHEN (length(prompt) + study_id) % 2 = 0 THEN 'Final Answer: Yes' ELSE 'Final Answer: No' END FROM sf),
+k AS (SELECT DISTINCT study_id, side, unnest(string_split_regex(text, '\\s+')) AS token FROM t),
+fl AS (SELECT study_id, token, max(CAST(side = 'hyp' AS INTEGER)) AS h, max(CAST(side = 'ref' AS INTEGER)) AS r FROM k WHERE token <> '' GROUP BY ALL),
+sz AS (SELECT study_id, sum(h) AS nh, sum(r) AS nr, sum(h * r) AS nb FROM fl GROUP BY ALL),
+f AS (SELECT CASE WHEN coalesce(nh, 0) = 0 OR coalesce(nr, 0) = 0 THEN 0.0 ELSE 2.0 * nb / (nh + nr) END AS f1 FROM sf LEFT JOIN sz USING (study_id)),
+lv AS (SELECT * FROM (VALUES ('simple', 'rg_e'), ('partial', 'rg_er'), ('complete', 'rg_er_bar')) AS l(level, metric))
+SELECT 'full_report' AS section, level, metric, count(*) AS n_samples, round(avg(f1), 6) AS mean_f1,
+       count(*) AS rows_written, count(*) AS rows_ok FROM f CROSS JOIN lv GROUP BY level, metric"""),
+    "cls_run": with_fixtures(["v_cxr"], f"""
+WITH {_CLS_ROWS},
+vp AS (SELECT vec_id AS item_id, condition_id, gt, CASE n % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE -1 END AS verdict FROM c),
+{_POLICY_ROWS},
+f AS (SELECT policy, condition_id, n_rows, {_f1()} AS f1 FROM pc WHERE n_rows > 0),
+m AS (SELECT policy, avg(f1) AS macro_f1 FROM f GROUP BY policy),
+t AS (SELECT count(DISTINCT item_id) AS n FROM vp),
+a AS (SELECT count(*) AS n FROM (SELECT item_id FROM vp GROUP BY item_id HAVING min(verdict) > -1))
+SELECT f.policy, k.condition, t.n AS n_total_rows, a.n AS n_rows_no_ambiguous, t.n AS rows_written, round(f1, 6) AS f1, round(macro_f1, 6) AS macro_f1
+FROM f JOIN m USING (policy) JOIN (SELECT DISTINCT condition_id, condition FROM c) k USING (condition_id), t, a"""),
+    "models_with_metadata": with_fixtures(["v_cxr"], f"""
+WITH l AS {_unpivot_nulls('v_cxr', 'vec_id', _CXR_CONDS)},
+n AS (SELECT condition AS c, count(*) FILTER (WHERE y = 1) AS n_pos, count(*) FILTER (WHERE y = 0) AS n_neg FROM l GROUP BY condition)
+SELECT c || '_' || CAST(n_pos + n_neg AS VARCHAR) AS model_name, CASE WHEN c = 'edema' THEN 'Edema' ELSE c END AS condition,
+       CAST(CASE WHEN c IN ('atelectasis', 'edema') THEN 64 ELSE n_pos + n_neg END AS INTEGER) AS training_set_size,
+       CAST(CASE WHEN c IN ('atelectasis', 'edema') THEN 0.1 END AS DOUBLE) AS best_hyperparameter_C, n_pos, n_neg
+FROM n WHERE n_pos > 0 AND n_neg > 0"""),
+    "python_rounding": f"""
+SELECT a.event_id, a.v AS x, b.v AS y, c.v AS minus_y FROM ({_EXACT.format(src=_X16)}) a
+JOIN ({_EXACT.format(src=_Y5.format(s=1))}) b USING (event_id) JOIN ({_EXACT.format(src=_Y5.format(s=-1))}) c USING (event_id)""",
+})

@@ -1,6 +1,6 @@
 """Registered queries: one per operator group of the inventory.
 
-Each function takes ``(spark, sf_dir)`` and returns a lazy DataFrame whose
+Each function takes ``(spark, sf_dir)`` and returns a DataFrame (some run small sizing jobs first) whose
 columns are aliased to match ``lumen.plans.oracle.ORACLE_SQL``. Doubles are
 rounded to 6 places on the output projection only.
 """
@@ -128,15 +128,11 @@ def q_path_keys(spark, sf):
 
 def q_patient_range(spark, sf):
     p = X.v_paths(spark, sf)
-    allp = p.select(patient_num("path").alias("patient_num"))
-    inr = FL.patient_range(p, PATIENT_LO, PATIENT_HI)
-    tot = allp.agg(F.count(F.lit(1)).alias("n_rows_total"),
-                   F.countDistinct("patient_num").alias("n_patients_total"))
-    sel = inr.agg(F.count(F.lit(1)).alias("n_rows_in_range"),
-                  F.countDistinct("patient_num").alias("n_patients_in_range"))
-    return sel.select(F.lit(PATIENT_LO).alias("lower"), F.lit(PATIENT_HI).alias("upper"), "*",
-                      tot.select("n_rows_total").scalar().alias("n_rows_total"),
-                      tot.select("n_patients_total").scalar().alias("n_patients_total"))
+    n = patient_num("path")
+    inside = n.between(PATIENT_LO, PATIENT_HI)
+    sums = p.agg(F.count(F.when(inside, 1)).alias("n_rows_in_range"), F.countDistinct(F.when(inside, n)).alias("n_patients_in_range"),
+                 F.count(F.lit(1)).alias("n_rows_total"), F.countDistinct(n).alias("n_patients_total"))
+    return sums.select(F.lit(PATIENT_LO).alias("lower"), F.lit(PATIENT_HI).alias("upper"), "*")
 
 
 def _embedding_items(spark, sf):
@@ -194,6 +190,15 @@ def q_best_key_counts(spark, sf):
     return candidate_counts(left, right).select("ordinal", "embedding_join_key", "label_join_key", "matched_rows")
 
 
+def q_hot_key_join(spark, sf):
+    """Events to customers by path: a third of the events share one path and others have none."""
+    left, right = X.v_hot_events(spark, sf), X.v_hot_customers(spark, sf)
+    joined, info = best_key_join(left, right, rows_per_task=500)
+    return joined.groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_event"), F.sum("c_custkey").alias("sum_customer"),
+        F.lit(info.matched_rows).cast("long").alias("matched_rows"), F.lit(info.null_key_rows).cast("long").alias("null_key_rows"))
+
+
 # ------------------------------------------------------------------ A5
 
 def q_auc_exact(spark, sf):
@@ -368,6 +373,7 @@ QUERIES.update({
     "u_zero_labels": q_u_zero_labels,
     "best_key_join": q_best_key_join,
     "best_key_counts": q_best_key_counts,
+    "hot_key_join": q_hot_key_join,
     "auc_exact": q_auc_exact,
     "auc_bucketed": q_auc_bucketed,
     "target_sizes": q_target_sizes,
@@ -389,18 +395,29 @@ QUERIES.update({
 
 # ------------------------------------------------------------------ M3 / A9 / A11 / J4 / N1 (solver: rows-only check)
 
+#: One condition of the grid has no column, as when a label table lacks it.
+GRID_CONDITIONS = [*X.CXR_CONDITIONS, "pneumonia"]
+
+
+def q_probe_grid(spark, sf):
+    """The planned grid: every (condition, size) with the classes of its sample, and why it is not fitted."""
+    from lumen.operators.probes import plan_grid
+    joined, _info = _joined(spark, sf)
+    cells, _sample = plan_grid(spark, X.v_cxr(spark, sf), joined, GRID_CONDITIONS)
+    return cells.drop("condition_ordinal")
+
+
 def q_probe_train(spark, sf):
     """Train the probe grid on v_cxr (train) and score C on the best-key-joined
-    evaluation rows (val): one fit set per (condition, planned size)."""
+    evaluation rows (val): one row per planned (condition, size), fitted or not."""
     from lumen.operators.probes import train_probes
-    train, plan = _plan(spark, sf)
     joined, _info = _joined(spark, sf)
-    val = long_labels(joined, ["vec_id"], "embedding", [c for c in X.CXR_CONDITIONS if c in joined.columns])
-    models = train_probes(spark, train, val, plan.select("condition", "sample_size"))
-    return models.select("model_name", "condition", "sample_size", "best_c", _r("val_auc").alias("val_auc"),
+    models = train_probes(spark, X.v_cxr(spark, sf), joined, GRID_CONDITIONS)
+    return models.select("model_name", "condition", "sample_size", "status", "best_c", _r("val_auc").alias("val_auc"),
                          "n_pos", "n_neg", "num_dims")
 
 
+QUERIES["probe_grid"] = q_probe_grid
 QUERIES["probe_train"] = q_probe_train
 
 
@@ -450,3 +467,7 @@ def q_cls_end_to_end(spark, sf):
 
 QUERIES["report_scores"] = q_report_scores
 QUERIES["cls_end_to_end"] = q_cls_end_to_end
+
+from lumen.plans.flow_queries import QUERIES as _FLOWS  # noqa: E402
+
+QUERIES.update(_FLOWS)

@@ -40,3 +40,31 @@ STUB_ANSWERS = ["Final Answer: Yes", "Final Answer: No", "Unclear."]
 
 def stub_classify(prompts, contents) -> list[str]:
     return [STUB_ANSWERS[(len(p) + int(k)) % 3] for p, k in zip(prompts, contents)]
+
+
+def stub_decode(content: bytes) -> bytes:
+    """The bytes themselves; an empty file cannot be opened."""
+    if not content:
+        raise ValueError("empty image")
+    return content
+
+
+def stub_size(image: bytes) -> str:
+    return f"{len(image)}x1"
+
+
+def stub_describe(prompts, images) -> list[str]:
+    """``Final Answer: Yes`` when ``len(prompt) + len(image)`` is even, else ``No``; a batch with an image of a
+    length divisible by 17 fails as a whole, so the failing items must be found."""
+    if any(len(im) % 17 == 0 for im in images):
+        raise RuntimeError("stub generator failed")
+    return ["Final Answer: Yes" if (len(p) + len(im)) % 2 == 0 else "Final Answer: No" for p, im in zip(prompts, images)]
+
+
+def stub_classify_image(prompts, images) -> list[str]:
+    return [STUB_ANSWERS[(len(p) + int(im)) % 3] for p, im in zip(prompts, images)]
+
+
+def stub_classify_path(prompts, paths) -> list[str]:
+    """As ``stub_classify``, by the patient number in the path."""
+    return [STUB_ANSWERS[(len(p) + int(path.split("patient")[1].split("/")[0])) % 3] for p, path in zip(prompts, paths)]

@@ -13,6 +13,10 @@ from lumen.session import table_path
 CSV_NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "None", "null", "NULL", "<NA>", "n/a", "-NaN", "-nan"]
 
 
+#: A row's place in its file.
+POSITION = ("_file", "_block", "_row")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Driver tables: ``{sf_dir}/{name}.parquet`` (pushdown + pruning by Catalyst)."""
     return spark.read.parquet(table_path(sf_dir, name))
@@ -34,13 +38,15 @@ def pick_schema(df: DataFrame, options: dict[str, list[str]]) -> str:
 
 
 def read_label_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                   null_tokens=tuple(CSV_NULL_TOKENS)) -> DataFrame:
+                   null_tokens=tuple(CSV_NULL_TOKENS), position: bool = False) -> DataFrame:
     """CSV with quoted newlines and doubled quotes, pandas-like null tokens.
 
     Every field is read as text (no inference pass over the data), the null
     tokens pandas recognises become null, and only then are columns cast to
     the requested ``schema`` types -- so ``NA`` in a numeric column is a null,
     not a parse failure, while a genuinely bad value still fails the cast.
+    ``position`` adds the columns POSITION: file, start of the block, and a
+    number that grows with the rows of the block.
     """
     reader = (spark.read.option("header", True).option("multiLine", True)
               .option("quote", '"').option("escape", '"').option("mode", "FAILFAST"))
@@ -60,6 +66,9 @@ def read_label_csv(spark: SparkSession, path: str, schema: T.StructType | str |
         if target is not None and not isinstance(target[f.name].dataType, T.StringType):
             c = c.cast(target[f.name].dataType)
         cols.append(c.alias(f.name))
+    if position:
+        cols += [F.col("_metadata.file_path").alias(POSITION[0]), F.col("_metadata.file_block_start").alias(POSITION[1]),
+                 F.monotonically_increasing_id().alias(POSITION[2])]
     return df.select(*cols)
 
 

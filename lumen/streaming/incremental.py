@@ -62,3 +62,62 @@ def running_policy_counts(items: DataFrame, answers: str = "answers", condition:
     p_neg = F.when(p == -1, F.lit(0)).otherwise(p)
     return x.groupBy(condition).agg(*confusion_aggs(g, p, ~F.col("_amb"), "drop_"),
                                     *confusion_aggs(g, p_neg, None, "neg_"))
+
+
+#: Which stage a typed failure comes from.
+STAGE_OF = {"file_not_found": "listing", "image_open_error": "decode", "embedding_error": "model", "generation_error": "model"}
+
+
+def upsert_batches(spark: SparkSession, source_dir: str, schema: T.StructType, transform: Callable[[DataFrame], DataFrame],
+                   sink_dir: str, name: str, checkpoint: str | None = None, fmt: str = "parquet",
+                   max_files_per_trigger: int | None = None, available_now: bool = True) -> StreamingQuery:
+    """ST1 with K3 and D3: each micro-batch of arriving items is processed and stored under its number.
+
+    A batch that is run again, by a restart after a crash or by a second
+    application on the same checkpoint, replaces its own folder, so no row is
+    stored twice. ``current_rows`` reads the sink: an item that arrives again in
+    a later batch replaces its earlier row. ``transform`` may use anything a
+    batch query can.
+    """
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not checkpoint and not root:
+        raise ValueError("a stream needs a checkpoint folder: pass one or set spark.checkpoint.dir")
+
+    def store(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(os.path.join(sink_dir, f"batch={number:012d}"))
+
+    writer = (reader.load(source_dir).writeStream.foreachBatch(store).queryName(name)
+              .option("checkpointLocation", checkpoint or os.path.join(root, "streams", name)))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def current_rows(spark: SparkSession, sink_dir: str, keys) -> DataFrame:
+    """The latest row of every key that ``upsert_batches`` has stored."""
+    from pyspark.sql import functions as F
+
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    rows = spark.read.option("recursiveFileLookup", True).parquet(sink_dir)
+    names = [c for c in rows.columns if c not in keys]
+    batch = F.regexp_extract(F.col("_metadata.file_path"), "/batch=([0-9]+)/", 1)
+    latest = rows.select(*keys, F.struct(batch.alias("_batch"), *names).alias("_row")).groupBy(*keys).agg(
+        F.max_by("_row", "_row._batch").alias("_row"))
+    return latest.select(*keys, *[F.col(f"_row.`{c}`").alias(c) for c in names])
+
+
+def stage_manifest(rows: DataFrame, patient_col: str = "patient_num") -> DataFrame:
+    """D3/K3: one manifest for the failures of all stages: stage, status, reason, items and distinct patients.
+
+    Computed from stored rows, so it is the same whether they came in batches or at once.
+    """
+    from itertools import chain
+
+    from pyspark.sql import functions as F
+
+    known = F.create_map(*[F.lit(x) for x in chain.from_iterable(STAGE_OF.items())])
+    stage = F.when(F.col("status") == "ok", F.lit("done")).otherwise(F.coalesce(known[F.col("reason")], F.lit("other")))
+    return rows.groupBy(stage.alias("stage"), "status", "reason").agg(
+        F.count(F.lit(1)).alias("n_images"), F.countDistinct(patient_col).alias("n_patients"))

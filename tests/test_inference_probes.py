@@ -153,30 +153,117 @@ def test_result_tables_in_reference_shape(spark):
                  "gt_atelectasis": 0, "pred_atelectasis": -1, "raw_atelectasis": "hmm"}
 
 
-def test_in_task_and_distributed_fits_agree(spark):
+def test_grid_fits_the_published_objective(spark):
+    """Every fitted cell against Newton steps on its own sample: coefficients, best C, validation AUC, counts."""
+    from lumen.operators.probes import plan_grid, train_probes
+    from lumen.plans import fixtures as X
+    sf, cs = "/root/testdata/sf0.01", [0.01, 1.0]
+    wide = X.v_cxr(spark, sf)
+    asked = ["edema", "single_class", "ghost"]
+    cells, sample = plan_grid(spark, wide, wide, asked, [64, 256])
+    drawn = {}
+    for r in sample.where("condition = 'edema'").collect():
+        for size in r["sizes"]:
+            drawn.setdefault(size, []).append((r["vec_id"], r["y"]))
+    vectors = {r["vec_id"]: np.array(r["embedding"], float) for r in wide.collect()}
+    label = {r["vec_id"]: 1 if r["edema"] == 1 else 0 for r in wide.collect()}
+    V, vy = np.array(list(vectors.values())), np.array([label[k] for k in vectors])
+    got = {(r["condition"], r["sample_size"]): r for r in train_probes(spark, wide, wide, asked, [64, 256], c_values=cs).collect()}
+    assert sorted(drawn) == [64, 256, 500] and set(drawn[64]) <= set(drawn[256]) <= set(drawn[500])
+    for size, rows in drawn.items():
+        assert len(rows) == len({k for k, _ in rows}) == size and all(y == label[k] for k, y in rows)
+        X_, y = np.array([vectors[k] for k, _ in rows]), np.array([y for _, y in rows], float)
+        mean, sd = X_.mean(0), X_.std(0)
+        s = np.where(y == 1, size / (2 * y.sum()), size / (2 * (size - y.sum())))
+        fits = [_newton((X_ - mean) / sd, y, s, c) for c in cs]
+        aucs = []
+        for th in fits:
+            z = (V - mean) / sd @ th[:-1] + th[-1]
+            aucs.append(np.mean((z[vy == 1][:, None] > z[vy == 0]) + 0.5 * (z[vy == 1][:, None] == z[vy == 0])))
+        r = got["edema", size]
+        best = max(range(len(cs)), key=lambda i: (aucs[i], -i))
+        assert r["status"] == "ok" and r["val_auc"] == pytest.approx(max(aucs), abs=1e-4)
+        assert r["best_c"] == cs[best] or abs(aucs[0] - aucs[1]) < 1e-4
+        want = fits[cs.index(r["best_c"])]
+        assert np.allclose(np.append(r["coef"], r["intercept"]), want, atol=2e-3)
+        assert np.allclose(r["mean"], mean) and np.allclose(r["scale"], sd)
+        assert (r["n_pos"], r["n_neg"]) == (int(y.sum()), size - int(y.sum()))
+    assert {s for (c, _), s in ((k, r["status"]) for k, r in got.items()) if c == "single_class"} == {"skipped_one_class"}
+    assert got["ghost", None]["status"] == "skipped_missing_condition_column" and got["ghost", None]["model_name"] is None
+    assert got["single_class", 64]["model_name"] == "single_class_64" and got["single_class", 64]["coef"] is None
+
+
+def test_grid_without_a_cell_to_fit(spark):
     from lumen.operators.probes import train_probes
-    from lumen.plans import queries as Q
-    train, _ = Q._plan(spark, "/root/testdata/sf0.001")
-    train = train.where("condition = 'edema'")
-    plan = spark.createDataFrame([("edema", 64)], "condition string, sample_size long")
-    cs = [0.01, 1.0]
-    a = train_probes(spark, train, train, plan, c_values=cs).first()
-    b = train_probes(spark, train, train, plan, c_values=cs, max_local_rows=0, max_iter=500, tol=1e-10).first()
-    assert a["best_c"] == b["best_c"] and a["val_auc"] == pytest.approx(b["val_auc"], abs=1e-6)
-    assert np.allclose(a["coef"], b["coef"], atol=1e-4) and a["intercept"] == pytest.approx(b["intercept"], abs=1e-4)
+    rows = spark.createDataFrame([(i, [float(i), 1.0], 0.0, 2.0, None if i else 1.0) for i in range(100)],
+                                 "vec_id long, embedding array<float>, none double, two double, one double")
+    got = {(r["condition"], r["sample_size"]): r["status"]
+           for r in train_probes(spark, rows, rows, ["none", "two", "gone"], [64], c_values=[1.0]).collect()}
+    assert got == {("none", 64): "skipped_one_class", ("none", 100): "skipped_one_class", ("two", 64): "skipped_not_binary",
+                   ("two", 100): "skipped_not_binary", ("gone", None): "skipped_missing_condition_column"}
+    val = rows.withColumn("one", F.lit(0.0))
+    got = {(r["condition"], r["sample_size"]): r["status"] for r in train_probes(spark, rows, val, ["one"], [64]).collect()}
+    assert got["one", 100] == "skipped_auc_undefined" and got["one", 64] in ("skipped_one_class", "skipped_auc_undefined")
+    got = train_probes(spark, rows.limit(0), rows, ["one"]).collect()
+    assert [(r["condition"], r["status"]) for r in got] == [("one", "skipped_no_training_rows")]
+
+
+def test_vectors_of_training_and_validation_must_match(spark):
+    from lumen.operators.probes import matching_vectors
+    t = spark.createDataFrame([(1, 0.5, 1.5)], "vec_id int, emb_0000 float, emb_0001 float")
+    a, b = matching_vectors(t, t.select("vec_id", "emb_0001", "emb_0000", F.lit(9.0).alias("emb_0002")))
+    assert a.first()["embedding"] == b.first()["embedding"] == [0.5, 1.5]
+    with pytest.raises(ValueError, match="emb_0001"):
+        matching_vectors(t, t.drop("emb_0001"))
+    with pytest.raises(ValueError, match="no vectors"):
+        matching_vectors(t.select("vec_id"), t)
+
+
+def test_a_thousand_models_on_one_vector(spark):
+    """Blocked scoring: every (row, model) of a condition, equal to the plain sum; a vector stays one per block."""
+    from lumen.operators import probes
+    rng = np.random.default_rng(1)
+    d, n = 6, 1000
+    W, b = rng.normal(size=(n, d)), rng.normal(size=n)
+    mean, scale = rng.normal(size=d), rng.uniform(0.5, 2, size=d)
+    models = spark.createDataFrame(
+        [("hot" if i % 10 else "rare", f"m{i}", W[i].tolist(), float(b[i]), mean.tolist(), scale.tolist()) for i in range(n)],
+        "condition string, model_name string, coef array<double>, intercept double, mean array<double>, scale array<double>")
+    x = rng.normal(size=(4, d))
+    rows = spark.createDataFrame([(i, c, x[i].tolist()) for i in range(4) for c in ("hot", "rare", "none")],
+                                 "id int, condition string, embedding array<double>")
+    blocks, passes = probes.model_blocks(models)
+    assert passes == 1 and blocks.count() <= 2 * -(-n // probes.BLOCK_MODELS) and blocks.agg(F.sum(F.size("models"))).first()[0] == n
+    out = score(rows, models)
+    assert "embedding" not in out.columns
+    got = {(r["id"], r["model_name"]): r["prob"] for r in out.collect()}
+    assert len(got) == 4 * n
+    for i in range(4):
+        p = 1 / (1 + np.exp(-(((x[i] - mean) / scale) @ W.T + b)))
+        assert max(abs(got[i, f"m{j}"] - p[j]) for j in range(n)) < 1e-12
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "embedding" not in generate.split("], ")[-1]
+    old, probes.PASS_BYTES = probes.PASS_BYTES, 20_000  # several passes of bounded broadcasts
+    try:
+        assert probes.model_blocks(models)[1] > 3
+        again = {(r["id"], r["model_name"]): r["prob"] for r in score(rows, models).collect()}
+    finally:
+        probes.PASS_BYTES = old
+    assert again == got
+    with pytest.raises(Exception, match="vector length"):
+        score(rows.withColumn("embedding", F.slice("embedding", 1, 3)), models).collect()
 
 
 def test_trained_probes_evaluate_end_to_end(spark, scratch):
     from lumen.operators.probes import train_probes
     from lumen.operators.results import probe_evaluation
     from lumen.plans import fixtures as X
-    from lumen.plans import queries as Q
     from lumen.sinks.writers import write_models
     from lumen.sources.tables import read_models
     sf = "/root/testdata/sf0.001"
-    train, _ = Q._plan(spark, sf)
-    plan = spark.createDataFrame([("edema", 64), ("single_class", 64)], "condition string, sample_size long")
-    trained = train_probes(spark, train, train, plan, c_values=[0.1, 1.0])
+    wide = X.v_cxr(spark, sf)
+    trained = train_probes(spark, wide, wide, ["edema", "single_class"], [64], c_values=[0.1, 1.0]).where("status = 'ok'")
     models = trained.select("model_name", "condition", "coef", "intercept", "mean", "scale")
     extra = spark.createDataFrame([("ghost_64", "ghost", trained.first()["coef"], 0.0, trained.first()["mean"],
                                     trained.first()["scale"])], models.schema)

@@ -82,3 +82,38 @@ def test_upsert(spark):
     assert got == [(1, "a", None), (2, "b", "x")]
     with pytest.raises(FileNotFoundError):
         upsert(old, spark.createDataFrame([(9, "z", "x")], "run_id int, task string, ev string"), "run_id")
+
+
+def test_hot_and_null_keys_are_spread(spark):
+    """A key and the null key with a third of the rows each: rows and counts as brute force, no task with a third."""
+    import pandas as pd
+    from lumen.operators.joins import split_key_join, key_counts
+    left = [(i, "hot" if i % 3 == 0 else None if i % 3 == 1 else f"k{i}") for i in range(3000)]
+    right = [(i, "hot" if i < 30 else None if i < 45 else f"k{i}") for i in range(3000)]
+    lf = spark.createDataFrame(left, "id int, path string").repartition(5)
+    rf = spark.createDataFrame(right, "rid int, path string").repartition(3)
+    want = pd.DataFrame(left, columns=["id", "path"]).merge(pd.DataFrame(right, columns=["rid", "path"]), on="path")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        joined, info = best_key_join(lf, rf, rows_per_task=10)
+        got = joined.select("id", "rid", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r.id, r.rid) for r in got) == sorted(zip(want["id"], want["rid"]))
+    assert info.matched_rows == len(want) and info.null_key_rows == 1000 * 15
+    tasks = pd.Series([r.p for r in got]).value_counts()
+    assert len(tasks) > 20 and tasks.max() < 0.08 * len(got)  # a hot key alone holds two thirds of the result
+    counts, _ = key_counts(lf, rf, [("path", "path")])
+    plain = split_key_join(lf, rf.withColumnRenamed("path", "_rkey"), "path", "_rkey", counts, rows_per_task=10**6)
+    assert sorted((r.id, r.rid) for r in plain.collect()) == sorted(zip(want["id"], want["rid"]))
+
+
+def test_join_counts_of_empty_tables(spark):
+    left = spark.createDataFrame([], "id int, path string, path_short string")
+    right = spark.createDataFrame([], "path string, path_short string")
+    assert [(r.ordinal, r.matched_rows, r.left_rows) for r in candidate_counts(left, right).orderBy("ordinal").collect()] == [(0, 0, 0), (2, 0, 0)]
+    with pytest.raises(ValueError):
+        best_key_join(left, right)
