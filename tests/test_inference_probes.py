@@ -17,7 +17,7 @@ def test_batch_retry_isolates_failing_items(spark):
     out = embed_batches(df, stub_embed, batch_size=16).collect()
     failed = sorted(r["doc_id"] for r in out if r["status"] == "failed")
     assert failed == [k for k in range(200) if k % 23 == 0]
-    assert all(r["reason"] == "embedding_error" and "batch_error" in r["error"] for r in out if r["status"] == "failed")
+    assert all(r["reason"] == "embedding_error" and "batch: " in r["error"] and "alone: " in r["error"] for r in out if r["status"] == "failed")
     ok = [r for r in out if r["status"] == "ok"]
     assert len(ok) == 200 - len(failed) and all(len(r["embedding"]) == 8 for r in ok)
 
@@ -138,7 +138,7 @@ def test_result_tables_in_reference_shape(spark):
     from lumen.operators.results import classification_wide, report_results
     from lumen.plans.fixtures import v_studies
     r = report_results(v_studies(spark, "/root/testdata/sf0.001"), stub_generate, max_samples=5)
-    assert r.columns == ["study_id", "dicom_id", "subject_id", "prompt_used", "findings_gt", "impression_gt",
+    assert r.columns == ["study_id", "dicom_id", "subject_id", "local_image_path", "indication", "prompt_used", "findings_gt", "impression_gt",
                          "full_gt", "full_gen", "time_full_s", "status", "reason", "error"]
     assert r.count() == 5 and r.where("full_gen LIKE 'Final Answer:%'").count() == 5
     listing = spark.createDataFrame([("/img/1.jpg",), ("/img/2.jpg",)], "path string")
