@@ -126,3 +126,12 @@ def test_edges(spark, edge, weights):
     assert pii.personal_data(docs, {}).count() == 0 and pii.sample(docs) == []
     same = spark.createDataFrame([(1, "x a@b.cd y"), (1, "x a@b.cd y")], DOCS)
     assert [[tuple(s) for s in r.spans] for r in pii.personal_data(same, {}).collect()] == [[("email", 2, 8)]] * 2
+
+
+def test_addresses_with_many_zeros():
+    """A part of thousands of zeros is small; one with four digits after them is not."""
+    zeros = "0" * 5000
+    assert pii.base_spans(f"{zeros}.1.2.3") == [("ip", 0, 5006)]
+    assert pii.base_spans(f"{zeros}255.{zeros}.2.3")[0][0] == "ip"
+    assert [s for s in pii.base_spans(f"{zeros}256.1.2.3") if s[0] == "ip"] == []
+    assert [s for s in pii.base_spans(f"{'9' * 5000}.1.2.3") if s[0] == "ip"] == []
