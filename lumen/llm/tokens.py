@@ -12,7 +12,8 @@ Texts are encoded by the ``tokenizers`` library. Pieces of a text between
 spaces are encoded once per worker and looked up afterwards: the pre-tokenizer
 always ends a token before a space that follows a non-space, so ids of pieces
 in sequence are the ids of the text. Texts in which a space stands inside a
-run of white space are encoded whole.
+run of white space, or that hold a special token of the vocabulary, are
+encoded whole, by the library's own call.
 
 Defined results: null and empty texts have the end id alone; null ``doc_id``
 come first; repeated ``doc_id`` stand next to each other in order of their
@@ -22,6 +23,7 @@ not read.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -50,15 +52,8 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WHITE_SPACE_WHITE = f"{_WHITE} ({_WHITE}|\\z)"
 
-#: Marks that end a word; the pattern always cuts between a letter and one of them.
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
-
-
-def byte_spelling() -> dict[int, int]:
-    """How byte-level vocabularies spell bytes: printable ones as themselves, the rest from code point 256 on."""
-    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    rest = [b for b in range(256) if b not in printable]
-    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
+#: White space, as the pattern's \s or Python knows it.
+_ANY_WHITE = re.compile(r"\s")
 
 
 class PieceEncoder:
@@ -72,8 +67,11 @@ class PieceEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # text that looks like a special token is text
-        self.spelling = byte_spelling()
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        # bytes of each id: ids of texts that are encoded together are parted by their lengths
+        self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
+        for token, i in self.library.get_vocab().items():
+            self.n_bytes[i] = len(token)
         self._reset()
 
     def _reset(self) -> None:
@@ -83,21 +81,25 @@ class PieceEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _after_space(self, piece: str) -> list[int]:
-        stem = piece.rstrip(_MARKS)
-        if not stem.isalpha():
-            return self._whole(" " + piece)
-        # " stem" is one match of the pattern: the library's merges alone
-        spelled = (" " + stem).encode().decode("latin-1").translate(self.spelling)
-        ids = [t.id for t in self.library.model.tokenize(spelled)]
-        return ids + self._whole(piece[len(stem):]) if len(stem) < len(piece) else ids
-
-    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+    def _after_space(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of pieces that follow a space. Those without white space are encoded as one text: it is cut before each space."""
+        plain = [i for i, p in enumerate(pieces) if p and not _ANY_WHITE.search(p)]
+        out: list = [None] * len(pieces)
+        if plain:
+            text = "".join([" " + pieces[i] for i in plain])
+            ids = np.array(self._whole(text), np.uint32)
+            end = np.cumsum([len(pieces[i].encode()) + 1 for i in plain])
+            cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), end) + 1
+            for i, x in zip(plain, np.split(ids, cut[:-1])):
+                out[i] = x
+        return [np.array(self._whole(" " + p), np.uint32) if x is None else x for p, x in zip(pieces, out)]
+
+    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
         n = np.array([len(x) for x in ids], np.int64)
         total = int(n.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.ids[self.used:self.used + total] = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
         start = self.used + np.cumsum(n) - n
         self.used += total
         self.runs[1] = _merged(self.runs[1], (keys, start, n))
@@ -136,7 +138,9 @@ class PieceEncoder:
         if len(new):
             data = raw.tobytes()
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist())]
-            self._add(key[new], [self._whole(t) if h else self._after_space(t) for t, h in zip(texts, head[one[new]].tolist())])
+            first_of_row = head[one[new]].tolist()
+            rest = iter(self._after_space([t for t, h in zip(texts, first_of_row) if not h]))
+            self._add(key[new], [np.array(self._whole(t), np.uint32) if h else next(rest) for t, h in zip(texts, first_of_row)])
         _, start, n = self._find(key)
         size = n[which]
         done = np.cumsum(size)
@@ -173,7 +177,11 @@ def encode(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         for batch in batches:
             for part in textvec.steps(batch, "text"):
                 raw, off = textvec.buffers(part.column("text"))
-                whole = pc.match_substring_regex(pc.fill_null(part.column("text"), ""), _WHITE_SPACE_WHITE).to_numpy(zero_copy_only=False)
+                text = pc.fill_null(part.column("text"), "")
+                whole = pc.match_substring_regex(text, _WHITE_SPACE_WHITE)
+                for token in encoder.special:
+                    whole = pc.or_(whole, pc.match_substring(text, token))
+                whole = whole.to_numpy(zero_copy_only=False)
                 ids, at = encoder.encode(raw, off, whole)
                 at = at + np.arange(len(at))  # each row ends with the end id
                 flat = np.full(at[-1], end_id, np.int32)
@@ -212,9 +220,13 @@ def read_ids(spark: SparkSession, path: str, low: int | None = None, high: int |
 
 
 def with_place(ids: DataFrame) -> DataFrame:
-    """Adds the number of a row's file and its place in the file."""
-    part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int")
-    return ids.withColumn("_file", part).withColumn("_at", F.col("_metadata.row_index"))
+    """Adds a number that orders the files, and a row's place in its file.
+
+    A task may write several files: they count on within the task's number.
+    """
+    name = F.col("_metadata.file_name")
+    task, file = F.regexp_extract(name, r"part-(\d+)", 1).cast("long"), F.regexp_extract(name, r"-c(\d+)\.", 1)
+    return ids.withColumn("_file", F.shiftleft(task, 32) + F.coalesce(F.when(file != "", file).cast("long"), F.lit(0))).withColumn("_at", F.col("_metadata.row_index"))
 
 
 def starts(d: DataFrame) -> DataFrame:

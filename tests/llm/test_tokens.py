@@ -19,7 +19,6 @@ VOCABULARY = P.path("byte_bpe_50k.json")
 def library():
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids + [tokens.END_ID]
 
 
@@ -37,7 +36,7 @@ def test_query_equals_library(spark, sf01, texts, library):
         at += len(ids)
 
 
-SPACES = ["a  b", "a \n b", "a\n b", "a\n\n  b", " a", "a ", "a  ", "  b", "a  b", "don't  stop 's", "x  y", "1 2  3 ", "<|endoftext|> x"]
+SPACES = ["a  b", "a \n b", "a\n b", "a\n\n  b", " a", "a ", "a  ", "  b", "a  b", "don't  stop 's", "x  y", "1 2  3 ", "<|endoftext|> x", "x<|endoftext|>", "a <|endoftext|><|endoftext|> b", "<|endoftext"]
 
 
 def test_pieces_equal_whole_texts(spark, library):
@@ -88,3 +87,18 @@ def test_edges(spark, scratch_dir, edge, library):
     assert {(r.doc_id, r.ids_crc32) for r in rows} == want
     tokens.write_ids(spark.createDataFrame([], DOCS), f"{scratch_dir}/none", VOCABULARY)
     assert tokens.read_lengths(spark, f"{scratch_dir}/none").count() == 0
+
+
+def test_starts_when_a_task_writes_several_files(spark, texts, library, tmp_path):
+    rows = [(k, texts[k][:200]) for k in sorted(texts)[:60]]
+    old = spark.conf.get("spark.sql.files.maxRecordsPerFile")
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        tokens.write_ids(spark.createDataFrame(rows, DOCS), str(tmp_path / "ids"), VOCABULARY)
+    finally:
+        spark.conf.set("spark.sql.files.maxRecordsPerFile", old)
+    assert len(glob.glob(str(tmp_path / "ids" / "*.parquet"))) >= 20
+    got, at = {r.doc_id: r.start for r in tokens.read_lengths(spark, str(tmp_path / "ids")).collect()}, 0
+    for k, t in rows:
+        assert got[k] == at
+        at += len(library(t))
