@@ -38,6 +38,8 @@ from lumen.llm.common import materialise, most_frequent, read
 
 #: Most pieces whose ids are shipped to tasks.
 FREQUENT = 1 << 20
+#: Parts in which they pass through the driver, one at a time.
+PARTS = 8
 #: Words with marks that a worker keeps put together.
 TOGETHER = 1 << 18
 
@@ -108,6 +110,8 @@ class Vocabulary:
         self._size = {"t": len(ranks) - 1, "m": len(pairs) - 1}
         self._pieces = F.split(F.lit(",".join(p.hex().upper() for p in pieces)), ",")
         self._ids = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(pieces)))), ",")
+        rank = {p: r for r, p in enumerate(pieces)}
+        self._bytes = F.split(F.lit(",".join(str(rank[bytes([b])]) for b in range(256))), ",").cast("array<int>")
         self._ranks = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
         self._pairs = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<bigint>")
 
@@ -145,7 +149,8 @@ class Vocabulary:
             return F.transform(F.array(F.array_min(s["r"])), with_least)[0]
 
         def by_bytes(text: Column) -> Column:
-            start = F.transform(F.regexp_extract_all(text, F.lit(".."), 0), lambda b: self._rank(b, x))
+            # one character a byte
+            start = F.transform(F.split(F.decode(F.unhex(text), "ISO-8859-1"), ""), lambda b: F.get(x["b"], F.ascii(b)))
             ranked = F.transform(F.array(start), lambda p: F.struct(
                 p.alias("p"), F.slice(F.transform(p, lambda y, i: self._joined(y, F.get(p, i + 1), x)), 1, F.size(p) - 1).alias("r")))[0]
             return F.transform(F.array(ranked), lambda s: F.aggregate(s["r"], s, step)["p"])[0]
@@ -154,7 +159,7 @@ class Vocabulary:
 
     def encode(self, pieces_of_text: Column) -> Column:
         """Ids (array of arrays) of pieces of text; a piece may hold several matches of the pattern."""
-        tables = F.array(F.struct(self._pieces.alias("p"), self._ranks.alias("t"), self._pairs.alias("m")))
+        tables = F.array(F.struct(self._pieces.alias("p"), self._ranks.alias("t"), self._pairs.alias("m"), self._bytes.alias("b")))
         return F.transform(tables, lambda x: F.transform(pieces_of_text, lambda y: F.flatten(F.transform(
             F.regexp_extract_all(y, F.lit(java_pattern(self.pattern)), 0), lambda word: self._fold(word, x)))))[0]
 
@@ -246,28 +251,39 @@ def _known(text: str, words: _Words) -> tuple[list[bytes], list[str]]:
 _TABLES: dict[str, _Words] = {}
 
 
-def _table(name: str, packed: bytes) -> _Words:
+def _table(name: str, shipped: list) -> _Words:
     if name not in _TABLES:
         known = {}
-        for b in pa.ipc.open_stream(packed):
-            ids = b.column("ids")
-            flat, off = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_pylist()
-            for piece, x, y in zip(b.column("piece").to_pylist(), off, off[1:]):
-                known[piece[1:] if piece.startswith(" ") else piece] = flat[4 * x:4 * y]
+        for part in shipped:
+            for b in pa.ipc.open_stream(part.value):
+                ids = b.column("ids")
+                flat, off = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_pylist()
+                for piece, x, y in zip(b.column("piece").to_pylist(), off, off[1:]):
+                    known[piece[1:] if piece.startswith(" ") else piece] = flat[4 * x:4 * y]
         _TABLES.clear()
         _TABLES[name] = _Words(known)
     return _TABLES[name]
 
 
-def _look_up(docs: DataFrame, top: pa.Table) -> DataFrame:
+def _ship(top: DataFrame, parts: int = PARTS) -> list:
+    """Broadcasts of ``top`` (piece, ids), a bounded part of it at a time on the driver."""
+    top, shipped = materialise(top, "frequent-pieces"), []
+    for k in range(parts):
+        part = top.where(F.pmod(F.xxhash64("piece"), F.lit(parts)) == k).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, part.schema) as out:
+            out.write_table(part)
+        shipped.append(top.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()))
+        del part, sink
+    return shipped
+
+
+def _look_up(docs: DataFrame, top: DataFrame) -> DataFrame:
     """doc_id, runs of known ids, and the pieces that stand between the runs."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, top.schema) as out:
-        out.write_table(top)
-    shipped, name = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()), uuid.uuid4().hex
+    shipped, name = _ship(top), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _table(name, shipped.value)
+        words = _table(name, shipped)
         for batch in batches:
             for part in textvec.steps(batch, "text"):
                 found = [_known(t, words) for t in pc.fill_null(part.column("text"), "").to_pylist()]
@@ -283,7 +299,7 @@ def _look_up(docs: DataFrame, top: pa.Table) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
-    top = frequent_pieces(docs, vocabulary, most).toArrow()
+    top = frequent_pieces(docs, vocabulary, most)
     none = F.array().cast("array<int>")
     ids = F.transform(F.array(vocabulary.encode(F.col("rare"))), lambda rare: F.flatten(
         F.transform("runs", lambda x, i: F.concat(x, F.coalesce(F.get(rare, i), none)))))[0]
