@@ -30,14 +30,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumen.llm import textvec
+from lumen.llm.bitmaps import Bitmap, bitmap
 from lumen.llm.common import materialise, read
 
 #: Fixed by the contract.
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Shards: few, so that the local support stays well above one; each spans many tasks.
 SHARDS = 4
-#: Bits of a bitmap, 16 MB.
-BITS = 27
 #: Slices in which a language's phrases are ranked first.
 SLICES = 64
 
@@ -50,46 +49,6 @@ _GAPS = _BREAK.copy()
 _GAPS[[0x20, 0x09]] = True
 
 
-def _spots(shard: np.ndarray, gram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of the bitmap for each (shard, phrase)."""
-    h = textvec.mix(gram ^ (shard.astype(U) + U(1)) * U(0x9E3779B97F4A7C15))
-    return h >> U(64 - BITS), (h & U((1 << BITS) - 1))
-
-
-class Bitmap:
-    """A set of (shard, phrase) of fixed size that may hold too many, never too few."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    def has(self, shard: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        a, b = _spots(shard, gram)
-        one = (self.words[(a >> U(6)).astype(np.int64)] >> (a & U(63))) & (self.words[(b >> U(6)).astype(np.int64)] >> (b & U(63)))
-        return (one & U(1)).astype(bool)
-
-
-def bitmap(rows: DataFrame) -> Bitmap:
-    """The bitmap of ``rows`` (shard, gram): bits are joined in the tasks and in Spark, 16 MB reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(1 << (BITS - 6), U)
-        for batch in batches:
-            shard = batch.column("shard").to_numpy(zero_copy_only=False)
-            gram = batch.column("gram").to_numpy(zero_copy_only=False).view(U)
-            for spot in _spots(shard, gram):
-                np.bitwise_or.at(words, (spot >> U(6)).astype(np.int64), U(1) << (spot & U(63)))
-        at = np.flatnonzero(words)
-        for i in range(0, len(at), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i:i + (1 << 16)].astype(np.int32)),
-                                              pa.array(words[at[i:i + (1 << 16)]].view(np.int64))], ["at", "bits"])
-
-    t = (rows.select("shard", "gram").mapInArrow(run, "at int, bits long")
-         .groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow())
-    words = np.zeros(1 << (BITS - 6), U)
-    words[t.column("at").to_numpy()] = t.column("bits").to_numpy().view(U)
-    return Bitmap(words)
-
-
 class _Step:
     """Words of a step of texts: hashes, whether the next word is in the same piece, language and shard."""
 

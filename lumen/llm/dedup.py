@@ -36,11 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import textvec
+from lumen.llm.bitmaps import Bitmap, bitmap
 from lumen.llm.common import materialise, read
 from lumen.llm.components import connected_components
 
@@ -118,10 +120,17 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SIGNATURE)
 
 
-def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes of its text."""
+def shingle_sets(docs: DataFrame, size: int, wanted: Bitmap | None = None) -> DataFrame:
+    """doc_id and the sorted distinct shingle hashes of its text; ``wanted``: ids that must not be left out.
+
+    Texts are filtered where they are read, so none is shuffled. The bitmap may let others pass, which no pair asks for.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if wanted is not None:
+                batch = batch.filter(pc.is_valid(batch.column("doc_id")))
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+                batch = batch.filter(pa.array(wanted.has(np.zeros(len(ids), np.int64), ids.view(_U))))
             for part in textvec.steps(batch, "text"):
                 sets, off = textvec.shingles(textvec.split(*textvec.buffers(part.column("text"))), size)
                 col = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(sets.view(np.int64)))
@@ -285,7 +294,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     met = materialise(keys.join(shared, "key"), "buckets")
     live = materialise(classes.join(met.select("rep").distinct(), "rep", "left_semi")
                        .select("rep", "n", "sketch", "parity"), "live")
-    sets = materialise(shingle_sets(docs.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), size), "sets")
+    sets = materialise(shingle_sets(docs, size, bitmap(live.select(F.lit(0).alias("part"), "rep"), "part", "rep")), "sets")
 
     pairs = _with_leader(met.join(live.select("rep", "n", "sketch"), "rep"), percent)
     links = materialise(_confirm(pairs, sets, percent), "links")
@@ -305,13 +314,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
             break
         again = open_.join(cut, "key", "left_semi").select("key", "rep")
         whole = not merged
-    member = sig.join(classes.select("f1", "f2", "rep"), ["f1", "f2"], "left")
+    # documents without a set share one fingerprint; they and those without an id stay out of the join
+    alone = (F.col("n") == 0) | F.col("doc_id").isNull()
+    member = sig.where(~alone).select("doc_id", "n", "f1", "f2").join(classes.select("f1", "f2", "rep"), ["f1", "f2"])
     member = member.join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    comp = F.coalesce("comp", "rep", "doc_id")
-    return (member.select("doc_id", F.col("n").alias("n_shingles"),
-                          F.when(F.col("n") == 0, F.col("doc_id")).otherwise(comp).alias("component_id"))
-            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    member = member.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "rep").alias("component_id"))
+    member = member.unionByName(sig.where(alone).select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return member.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _merge(comps: DataFrame, links: DataFrame) -> DataFrame:
