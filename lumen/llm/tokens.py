@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +52,19 @@ ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 32 << 20, 256 << 10, 2000
 _WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _WHITE_SPACE_WHITE = f"{_WHITE} ({_WHITE}|\\z)"
 
-#: White space, as the pattern's \s or Python knows it.
-_ANY_WHITE = re.compile(r"\s")
+#: Marks that end a word; the pattern always cuts between a letter or digit and one of them.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: White space next to white space or to the piece's ends.
+_WIDE_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+#: Parts of pieces (lines, runs of marks) whose ids a worker keeps.
+PARTS_KEPT = 1 << 18
+
+
+def byte_spelling() -> dict[int, int]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, the rest from code point 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class PieceEncoder:
@@ -68,10 +79,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        # bytes of each id: ids of texts that are encoded together are parted by their lengths
-        self.n_bytes = np.zeros(self.library.get_vocab_size(), np.int64)
-        for token, i in self.library.get_vocab().items():
-            self.n_bytes[i] = len(token)
+        self.spelling, self.parts = byte_spelling(), {}
         self._reset()
 
     def _reset(self) -> None:
@@ -81,25 +89,36 @@ class PieceEncoder:
     def _whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _after_space(self, pieces: list[str]) -> list[np.ndarray]:
-        """Ids of pieces that follow a space. Those without white space are encoded as one text: it is cut before each space."""
-        plain = [i for i, p in enumerate(pieces) if p and not _ANY_WHITE.search(p)]
-        out: list = [None] * len(pieces)
-        if plain:
-            text = "".join([" " + pieces[i] for i in plain])
-            ids = np.array(self._whole(text), np.uint32)
-            end = np.cumsum([len(pieces[i].encode()) + 1 for i in plain])
-            cut = np.searchsorted(np.cumsum(self.n_bytes[ids]), end) + 1
-            for i, x in zip(plain, np.split(ids, cut[:-1])):
-                out[i] = x
-        return [np.array(self._whole(" " + p), np.uint32) if x is None else x for p, x in zip(pieces, out)]
-
-    def _add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+    def _part(self, text: str, encode: Callable[[str], list[int]]) -> list[int]:
+        """Ids of a part of a piece; parts repeat more often than pieces, so the worker keeps them."""
+        ids = self.parts.get(text)
+        if ids is None:
+            if len(self.parts) >= PARTS_KEPT:
+                self.parts.clear()
+            ids = self.parts[text] = encode(text)
+        return ids
+
+    def _after_space(self, piece: str, space: str = " ") -> list[int]:
+        stem = piece.rstrip(_MARKS)
+        if stem.isalpha() or stem.isascii() and stem.isdigit():
+            # " stem" is one match of the pattern: the library's merges alone
+            spelled = (space + stem).encode().decode("latin-1").translate(self.spelling)
+            ids = [t.id for t in self.library.model.tokenize(spelled)]
+            return ids + self._part(piece[len(stem):], self._whole) if len(stem) < len(piece) else ids
+        if "\n" in piece and not _WIDE_SPACE.search(piece):  # a line end between other characters is a match of its own
+            first, *lines = piece.split("\n")
+            ids = self._part(space + first, lambda x: self._after_space(first, space))
+            for line in lines:
+                ids = ids + self._part("\n", self._whole) + self._part(line, lambda x: self._after_space(x, ""))
+            return ids
+        return self._whole(space + piece)
+
+    def _add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
         n = np.array([len(x) for x in ids], np.int64)
         total = int(n.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + total] = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
+        self.ids[self.used:self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
         start = self.used + np.cumsum(n) - n
         self.used += total
         self.runs[1] = _merged(self.runs[1], (keys, start, n))
@@ -138,9 +157,7 @@ class PieceEncoder:
         if len(new):
             data = raw.tobytes()
             texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(begin[one[new]].tolist(), end[one[new]].tolist())]
-            first_of_row = head[one[new]].tolist()
-            rest = iter(self._after_space([t for t, h in zip(texts, first_of_row) if not h]))
-            self._add(key[new], [np.array(self._whole(t), np.uint32) if h else next(rest) for t, h in zip(texts, first_of_row)])
+            self._add(key[new], [self._whole(t) if h else self._after_space(t) for t, h in zip(texts, head[one[new]].tolist())])
         _, start, n = self._find(key)
         size = n[which]
         done = np.cumsum(size)
