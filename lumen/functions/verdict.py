@@ -1,4 +1,7 @@
-"""Free-text answer -> verdict (1 yes / 0 no / -1 ambiguous), as one Column.
+"""Free-text answer -> verdict (1 yes / 0 no / -1 ambiguous).
+
+The rules stand in one place (``_steps``); an expression, projections over
+columns and lambdas over an array are generated from it.
 
 Three stages, first decisive one wins:
   1. an explicit ``final answer: X`` capture,
@@ -10,138 +13,91 @@ contains ``yes``) -- these quirks are the semantics being reproduced.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumen.functions.text import _STRIP_RE, WS, _col, py_strip
+from lumen.functions.text import _STRIP_RE, WS
 
 # Fixed values that must equal the reference's parser.
 FINAL_ANSWER_RE = rf"(?U)final{WS}*answer{WS}*:{WS}*([^\n\r.;,]+)"
 FINAL_ANSWER_MARK = "final answer"
+_PUNCTUATION_RE = r"(?U)[^a-z0-9\s\x{1c}-\x{1f}]"
 ANSWER_POSITIVE = ["a", "1", "positive", "present"]
 ANSWER_NEGATIVE = ["b", "0", "negative", "absent"]
 POSITIVE_KEYWORDS = ["yes", "present", "positive", "consistent with", "suggests", "shows", "seen"]
 NEGATIVE_KEYWORDS = ["no", "absent", "negative", "not present", "no evidence", "unremarkable", "without"]
 
 
-def _any_contains(t: Column, words) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | t.contains(w)
-    return out
-
-
-def verdict_text(text) -> Column:
-    """The normalised text every rule looks at: lower-cased, stripped, null -> ""."""
-    return F.lower(py_strip(F.coalesce(_col(text).cast("string"), F.lit(""))))
-
-
-def parse_verdict(text, normalized: bool = False) -> Column:
-    """Return ``struct<verdict:int, stage:int>``; stage says which rule decided.
-
-    Pass ``normalized=True`` when ``text`` already is ``verdict_text(...)``
-    (see ``with_verdict``), so the normalisation is computed once per row.
-    """
-    t = _col(text) if normalized else verdict_text(text)
-
-    # Stage 1: explicit capture, punctuation removed.
-    has_final = t.rlike(FINAL_ANSWER_RE)
-    ans = py_strip(F.regexp_extract(t, FINAL_ANSWER_RE, 1))
-    ans = py_strip(F.regexp_replace(ans, r"(?U)[^a-z0-9\s\x{1c}-\x{1f}]", ""))
-    s1 = (F.when(~has_final, F.lit(None))
-          .when(ans.startswith("yes"), 1)
-          .when(ans.startswith("no"), 0)
-          .when(ans.isin(ANSWER_POSITIVE), 1)
-          .when(ans.isin(ANSWER_NEGATIVE), 0))
-
-    # Stage 2: tail after the last literal marker.
-    tail = F.substring_index(t, FINAL_ANSWER_MARK, -1)
-    s2 = (F.when(~t.contains(FINAL_ANSWER_MARK), F.lit(None))
-          .when(tail.contains("yes"), 1)
-          .when(tail.contains("no"), 0))
-
-    # Stage 3: leading word, then one-sided keyword vote.
-    pos = _any_contains(t, POSITIVE_KEYWORDS)
-    neg = _any_contains(t, NEGATIVE_KEYWORDS)
-    s3 = (F.when(t.startswith("yes"), 1)
-          .when(t.startswith("no"), 0)
-          .when(pos & ~neg, 1)
-          .when(neg & ~pos, 0)
-          .otherwise(-1))
-
-    verdict = (F.when(t == "", -1).when(s1.isNotNull(), s1)
-               .when(s2.isNotNull(), s2).otherwise(s3))
-    stage = (F.when(t == "", 0).when(s1.isNotNull(), 1)
-             .when(s2.isNotNull(), 2).otherwise(3))
-    return F.struct(verdict.cast("int").alias("verdict"), stage.cast("int").alias("stage"))
-
-
 def _sql_str(s: str) -> str:
     """Spark SQL raw string literal (no escape processing)."""
     assert "'" not in s
     return f"r'{s}'"
 
 
-def _sql_strip(x: str) -> str:
+def _strip(x: str) -> str:
     return f"regexp_replace({x}, {_sql_str(_STRIP_RE)}, '')"
 
 
-def _sql_any(t: str, words) -> str:
+def _any(t: str, words) -> str:
     return "(" + " OR ".join(f"contains({t}, '{w}')" for w in words) + ")"
 
 
+def _set(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+def _steps(x: str, of: Callable[[str], str]) -> tuple[dict[str, str], ...]:
+    """The rules, once: SQL of each step's values by name; ``of(name)`` is how a step refers to a value of the step before.
+
+    normalised text; what each rule looks at; what each stage says; the pick.
+    """
+    fin, tail = _sql_str(FINAL_ANSWER_RE), f"substring_index({of('t')}, '{FINAL_ANSWER_MARK}', -1)"
+    captured = _strip(f"regexp_extract({of('t')}, {fin}, 1)")
+    return (
+        {"t": f"lower({_strip(f"coalesce(CAST({x} AS STRING), '')")})"},
+        {"empty": f"{of('t')} = ''",
+         "fin": f"{of('t')} RLIKE {fin}",
+         "ans": _strip(f"regexp_replace({captured}, {_sql_str(_PUNCTUATION_RE)}, '')"),
+         "mark": f"contains({of('t')}, '{FINAL_ANSWER_MARK}')", "tail_yes": f"contains({tail}, 'yes')", "tail_no": f"contains({tail}, 'no')",
+         "yes": f"startswith({of('t')}, 'yes')", "no": f"startswith({of('t')}, 'no')",
+         "pos": _any(of("t"), POSITIVE_KEYWORDS), "neg": _any(of("t"), NEGATIVE_KEYWORDS)},
+        {"empty": of("empty"),
+         "s1": f"CASE WHEN NOT {of('fin')} THEN NULL WHEN startswith({of('ans')}, 'yes') THEN 1 WHEN startswith({of('ans')}, 'no') THEN 0 "
+               f"WHEN {of('ans')} IN ({_set(ANSWER_POSITIVE)}) THEN 1 WHEN {of('ans')} IN ({_set(ANSWER_NEGATIVE)}) THEN 0 END",
+         "s2": f"CASE WHEN NOT {of('mark')} THEN NULL WHEN {of('tail_yes')} THEN 1 WHEN {of('tail_no')} THEN 0 END",
+         "s3": f"CASE WHEN {of('yes')} THEN 1 WHEN {of('no')} THEN 0 WHEN {of('pos')} AND NOT {of('neg')} THEN 1 "
+               f"WHEN {of('neg')} AND NOT {of('pos')} THEN 0 ELSE -1 END"},
+        {"verdict": f"CAST(CASE WHEN {of('empty')} THEN -1 ELSE coalesce({of('s1')}, {of('s2')}, {of('s3')}) END AS INT)",
+         "stage": f"CAST(CASE WHEN {of('empty')} THEN 0 WHEN {of('s1')} IS NOT NULL THEN 1 WHEN {of('s2')} IS NOT NULL THEN 2 ELSE 3 END AS INT)"},
+    )
+
+
+def parse_verdict(text: str) -> Column:
+    """``struct<verdict:int, stage:int>`` of a text column (or SQL text); stage says which rule decided.
+
+    One expression: for whole tables use ``with_verdict``, which evaluates every regex once per row.
+    """
+    known: dict[str, str] = {}
+    for i in range(4):
+        known = {k: f"({v})" for k, v in _steps(text, lambda n: known.get(n, "NULL"))[i].items()}
+    return F.expr(f"named_struct('verdict', {known['verdict']}, 'stage', {known['stage']})")
+
+
 def with_verdicts(df: DataFrame, texts: dict[str, str]) -> DataFrame:
     """Add one ``struct<verdict, stage>`` column per entry of ``texts`` (out -> text column).
 
-    Same rules as ``parse_verdict`` but laid out as four narrow projections
-    over all answers at once: normalise, per-rule flags, per-stage results,
-    final pick. Every sub-expression is written once as SQL text, which keeps
-    the plan small to build and lets codegen evaluate each regex once per row.
+    The steps are narrow projections over all answers at once, so every
+    sub-expression is written once, which keeps the plan small to build and
+    lets codegen evaluate each regex once per row.
     """
     keep = [f"`{c}`" for c in df.columns]
-    outs = list(texts)
-    fin = _sql_str(FINAL_ANSWER_RE)
-    punct = _sql_str(r"(?U)[^a-z0-9\s\x{1c}-\x{1f}]")
-    df = df.selectExpr(*keep, *[
-        f"lower({_sql_strip(f'coalesce(CAST({texts[o]} AS STRING), {chr(39)}{chr(39)})')}) AS _{o}_t" for o in outs])
-    step = []
-    for o in outs:
-        t = f"_{o}_t"
-        tail = f"substring_index({t}, '{FINAL_ANSWER_MARK}', -1)"
-        step += [
-            f"{t} = '' AS _{o}_empty",
-            f"{t} RLIKE {fin} AS _{o}_fin",
-            f"{_sql_strip(f'regexp_replace({_sql_strip(f"regexp_extract({t}, {fin}, 1)")}, {punct}, {chr(39)}{chr(39)})')} AS _{o}_ans",
-            f"contains({t}, '{FINAL_ANSWER_MARK}') AS _{o}_mark",
-            f"contains({tail}, 'yes') AS _{o}_tyes",
-            f"contains({tail}, 'no') AS _{o}_tno",
-            f"startswith({t}, 'yes') AS _{o}_syes",
-            f"startswith({t}, 'no') AS _{o}_sno",
-            f"{_sql_any(t, POSITIVE_KEYWORDS)} AS _{o}_pos",
-            f"{_sql_any(t, NEGATIVE_KEYWORDS)} AS _{o}_neg",
-        ]
-    df = df.selectExpr(*keep, *step)
-    stages = []
-    pos_set = ", ".join(f"'{a}'" for a in ANSWER_POSITIVE)
-    neg_set = ", ".join(f"'{a}'" for a in ANSWER_NEGATIVE)
-    for o in outs:
-        a = f"_{o}_ans"
-        stages += [
-            f"_{o}_empty",
-            f"""CASE WHEN NOT _{o}_fin THEN NULL WHEN startswith({a}, 'yes') THEN 1
-                     WHEN startswith({a}, 'no') THEN 0 WHEN {a} IN ({pos_set}) THEN 1
-                     WHEN {a} IN ({neg_set}) THEN 0 END AS _{o}_s1""",
-            f"CASE WHEN NOT _{o}_mark THEN NULL WHEN _{o}_tyes THEN 1 WHEN _{o}_tno THEN 0 END AS _{o}_s2",
-            f"""CASE WHEN _{o}_syes THEN 1 WHEN _{o}_sno THEN 0
-                     WHEN _{o}_pos AND NOT _{o}_neg THEN 1 WHEN _{o}_neg AND NOT _{o}_pos THEN 0
-                     ELSE -1 END AS _{o}_s3""",
-        ]
-    df = df.selectExpr(*keep, *stages)
-    final = [f"""named_struct(
-        'verdict', CAST(CASE WHEN _{o}_empty THEN -1 ELSE coalesce(_{o}_s1, _{o}_s2, _{o}_s3) END AS INT),
-        'stage', CAST(CASE WHEN _{o}_empty THEN 0 WHEN _{o}_s1 IS NOT NULL THEN 1
-                           WHEN _{o}_s2 IS NOT NULL THEN 2 ELSE 3 END AS INT)) AS `{o}`""" for o in outs]
-    return df.selectExpr(*keep, *final)
+    steps = {o: _steps(x, lambda n, o=o: f"`_{o}_{n}`") for o, x in texts.items()}
+    for i in range(3):
+        df = df.selectExpr(*keep, *[f"{v} AS `_{o}_{n}`" for o in texts for n, v in steps[o][i].items()])
+    pick = [f"named_struct({', '.join(f"'{n}', {v}" for n, v in steps[o][3].items())}) AS `{o}`" for o in texts]
+    return df.selectExpr(*keep, *pick)
 
 
 def with_verdict(df: DataFrame, text: str, out: str = "v") -> DataFrame:
@@ -155,39 +111,17 @@ def with_verdict_array(df: DataFrame, array_col: str, text_field: str = "raw",
 
     Used on the per-item layout (one row per item, one array slot per
     condition): the item stays in one row, so item-level rules (drop the
-    item if any answer is ambiguous) need no shuffle. The rules run as three
-    staged ``transform`` lambdas so each sub-expression is evaluated once.
+    item if any answer is ambiguous) need no shuffle. The steps run as
+    ``transform`` lambdas so each sub-expression is evaluated once.
     The text field is replaced by ``out_field`` and ``stage_field``.
     """
-    elem = df.schema[array_col].dataType.elementType
-    fields = [f.name for f in elem.fields if f.name != text_field]
+    fields = [f.name for f in df.schema[array_col].dataType.elementType.fields if f.name != text_field]
     keep = [f"`{c}`" for c in df.columns if c != array_col]
-    carry = lambda v: ", ".join(f"'{f}', {v}.`{f}`" for f in fields)
-    fin = _sql_str(FINAL_ANSWER_RE)
-    punct = _sql_str(r"(?U)[^a-z0-9\s\x{1c}-\x{1f}]")
-    empty = "''"
-    norm = f"lower({_sql_strip(f'coalesce(CAST(a.`{text_field}` AS STRING), {empty})')})"
-    s1 = f"transform(`{array_col}`, a -> named_struct({carry('a')}, '_t', {norm}))"
-    tail = f"substring_index(a._t, '{FINAL_ANSWER_MARK}', -1)"
-    ans = _sql_strip(f"regexp_replace({_sql_strip(f'regexp_extract(a._t, {fin}, 1)')}, {punct}, {empty})")
-    s2 = (f"transform(_s1, a -> named_struct({carry('a')}, '_empty', a._t = '', '_fin', a._t RLIKE {fin}, "
-          f"'_ans', {ans}, '_mark', contains(a._t, '{FINAL_ANSWER_MARK}'), "
-          f"'_tyes', contains({tail}, 'yes'), '_tno', contains({tail}, 'no'), "
-          f"'_syes', startswith(a._t, 'yes'), '_sno', startswith(a._t, 'no'), "
-          f"'_pos', {_sql_any('a._t', POSITIVE_KEYWORDS)}, '_neg', {_sql_any('a._t', NEGATIVE_KEYWORDS)}))")
-    pos_set = ", ".join(f"'{x}'" for x in ANSWER_POSITIVE)
-    neg_set = ", ".join(f"'{x}'" for x in ANSWER_NEGATIVE)
-    st1 = (f"CASE WHEN NOT a._fin THEN NULL WHEN startswith(a._ans, 'yes') THEN 1 "
-           f"WHEN startswith(a._ans, 'no') THEN 0 WHEN a._ans IN ({pos_set}) THEN 1 "
-           f"WHEN a._ans IN ({neg_set}) THEN 0 END")
-    st2 = "CASE WHEN NOT a._mark THEN NULL WHEN a._tyes THEN 1 WHEN a._tno THEN 0 END"
-    st3 = ("CASE WHEN a._syes THEN 1 WHEN a._sno THEN 0 WHEN a._pos AND NOT a._neg THEN 1 "
-           "WHEN a._neg AND NOT a._pos THEN 0 ELSE -1 END")
-    s3 = (f"transform(_s2, a -> named_struct({carry('a')}, '_empty', a._empty, "
-          f"'_r1', {st1}, '_r2', {st2}, '_r3', {st3}))")
-    s4 = (f"transform(_s3, a -> named_struct({carry('a')}, "
-          f"'{out_field}', CAST(CASE WHEN a._empty THEN -1 ELSE coalesce(a._r1, a._r2, a._r3) END AS INT), "
-          f"'{stage_field}', CAST(CASE WHEN a._empty THEN 0 WHEN a._r1 IS NOT NULL THEN 1 "
-          f"WHEN a._r2 IS NOT NULL THEN 2 ELSE 3 END AS INT)))")
-    return (df.selectExpr(*keep, f"{s1} AS _s1").selectExpr(*keep, f"{s2} AS _s2")
-            .selectExpr(*keep, f"{s3} AS _s3").selectExpr(*keep, f"{s4} AS `{array_col}`"))
+    names = {"verdict": out_field, "stage": stage_field}
+    at = f"`{array_col}`"
+    for i, step in enumerate(_steps(f"a.`{text_field}`", lambda n: f"a.`_{n}`")):
+        made = {names[n] if i == 3 else f"_{n}": v for n, v in step.items()}
+        items = ", ".join([f"'{f}', a.`{f}`" for f in fields] + [f"'{n}', {v}" for n, v in made.items()])
+        out = f"`{array_col}`" if i == 3 else f"`_step{i}`"
+        df, at = df.selectExpr(*keep, f"transform({at}, a -> named_struct({items})) AS {out}"), out
+    return df
