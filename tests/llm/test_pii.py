@@ -1,6 +1,7 @@
 """Base spans against the plain patterns; the dynamic programme against all labellings."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -92,30 +93,116 @@ def test_clean_texts_stay_clean(weights, text):
     assert pii.find(text, weights) == ([], [])
 
 
-def labellings(edge, segments, at, weights):
-    """Scores of all labellings of the atoms before ``at``."""
+def labellings(edge, segments, at, w):
+    """(score, last label, entities) of all labellings of the atoms before ``at``."""
     if at == 0:
-        yield 0.0, ()
+        yield 0.0, 0, ()
         return
-    for s, x in labellings(edge, segments, at - 1, weights):
-        yield s, x
+    t = pii._transitions(w)
+    for s, a, x in labellings(edge, segments, at - 1, w):
+        yield s + t[a][0], 0, x
     for i, kind, f in segments.get(at, ()):
-        own = sum(weights.get((kind, y), 0.0) for y in f)
-        for s, x in labellings(edge, segments, i, weights):
-            yield s + own, (*x, (kind, edge[i], edge[at]))
+        k = 1 + pii.KINDS.index(kind)
+        own = sum(w.get((kind, y), 0.0) for y in f)
+        for s, a, x in labellings(edge, segments, i, w):
+            yield s + t[a][k] + own, k, (*x, (kind, edge[i], edge[at]))
+
+
+def random_weights(segments, r):
+    w = {(k, f): r.uniform(-1, 1) for cells in segments.values() for _, k, fs in cells for f in fs}
+    return w | {("then", a, b): r.uniform(-1, 1) for a in range(5) for b in range(5) if a or b}
+
+
+def islands_with_segments(n, seed):
+    for t in made(n, seed):
+        edge, segments = pii.candidates(t[:24])
+        if segments and len(edge) <= 13:
+            yield t[:24], edge, segments
 
 
 def test_programme_finds_the_best_labelling():
-    r = random.Random(4)
-    for t in made(300, 7):
-        t = t[:24]
-        edge, segments = pii.candidates(t)
-        if len(edge) > 14:
-            continue
-        w = {(k, f): r.uniform(-1, 1) for cells in segments.values() for _, k, fs in cells for f in fs}
+    """Viterbi, and the probabilities of its entities, against all labellings."""
+    r, seen = random.Random(4), 0
+    for t, edge, segments in islands_with_segments(400, 7):
+        w = random_weights(segments, r)
+        every = list(labellings(edge, segments, len(edge) - 1, w))
         got = pii.best(t, w)
-        score = sum(sum(w.get((k, x), 0.0) for x in f) for k, _, _, f in got)
-        assert score == pytest.approx(max(s for s, _ in labellings(edge, segments, len(edge) - 1, w)))
+        top = max(s for s, _, _ in every)
+        assert max(s for s, _, x in every if x == tuple(e[:3] for e in got)) == pytest.approx(top)
+        z = sum(math.exp(s) for s, _, _ in every)
+        for e in got:
+            assert e[3] == pytest.approx(sum(math.exp(s) for s, _, x in every if e[:3] in x) / z)
+            seen += 1
+    assert seen > 50
+
+
+def test_likelihood_and_gradient():
+    """The log probability against all labellings; its gradient against finite differences."""
+    r, seen = random.Random(5), 0
+    for t, edge, segments in islands_with_segments(300, 9):
+        w = random_weights(segments, r)
+        every = list(labellings(edge, segments, len(edge) - 1, w))
+        truth = frozenset(max(every, key=lambda x: (len(x[2]), r.random()))[2])
+        z = math.log(sum(math.exp(s) for s, _, _ in every))
+        own = math.log(sum(math.exp(s) for s, _, x in every if frozenset(x) == truth))
+        value, slope = pii.likelihood(edge, segments, truth, w)
+        assert value == pytest.approx(own - z)
+        for key in r.sample(sorted(slope, key=str), min(6, len(slope))):
+            up, down = ({**w, key: w.get(key, 0.0) + h} for h in (1e-5, -1e-5))
+            rise = pii.likelihood(edge, segments, truth, up)[0] - pii.likelihood(edge, segments, truth, down)[0]
+            assert slope[key] == pytest.approx(rise / 2e-5, abs=1e-6)
+            seen += 1
+    assert seen > 200
+
+
+def test_learning_raises_the_likelihood(spark, sf01, weights):
+    texts_ = pii.sample(spark.read.parquet(f"{sf01}/documents.parquet"))
+    total = [0.0, 0.0]
+    for text in texts_[:20]:
+        for part, truth in pii.examples(text):
+            edge, segments = pii.candidates(part)
+            if segments and truth <= {(k, edge[i], edge[j]) for j, c in segments.items() for i, k, _ in c}:
+                for n, w in enumerate(({}, weights)):
+                    total[n] += pii.likelihood(edge, segments, truth, w)[0]
+    assert total[1] > 0.2 * total[0]  # both below zero
+
+
+def recall(texts_, weights_, names):
+    """Shares of spans found in notations, and found exactly."""
+    found = n = 0
+    for text in texts_:
+        for kind, a, b in pii.base_spans(text):
+            for name in names:
+                if name[0] == kind:
+                    v = pii.NOTATIONS[name](text[a:b])
+                    shown = f"please note {v} for later"
+                    _, spans = pii.find(shown, weights_)
+                    n += 1
+                    found += (kind, 12, 12 + len(v)) in spans
+    return found / max(n, 1), n
+
+
+@pytest.mark.parametrize("name", [("phone", "dashed"), ("email", "bracketed"), ("email", "round")])
+def test_notations_kept_out_of_training(spark, sf01, name):
+    """Notations that training need not show (README has the figures of all); half of the texts train, the others are asked."""
+    every = pii.sample(spark.read.parquet(f"{sf01}/documents.parquet"))
+    texts_, train = every[::2], every[1::2]
+    share, n = recall(texts_, pii.learn(train, without=frozenset([name])), [name])
+    assert n > 5 and share >= 0.5, (share, n)
+
+
+def test_learned_notations(spark, sf01):
+    every = pii.sample(spark.read.parquet(f"{sf01}/documents.parquet"))
+    share, n = recall(every[::2], pii.learn(every[1::2]), list(pii.NOTATIONS))
+    assert n > 30 and share > 0.95
+
+
+def test_long_islands_train_on_windows():
+    number = "+1 (389) 555-5010"
+    text = " ".join(f"item{i} 12{i}" for i in range(200)) + f" call {number} now " + " ".join(f"9{i} x{i}" for i in range(200))
+    got = pii.examples(text)
+    assert any((k, number) in {(kind, t[a:b]) for kind, a, b in truth} for t, truth in got for k in ("phone",))
+    assert all(len(t) <= max(pii.LONG, 2 * pii.AROUND + 40) for t, _ in got)
 
 
 def test_edges(spark, edge, weights):
