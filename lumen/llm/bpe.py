@@ -37,7 +37,7 @@ from lumen.llm import textvec
 from lumen.llm.common import materialise, most_frequent, read
 
 #: Most pieces whose ids are shipped to tasks.
-FREQUENT = 1 << 20
+FREQUENT = 1 << 19
 #: Parts in which they pass through the driver, one at a time.
 PARTS = 8
 #: Words with marks that a worker keeps put together.
@@ -275,6 +275,7 @@ def _ship(top: DataFrame, parts: int = PARTS) -> list:
             out.write_table(part)
         shipped.append(top.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()))
         del part, sink
+        pa.default_memory_pool().release_unused()
     return shipped
 
 
