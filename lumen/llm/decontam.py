@@ -9,6 +9,11 @@ bands of 2 (k + 1) diagonals that overlap by half; bands that reach the bound
 are kept, and each is verified by an edit-distance alignment inside the band.
 No occurrence within the budget is missed.
 
+An item of 2 * LEAST_PART bytes or more is also looked for in parts: windows of
+a third of it (LEAST_PART bytes at least) that begin at word starts and overlap
+by half, each with an edit budget of its own, so a quoted half is found. A part
+that overlaps an occurrence of the whole item is not reported.
+
 Documents are read row by row and never shuffled. Benchmark items, a stated
 query set, are taken in blocks of BLOCK_BYTES, whose index is shipped to the
 tasks; a larger benchmark means more passes, not a larger index.
@@ -32,9 +37,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import textvec
-from lumen.llm.common import read
+from lumen.llm.common import materialise, read
 
 Q, EDIT_PERCENT = 10, 8
+#: Bytes of the shortest part of an item that counts as its occurrence.
+LEAST_PART = 100
 BLOCK_BYTES = 4 << 20
 #: Bits of the hash that the first, coarse lookup takes.
 COARSE_BITS = 20
@@ -93,11 +100,35 @@ class Index:
     at: np.ndarray
     coarse: np.ndarray
     short: list[int]
+    owner: np.ndarray      # the item that an entry is, or is a part of
+    whole: np.ndarray
+
+
+def parts(item: bytes) -> list[bytes]:
+    """Windows of an item, from word to word; none of a short item."""
+    size = max(LEAST_PART, len(item) // 3)
+    if len(item) < 2 * LEAST_PART:
+        return []
+    words = [0, *(i + 1 for i in range(len(item)) if item[i] == 32)]
+    out = []
+    for a in range(0, len(item), size // 2):
+        begin = min((w for w in words if w >= a), default=len(item))
+        end = item.find(b" ", begin + size)
+        if len(item) - begin < size:  # the last one ends with the item
+            begin = max((w for w in words if w <= len(item) - size), default=0)
+            end = -1
+        out.append(item[begin:] if end < 0 else item[begin:end])
+        if end < 0:
+            break
+    return list(dict.fromkeys(x for x in out if x != item))
 
 
 def index(items: list[tuple]) -> Index:
     form = plain([t or "" for _, t in items])
-    text = [form.raw[a:b].tobytes().strip(b" ") for a, b in zip(form.off, form.off[1:])]
+    whole_text = [form.raw[a:b].tobytes().strip(b" ") for a, b in zip(form.off, form.off[1:])]
+    split = [(i, x) for i, t in enumerate(whole_text) for x in parts(t)]
+    text = whole_text + [x for _, x in split]
+    owner = np.array([*range(len(whole_text)), *(i for i, _ in split)], np.int64)
     m = np.array([len(x) for x in text], np.int64)
     budget = np.maximum(np.minimum(m * EDIT_PERCENT // 100, (m - Q) // Q), 0)
     grams, item, at = [], [], []
@@ -112,9 +143,9 @@ def index(items: list[tuple]) -> Index:
     coarse = np.zeros(1 << COARSE_BITS, bool)
     coarse[(gram >> np.uint64(64 - COARSE_BITS)).astype(np.int64)] = True
     whole = lambda x: np.concatenate([np.zeros(0, np.int64), *x])[order]
-    return Index([i for i, _ in items], text, budget, np.maximum(m + 1 - Q * (budget + 1), 1), gram,
+    return Index([items[i][0] for i in owner], text, budget, np.maximum(m + 1 - Q * (budget + 1), 1), gram,
                  np.append(first, len(g)), whole(item), whole(at), coarse,
-                 [i for i, x in enumerate(text) if 0 < len(x) < Q])
+                 [i for i, x in enumerate(text) if 0 < len(x) < Q], owner, np.arange(len(text)) < len(whole_text))
 
 
 def _hits(raw: np.ndarray, ix: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,7 +186,7 @@ def _bands(p: Plain, ix: Index) -> np.ndarray:
     return out[shared >= ix.least[out[:, 1]]]
 
 
-def align(items: list[bytes], docs: list[bytes], low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def align(items: list[bytes], docs: list[np.ndarray], low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least edits of each item inside its document on diagonals low .. low + width - 1, and where it ends.
 
     Item i is aligned as a whole; the document part is free at both ends. All
@@ -164,7 +195,7 @@ def align(items: list[bytes], docs: list[bytes], low: np.ndarray, width: np.ndar
     n, wide, rows = len(items), int(width.max()), max(map(len, items))
     reach = np.zeros((n, rows + wide + 2), np.uint8)
     for i, d in enumerate(docs):  # document bytes from its lowest diagonal on; 0 is outside
-        part = np.frombuffer(d, np.uint8)
+        part = d if isinstance(d, np.ndarray) else np.frombuffer(d, np.uint8)
         a, b = int(low[i]), int(low[i]) + rows + wide + 2
         cut = part[max(a, 0):max(b, 0)]
         reach[i, max(-a, 0):max(-a, 0) + len(cut)] = cut[:reach.shape[1] - max(-a, 0)]
@@ -200,7 +231,7 @@ def _verify(p: Plain, ix: Index, bands: np.ndarray) -> list[tuple]:
         items = [ix.text[i] for i in part[:, 1]]
         half = ix.budget[part[:, 1]] + 1
         low, width = part[:, 2] * half, 2 * half
-        docs = [p.raw[p.off[r]:p.off[r + 1]].tobytes() for r in part[:, 0]]
+        docs = [p.raw[p.off[r]:p.off[r + 1]] for r in part[:, 0]]  # views: the alignment copies what a band reaches
         edits, end = align(items, docs, low, width)
         ok = np.flatnonzero(edits <= ix.budget[part[:, 1]])
         if not len(ok):
@@ -250,12 +281,24 @@ def _span(text: str, p: Plain, row: int, start: int, end: int) -> tuple[int, int
     return int(a), int(b) + 1
 
 
-SCHEMA = "item_id {item}, start long, end long, edits long, budget long, shared long"
+SCHEMA = "item_id {item}, start long, end long, edits long, budget long, shared long, whole boolean"
+
+
+def _apart(found: list[tuple], ix: Index) -> list[tuple]:
+    """Occurrences of whole items, and those of parts that no whole one and no better part of the same item overlaps."""
+    taken: dict[tuple, list[tuple]] = {}
+    out = []
+    for x in sorted(found, key=lambda x: (not ix.whole[x[1]], x[4], x[2], x[3])):
+        spans = taken.setdefault((x[0], int(ix.owner[x[1]])), [])
+        if ix.whole[x[1]] or not any(a < x[3] and x[2] < b for a, b in spans):
+            spans.append(x[2:4])
+            out.append(x)
+    return sorted(out)
 
 
 def _find(texts: list[str], ix: Index) -> tuple[Plain, list[tuple]]:
     p = plain(texts)
-    return p, _best(_verify(p, ix, _bands(p, ix)) + _short(p, ix))
+    return p, _apart(_best(_verify(p, ix, _bands(p, ix)) + _short(p, ix)), ix)
 
 
 def _scan(docs: DataFrame, shipped, item_type: str) -> DataFrame:
@@ -265,13 +308,13 @@ def _scan(docs: DataFrame, shipped, item_type: str) -> DataFrame:
             for part in textvec.steps(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "").to_pylist()
                 p, found = _find(texts, ix)
-                rows = [(r, ix.ids[i], *_span(texts[r], p, r, s, e), edits, int(ix.budget[i]), shared)
+                rows = [(r, ix.ids[i], *_span(texts[r], p, r, s, e), edits, int(ix.budget[i]), shared, bool(ix.whole[i]))
                         for r, i, s, e, edits, shared in found]
-                cols = list(zip(*rows)) or [()] * 7
+                cols = list(zip(*rows)) or [()] * 8
                 ids = part.column("doc_id").take(pa.array(cols[0], pa.int64()))
                 yield pa.record_batch([ids, *(pa.array(c, t) for c, t in zip(cols[1:], kinds))], names)
-    names = ["doc_id", "item_id", "start", "end", "edits", "budget", "shared"]
-    kinds = [pa.string() if item_type == "string" else pa.int64(), *[pa.int64()] * 5]
+    names = ["doc_id", "item_id", "start", "end", "edits", "budget", "shared", "whole"]
+    kinds = [pa.string() if item_type == "string" else pa.int64(), *[pa.int64()] * 5, pa.bool_()]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, " + SCHEMA.format(item=item_type))
 
 
@@ -288,13 +331,17 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, start, end (code points), edits, budget and shared q-grams of each occurrence."""
+    """doc_id, item_id, start, end (code points), edits, budget, shared q-grams and whole (not a part) of each occurrence.
+
+    One block of items is indexed and shipped at a time; what it finds is written before the next.
+    """
     kind = dict(benchmark.dtypes)["item_id"]
     item_type = "string" if kind == "string" else "long"
     out = None
     for block in _blocks(benchmark):
         shipped = docs.sparkSession.sparkContext.broadcast(index(block))
-        found = _scan(docs, shipped, item_type)
+        found = materialise(_scan(docs, shipped, item_type), "occurrences")
+        shipped.destroy()
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = docs.sparkSession.createDataFrame([], f"doc_id {dict(docs.dtypes)['doc_id']}, " + SCHEMA.format(item=item_type))

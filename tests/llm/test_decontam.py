@@ -29,13 +29,14 @@ def budget(m):
     return max(min(m * d.EDIT_PERCENT // 100, (m - d.Q) // d.Q), 0)
 
 
-def brute(docs, items):
+def brute(docs, items, part=True):
+    """(document, item) pairs in which the whole item or one of its parts occurs within its budget."""
     out = set()
     for k, t in docs:
         x = plain(t)
         for i, s in items:
             y = plain(s).strip()
-            if len(y) >= d.Q and least_edits(y, x) <= budget(len(y)):
+            if any(len(z) >= d.Q and least_edits(z, x) <= budget(len(z)) for z in [y, *(d.parts(y) if part else [])]):
                 out.add((k, i))
     return out
 
@@ -54,8 +55,12 @@ def test_query_spans_are_within_budget(found, texts, items):
     item = dict(items)
     for r in found:
         y = plain(item[r.item_id]).strip()
-        assert r.edits <= r.budget == budget(len(y))
-        assert least_edits(y, plain(texts[r.doc_id][r.start:r.end])) == r.edits
+        own = plain(texts[r.doc_id][r.start:r.end])
+        assert r.edits <= r.budget
+        if r.whole:
+            assert r.budget == budget(len(y)) and least_edits(y, own) == r.edits
+        else:
+            assert r.edits in {least_edits(z, own) for z in d.parts(y) if budget(len(z)) == r.budget}
     assert {(k, i) for k, t in texts.items() for i, s in items if s in t} <= {(r.doc_id, r.item_id) for r in found}
 
 
@@ -81,11 +86,36 @@ def test_edits(spark, items):
         before, after = ("".join(rng.choice(list(letters), int(rng.integers(0, 200)))) for _ in range(2))
         docs.append((n, before + "\n" + ("".join(t).upper() if n % 5 == 0 else "".join(t)) + after))
     got = d.occurrences(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
-    want = brute(docs, items)
-    assert {(r.doc_id, r.item_id) for r in got} == want
+    assert {(r.doc_id, r.item_id) for r in got} == brute(docs, items)
+    want = brute(docs, items, part=False)
+    assert {(r.doc_id, r.item_id) for r in got if r.whole} == want
     assert 40 < len(want) < 150
 
 
+def test_parts_overlap_and_cover(items):
+    for _, t in items:
+        y = plain(t).strip()
+        parts = d.parts(y)
+        assert bool(parts) == (len(y) >= 2 * d.LEAST_PART)
+        at = [y.find(x) for x in parts]
+        assert all(len(x) >= d.LEAST_PART or x == parts[-1] for x in parts) and at == sorted(at)
+        assert not parts or (at[0] == 0 and parts[-1] == y[at[-1]:])
+        assert all(b <= a + len(x) for a, b, x in zip(at, at[1:], parts))
+
+
+def test_a_quoted_half_is_found(spark, items):
+    long = [(i, t) for i, t in items if len(plain(t)) > 320]
+    docs = []
+    for n, (i, t) in enumerate(long * 3):
+        words = t.split()
+        a = [0, len(words) // 2, len(words) // 4][n // len(long)]
+        docs.append((i * 10 + n // len(long), "Before it. " + " ".join(words[a:a + len(words) // 2 + 2]) + " After it."))
+    got = {(r.doc_id, r.item_id) for r in d.occurrences(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()}
+    assert len(long) >= 3 and {(k, k // 10) for k, _ in docs} <= got
+    kept = d.clean(spark.createDataFrame(docs + [(-1, "a clean text of other words")], DOCS), spark.createDataFrame(items, ITEMS))
+    assert [r.doc_id for r in kept.collect()] == [-1]
+
+
 def test_edges(spark, edge):
     bench = spark.createDataFrame([(0, None), (1, ""), (2, "THREE"), (3, "here again and again!"), (4, "…"), (5, "xx"),
                                    (6, "here again and again!")], ITEMS)
