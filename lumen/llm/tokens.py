@@ -28,6 +28,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,8 @@ _WHITE_SPACE_WHITE = f"{_WHITE} ({_WHITE}|\\z)"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: White space next to white space or to the piece's ends.
 _WIDE_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
+#: The vocabulary's spelling of a space; ASCII letters and digits are spelled as themselves.
+_SPACE = chr(288)
 #: Parts of pieces (lines, runs of marks) whose ids a worker keeps.
 PARTS_KEPT = 1 << 18
 
@@ -102,7 +105,7 @@ class PieceEncoder:
         stem = piece.rstrip(_MARKS)
         if stem.isalpha() or stem.isascii() and stem.isdigit():
             # " stem" is one match of the pattern: the library's merges alone
-            spelled = (space + stem).encode().decode("latin-1").translate(self.spelling)
+            spelled = (_SPACE if space else "") + (stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.spelling))
             ids = [t.id for t in self.library.model.tokenize(spelled)]
             return ids + self._part(piece[len(stem):], self._whole) if len(stem) < len(piece) else ids
         if "\n" in piece and not _WIDE_SPACE.search(piece):  # a line end between other characters is a match of its own
@@ -151,7 +154,12 @@ class PieceEncoder:
         first = np.cumsum(count) - count
         head[first] = True
         key = _piece_keys(raw, begin, end, head)
-        key, one, which = np.unique(key, return_index=True, return_inverse=True)
+        which, key = pd.factorize(key)  # by hashing; only the distinct keys are sorted
+        order = np.argsort(key)
+        key, rank = key[order], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        which, one = rank[which], np.empty(len(order), np.int64)
+        one[which] = np.arange(len(which))
         known, _, _ = self._find(key)
         new = np.flatnonzero(~known)
         if len(new):
