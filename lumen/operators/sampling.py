@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumen.operators.broadcast import join_small, materialize_small
 from lumen.session import cut_lineage
 
 # Fixed defaults of the reference's probe training.
@@ -78,7 +77,7 @@ def class_quotas(df: DataFrame, plan: DataFrame, group_cols, label: str,
     per = Window.partitionBy(*group_cols, "sample_size")
     q = q.withColumn("_n", F.sum("_c").over(per))
     num = F.col("sample_size") * F.col("_c")
-    q = q.withColumn("_fl", F.floor(num / F.col("_n")).cast("long")).withColumn("_rem", num % F.col("_n"))
+    q = q.withColumn("_fl", F.call_function("div", num, F.col("_n"))).withColumn("_rem", num % F.col("_n"))
     rank_w = per.orderBy(F.col("_rem").desc(), F.col("_c").desc(), F.col("_cls").asc())
     q = (q.withColumn("_deficit", F.col("sample_size") - F.sum("_fl").over(per))
           .withColumn("_rank", F.row_number().over(rank_w))
@@ -86,87 +85,26 @@ def class_quotas(df: DataFrame, plan: DataFrame, group_cols, label: str,
     return q.select(*group_cols, "sample_size", "_cls", "_c", "_n", "quota")
 
 
-def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key_cols,
-                     seed: int = DEFAULT_SEED, sigmas: float = 6.0, rows_per_bin: int = 2_000_000) -> DataFrame:
-    """For every (group, sample_size) of ``plan`` draw exactly ``sample_size`` rows.
-
-    Deterministic in (key, seed) and independent of partitioning. Rows are
-    ranked by a keyed hash inside their (group, size, class) cell; only rows
-    under a per-cell hash threshold (quota plus a ``sigmas`` margin) reach the
-    ranking window, so a window holds about ``quota`` rows, never the table.
-    A cell whose survivors fall short of its quota (probability ~1e-9) is
-    re-drawn with no threshold inside the same plan, so the result is always
-    exact without a separate driver-side check. A cell that takes its whole
-    class skips the window. A cell whose quota exceeds ``rows_per_bin`` is
-    ranked in equal-width bins of its (uniform) hash with per-bin offsets, so
-    no window holds more than about ``rows_per_bin`` rows. The big table is aggregated once (class counts)
-    and joined to a small per-(group, label, size) cell table -- broadcast
-    when AQE measures it small -- so it is never shuffled for the join.
-    """
-    group_cols, key_cols = list(group_cols), list(key_cols)
-    # The class-count table (groups x labels rows) feeds the quotas and both
-    # draws; written once to the checkpoint folder, it is not re-aggregated
-    # from the big table by every consumer.
-    table = cut_lineage(_class_table(df, group_cols, label))
-    classes = table.select(*group_cols, label, "_cls")
-    quotas = class_quotas(df, plan, group_cols, label, table)
-    cells = cut_lineage(quotas.select(*group_cols, "sample_size", "_cls", "quota", "_c").withColumn(
-        "_t", F.least(F.lit(1.0), (F.col("quota") + F.lit(sigmas) * F.sqrt("quota") + 16) / F.col("_c"))))
-    cell = group_cols + ["sample_size", "_cls"]
-    rows = df.withColumn("_u", _u01(key_cols, seed))
-
-    def pick(c: DataFrame) -> DataFrame:
-        by_label, n = materialize_small(classes.join(c.select(*cell, "quota", "_c", "_t"), group_cols + ["_cls"]))
-        return join_small(rows, by_label, group_cols + [label], bound=n).where(F.col("_u") <= F.col("_t"))
-
-    got = pick(cells).groupBy(*cell).agg(F.count(F.lit(1)).alias("_got"))
-    cells = (cells.join(got, cell, "left")
-             .withColumn("_t", F.when(F.coalesce(F.col("_got"), F.lit(0)) < F.col("quota"), F.lit(1.0))
-                         .otherwise(F.col("_t"))).drop("_got"))
-    survivors = pick(cells)
-    whole = survivors.where(F.col("quota") >= F.col("_c")).drop("_u", "_t", "quota", "_c", "_cls")
-    nbins = F.greatest(F.lit(1), F.ceil((F.col("quota") + F.lit(sigmas) * F.sqrt("quota") + 16) / rows_per_bin))
-    ranked = survivors.where(F.col("quota") < F.col("_c"))
-    if cells.agg(F.max(nbins)).first()[0] in (None, 1):
-        w = Window.partitionBy(*cell).orderBy("_u", *key_cols)
-        part = ranked.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= F.col("quota"))
-    else:
-        # u is uniform below the cell's threshold _t, so equal-width bins of u/_t
-        # are balanced; ranks are per-bin row numbers plus the rows of lower bins.
-        ranked = ranked.withColumn("_bin", F.least(F.floor(F.col("_u") / F.col("_t") * nbins),
-                                                   nbins - 1).cast("long"))
-        per_bin = ranked.groupBy(*cell, "_bin").agg(F.count(F.lit(1)).alias("_nbin"))
-        n_bins_total = int(cells.agg(F.sum(nbins)).first()[0])
-        lower = Window.partitionBy(*cell).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = per_bin.select(*cell, "_bin", F.coalesce(F.sum("_nbin").over(lower), F.lit(0)).alias("_off"))
-        w = Window.partitionBy(*cell, "_bin").orderBy("_u", *key_cols)
-        part = (join_small(ranked, offsets, cell + ["_bin"], bound=n_bins_total)
-                .withColumn("_rn", F.col("_off") + F.row_number().over(w))
-                .where(F.col("_rn") <= F.col("quota")).drop("_bin", "_off"))
-    part = part.drop("_rn", "_u", "_t", "quota", "_c", "_cls")
-    return part.unionByName(whole)
-
-
 #: Equal-width bins of the hash in which a class is counted and ranked: a window holds a 65,536th of a class.
 RANK_BINS = 1 << 16
 
 
 def nested_ranks(df: DataFrame, plan: DataFrame, group_cols, label: str, key_cols,
-                 seed: int = DEFAULT_SEED) -> DataFrame:
+                 seed: int = DEFAULT_SEED, bins: int = RANK_BINS) -> DataFrame:
     """One draw for all sizes of ``plan``: the sampled rows of ``df`` with ``sizes``, the sample sizes that hold them.
 
     Every class of a group is ranked once by the keyed hash; a sample of a size
     takes the rows whose rank is within the class's quota for it, so samples are
     nested up to the rounding of quotas. Exactly ``sample_size`` rows, quotas by
     largest remainder, the same rows for any partitioning. Rows are counted in
-    RANK_BINS bins of the hash (one aggregation, which also gives the class
+    ``bins`` bins of the hash (one aggregation, which also gives the class
     counts), only bins that reach below the largest quota are joined, and a rank
     is the rows of lower bins plus the row number in the bin, so no window grows
     beyond a bin and the join keys are spread evenly. Groups that cannot be
     stratified are ranked as one class. ``df`` should be narrow.
     """
     group_cols, key_cols = list(group_cols), list(key_cols)
-    rows = df.withColumn("_u", _u01(key_cols, seed)).withColumn("_bin", F.floor(F.col("_u") * RANK_BINS).cast("int"))
+    rows = df.withColumn("_u", _u01(key_cols, seed)).withColumn("_bin", F.floor(F.col("_u") * bins).cast("int"))
     fine = cut_lineage(rows.groupBy(*group_cols, label, "_bin").agg(F.count(F.lit(1)).alias("_n")))
     table = cut_lineage(_classes(fine.groupBy(*group_cols, label).agg(F.sum("_n").alias("_c")), group_cols, label))
     quotas = class_quotas(df, plan, group_cols, label, table)
@@ -175,12 +113,19 @@ def nested_ranks(df: DataFrame, plan: DataFrame, group_cols, label: str, key_col
         F.max("quota").alias("_most"))
     below = Window.partitionBy(*group_cols, "_cls").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     labelled = fine.join(table.select(*group_cols, label, "_cls"), group_cols + [label])
-    bins = (labelled.groupBy(*group_cols, "_cls", "_bin").agg(F.sum("_n").alias("_n"))
-            .withColumn("_off", F.coalesce(F.sum("_n").over(below), F.lit(0))))
-    bins = bins.join(cells, group_cols + ["_cls"]).where(F.col("_off") < F.col("_most"))
+    below_most = (labelled.groupBy(*group_cols, "_cls", "_bin").agg(F.sum("_n").alias("_n"))
+                  .withColumn("_off", F.coalesce(F.sum("_n").over(below), F.lit(0))))
+    below_most = below_most.join(cells, group_cols + ["_cls"]).where(F.col("_off") < F.col("_most"))
     drawn = (labelled.select(*group_cols, label, "_cls", "_bin")
-             .join(bins.select(*group_cols, "_cls", "_bin", "_off", "_cells"), group_cols + ["_cls", "_bin"]))
+             .join(below_most.select(*group_cols, "_cls", "_bin", "_off", "_cells"), group_cols + ["_cls", "_bin"]))
     w = Window.partitionBy(*group_cols, "_cls", "_bin").orderBy("_u", *key_cols)
     ranked = rows.join(drawn, group_cols + [label, "_bin"]).withColumn("_rank", F.col("_off") + F.row_number().over(w))
     sizes = F.expr("transform(filter(_cells, c -> c.whole OR _rank <= c.quota), c -> c.sample_size)")
     return ranked.withColumn("sizes", sizes).where(F.size("sizes") > 0).select(*df.columns, "sizes")
+
+
+def stratified_exact(df: DataFrame, plan: DataFrame, group_cols, label: str, key_cols,
+                     seed: int = DEFAULT_SEED, bins: int = RANK_BINS) -> DataFrame:
+    """For every (group, sample_size) of ``plan`` exactly ``sample_size`` rows of ``df``, by ``nested_ranks``."""
+    drawn = nested_ranks(df, plan, group_cols, label, key_cols, seed, bins)
+    return drawn.select(*df.columns, F.explode("sizes").alias("sample_size"))

@@ -27,8 +27,9 @@ def test_exact_size_quotas_and_partition_independence(spark):
         assert len(ks) == size and len(set(ks)) == size
     pos = [k for k in by[("a", 64)] if k % 13 == 0]
     assert len(pos) == 5  # 39 of 500 positives: 64 * 39 / 500 = 4.992 -> 4 + the larger remainder
-    binned = stratified_exact(_pop(spark, 4), plan, ["g"], "y", ["k"], seed=42, rows_per_bin=7)
-    assert sorted((r["g"], r["sample_size"], r["k"]) for r in binned.collect()) == picks[0]
+    for bins in (1, 5):
+        binned = stratified_exact(_pop(spark, 4), plan, ["g"], "y", ["k"], seed=42, bins=bins)
+        assert sorted((r["g"], r["sample_size"], r["k"]) for r in binned.collect()) == picks[0]
     q = class_quotas(_pop(spark, 2), plan, ["g"], "y").where("g = 'a' AND sample_size = 64").collect()
     assert sum(r["quota"] for r in q) == 64
 
