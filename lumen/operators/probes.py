@@ -180,7 +180,7 @@ def reg_param(c: float, weight_sum: float) -> float:
     return 1.0 / (c * weight_sum)
 
 
-def logistic_estimator(max_iter: int = 1000, tol: float = 1e-8):
+def logistic_estimator(max_iter: int = 1000, tol: float = 1e-6):
     """L2 logistic regression on pre-standardised features with a free intercept."""
     from pyspark.ml.classification import LogisticRegression
     return LogisticRegression(weightCol="weight", elasticNetParam=0.0, standardization=False,
@@ -270,7 +270,7 @@ def plan_grid(spark: SparkSession, train: DataFrame, val: DataFrame, conditions=
 
 def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, conditions=DEFAULT_CONDITIONS, sizes=None,
                  ratio: float | None = None, vec: str = "embedding", key_cols=("vec_id",), c_values=DEFAULT_C_VALUES,
-                 seed: int | None = None, max_iter: int = 1000, tol: float = 1e-8, parallelism: int = 8,
+                 seed: int | None = None, max_iter: int = 1000, tol: float = 1e-6, parallelism: int = 8,
                  rows_per_partition: int = 200_000) -> DataFrame:
     """M3 grid: per (condition, sample size) an L2 logistic regression with balanced class weights for every C; the best C
     by validation AUC wins. One row per planned cell, fitted or not, with ``status`` (see ``plan_grid``).
