@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import textvec
-from lumen.llm.common import materialise, most_frequent, read
+from lumen.llm.common import materialise, most_frequent, read, release
 
 #: Most pieces whose ids are shipped to tasks.
 FREQUENT = 1 << 19
@@ -275,7 +275,8 @@ def _ship(top: DataFrame, parts: int = PARTS) -> list:
             out.write_table(part)
         shipped.append(top.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes()))
         del part, sink
-        pa.default_memory_pool().release_unused()
+    pa.default_memory_pool().release_unused()
+    release(top.sparkSession)
     return shipped
 
 
@@ -300,6 +301,7 @@ def _look_up(docs: DataFrame, top: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
+    release(docs.sparkSession)  # plans that hold the vocabulary as literals are large
     top = frequent_pieces(docs, vocabulary, most)
     none = F.array().cast("array<int>")
     ids = F.transform(F.array(vocabulary.encode(F.col("rare"))), lambda rare: F.flatten(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Free what earlier steps left on the driver: plans, closures and broadcasts that only Python still names."""
+    gc.collect()
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:  # a full collection gives unused heap back
+        jvm.System.gc()
+
+
 def words(text: Column) -> Column:
     """Words of a text (null: none), parted by ASCII white space."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
