@@ -20,4 +20,4 @@ QUERIES = {
     "op13_quality_classifier": classifier.op13_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **warc.ORACLE_SQL, **collocations.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {**quality.ORACLE_SQL, **warc.ORACLE_SQL, **collocations.ORACLE_SQL, **spelling.ORACLE_SQL}

@@ -294,3 +294,41 @@ def group_spellings(words: DataFrame, least_length: int = LEAST_LENGTH, ratio: i
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = materialise(vocabulary(read(spark, sf_dir, "documents")), "vocabulary")
     return group_spellings(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: The same words by plain SQL: crc32 bit by bit, neighbours by the words with one character cut out.
+ORACLE_SQL = {"op11_spelling_variants": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY doc_id, run),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c:
+    CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)]
+         ELSE [CAST(192 + (unicode(c) >> 6) AS BIGINT), CAST(128 + (unicode(c) & 63) AS BIGINT)] END)) AS b FROM runs),
+hashed AS (
+  SELECT run, n, xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda a, x:
+    list_reduce(list_concat([xor(a, x)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda y, z: xor(y >> 1, 3988292384 * (y & 1)))),
+    4294967295) AS h FROM bytes),
+words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+              ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest
+        FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pairs AS (
+  SELECT c.word AS a, v.word AS b FROM cut c JOIN v ON v.word = c.rest
+  UNION SELECT v.word, c.word FROM cut c JOIN v ON v.word = c.rest
+  UNION SELECT x.word, y.word FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word),
+near AS (
+  SELECT a, count(*) OVER (PARTITION BY a) AS n_near, b, v.n AS bn
+  FROM pairs JOIN v ON v.word = b QUALIFY row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) = 1),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN bn >= 5 * v.n THEN b END AS form, CASE WHEN bn >= 5 * v.n THEN bn END AS form_n
+  FROM v LEFT JOIN near ON near.a = v.word),
+chain AS (
+  SELECT word, word AS root FROM f
+  UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NOT NULL),
+ends AS (SELECT chain.word, chain.root FROM chain JOIN f ON f.word = chain.root WHERE f.form IS NULL)
+SELECT f.word, f.form, ends.root, f.n, f.n_near, f.form_n FROM f JOIN ends ON ends.word = f.word
+"""}
