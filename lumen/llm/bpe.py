@@ -40,6 +40,8 @@ from lumen.llm.common import materialise, most_frequent, read, release
 FREQUENT = 1 << 19
 #: Parts in which they pass through the driver, one at a time.
 PARTS = 8
+#: Characters of a plan's text that the driver keeps.
+PLAN_TEXT = 1 << 16
 #: Words with marks that a worker keeps put together.
 TOGETHER = 1 << 18
 
@@ -301,7 +303,10 @@ def _look_up(docs: DataFrame, top: DataFrame) -> DataFrame:
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
-    release(docs.sparkSession)  # plans that hold the vocabulary as literals are large
+    spark = docs.sparkSession
+    release(spark)
+    # plans hold the vocabulary as literals, and the driver keeps their text for every stage that ends
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
     top = frequent_pieces(docs, vocabulary, most)
     none = F.array().cast("array<int>")
     ids = F.transform(F.array(vocabulary.encode(F.col("rare"))), lambda rare: F.flatten(
