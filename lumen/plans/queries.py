@@ -193,9 +193,9 @@ def q_best_key_counts(spark, sf):
 def q_hot_key_join(spark, sf):
     """Events to customers by path: a third of the events share one path and others have none."""
     left, right = X.v_hot_events(spark, sf), X.v_hot_customers(spark, sf)
-    joined, info = best_key_join(left, right, rows_per_task=500)
+    joined, info = best_key_join(left, right, rows_per_task=500, sums=(["event_id"], ["c_custkey"]))
     return joined.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum("event_id").alias("sum_event"), F.sum("c_custkey").alias("sum_customer"),
+        F.sum("n_rows").alias("n_rows"), F.sum("sum_event_id").alias("sum_event"), F.sum("sum_c_custkey").alias("sum_customer"),
         F.lit(info.matched_rows).cast("long").alias("matched_rows"), F.lit(info.null_key_rows).cast("long").alias("null_key_rows"))
 
 

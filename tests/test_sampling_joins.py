@@ -118,3 +118,26 @@ def test_join_counts_of_empty_tables(spark):
     assert [(r.ordinal, r.matched_rows, r.left_rows) for r in candidate_counts(left, right).orderBy("ordinal").collect()] == [(0, 0, 0), (2, 0, 0)]
     with pytest.raises(ValueError):
         best_key_join(left, right)
+
+
+def test_sums_over_the_pairs_of_a_hot_key(spark):
+    """Sums by key as brute force gives them, from rows that grow with the inputs and not with their pairs."""
+    import pandas as pd
+
+    def tables(k):
+        left = [(i, "hot" if i % 3 == 0 else None if i % 7 == 1 else f"k{i % 50}") for i in range(300 * k)]
+        right = [(None if i == 5 else i, "hot" if i % 5 == 0 else None if i % 9 == 1 else f"k{i}") for i in range(60 * k)]
+        return left, right
+
+    met = []
+    for k in (2, 10):
+        left, right = tables(k)
+        joined, info = best_key_join(spark.createDataFrame(left, "id long, path string"),
+                                     spark.createDataFrame(right, "rid long, path string"), rows_per_task=10, sums=(["id"], ["rid"]))
+        want = pd.DataFrame(left, columns=["id", "path"]).merge(pd.DataFrame(right, columns=["rid", "path"]), on="path")
+        want = want.fillna({"path": "null"}).groupby("path").agg(n=("id", "size"), a=("id", "sum"), b=("rid", "sum"))
+        got = joined.groupBy("path").agg(F.sum("n_rows").alias("n"), F.sum("sum_id").alias("a"), F.sum("sum_rid").alias("b")).collect()
+        assert {r.path or "null": (r.n, r.a, r.b or 0) for r in got} == {r.Index: (r.n, r.a, r.b) for r in want.itertuples()}
+        assert info.matched_rows == int(want["n"].sum())
+        met.append(joined.count() / (len(left) + len(right)))
+    assert met[1] < 1.5 * met[0] and met[1] < 1
