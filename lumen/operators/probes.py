@@ -2,20 +2,25 @@
 
 Models live in a **models table** -- one row per probe with its coefficients
 and the scaler it was trained with -- instead of pickled files. Scoring
-joins test rows to blocks of models on ``condition`` (an equi-join against
-broadcasts of bounded size), folds the scaler into the coefficients and
-computes one dot product per (row, model) inside the JVM.
+folds the scaler into the coefficients and computes the products of a batch
+of test rows with all models of their ``condition``, shipped in blocks of
+bounded size.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumen.functions.labels import u_zero
 from lumen.functions.paths import model_name
-from lumen.functions.vectors import dot, sigmoid, standardize, wide_columns
+from lumen.functions.vectors import sigmoid, standardize, wide_columns
 from lumen.operators.metrics import auc_by
 from lumen.operators.scaler import fit_scaler
 from lumen.session import checkpoint_dir, cut_lineage
@@ -61,6 +66,8 @@ def fold_scaler(models: DataFrame) -> DataFrame:
 #: Models of one matrix row, and bytes of coefficients that one pass over the rows broadcasts.
 BLOCK_MODELS = 64
 PASS_BYTES = 32 << 20
+#: Products that one step takes, about.
+PRODUCTS = 1 << 17
 
 
 def model_blocks(models: DataFrame, on: str = "condition") -> tuple[DataFrame, int]:
@@ -84,31 +91,70 @@ def score(rows: DataFrame, models: DataFrame, vec: str = "embedding", on: str =
           check_dims: bool = True) -> DataFrame:
     """Positive-class probability of every row under every model of its condition.
 
-    A row meets its models a block at a time: one joined row holds the vector
-    once and a matrix of models, one expression gives all probabilities, and
+    A batch of vectors meets all models of its condition in one pass over the
+    dimensions, so a product costs a few array operations for the whole batch;
     only names and probabilities are unfolded (the vector stays behind). Each
-    pass reads the rows once, without a shuffle, and broadcasts models within
-    PASS_BYTES, however many there are.
+    pass reads the rows once, without a shuffle, and ships models within
+    PASS_BYTES, however many there are. Sums run in the order of the dimensions.
     """
     blocks, passes = model_blocks(models, on)
     keep = [c for c in rows.columns if c != vec]
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("models", T.ArrayType(T.StructType([
+        T.StructField("model_name", T.StringType()), T.StructField("z", T.DoubleType())])))])
     parts = []
     for k in range(passes):
-        j = rows.join(F.broadcast(blocks.where(F.col("_pass") == k).drop("_pass")), on)
-        if check_dims:
-            j = j.withColumn("models", F.when(
-                F.assert_true(F.forall("models", lambda m: F.size(m["w"]) == F.size(vec)),
-                              F.lit("vector length differs from the model's")).isNull(), F.col("models")))
-        probs = F.transform("models", lambda m: F.struct(
-            m["name"].alias("model_name"), sigmoid(dot(vec, m["w"]) + m["b"]).alias("prob")))
-        # inline_outer: with a plain inline the optimizer infers a filter on the array and computes it twice
-        parts.append(j.select(*keep, F.inline_outer(probs)))
+        shipped = rows.sparkSession.sparkContext.broadcast(_matrices(blocks.where(F.col("_pass") == k), on))
+        j = rows.select(*keep, F.col(vec).cast("array<double>").alias(vec)).mapInArrow(_products(shipped, keep, vec, on, check_dims), schema)
+        parts.append(j.select(*keep, F.inline_outer("models")).withColumn("prob", sigmoid("z")).drop("z"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def _matrices(blocks: DataFrame, on: str) -> dict:
+    """Models of each condition: one (names, coefficients as dimensions x models, intercepts) for each width."""
+    found: dict = {}
+    for row in blocks.select(on, "models").toLocalIterator():
+        for m in row["models"]:
+            if row[on] is not None:
+                found.setdefault(row[on], {}).setdefault(len(m["w"]), []).append(m)
+    return {c: [(pa.array([m["name"] for m in ms], pa.string()), np.array([m["w"] for m in ms], float).reshape(len(ms), -1).T.copy(),
+                 np.array([m["b"] for m in ms], float)) for ms in widths.values()] for c, widths in found.items()}
+
+
+def _products(shipped, keep: list[str], vec: str, on: str, check_dims: bool):
+    """The rows that have models, each with the names and the linear predictor of all of them (null: an element or length does not fit)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for value in batch.column(on).unique():
+                for names, w, b in shipped.value.get(value.as_py(), []):
+                    mine = batch.filter(pc.equal(batch.column(on), value))
+                    step = max(1, PRODUCTS // len(names))
+                    for i in range(0, mine.num_rows, step):
+                        some = mine.slice(i, step)
+                        fits = pc.fill_null(pc.equal(pc.list_value_length(some.column(vec)), len(w)), False)
+                        if check_dims and not pc.all(fits).as_py():
+                            raise ValueError("vector length differs from the model's")
+                        flat, at = some.column(vec).filter(fits).flatten(), np.flatnonzero(fits.to_numpy(zero_copy_only=False))
+                        x = np.ascontiguousarray(flat.to_numpy(zero_copy_only=False).reshape(len(at), len(w)).T)
+                        z = np.zeros((len(at), len(names)))
+                        for of_rows, of_models in zip(x, w):
+                            z += of_rows[:, None] * of_models
+                        n, full, good = some.num_rows, np.zeros((some.num_rows, len(names))), np.zeros(some.num_rows, bool)
+                        full[at] = z + b
+                        good[at] = flat.is_valid().to_numpy(zero_copy_only=False).reshape(len(at), len(w)).all(axis=1)
+                        met = pa.StructArray.from_arrays(
+                            [names.take(pa.array(np.tile(np.arange(len(names)), n))),
+                             pa.array(full.ravel(), mask=~np.repeat(good, len(names)))], ["model_name", "z"])
+                        off = pa.array(np.arange(n + 1) * len(names), pa.int32())
+                        yield pa.RecordBatch.from_arrays(
+                            [*[some.column(c) for c in keep], pa.ListArray.from_arrays(off, met)], [*keep, "models"])
+
+    return run
+
+
 def centroid_models(train: DataFrame, vec: str = "embedding", by=("condition",), label: str = "y",
                     name_size: str | None = None) -> DataFrame:
     """Closed-form linear probes: standardise with the training scaler, then

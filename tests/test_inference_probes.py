@@ -336,3 +336,23 @@ def test_bad_answers_fail_their_own_item(spark):
     assert many[0].generated == ["A", "B"] and many[0].error is None
     assert many[1].generated == [None, "C"] and "boom" in many[1].error
     assert many[2].generated == [] and many[2].error is None
+
+
+def test_products_of_a_batch_equal_the_dot_of_each_row(spark):
+    """The batch's sums are those of ``dot`` to the last bit, null elements and unknown conditions as in a join."""
+    from lumen.functions.vectors import dot, sigmoid
+    from lumen.operators import probes
+    rng = np.random.default_rng(5)
+    vecs = [[float(x) for x in rng.normal(size=40)] for _ in range(300)]
+    vecs[4] = [None, *vecs[4][1:]]
+    rows = spark.createDataFrame([(i, ["a", "b", "none", None][i % 4], v) for i, v in enumerate(vecs)],
+                                 "id int, condition string, embedding array<float>")
+    models = spark.createDataFrame([(f"m{j}", "ab"[j % 2], [float(x) for x in rng.normal(size=40)], float(rng.normal()), [0.1] * 40, [1.5] * 40)
+                                    for j in range(9)],
+                                   "model_name string, condition string, coef array<double>, intercept double, mean array<double>, scale array<double>")
+    got = {(r["id"], r["model_name"]): r["prob"] for r in score(rows, models).collect()}
+    j = rows.join(probes.fold_scaler(models), "condition").select("id", "model_name", sigmoid(dot("embedding", "_w") + F.col("_b")).alias("p"))
+    assert got == {(r["id"], r["model_name"]): r["p"] for r in j.collect()}
+    assert got[4, "m0"] is None and got[5, "m1"] is not None
+    plan = score(rows, models)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan  # no interpreted product for each pair
