@@ -37,6 +37,8 @@ from lumen.llm.common import materialise, read
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Shards: few, so that the local support stays well above one; each spans many tasks.
 SHARDS = 4
+#: Phrases whose counts a task of the final count holds, about.
+HELD = 1 << 18
 #: Slices in which a language's phrases are ranked first.
 SLICES = 64
 
@@ -145,9 +147,11 @@ def _longer(known: Bitmap):
 
 
 def _exact(known: Bitmap):
-    """Rows (lang, phrase, n) of the candidates, phrases as text."""
+    """Rows (lang, phrase, n) of the candidates, phrases as text; a task adds up its counts, HELD phrases at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # hashes in order, where each one's count is, the counts, and (lang, phrase, size) of the same places
+        held, place, count, told = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), []
         for batch in batches:
             for part in textvec.steps(batch, "text"):
                 s = _Step(part)
@@ -155,19 +159,36 @@ def _exact(known: Bitmap):
                 for k, at, gram in s.grams(LONGEST):
                     hit = known.has(np.zeros(len(at), np.int32), gram)
                     g, first, n = np.unique(gram[hit], return_index=True, return_counts=True)
-                    at = at[hit][first]
+                    to = np.searchsorted(held, g)
+                    new = np.ones(len(g), bool)
+                    new[to < len(held)] = held[to[to < len(held)]] != g[to < len(held)]
+                    count[place[to[~new]]] += n[~new]
+                    at = at[hit][first[new]]
                     if not len(at):
                         continue
                     phrase = [b" ".join([low[a:b] for a, b in zip(x, y)]) for x, y in zip(
                         np.stack([s.w.start[at + i] for i in range(k)], 1).tolist(),
                         np.stack([s.w.end[at + i] for i in range(k)], 1).tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [s.langs.dictionary.take(pa.array(s.lang[at])), pa.array(phrase, pa.binary()).cast(pa.string()),
-                         pa.array(np.full(len(at), k, np.int32)), pa.array(n)], ["lang", "phrase", "size", "n"])
+                    told.append((s.langs.dictionary.take(pa.array(s.lang[at])).cast(pa.string()),
+                                 pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(len(at), k, np.int32))))
+                    held = np.insert(held, to[new], g[new])
+                    place = np.insert(place, to[new], len(count) + np.arange(len(at)))
+                    count = np.append(count, n[new])
+                if len(held) > HELD:
+                    yield from _told(told, count)
+                    held, place, count, told = held[:0], place[:0], count[:0], []
+        yield from _told(told, count)
 
     return run
 
 
+def _told(told: list[tuple], count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = 0
+    for lang, phrase, size in told:
+        yield pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(count[at:at + len(size)])], ["lang", "phrase", "size", "n"])
+        at += len(size)
+
+
 def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text: str = "text", lang: str = "lang",
              shard: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): all phrases of 1 to LONGEST words with at least ``support`` occurrences in their language

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,3 +87,24 @@ def test_exact_products():
     """1000 * a * n and l * r pass 64 bits; the decimals of the score hold them."""
     a, n, left, right = 10**12, 4 * 10**13, 2 * 10**12, 10**12
     assert 1000 * a * n > 2**63 and 1000 * a * n < 10**38 and 1000 * a * n // (left * right) < 2**63
+
+
+def test_a_task_adds_up_its_counts(monkeypatch):
+    """A phrase is one row of a task, however many steps of text it comes in; with room for few, the sums are the same."""
+    class All:
+        def has(self, shard, gram):
+            return np.ones(len(gram), bool)
+
+    batches = [pa.record_batch([pa.array([f"a b {i} a b"] * 20), pa.array(["en"] * 20), pa.array([0] * 20, pa.int32())],
+                               ["text", "lang", "shard"]) for i in range(6)]
+
+    def rows():
+        return [r for b in collocations._exact(All())(iter(batches)) for r in b.to_pylist()]
+    once = rows()
+    assert len(once) == len({(r["lang"], r["phrase"]) for r in once})
+    assert {r["phrase"]: r["n"] for r in once}["a b"] == 240
+    monkeypatch.setattr(collocations, "HELD", 4)
+    total = Counter()
+    for r in rows():
+        total[r["phrase"]] += r["n"]
+    assert total == {r["phrase"]: r["n"] for r in once}
