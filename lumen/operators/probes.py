@@ -2,9 +2,11 @@
 
 Models live in a **models table** -- one row per probe with its coefficients
 and the scaler it was trained with -- instead of pickled files. Scoring
-folds the scaler into the coefficients and computes the products of a batch
-of test rows with all models of their ``condition``, shipped in blocks of
-bounded size.
+joins test rows to blocks of models on ``condition`` (an equi-join against
+broadcasts of bounded size), folds the scaler into the coefficients and
+computes one dot product per (row, model) inside the JVM. The training
+grid, with many models a condition, computes the products of a batch of rows
+with all of them at once.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from lumen.functions.labels import u_zero
 from lumen.functions.paths import model_name
-from lumen.functions.vectors import sigmoid, standardize, wide_columns
+from lumen.functions.vectors import dot, sigmoid, standardize, wide_columns
 from lumen.operators.metrics import auc_by
 from lumen.operators.scaler import fit_scaler
 from lumen.session import checkpoint_dir, cut_lineage
@@ -91,6 +93,35 @@ def score(rows: DataFrame, models: DataFrame, vec: str = "embedding", on: str =
           check_dims: bool = True) -> DataFrame:
     """Positive-class probability of every row under every model of its condition.
 
+    A row meets its models a block at a time: one joined row holds the vector
+    once and a matrix of models, one expression gives all probabilities, and
+    only names and probabilities are unfolded (the vector stays behind). Each
+    pass reads the rows once, without a shuffle, and broadcasts models within
+    PASS_BYTES, however many there are.
+    """
+    blocks, passes = model_blocks(models, on)
+    keep = [c for c in rows.columns if c != vec]
+    parts = []
+    for k in range(passes):
+        j = rows.join(F.broadcast(blocks.where(F.col("_pass") == k).drop("_pass")), on)
+        if check_dims:
+            j = j.withColumn("models", F.when(
+                F.assert_true(F.forall("models", lambda m: F.size(m["w"]) == F.size(vec)),
+                              F.lit("vector length differs from the model's")).isNull(), F.col("models")))
+        probs = F.transform("models", lambda m: F.struct(
+            m["name"].alias("model_name"), sigmoid(dot(vec, m["w"]) + m["b"]).alias("prob")))
+        # inline_outer: with a plain inline the optimizer infers a filter on the array and computes it twice
+        parts.append(j.select(*keep, F.inline_outer(probs)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def score_batches(rows: DataFrame, models: DataFrame, vec: str = "embedding", on: str = "condition",
+                  check_dims: bool = True) -> DataFrame:
+    """As ``score``, to the last bit, for many models a condition: the training grid.
+
     A batch of vectors meets all models of its condition in one pass over the
     dimensions, so a product costs a few array operations for the whole batch;
     only names and probabilities are unfolded (the vector stays behind). Each
@@ -380,7 +411,7 @@ def train_probes(spark: SparkSession, train: DataFrame, val: DataFrame, conditio
     present = sorted({r["condition"] for r in work})
     best = grid.withColumn("val_auc", F.lit(None).cast("double")).limit(0)
     if present:
-        scored = score(long_labels(val, keys, vec, present).select(vec, "condition", "y"), grid, vec)
+        scored = score_batches(long_labels(val, keys, vec, present).select(vec, "condition", "y"), grid, vec)
         aucs = auc_by(scored, ["model_name"], "y", "prob").select("model_name", F.col("auc").alias("val_auc"))
         best = best_c(grid.join(aucs, "model_name"), ("condition", "sample_size"))
     best = best.select("condition", "sample_size", F.col("c").alias("best_c"), "val_auc", "coef", "intercept", "mean", "scale")

@@ -350,9 +350,9 @@ def test_products_of_a_batch_equal_the_dot_of_each_row(spark):
     models = spark.createDataFrame([(f"m{j}", "ab"[j % 2], [float(x) for x in rng.normal(size=40)], float(rng.normal()), [0.1] * 40, [1.5] * 40)
                                     for j in range(9)],
                                    "model_name string, condition string, coef array<double>, intercept double, mean array<double>, scale array<double>")
-    got = {(r["id"], r["model_name"]): r["prob"] for r in score(rows, models).collect()}
+    got = {(r["id"], r["model_name"]): r["prob"] for r in probes.score_batches(rows, models).collect()}
     j = rows.join(probes.fold_scaler(models), "condition").select("id", "model_name", sigmoid(dot("embedding", "_w") + F.col("_b")).alias("p"))
     assert got == {(r["id"], r["model_name"]): r["p"] for r in j.collect()}
     assert got[4, "m0"] is None and got[5, "m1"] is not None
-    plan = score(rows, models)._jdf.queryExecution().executedPlan().toString()
+    plan = probes.score_batches(rows, models)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "zip_with" not in plan  # no interpreted product for each pair
