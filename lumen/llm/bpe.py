@@ -1,17 +1,15 @@
-"""Byte-level BPE by folds of Spark's higher-order functions.
+"""Byte-level BPE by ranked merges in the tasks that read the texts.
 
-A word's bytes (as hex text) start as one piece each; a fold joins, step by
-step, the adjacent pair whose joined bytes have the least rank, leftmost
-first, until no pair has a rank. Ranks and joined pairs are literal two-choice
-hash tables in the plan: each key sits in one of two slots, so a lookup reads
-at most two. Every value that a lambda reads more than once is bound by a
-lambda of its own. A match of n bytes takes up to n steps of n cells.
-Decoding looks pieces up by id and concatenates them.
+A match's bytes start as one piece each; step by step the adjacent pair whose
+joined bytes have the least rank is joined, leftmost first, until no pair has a
+rank. Ranks are shipped to the tasks once. Long matches keep their pairs in a
+heap, so n bytes take about n log n steps. Decoding looks pieces up by id and
+concatenates them.
 
-Frequent words (between spaces) and runs of marks are folded once for the
+Frequent words (between spaces) and runs of marks are merged once for the
 corpus: their number is bounded by FREQUENT, so their ids are shipped to the
-tasks. A task replaces them as it reads a text; pieces outside the table go on
-to the same fold in the same task. No text is shuffled, only pieces with their counts are.
+tasks. A task replaces them as it reads a text; pieces outside the table are
+merged there and then. No text is shuffled, only pieces with their counts are.
 
 Defined results: null and empty texts have no ids and decode to no bytes;
 repeated rows are encoded each; an empty table gives an empty result; other
@@ -21,15 +19,15 @@ columns are not read. Ids outside the vocabulary raise an error in ``decode``.
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,16 +43,17 @@ PLAN_TEXT = 1 << 16
 #: Words with marks that a worker keeps put together.
 TOGETHER = 1 << 18
 
+#: Bytes of a match from which its pairs are kept in a heap.
+LONG = 128
+
 #: Unicode white space, as \s means it in the tokenizer's pattern.
-_WHITE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_SEED = 42
+_WHITE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Before a key of the table: the piece stands alone, no space goes before it.
 _BARE = "\x01"
 #: ASCII marks; the pattern always cuts between a letter and one of them.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _WORD_MARKS = r"""^(.*\p{L})([!"#$%&()*+,\-./:;<=>?@\[\]^_`{|}~]+)$"""
-#: Bits of an id in a packed pair.
-_BITS = 20
+_NONE = 1 << 62
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -67,103 +66,70 @@ def load_ranks(path: str) -> list[bytes]:
     return pieces
 
 
-def java_pattern(pattern: str) -> str:
-    """The pattern with white space spelled out (Java's \\s is ASCII only)."""
+def spelled_pattern(pattern: str) -> str:
+    """The pattern with white space spelled out (Python's \\s holds four control characters more)."""
     return pattern.replace(r"[^\s", f"[^{_WHITE}").replace(r"\S", f"[^{_WHITE}]").replace(r"\s", f"[{_WHITE}]")
 
 
-def _two_choice(hashes: list[int], items: list[int]) -> list[int]:
-    """A hash table in which each item sits in one of its hash's two slots (-1: free)."""
-    size = 1 << (2 * len(items)).bit_length()
-    table = [-1] * size
-    for k in range(len(items)):
-        at, held = hashes[k] & (size - 1), k
-        for _ in range(500):
-            table[at], held = held, table[at]
-            if held < 0:
-                break
-            a, b = hashes[held] & (size - 1), (hashes[held] >> 32) & (size - 1)
-            at = b if at == a else a
-        else:
-            raise ValueError("the hash table did not settle")
-    return [items[k] if k >= 0 else -1 for k in table]
-
-
-@lru_cache(maxsize=4)
-def _slots(path: str) -> tuple[list[bytes], list[int], list[int]]:
-    """Pieces; the table of their ranks by bytes; the table of joined pairs, packed (left, right, joined)."""
-    pieces = load_ranks(path)
-    if len(pieces) >= 1 << _BITS:
-        raise ValueError("too many pieces to pack a pair")
-    rank = {p: r for r, p in enumerate(pieces)}
-    by_bytes = _two_choice([xxhash.xxh64_intdigest(p.hex().upper(), _SEED) for p in pieces], list(range(len(pieces))))
-    pairs = [(rank[p[:i]], rank[p[i:]], r) for r, p in enumerate(pieces) for i in range(1, len(p)) if p[:i] in rank and p[i:] in rank]
-    keys = [a << _BITS | b for a, b, _ in pairs]
-    hashes = [xxhash.xxh64_intdigest(k.to_bytes(8, "little"), _SEED) for k in keys]
-    return pieces, by_bytes, _two_choice(hashes, [k << _BITS | m for k, (_, _, m) in zip(keys, pairs)])
+def merged(word: bytes, rank: dict[bytes, int]) -> list[int]:
+    """Ids of one match of the pattern."""
+    whole = rank.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) >= LONG:
+        return _merged_long(word, rank)
+    get, cut = rank.get, list(range(len(word) + 1))
+    pair = [get(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
+    while pair:
+        least = min(pair)
+        if least == _NONE:
+            break
+        i = pair.index(least)
+        del cut[i + 1], pair[i]
+        if i < len(pair):
+            pair[i] = get(word[cut[i]:cut[i + 2]], _NONE)
+        if i:
+            pair[i - 1] = get(word[cut[i - 1]:cut[i + 1]], _NONE)
+    return [rank[word[x:y]] for x, y in zip(cut, cut[1:])]
+
+
+def _merged_long(word: bytes, rank: dict[bytes, int]) -> list[int]:
+    """``merged`` with the pairs in a heap; a piece is known by its first byte, an entry holds while its rank is the pair's."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))
+    pair = [rank.get(word[i:i + 2], _NONE) for i in range(n - 1)] + [_NONE]
+    heap = [(r, i) for i, r in enumerate(pair) if r != _NONE]
+    heapq.heapify(heap)
+
+    def put(i: int) -> None:
+        pair[i] = rank.get(word[i:end[end[i]]], _NONE) if end[i] < n else _NONE
+        if pair[i] != _NONE:
+            heapq.heappush(heap, (pair[i], i))
+    while heap:
+        r, i = heapq.heappop(heap)
+        if pair[i] != r:
+            continue
+        gone = end[i]
+        pair[gone], end[i] = _NONE, end[gone]
+        if end[i] < n:
+            before[end[i]] = i
+        put(i)
+        if before[i] >= 0:
+            put(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(rank[word[i:end[i]]])
+        i = end[i]
+    return out
 
 
 class Vocabulary:
-    """Column expressions over a vocabulary of ranked pieces."""
+    """Ranked pieces, the pattern that cuts texts into matches, and column expressions over ids."""
 
     def __init__(self, path: str, pattern: str):
-        pieces, ranks, pairs = _slots(path)
-        self.pattern = pattern
-        self._size = {"t": len(ranks) - 1, "m": len(pairs) - 1}
-        self._pieces = F.split(F.lit(",".join(p.hex().upper() for p in pieces)), ",")
-        self._ids = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(pieces)))), ",")
-        rank = {p: r for r, p in enumerate(pieces)}
-        self._bytes = F.split(F.lit(",".join(str(rank[bytes([b])]) for b in range(256))), ",").cast("array<int>")
-        self._ranks = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-        self._pairs = F.split(F.lit(",".join(map(str, pairs))), ",").cast("array<bigint>")
-
-    def _slot_pair(self, x: Column, which: str, table: Column) -> tuple[Column, Column]:
-        h, m = F.xxhash64(x), F.lit(self._size[which])
-        return F.get(table, h.bitwiseAND(m)), F.get(table, F.shiftrightunsigned(h, 32).bitwiseAND(m))
-
-    def _rank(self, s: Column, x: Column) -> Column:
-        """Rank of bytes in hex, or null."""
-        a, b = self._slot_pair(s, "t", x["t"])
-        return F.when(F.get(x["p"], a) == s, a).when(F.get(x["p"], b) == s, b)
-
-    def _joined(self, left: Column, right: Column, x: Column) -> Column:
-        """Id of two adjacent pieces joined, or null."""
-        def look(key: Column) -> Column:
-            a, b = self._slot_pair(key, "m", x["m"])
-            low = F.lit((1 << _BITS) - 1)
-            return F.when(F.shiftright(a, _BITS) == key, a.bitwiseAND(low)).when(F.shiftright(b, _BITS) == key, b.bitwiseAND(low)).cast("int")
-        return F.transform(F.array(F.shiftleft(left.cast("long"), _BITS).bitwiseOR(right.cast("long"))), look)[0]
-
-    def _fold(self, word: Column, x: Column) -> Column:
-        """Ids of one match of the pattern."""
-        def join(p: Column, r: Column, m: Column, i: Column) -> Column:
-            """State after pieces i and i + 1 (from 1) become ``m``."""
-            left = F.when(i > 1, F.array(self._joined(F.get(p, i - 2), m, x))).otherwise(F.slice(r, 1, 0))
-            right = F.when(i + 1 < F.size(p), F.array(self._joined(m, F.get(p, i + 1), x))).otherwise(F.slice(r, 1, 0))
-            return F.struct(
-                F.concat(F.slice(p, 1, i - 1), F.array(m), F.slice(p, i + 2, F.size(p))).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(p))).alias("r"))
-
-        def step(s: Column, _: Column) -> Column:
-            def with_least(m: Column) -> Column:
-                at = F.transform(F.array(F.array_position(s["r"], m).cast("int")), lambda i: join(s["p"], s["r"], m, i))
-                return F.when(m.isNull(), s).otherwise(at[0])
-            return F.transform(F.array(F.array_min(s["r"])), with_least)[0]
-
-        def by_bytes(text: Column) -> Column:
-            # one character a byte
-            start = F.transform(F.split(F.decode(F.unhex(text), "ISO-8859-1"), ""), lambda b: F.get(x["b"], F.ascii(b)))
-            ranked = F.transform(F.array(start), lambda p: F.struct(
-                p.alias("p"), F.slice(F.transform(p, lambda y, i: self._joined(y, F.get(p, i + 1), x)), 1, F.size(p) - 1).alias("r")))[0]
-            return F.transform(F.array(ranked), lambda s: F.aggregate(s["r"], s, step)["p"])[0]
-        return F.transform(F.array(F.hex(F.encode(word, "utf-8"))), lambda text: F.transform(
-            F.array(self._rank(text, x)), lambda whole: F.when(whole.isNotNull(), F.array(whole)).otherwise(by_bytes(text)))[0])[0]
-
-    def encode(self, pieces_of_text: Column) -> Column:
-        """Ids (array of arrays) of pieces of text; a piece may hold several matches of the pattern."""
-        tables = F.array(F.struct(self._pieces.alias("p"), self._ranks.alias("t"), self._pairs.alias("m"), self._bytes.alias("b")))
-        return F.transform(tables, lambda x: F.transform(pieces_of_text, lambda y: F.flatten(F.transform(
-            F.regexp_extract_all(y, F.lit(java_pattern(self.pattern)), 0), lambda word: self._fold(word, x)))))[0]
+        self.pieces, self.pattern = load_ranks(path), spelled_pattern(pattern)
+        self._pieces = F.split(F.lit(",".join(p.hex().upper() for p in self.pieces)), ",")
+        self._ids = F.split(F.lit(",".join(i.to_bytes(4, "little").hex() for i in range(len(self.pieces)))), ",")
 
     def decode(self, ids: Column) -> Column:
         """Bytes of a list of ids."""
@@ -176,7 +142,7 @@ class Vocabulary:
         return F.unhex(F.transform(F.array(self._ids), lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), ""))[0])
 
 
-def frequent_pieces(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
+def frequent_pieces(docs: DataFrame, merges: Merges, most: int = FREQUENT) -> DataFrame:
     """(piece, ids) of the most frequent words after a space and mark runs of the corpus, at most ``most``.
 
     What stands between spaces is counted over all documents; only the
@@ -193,7 +159,13 @@ def frequent_pieces(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUEN
     parts = materialise(lines.select(F.explode(key).alias("piece"), "c").where("length(piece) > 1 or piece = ' '")
                         .groupBy("piece").agg(F.sum("c").alias("c")), "pieces")
     top = most_frequent(parts, "c", most)
-    return top.select("piece", vocabulary.encode(F.array(F.ltrim(F.col("piece"), F.lit(_BARE))))[0].alias("ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = merges.words([])
+        for batch in batches:
+            ids = [words[_key(piece)] for piece in batch.column("piece").to_pylist()]
+            yield pa.record_batch([batch.column("piece"), _lists(ids)], ["piece", "ids"])
+    return top.select("piece").mapInArrow(run, "piece string, ids array<int>")
 
 
 #: A space inside white space or at its end; such a text is not cut into pieces.
@@ -202,69 +174,80 @@ _INNER_SPACE = re.compile(r"\s (?:\s|\Z)")
 _WIDE_SPACE = re.compile(r"\s\s|\A\s|\s\Z")
 
 
-def _runs(ids: list[bytes | None]) -> list[bytes]:
-    """Known ids joined between the unknown pieces."""
-    out, at = [], 0
-    for i, x in enumerate(ids):
-        if x is None:
-            out.append(b"".join(ids[at:i]))
-            at = i + 1
-    out.append(b"".join(ids[at:]))
-    return out
+def _key(piece: str) -> str:
+    """A piece as tables hold it: what follows a space, or _BARE and what stands alone."""
+    return piece[1:] if piece.startswith(" ") else piece
 
 
 class _Words(dict):
-    """Ids of what follows a space (or stands alone, after _BARE); words with marks are put together from both."""
+    """Ids of what follows a space (or stands alone, after _BARE); words with marks are put together from both,
+    what is not in the table is merged."""
 
-    def __init__(self, known: dict[str, bytes]):
+    def __init__(self, known: dict[str, bytes], pieces: list[bytes], pattern: str):
         super().__init__(known)
         self.room = len(known) + TOGETHER
+        self.rank = {p: r for r, p in enumerate(pieces)}
+        self.matches = regex.compile(pattern).findall
 
-    def __missing__(self, piece: str) -> bytes | None:
+    def merge(self, text: str) -> bytes:
+        """Ids of a text of any number of matches."""
+        ids = [i for m in self.matches(text) for i in merged(m.encode(), self.rank)]
+        return np.array(ids, "<i4").tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
         stem = piece.rstrip(_MARKS)
         if len(stem) == len(piece) or not stem[-1:].isalpha():
-            return None
-        word, marks = self.get(stem), self.get(_BARE + piece[len(stem):])
-        if word is None or marks is None:
-            return None
-        if len(self) < self.room:
-            self[piece] = word + marks
-        return word + marks
+            return self.merge(piece[1:] if piece[:1] == _BARE else " " + piece)
+        ids = self[stem] + self[_BARE + piece[len(stem):]]
+        if stem in self and len(self) < self.room:
+            self[piece] = ids
+        return ids
 
+    def ids(self, text: str) -> bytes:
+        """Ids of a whole text.
 
-def _known(text: str, words: _Words) -> tuple[list[bytes], list[str]]:
-    """Runs of known ids of a text and the pieces between them.
+        A match of the pattern never reaches over a space that follows a
+        non-space, so the ids of the pieces in sequence are the ids of the text. A
+        line end between other characters is a match of its own.
+        """
+        if _INNER_SPACE.search(text) or _BARE in text:
+            return self.merge(text)
+        text = _BARE + text if _WIDE_SPACE.search(text) else _BARE + text.replace("\n", f" {_BARE}\n {_BARE}")
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
-    A match of the pattern never reaches over a space that follows a
-    non-space, so the ids of the pieces in sequence are the ids of the text. A
-    line end between other characters is a match of its own.
-    """
-    if _INNER_SPACE.search(text) or _BARE in text:
-        return [b"", b""], [text]
-    text = _BARE + text if _WIDE_SPACE.search(text) else _BARE + text.replace("\n", f" {_BARE}\n {_BARE}")
-    cut = text.split(" ")
-    ids = list(map(words.__getitem__, cut))
-    if None not in ids:
-        return [b"".join(ids)], []
-    return _runs(ids), [p[1:] if p[:1] == _BARE else " " + p for p, x in zip(cut, ids) if x is None]
+
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Ids as a list column."""
+    off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(ids), "<i4")))
 
 
 #: Table that this worker process built last, by its name.
 _TABLES: dict[str, _Words] = {}
 
 
-def _table(name: str, shipped: list) -> _Words:
-    if name not in _TABLES:
+class Merges:
+    """The vocabulary as tasks get it."""
+
+    def __init__(self, spark: SparkSession, vocabulary: Vocabulary):
+        self.shipped = spark.sparkContext.broadcast((vocabulary.pieces, vocabulary.pattern))
+
+    def words(self, parts: list, name: str = "") -> _Words:
+        """Ids of known pieces, from broadcasts of them; a worker keeps those of one name."""
+        if name and name in _TABLES:
+            return _TABLES[name]
         known = {}
-        for part in shipped:
+        for part in parts:
             for b in pa.ipc.open_stream(part.value):
                 ids = b.column("ids")
                 flat, off = ids.values.to_numpy().astype("<i4").tobytes(), ids.offsets.to_pylist()
                 for piece, x, y in zip(b.column("piece").to_pylist(), off, off[1:]):
-                    known[piece[1:] if piece.startswith(" ") else piece] = flat[4 * x:4 * y]
-        _TABLES.clear()
-        _TABLES[name] = _Words(known)
-    return _TABLES[name]
+                    known[_key(piece)] = flat[4 * x:4 * y]
+        words = _Words(known, *self.shipped.value)
+        if name:
+            _TABLES.clear()
+            _TABLES[name] = words
+        return words
 
 
 def _ship(top: DataFrame, parts: int = PARTS) -> list:
@@ -282,36 +265,27 @@ def _ship(top: DataFrame, parts: int = PARTS) -> list:
     return shipped
 
 
-def _look_up(docs: DataFrame, top: DataFrame) -> DataFrame:
-    """doc_id, runs of known ids, and the pieces that stand between the runs."""
+def _look_up(docs: DataFrame, top: DataFrame, merges: Merges) -> DataFrame:
+    """doc_id and ids of every text, from the table of frequent pieces and merges of all others."""
     shipped, name = _ship(top), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _table(name, shipped)
+        words = merges.words(shipped, name)
         for batch in batches:
             for part in textvec.steps(batch, "text"):
-                found = [_known(t, words) for t in pc.fill_null(part.column("text"), "").to_pylist()]
-                runs = [x for r, _ in found for x in r]
-                flat = pa.array(np.frombuffer(b"".join(runs), "<i4"))
-                off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in runs])]).astype(np.int32)
-                rows = np.concatenate([[0], np.cumsum([len(r) for r, _ in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(rows), pa.ListArray.from_arrays(pa.array(off), flat))
-                rare = pa.array([x for _, x in found], pa.list_(pa.string()))
-                yield pa.record_batch([part.column("doc_id"), lists, rare], ["doc_id", "runs", "rare"])
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, runs array<array<int>>, rare array<string>")
+                ids = [words.ids(t) for t in pc.fill_null(part.column("text"), "").to_pylist()]
+                yield pa.record_batch([part.column("doc_id"), _lists(ids)], ["doc_id", "ids"])
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, ids array<int>")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, most: int = FREQUENT) -> DataFrame:
     """doc_id and ids (array of int) of every text."""
     spark = docs.sparkSession
     release(spark)
-    # plans hold the vocabulary as literals, and the driver keeps their text for every stage that ends
+    # plans that decode hold the vocabulary as a literal, and the driver keeps their text for every stage that ends
     spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_TEXT))
-    top = frequent_pieces(docs, vocabulary, most)
-    none = F.array().cast("array<int>")
-    ids = F.transform(F.array(vocabulary.encode(F.col("rare"))), lambda rare: F.flatten(
-        F.transform("runs", lambda x, i: F.concat(x, F.coalesce(F.get(rare, i), none)))))[0]
-    return _look_up(docs, top).select("doc_id", ids.alias("ids"))
+    merges = Merges(spark, vocabulary)
+    return _look_up(docs, frequent_pieces(docs, merges, most), merges)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

@@ -46,3 +46,26 @@ def test_edges(spark, library, most):
 
 def test_empty(spark):
     assert bpe.encode(spark.createDataFrame([], DOCS), bpe.Vocabulary(PATH, P.PATTERN)).count() == 0
+
+
+def test_a_long_word_ends(spark, library):
+    """Pairs of a long match are kept in a heap: 300,000 letters without a space end, with the library's ids."""
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("abcdeginrst"), 300_000))
+    got = bpe.encode(spark.createDataFrame([(1, long), (2, "a b")], DOCS), bpe.Vocabulary(PATH, P.PATTERN)).collect()
+    assert {r.doc_id: list(r.ids) for r in got} == {1: library(long), 2: library("a b")}
+
+
+def test_plans_that_encode_hold_no_vocabulary(spark):
+    """The driver keeps plans, so ranks and joined pairs must reach the tasks otherwise."""
+    encoded = bpe.encode(spark.createDataFrame([(1, "one two")], DOCS), bpe.Vocabulary(PATH, P.PATTERN))
+    assert len(encoded._jdf.queryExecution().logical().toString()) < 5000
+
+
+def test_both_ways_of_merging_agree():
+    rank = {p: r for r, p in enumerate(bpe.load_ranks(PATH))}
+    rng = np.random.default_rng(6)
+    for n in [2, 3, 5, 9, 20, 60, bpe.LONG - 1] * 20:
+        word = bytes(rng.choice(list(b"aabeinst\xc3\xa9"), n).tolist())
+        if word not in rank:
+            assert bpe.merged(word, rank) == bpe._merged_long(word, rank)
