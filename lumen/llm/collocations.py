@@ -3,16 +3,17 @@
 The corpus is dealt into at most SHARDS shards. Every shard is mined completely
 at the support that is its share: with ``w`` of the ``W`` words of a language a
 phrase is locally frequent when ``f * W >= support * w``, so a phrase of global
-support is locally frequent in one shard at least. The union of the locally
-frequent phrases is then counted over all shards, exactly, but for those whose
-shard counts already prove that they cannot reach the support.
+support is locally frequent in one shard at least. Where it is, its count is
+known; phrases whose shard counts do not yet prove that they cannot reach the
+support are then counted in their other shards, exactly.
 
 A shard is mined level by level (words, pairs, longer phrases), each level only
 where the level below is locally frequent. A shard spans any number of tasks:
 tasks count, Spark adds up the counts of a (shard, phrase). What one level tells
 the next are bitmaps of fixed size; a bit set by chance only adds a candidate.
-Phrases are known by 64-bit hashes while mining and by their text in the final
-count, so hashes never decide a count.
+Phrases are known by 64-bit hashes of language and words. Counts tell, of each
+hash, the least slot (hash of a text) that holds it; only texts of that slot
+spell it, so spelled rows grow with the phrases, not with the tasks.
 
 Defined results: null and empty texts have no words; a null language is
 ``und``; repeated rows count again; ties in score and count are ordered by the
@@ -37,8 +38,10 @@ from lumen.llm.common import materialise, read
 SUPPORT, LONGEST, TOP = 100, 5, 2000
 #: Shards: few, so that the local support stays well above one; each spans many tasks.
 SHARDS = 4
-#: Phrases whose counts a task of the final count holds, about.
+#: Phrases that a task holds while it spells them, about.
 HELD = 1 << 18
+#: Slots of texts: so many that those of one slot are copies, as a rule.
+SLOTS = (1 << 31) - 1
 #: Slices in which a language's phrases are ranked first.
 SLICES = 64
 
@@ -62,6 +65,9 @@ class _Step:
         shard = part.column("shard").to_numpy(zero_copy_only=False)
         seeds = np.array([int.from_bytes(_digest(x), "little") for x in self.langs.dictionary.to_pylist()], U)
         self.lang, self.shard = code[w.row], shard[w.row]
+        self.slot = None
+        if "slot" in part.schema.names:
+            self.slot = part.column("slot").to_numpy(zero_copy_only=False)[w.row]
         self.seed = seeds[self.lang] if len(w.row) else np.zeros(0, U)
         piece = np.cumsum(_BREAK[raw])
         n = len(w.start)
@@ -93,7 +99,7 @@ def _digest(x: str) -> bytes:
 
 
 def _local(found: Callable[[_Step], Iterator[tuple[np.ndarray, np.ndarray]]]):
-    """Rows (lang, shard, gram, n) of what ``found`` yields (first words, hashes), added up in each step."""
+    """Rows (lang, shard, gram, n, slot) of what ``found`` yields (first words, hashes), added up in each step."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,12 +118,13 @@ def _local(found: Callable[[_Step], Iterator[tuple[np.ndarray, np.ndarray]]]):
                     lang = s.langs.dictionary.take(pa.array(s.lang[at][order][first]))
                     yield pa.RecordBatch.from_arrays(
                         [lang, pa.array(h[first].astype(np.int32)), pa.array(g[first].view(np.int64)),
-                         pa.array(np.diff(np.append(first, len(g))))], ["lang", "shard", "gram", "n"])
+                         pa.array(np.diff(np.append(first, len(g)))), pa.array(np.minimum.reduceat(s.slot[at][order], first))],
+                        ["lang", "shard", "gram", "n", "slot"])
 
     return run
 
 
-_LOCAL = "lang string, shard int, gram long, n long"
+_LOCAL = "lang string, shard int, gram long, n long, slot int"
 
 
 def _words(s: _Step):
@@ -146,8 +153,21 @@ def _longer(known: Bitmap):
     return found
 
 
-def _exact(known: Bitmap):
-    """Rows (lang, phrase, n) of the candidates, phrases as text; a task adds up its counts, HELD phrases at a time."""
+def _elsewhere(known: Bitmap):
+    """Phrases of two words and more in the shards in which they are still to be counted."""
+    def found(s: _Step):
+        for k, at, gram in s.grams(LONGEST):
+            if k > 1:
+                hit = known.has(s.shard[at], gram)
+                yield at[hit], gram[hit]
+    return found
+
+
+def _exact(known: Bitmap, slots: bool = False):
+    """Rows (lang, phrase, size, n, gram) of marked phrases, as text; a task adds up its counts, HELD phrases at a time.
+
+    ``slots``: phrases are marked with the slot of the texts that spell them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # hashes in order, where each one's count is, the counts, and (lang, phrase, size) of the same places
@@ -157,7 +177,7 @@ def _exact(known: Bitmap):
                 s = _Step(part)
                 low = s.w.raw.tobytes().lower()
                 for k, at, gram in s.grams(LONGEST):
-                    hit = known.has(np.zeros(len(at), np.int32), gram)
+                    hit = known.has(s.slot[at] if slots else np.zeros(len(at), np.int32), gram)
                     g, first, n = np.unique(gram[hit], return_index=True, return_counts=True)
                     to = np.searchsorted(held, g)
                     new = np.ones(len(g), bool)
@@ -170,7 +190,8 @@ def _exact(known: Bitmap):
                         np.stack([s.w.start[at + i] for i in range(k)], 1).tolist(),
                         np.stack([s.w.end[at + i] for i in range(k)], 1).tolist())]
                     told.append((s.langs.dictionary.take(pa.array(s.lang[at])).cast(pa.string()),
-                                 pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(len(at), k, np.int32))))
+                                 pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(np.full(len(at), k, np.int32)),
+                                 pa.array(g[new].view(np.int64))))
                     held = np.insert(held, to[new], g[new])
                     place = np.insert(place, to[new], len(count) + np.arange(len(at)))
                     count = np.append(count, n[new])
@@ -184,11 +205,17 @@ def _exact(known: Bitmap):
 
 def _told(told: list[tuple], count: np.ndarray) -> Iterator[pa.RecordBatch]:
     at = 0
-    for lang, phrase, size in told:
-        yield pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(count[at:at + len(size)])], ["lang", "phrase", "size", "n"])
+    for lang, phrase, size, gram in told:
+        yield pa.RecordBatch.from_arrays([lang, phrase, size, pa.array(count[at:at + len(size)]), gram],
+                                         ["lang", "phrase", "size", "n", "gram"])
         at += len(size)
 
 
+def spelled(d: DataFrame, named: DataFrame) -> DataFrame:
+    """(lang, phrase, size, n, gram) of the phrases ``named`` (slot, gram), from the texts ``d`` of their slots alone."""
+    return d.mapInArrow(_exact(bitmap(named, "slot"), slots=True), "lang string, phrase string, size int, n long, gram long")
+
+
 def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text: str = "text", lang: str = "lang",
              shard: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(phrases, totals): all phrases of 1 to LONGEST words with at least ``support`` occurrences in their language
@@ -198,10 +225,11 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text
     """
     shard = F.xxhash64(text) if shard is None else shard
     d = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).cast("string").alias("text"),
-                    F.pmod(shard, F.lit(shards)).cast("int").alias("shard"))
+                    F.pmod(shard, F.lit(shards)).cast("int").alias("shard"),
+                    F.pmod(F.xxhash64(F.col(text).cast("string")), F.lit(SLOTS)).cast("int").alias("slot"))
 
     def counts(found) -> DataFrame:
-        return d.mapInArrow(_local(found), _LOCAL).groupBy("lang", "shard", "gram").agg(F.sum("n").alias("n"))
+        return d.mapInArrow(_local(found), _LOCAL).groupBy("lang", "shard", "gram").agg(F.sum("n").alias("n"), F.min("slot").alias("slot"))
 
     words = materialise(counts(_words), "shard-words")
     share = materialise(words.groupBy("lang", "shard").agg(F.sum("n").alias("_w")), "share")
@@ -214,7 +242,7 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text
     def local(table: DataFrame) -> DataFrame:
         """Rows at the support that is the shard's share; (language, shard) has few values, and AQE measures them."""
         big = F.col("n").cast("decimal(38,0)") * F.col("total") >= F.col("_w").cast("decimal(38,0)") * support
-        return table.join(share, ["lang", "shard"]).where(big).select("lang", "shard", "gram", "n", "_least")
+        return table.join(share, ["lang", "shard"]).where(big).select("lang", "shard", "gram", "n", "_least", "slot")
 
     frequent_words = materialise(local(words), "frequent-words")
     known = bitmap(frequent_words)
@@ -222,15 +250,23 @@ def frequent(docs: DataFrame, support: int = SUPPORT, shards: int = SHARDS, text
     known = bitmap(frequent_pairs)
     frequent_longer = materialise(local(counts(_longer(known))), "frequent-longer")
     # All counts of words are known. Of a longer phrase a shard without it holds at most one less than its local
-    # support, so a candidate that cannot reach the support even then is settled; all others are counted.
+    # support, so a candidate that cannot reach the support even then is settled; all others are counted there.
     slack = share.groupBy("lang").agg(F.sum(F.col("_least") - 1).alias("_slack"))
     longer = (frequent_pairs.unionByName(frequent_longer).groupBy("lang", "gram")
-              .agg(F.sum(F.col("n") - F.col("_least") + 1).alias("_over")).join(slack, "lang")
+              .agg(F.sum(F.col("n") - F.col("_least") + 1).alias("_over"), F.sum("n").alias("_in"),
+                   F.collect_set("shard").alias("_shards"), F.min("slot").alias("slot")).join(slack, "lang")
               .where(F.col("_over") + F.col("_slack") >= support))
-    single = words.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    known = bitmap(longer.select("gram").unionByName(single.select("gram")).select(F.lit(0).alias("shard"), "gram"))
-    f = d.mapInArrow(_exact(known), "lang string, phrase string, size int, n long")
-    f = f.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
+    longer = materialise(longer.select("lang", "gram", "_in", "_shards", "slot"), "candidates")
+    open_ = longer.join(share.select("lang", "shard"), "lang").where("NOT array_contains(_shards, shard)").select("lang", "shard", "gram")
+    open_ = materialise(open_, "open")
+    more = counts(_elsewhere(bitmap(open_))).join(open_, ["lang", "shard", "gram"])
+    more = more.groupBy("lang", "gram").agg(F.sum("n").alias("_more"))
+    f = F.col("_in") + F.coalesce("_more", F.lit(0))
+    longer = longer.join(more, ["lang", "gram"], "left").select("lang", "gram", "slot", f.alias("f"))
+    single = words.groupBy("lang", "gram").agg(F.min("slot").alias("slot"), F.sum("n").alias("f"))
+    f = materialise(longer.unionByName(single).where(F.col("f") >= support), "frequent-grams")
+    names = spelled(d, f).groupBy("lang", "gram").agg(F.min(F.struct("phrase", "size")).alias("_p"))
+    f = f.join(names, ["lang", "gram"]).select("lang", "_p.phrase", "_p.size", "f")
     return materialise(f, "frequent"), totals
 
 

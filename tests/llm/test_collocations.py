@@ -108,3 +108,24 @@ def test_a_task_adds_up_its_counts(monkeypatch):
     for r in rows():
         total[r["phrase"]] += r["n"]
     assert total == {r["phrase"]: r["n"] for r in once}
+
+
+@pytest.mark.parametrize("parts", [2, 24])
+def test_spelled_rows_do_not_grow_with_the_tasks(spark, parts):
+    """A phrase that every task holds is spelled where its slot is, not by each task."""
+    d = spark.createDataFrame([("en", 0, i, f"red green blue {i}") for i in range(400)], "lang string, shard int, slot int, text string")
+    d = d.repartition(parts).select("lang", "text", "shard", "slot")
+    first = d.mapInArrow(collocations._local(collocations._words), collocations._LOCAL).groupBy("gram").agg(
+        F.min("slot").alias("slot"), F.sum("n").alias("n")).where("n >= 400")
+    rows = collocations.spelled(d, first).collect()
+    assert sorted(r.phrase for r in rows) == ["blue", "green", "red"]
+
+
+def test_counts_of_shards_that_do_not_report(spark):
+    """Phrases just above the support, frequent in one shard and thin in the others, are counted there as well."""
+    rows = [("en", f"deep sea {i}", 0) for i in range(70)] + [("en", f"deep sea z{i}", 1 + i % 3) for i in range(31)]
+    rows += [("en", f"far hill {i}", 0) for i in range(80)] + [("en", f"far hill z{i}", 1 + i % 3) for i in range(19)]
+    rows += [("en", " ".join(f"w{i}x{j}" for j in range(20)), i % 4) for i in range(200)]
+    df = spark.createDataFrame(rows, "lang string, text string, s int").repartition(6)
+    have = got(collocations.collocations(df, shard=F.col("s")))
+    assert have == brute([r[:2] for r in rows]) and {(r[2], r[3]) for r in have} == {("deep sea", 101)}
