@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumen.llm import textvec
-from lumen.llm.common import materialise, read
+from lumen.llm.common import materialise, read, shuffled
 
 #: Fixed by the contract: one of so many (document, run) pairs loses a character.
 DROP = 199
@@ -45,6 +45,9 @@ LEAST_LENGTH, LEAST_COUNT, FORM_RATIO = 6, 5, 5
 #: Remaining lengths below an edge are bits; longer ones share the last.
 LENGTH_BITS = 62
 
+#: Most bytes of states, as counted, that a level ships to the edges; more of them meet the edges over a shuffle.
+SHIPPED_BYTES = 4 << 20
+
 _U32 = np.uint32
 
 
@@ -215,10 +218,10 @@ def tries(words: DataFrame, least_length: int = LEAST_LENGTH) -> tuple[DataFrame
         F.bit_or(F.expr(f"shiftleft(1L, least(more, {LENGTH_BITS}))")).alias("lens"),
         F.max(F.when(F.col("next") == -1, F.col("wid"))).alias("end"))
         .where("lo <> hi OR lo = -1").select("node", "lens", "end"))
-    way = (p.select("wid", "way", "pos", "node").join(nodes, "node")
+    way = (p.select("wid", "way", "pos", "node").join(shuffled(nodes), "node")
            .groupBy("wid", "way").agg(F.sort_array(F.collect_list(F.struct("pos", "node", "lens", "end"))).alias("path")))
     ids = words.select("word").mapInArrow(_ids, "wid long, word string")
-    paths = materialise(way.join(ids, "wid").select(
+    paths = materialise(way.join(shuffled(ids), "wid").select(
         "wid", "way", F.when(F.col("way") == 1, F.reverse("word")).otherwise(F.col("word")).alias("text"), "path"), "paths")
     steps = F.expr("transform(slice(path, 1, size(path) - 1), (x, i) -> named_struct('node', x.node, "
                    "'label', substring(text, x.pos + 1, path[i + 1].pos - x.pos), 'child', path[i + 1].node, "
@@ -243,7 +246,7 @@ def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
                                 F.when(F.expr("at.pos = length(text) - 1"), F.col("at.end")).alias("last")), "start")
     found = [start.where("last IS NOT NULL").select(F.col("wid").alias("a"), F.col("last").alias("b"))]
     s, e = start.select("wid", "node", F.col("rest").alias("was")), edges
-    other = s.join(e, "node").where("head <> substring(was, 1, 1)")
+    other = s.join(shuffled(e), "node").where("head <> substring(was, 1, 1)")
     edited = F.expr("""filter(array(
         IF(head > substring(was, 1, 1) AND startswith(substring(was, 2), substring(label, 2)),
            substring(was, length(label) + 1), NULL),
@@ -253,9 +256,11 @@ def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
     while True:
         found.append(states.where("rest = '' AND end IS NOT NULL").select(F.col("wid").alias("a"), F.col("end").alias("b")))
         live = states.where("rest <> ''").select("wid", "node", F.col("rest").alias("was"))
-        if live.isEmpty():
+        n, size = live.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("was")), F.lit(0))).first()
+        if not n:
             break
         live = live.withColumn("head", F.substring("was", 1, 1))
+        live = F.broadcast(live) if n * 64 + 2 * size <= SHIPPED_BYTES else shuffled(live)
         states = materialise(
             live.join(e, ["node", "head"]).where("startswith(was, label)")
             .select("wid", "child", "lens", "end", F.expr("substring(was, length(label) + 1)").alias("rest"))
@@ -267,15 +272,15 @@ def neighbours(words: DataFrame, least_length: int = LEAST_LENGTH) -> DataFrame:
 def group_spellings(words: DataFrame, least_length: int = LEAST_LENGTH, ratio: int = FORM_RATIO) -> DataFrame:
     """word, n, n_near, form, form_n, root for every row of ``words`` (word, n; words distinct)."""
     ids = words.select("word").mapInArrow(_ids, "wid long, word string")
-    known = materialise(ids.join(words.select("word", "n"), "word"), "words")
+    known = materialise(ids.join(shuffled(words.select("word", "n")), "word"), "words")
     pairs = neighbours(words, least_length)
     a = known.select(F.col("wid").alias("a"), F.col("word").alias("_aw"))
     b = known.select(F.col("wid").alias("b"), F.col("word").alias("_bw"), F.col("n").alias("_bn"))
-    near = (pairs.join(b, "b").join(a, "a").where(F.levenshtein("_aw", "_bw", 1) == 1)
+    near = (pairs.join(shuffled(b), "b").join(shuffled(a), "a").where(F.levenshtein("_aw", "_bw", 1) == 1)
             .groupBy(F.col("_aw").alias("word")).agg(
                 F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("_bn")).alias("n"), F.col("_bw").alias("w"))).alias("_best")))
     best = -F.col("_best.n")
-    t = materialise(words.select("word", "n").join(near, "word", "left").select(
+    t = materialise(words.select("word", "n").join(shuffled(near), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(best >= ratio * F.col("n"), F.col("_best.w")).alias("form"),
         F.when(best >= ratio * F.col("n"), best).alias("form_n")), "forms")
@@ -283,12 +288,12 @@ def group_spellings(words: DataFrame, least_length: int = LEAST_LENGTH, ratio: i
     root = materialise(t.where("form IS NOT NULL").select("word", F.col("form").alias("root")), "roots")
     while True:
         step = materialise(root.alias("x").join(
-            root.select(F.col("word").alias("root"), F.col("root").alias("_next")), "root", "left")
+            shuffled(root.select(F.col("word").alias("root"), F.col("root").alias("_next"))), "root", "left")
             .select("word", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")), "roots")
         root = step.select("word", "root")
         if step.where("_moved").isEmpty():
             break
-    return t.join(root, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return t.join(shuffled(root), "word", "left").withColumn("root", F.coalesce("root", "word"))
 
 
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

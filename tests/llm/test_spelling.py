@@ -125,3 +125,28 @@ def test_crc_of_many_runs(n):
     start = end - [len(d) for d in data]
     state = spelling._crc(raw, start, end, np.full(len(data), 0xFFFFFFFF, np.uint32)) ^ np.uint32(0xFFFFFFFF)
     assert state.tolist() == [zlib.crc32(d) for d in data]
+
+
+@pytest.mark.parametrize("shipped", [0, 4 << 20])
+def test_no_broadcast_by_estimate(spark, monkeypatch, shipped):
+    """Every prefix of every word was broadcast: estimates tell an Arrow stage's rows by the words' file. Only counted states may be."""
+    words = {f"{a}{b}{'xyz' * k}": 5 + 40 * k for a in ("stone", "stane", "ston") for b in "abcdefgh" for k in (1, 2)}
+    plans = []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return materialise(df, name)
+
+    materialise = spelling.materialise
+    monkeypatch.setattr(spelling, "materialise", seen)
+    monkeypatch.setattr(spelling, "SHIPPED_BYTES", shipped, raising=False)
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        df = spelling.group_spellings(materialise(spark.createDataFrame(list(words.items()), "word string, n long"), "given"))
+        plans.append(("result", df._jdf.queryExecution().executedPlan().toString()))
+        assert got(df) == brute(words)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    by = {name for name, plan in plans if "Broadcast" in plan}
+    assert by == ({"states"} if shipped else set()) and len(plans) > 8
